@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from wayline.llm.mixing import op3_mixing
 from wayline.llm.sharding import op7_sharding
+from wayline.llm.simhash import op10_simhash
 
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op7_sharding": op7_sharding,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
