@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from wayline.llm.mixing import op3_mixing
+from wayline.llm.packing import op9_packing
 from wayline.llm.sharding import op7_sharding
 from wayline.llm.simhash import op10_simhash
 
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op7_sharding": op7_sharding,
+    "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
 
