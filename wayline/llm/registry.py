@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from wayline.llm.langid import op8_langid
 from wayline.llm.mixing import op3_mixing
 from wayline.llm.packing import op9_packing
 from wayline.llm.sharding import op7_sharding
 from wayline.llm.simhash import op10_simhash
+from wayline.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op5_toxicity": op5_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_langid": op8_langid,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
