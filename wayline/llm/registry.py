@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wayline.llm.langid import op8_langid
+from wayline.llm.media import op6_media
 from wayline.llm.mixing import op3_mixing
 from wayline.llm.packing import op9_packing
 from wayline.llm.sharding import op7_sharding
@@ -12,6 +13,7 @@ from wayline.llm.toxicity import op5_toxicity
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_media": op6_media,
     "op7_sharding": op7_sharding,
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
