@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wayline.llm.langid import op8_langid
+from wayline.llm.licenses import op1_licenses
 from wayline.llm.media import op6_media
 from wayline.llm.mixing import op3_mixing
 from wayline.llm.packing import op9_packing
@@ -11,6 +12,7 @@ from wayline.llm.simhash import op10_simhash
 from wayline.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op3_mixing": op3_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_media": op6_media,
