@@ -7,6 +7,7 @@ from wayline.llm.licenses import op1_licenses
 from wayline.llm.media import op6_media
 from wayline.llm.mixing import op3_mixing
 from wayline.llm.packing import op9_packing
+from wayline.llm.quality import op4_quality
 from wayline.llm.sharding import op7_sharding
 from wayline.llm.simhash import op10_simhash
 from wayline.llm.toxicity import op5_toxicity
@@ -14,6 +15,7 @@ from wayline.llm.toxicity import op5_toxicity
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_media": op6_media,
     "op7_sharding": op7_sharding,
