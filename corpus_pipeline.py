@@ -1,24 +1,56 @@
-"""A training corpus in stages: each takes (spark, docs, sf_dir) and works on all that the stage before it kept."""
+"""A training corpus in five stages: each takes (spark, docs, sf_dir) and works on all that the stage before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayline.llm.common import table
+from wayline.llm.langid import keep_known_languages
 from wayline.llm.mixing import mix_documents
+from wayline.llm.packing import pack_documents
+from wayline.llm.quality import keep_good
+from wayline.llm.simhash import drop_near_duplicates
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores at least 0.5."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that has a profile."""
+    return keep_known_languages(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' words that the mix takes, a row for each pass over a document."""
     return mix_documents(docs)
 
 
-STAGES = [("mixing sources to target weights", mixing)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing sources to target weights", mixing),
+    ("best-fit packing", packing),
+]
 
 #: SQL can't express the trained and packed stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
