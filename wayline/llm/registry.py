@@ -6,6 +6,7 @@ from wayline.llm.langid import op8_langid
 from wayline.llm.licenses import op1_licenses
 from wayline.llm.media import op6_media
 from wayline.llm.mixing import op3_mixing
+from wayline.llm.neighbours import op2_neighbours
 from wayline.llm.packing import op9_packing
 from wayline.llm.quality import op4_quality
 from wayline.llm.sharding import op7_sharding
@@ -14,6 +15,7 @@ from wayline.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_neighbours": op2_neighbours,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
