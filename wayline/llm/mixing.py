@@ -14,6 +14,8 @@ WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Words in a block, blocks in an output shard, rounds of the index permutation, slots made by one row.
 BLOCK, SHARD_SLOTS, ROUNDS, CHUNK = 64, 4096, 8, 16384
 SEED = 20240229
+#: Up to so many sources (under 10 MB) are broadcast; beyond that Spark joins them by shuffle.
+FEW_SOURCES = 100_000
 
 
 def source_targets(sized: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -77,7 +79,7 @@ def draw_slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
         targets.withColumn("_first", first)
         .where("slots > 0")
         .select("source_no", "blocks", "slots", "_first", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("_chunk"))
-        .repartition("source_no", "_chunk")
+        .repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "_chunk")
     )
     slots = chunks.select(
         "source_no", "blocks", "_first",
@@ -119,6 +121,9 @@ def placed_documents(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Da
     lined = running_totals(sized, order, "size")
     starts = lined.groupBy(F.col("source").alias("_of")).agg(F.min("_start").alias("_source_start"))
     sources = targets.withColumnRenamed("source", "_name").join(starts, F.expr("_name <=> _of")).drop("_of")
+    sources = cut(sources)
+    if sources.count() <= FEW_SOURCES:
+        sources = F.broadcast(sources)
     found = lined.join(sources, F.expr("source <=> _name")).drop("_name")
     return found.withColumn("offset", F.col("_start") - F.col("_source_start")).drop("_start", "_source_start"), targets
 
@@ -127,14 +132,16 @@ def taken_runs(placed: DataFrame, targets: DataFrame, block: int = BLOCK) -> Dat
     """Each document once for every block that it has words in, with the passes that take the block.
 
     Slots and document parts meet on (source_no, block): a block has a few documents' words and at most one slot in each
-    pass, so no key is hot. Columns: those of `placed`, block, from (word in the document), words, passes (null: none).
+    pass, so no key is hot. Columns: those of `placed`, block, from (word in the document), words, passes: a bit for each
+    pass that takes the block.
     """
     last = f"(offset + size - 1) div {block}"
     parts = placed.withColumn("block", F.explode_outer(F.expr(f"if(size > 0, sequence(offset div {block}, {last}), null)")))
     begin, end = F.greatest(F.col("block") * block, F.col("offset")), F.least((F.col("block") + 1) * block, F.col("offset") + F.col("size"))
     parts = parts.withColumn("from", begin - F.col("offset")).withColumn("words", F.coalesce(end - begin, F.lit(0)))
-    drawn = draw_slots(targets).groupBy("source_no", "block").agg(F.sort_array(F.collect_list("pass")).alias("passes"))
-    return parts.join(drawn, ["source_no", "block"], "left")
+    drawn = draw_slots(targets).groupBy("source_no", "block").agg(F.sum(F.expr("1L << pass")).alias("passes"))
+    met = parts.join(drawn.hint("merge"), ["source_no", "block"], "left")  # its size can't be told from its plan
+    return met.withColumn("passes", F.coalesce("passes", F.lit(0)))
 
 
 def mix_report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -145,10 +152,9 @@ def mix_report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     same mix, whatever their order or partitioning.
     """
     runs = taken_runs(*placed_documents(docs, block), block)
-    taken = F.sum(F.col("words") * F.coalesce(F.size("passes"), F.lit(0)))
+    taken = F.sum(F.col("words") * F.bit_count("passes"))
     return (
-        runs.withColumn("passes", F.coalesce("passes", F.array().cast("array<int>")))
-        .groupBy("_row", "doc_id", "source", "size", "source_size", "target")
+        runs.groupBy("_row", "doc_id", "source", "size", "source_size", "target")
         .agg(taken.cast("long").alias("taken"))
         .drop("_row")
     )
@@ -160,9 +166,9 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     A document appears once for each pass that takes some of it (at most REPEATS times) and not at all if none does.
     The columns are those of `docs`; n_chars, where it exists, follows the new text.
     """
-    runs = taken_runs(*placed_documents(docs, block), block).where("passes is not null and words > 0")
+    runs = taken_runs(*placed_documents(docs, block), block).where("passes <> 0 and words > 0")
     picked = (
-        runs.withColumn("_pass", F.explode("passes"))
+        runs.withColumn("_pass", F.explode(F.expr(f"filter(sequence(0, {REPEATS - 1}), p -> passes >> p & 1 = 1)")))
         .groupBy("_row", "doc_id", "source", "text_key", "_pass")
         .agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias("_runs"))
     )
