@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import LOWER, UPPER, table
+from wayline.llm.common import table
 
-#: A word, after lower-casing A-Z.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Each byte of a word, with A-Z lower-cased, or a space: words are what [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ finds then.
+_WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 #: Phrases that a document is searched for whole, and their labels. Fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Notices, found where a block of text contains the threshold of their distinct words.
@@ -32,8 +35,42 @@ THRESHOLD = 0.8
 BLOCK, STEP = 128, 64
 
 
-def block_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+def text_words(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(_WORD_BYTES).split()
+
+
+def _counted(vocabulary: frozenset[bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+        for batch in batches:
+            for text in batch.column("_text"):
+                counts.update(filter(vocabulary.__contains__, text_words(text.as_py())))
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    return run
+
+
+def _blocked(rare: frozenset[bytes]):
+    """Each text's number of words and the blocks that hold a rare word, or one row without a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, n_words, block, words = [], [], [], []
+            for i, text in enumerate(batch.column("_text")):
+                own = text_words(text.as_py())
+                steps = {p // STEP for p, w in enumerate(own) if w in rare}
+                found: list[int | None] = sorted({b for s in steps for b in (s, s - 1) if b >= 0})
+                for b in found or [None]:
+                    row.append(i)
+                    n_words.append(len(own))
+                    block.append(b)
+                    words.append(None if b is None else [w.decode("utf-8", "replace") for w in own[b * STEP : b * STEP + BLOCK]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_doc").take(pa.array(row, pa.int64())), pa.array(n_words, pa.int64()), pa.array(block, pa.int32()), pa.array(words, pa.list_(pa.string()))],
+                ["_doc", "n_words", "block", "words"],
+            )
+
+    return run
 
 
 def template_rows(phrases: dict[str, str], notices: dict[str, str], threshold: float) -> list[tuple[int, str, bool, list[str], int]]:
@@ -52,8 +89,9 @@ def template_rows(phrases: dict[str, str], notices: dict[str, str], threshold: f
 
 def word_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """The templates' words, rarest in the whole corpus first (ties by the word): the join's global order."""
-    words = docs.select(F.explode(block_words(F.col("text"))).alias("word")).where(F.col("word").isin(vocabulary))
-    counts = {r["word"]: r["count"] for r in words.groupBy("word").count().collect()}  # at most the vocabulary
+    texts = docs.select(F.col("text").cast("binary").alias("_text"))
+    words = texts.mapInArrow(_counted(frozenset(w.encode() for w in vocabulary)), "word string, n long")
+    counts = {r["word"]: r["n"] for r in words.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # at most the vocabulary
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
@@ -86,16 +124,10 @@ def license_matches(
     kept = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select(
         F.struct(*kept, F.monotonically_increasing_id().alias("_tie")).alias("_doc"),
-        block_words(F.col("text")).alias("_words"),
-    )
-    # The blocks of a word at place p begin at floor(p / STEP) * STEP and, unless it is the first, STEP before.
-    hits = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
-    blocks = F.array_distinct(
-        F.flatten(F.transform(hits, lambda i: F.array(F.floor(i / STEP), F.greatest(F.floor(i / STEP) - 1, F.lit(0)))))
+        F.col("text").cast("binary").alias("_text"),
     )
-    rows = rows.select("_doc", F.size("_words").cast("long").alias("n_words"), F.transform(blocks, lambda b: F.struct(b.cast("int").alias("block"), F.slice("_words", (b * STEP + 1).cast("int"), F.lit(BLOCK)).alias("words"))).alias("_blocks"))
-    blocked = rows.select("_doc", "n_words", F.explode_outer("_blocks").alias("_b"))
-    blocked = blocked.select("_doc", "n_words", "_b.block", "_b.words")
+    kind = rows.schema["_doc"].dataType.simpleString()
+    blocked = rows.mapInArrow(_blocked(frozenset(w.encode() for w in rare)), f"_doc {kind}, n_words long, block int, words array<string>")
     probes = blocked.withColumn("_own", F.array_intersect(vocabulary, F.coalesce("words", F.array().cast("array<string>"))))  # in the global order
     probes = probes.withColumn("_word", F.explode_outer(F.filter("_own", lambda w: w.isin(rare))))
     met = probes.join(F.broadcast(index), "_word", "left").join(F.broadcast(known), "template", "left")  # the templates' words
