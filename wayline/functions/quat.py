@@ -128,12 +128,8 @@ def from_rotmat(r: Column) -> Column:
 
 def from_heading_deg(heading: Column, pitch: Column | None = None, roll: Column | None = None) -> Column:
     """Forward-left-up body to east-north-up frame; the heading turns clockwise from north, so yaw is 90 - heading."""
-    h, p, r = F.radians(heading), F.radians(pitch if pitch is not None else F.lit(0.0)), F.radians(roll if roll is not None else F.lit(0.0))
-    yaw = F.pi() / 2 - h
-    (cy, sy), (cp, sp), (cr, sr) = ((F.cos(a), F.sin(a)) for a in (yaw, p, r))
-    return from_rotmat(
-        F.array(cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr, sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr, -sp, cp * sr, cp * cr)
-    )
+    level = F.lit(0.0)
+    return normalize(from_euler_deg(90 - heading, level if pitch is None else pitch, level if roll is None else roll))
 
 
 def to_heading_deg(q: Column) -> Column:

@@ -1,4 +1,11 @@
 """Every registered query of the telemetry engine and its DuckDB oracle."""
 
+from __future__ import annotations
+
+from wayline.plans import geometry, outages, roads, sequences
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _part in (outages, sequences, geometry, roads):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
