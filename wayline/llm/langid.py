@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.common import crc_fold, table
+from wayline.llm.common import crc_fold, cut, table
 
-#: N-grams in a profile, longest n-gram, training documents of a language, the fold that isn't learned from.
+#: N-grams in a profile, longest n-gram, about how many documents of a language train, the fold that isn't learned from.
 PROFILE, GRAM, TRAIN_DOCS, FOLDS, HELD_OUT = 400, 3, 1500, 4, 2
 UNKNOWN = "und"
+#: Up to so many languages are broadcast; beyond that Spark joins them by shuffle.
+FEW_LANGUAGES = 10_000
 _BITS = 21  # of a code point
 
 
@@ -69,17 +71,21 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_profiles(docs: DataFrame, train_docs: int = TRAIN_DOCS, profile: int = PROFILE) -> dict[str, np.ndarray]:
-    """Each language's most frequent n-grams over at most `train_docs` of its documents, chosen by hash.
+    """Each language's most frequent n-grams over about `train_docs` of its documents, chosen by hash (all, if fewer).
 
-    Only the counts are summed in Spark; what comes to the driver is `profile` numbers for each language.
+    Documents aren't moved to be chosen: a language's share is known from a count. Only the n-gram counts are summed in Spark; what comes to the driver is `profile` numbers for each language.
     """
-    chosen = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     sample = (
         docs.where("lang is not null and text is not null")
         .where(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
         .select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     )
-    picked = sample.select("lang", "doc_id", "text").withColumn("_n", F.row_number().over(chosen)).where(F.col("_n") <= train_docs)
+    shares = sample.groupBy(F.col("lang").alias("_of")).agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("_share"))
+    shares = cut(shares)
+    if shares.count() <= FEW_LANGUAGES:
+        shares = F.broadcast(shares)
+    chance = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30)) / float(1 << 30)
+    picked = sample.join(shares, F.expr("lang = _of")).where(chance < F.col("_share"))
     counts = picked.select("lang", "text").repartition(F.xxhash64("text")).mapInArrow(_gram_counts, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")

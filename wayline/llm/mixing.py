@@ -177,10 +177,10 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         F.col("source").cast("string").alias("_of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
     ).dropDuplicates(["_id", "_key", "_of"])
     met = picked.join(texts, F.expr("doc_id <=> _id and text_key = _key and source <=> _of"))
-    words = F.regexp_extract_all("_doc.text", F.lit(SPACE_WORD), F.lit(0))
-    mixed = met.withColumn("_words", words).withColumn(
-        "_text", F.expr("concat_ws(' ', flatten(transform(_runs, r -> slice(_words, cast(r.from as int) + 1, cast(r.words as int)))))")
-    )
+    # The words are a lambda's variable, so that they are found once a row and not once a run.
+    words = F.array(F.regexp_extract_all("_doc.text", F.lit(SPACE_WORD), F.lit(0)))
+    run = lambda w: F.transform("_runs", lambda r: F.array_join(F.slice(w, r["from"].cast("int") + 1, r["words"].cast("int")), " "))
+    mixed = met.withColumn("_text", F.transform(words, lambda w: F.array_join(run(w), " "))[0])
     cols = {c: F.col(f"_doc.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
     if "n_chars" in cols:
         cols["n_chars"] = F.length("_text").cast("long")
