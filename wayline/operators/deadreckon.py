@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.geo import EARTH_RADIUS_M
+from wayline.operators.sequence import spread
 
 TWO_PI = 2 * math.pi
 #: Weight of a satellite heading in the blend. Fixed value.
@@ -64,7 +65,7 @@ def folded_headings(steps: DataFrame, gyro: str, init_deg: str, keys: list[str],
             out.append(heading)
         return rows.assign(**{into: out})
 
-    return steps.groupBy(*keys).applyInPandas(fold, schema)
+    return spread(steps, keys).groupBy(*keys).applyInPandas(fold, schema)
 
 
 def positions(steps: DataFrame, speed: str, keys: list[str], fixed: bool = True) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from wayline.operators.filter_core import ATTITUDE_VAR, RADIUS, SPEED_VAR, Filter, heading_of, heading_quat
 from wayline.operators.roads import Gates
+from wayline.operators.sequence import spread
+
+KEYS = ["session_id", "duration_s"]
 
 #: Seconds back to the attitude that a measured rotation starts from.
 LOOK_BACK = 5.0
@@ -108,7 +111,7 @@ def run_filter(steps: DataFrame, use: Settings = Settings()) -> DataFrame:
 
     Sessions and schedules are independent, so they spread over the cluster; within one the recurrence is sequential.
     """
-    return steps.groupBy("session_id", "duration_s").applyInPandas(lambda rows: filtered(rows, None, use), OUTPUT)
+    return spread(steps, KEYS).groupBy(*KEYS).applyInPandas(lambda rows: filtered(rows, None, use), OUTPUT)
 
 
 def run_filter_on_roads(steps: DataFrame, segments: DataFrame, use: Settings = Settings()) -> DataFrame:
@@ -121,8 +124,8 @@ def run_filter_on_roads(steps: DataFrame, segments: DataFrame, use: Settings = S
         ordered = roads.sort_values("segment_idx").groupby("interval_idx")
         return filtered(rows, {int(k): g[["ax", "ay", "bx", "by"]].to_numpy(float) for k, g in ordered}, use)
 
-    keys = ["session_id", "duration_s"]
-    return steps.groupBy(*keys).cogroup(segments.groupBy(*keys)).applyInPandas(run, OUTPUT)
+    fresh = segments.select(*[F.col(c).alias(c) for c in segments.columns])  # may share columns with the steps
+    return spread(steps, KEYS).groupBy(*KEYS).cogroup(spread(fresh, KEYS).groupBy(*KEYS)).applyInPandas(run, OUTPUT)
 
 
 def event_steps(steps: DataFrame, samples: int = 10) -> DataFrame:

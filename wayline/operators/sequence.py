@@ -11,6 +11,12 @@ def by_session(order: str, key: str | list[str] = "session_id"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Dealt by key to as many partitions as the session shuffles to. Groups that are slow to work on but small to move
+    would otherwise be coalesced by their bytes into a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def numbered(df: DataFrame, order: list[str], key: str = "session_id", into: str = "seq") -> DataFrame:
     """Rows of each session counted from 0 in the given order."""
     return df.withColumn(into, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))

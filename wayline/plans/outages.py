@@ -11,8 +11,10 @@ from wayline.operators import stats
 from wayline.operators.deadreckon import circular_blended, headings, with_dt
 from wayline.operators.tracking import evaluate, track
 from wayline.plans import oracles as O
+from wayline.plans import reports
 from wayline.plans.common import event_intervals, metrics, r, rounded, tracked
 from wayline.sources.events import raw_steps, true_steps
+from wayline.sources.synthetic import straight_drive
 
 KEYS = ["session_id", "duration_s", "interval_idx"]
 MEANS = {c: c for c in B.MEANS}
@@ -113,9 +115,27 @@ def improvement(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("duration_s", r("absolute_improvement", 3).alias("absolute_improvement"), r("percent_improvement", 2).alias("percent_improvement"))
 
 
+def json_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary by duration as one nested document."""
+    found = reports.json_report(B.summary(metrics(spark, sf), ["duration_s"]), ["duration_s"], ["intervals"], 0)
+    return found.select(F.get_json_object("report", "$.5.intervals").cast("double").alias("five"), F.get_json_object("report", "$.30.intervals").cast("double").alias("thirty"))
+
+
+def error_lines(spark: SparkSession, sf: str) -> DataFrame:
+    points, intervals = tracked(spark, sf)
+    found = reports.error_lines(B.members(points, intervals))
+    return rounded(found, ["duration_s", "elapsed_s", "n"], 4, error_m="error_m")
+
+
+def synthetic_drive(spark: SparkSession, sf: str) -> DataFrame:
+    found = straight_drive(spark, heading_deg=45.0)
+    return rounded(found, ["i"], 8, t_s="t_s", gt_lat="gt_lat", gt_lon="gt_lon")
+
+
 QUERIES = {f.__name__: f for f in (
     dr_heading_integration, dr_trajectory, dr_errors, blackout_intervals, blackout_membership, blackout_metrics, blackout_summary, session_summary,
     blackout_summary_grouping_sets, extended_metrics, error_growth_slope, dr_heading_blend, blend_summary, elapsed_time, comparison_unpivot_join, improvement,
+    json_report, error_lines, synthetic_drive,
 )}
 
 
@@ -165,4 +185,8 @@ ORACLES = {
     "comparison_unpivot_join": _VERSION_SQL + f"SELECT duration_s, metric, {', '.join(f'{O.r(v, 4)} AS {v}' for v in ('baseline', 'version_a', 'version_b'))} FROM (SELECT duration_s, metric, {_PIVOT} FROM long GROUP BY 1, 2)",
     "improvement": _VERSION_SQL + f"""SELECT duration_s, {O.r("baseline - version_a", 3)} AS absolute_improvement, CASE WHEN baseline <> 0 THEN
       {O.r("(baseline - version_a) / baseline * 100", 2)} END AS percent_improvement FROM (SELECT duration_s, metric, {_PIVOT} FROM long WHERE metric = 'final_error_m' GROUP BY 1, 2)""",
+    "json_report": O.sql("SELECT CAST(count(*) FILTER (WHERE duration_s = 5) AS DOUBLE) AS five, CAST(count(*) FILTER (WHERE duration_s = 30) AS DOUBLE) AS thirty FROM metrics"),
+    "error_lines": O.sql(f"SELECT duration_s, t_s - start_s AS elapsed_s, count(*) AS n, {O.r('avg(error_m)', 4)} AS error_m FROM inside GROUP BY 1, 2"),
+    "synthetic_drive": f"""WITH p AS (SELECT i, radians(51.4778) + i * 1.0 * cos(radians(45.0)) / 6371000.0 AS la FROM (SELECT unnest(range(600)) AS i))
+      SELECT i, {O.r("i * (60.0 / 599)", 8)} AS t_s, {O.r("degrees(la)", 8)} AS gt_lat, {O.r("degrees(radians(-0.0014) + sum(CASE WHEN i = 0 THEN 0.0 ELSE sin(radians(45.0)) / (6371000.0 * cos(la)) END) OVER (ORDER BY i))", 8)} AS gt_lon FROM p""",
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wayline.plans import geometry, outages, roads, sequences
+from wayline.plans import filters, geometry, outages, roads, sequences, streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (outages, sequences, geometry, roads):
+for _part in (outages, sequences, geometry, roads, filters, streams):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
