@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,11 +30,19 @@ def _scaled(q: Column, s: Column) -> Column:
     return quat(w * s, x * s, y * s, z * s)
 
 
+def _once(q: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of q with q worked out once: a nested expression would else be repeated for every mention of it."""
+    return F.transform(F.array(q), use)[0]
+
+
 def normalize(q: Column) -> Column:
     """Unit length with w >= 0; the identity for a quaternion of almost no length."""
-    n = _norm(q)
-    sign = F.when(q["w"] < 0, -1.0).otherwise(1.0)
-    return F.when(n < 1e-12, identity()).otherwise(_scaled(q, sign / n))
+
+    def unit(v: Column) -> Column:
+        n = _norm(v)
+        return F.when(n < 1e-12, identity()).otherwise(_scaled(v, F.when(v["w"] < 0, -1.0).otherwise(1.0) / n))
+
+    return _once(q, unit)
 
 
 def multiply(p: Column, q: Column) -> Column:
@@ -48,8 +58,7 @@ def multiply(p: Column, q: Column) -> Column:
 
 def inverse(q: Column) -> Column:
     """Conjugate of the normalised quaternion."""
-    n = normalize(q)
-    return quat(n["w"], -n["x"], -n["y"], -n["z"])
+    return _once(normalize(q), lambda n: quat(n["w"], -n["x"], -n["y"], -n["z"]))
 
 
 def from_euler_deg(yaw: Column, pitch: Column, roll: Column) -> Column:
@@ -89,24 +98,35 @@ def from_rotvec(x: Column, y: Column, z: Column) -> Column:
 
 def to_rotvec(q: Column) -> Column:
     """Logarithm map as STRUCT<x, y, z>."""
-    n = normalize(q)
-    length = F.sqrt(n["x"] * n["x"] + n["y"] * n["y"] + n["z"] * n["z"])
-    s = F.when(length < 1e-8, F.lit(2.0)).otherwise(2 * F.atan2(length, n["w"]) / length)
-    return F.struct((n["x"] * s).alias("x"), (n["y"] * s).alias("y"), (n["z"] * s).alias("z"))
+
+    def vector(n: Column) -> Column:
+        length = F.sqrt(n["x"] * n["x"] + n["y"] * n["y"] + n["z"] * n["z"])
+        s = F.when(length < 1e-8, F.lit(2.0)).otherwise(2 * F.atan2(length, n["w"]) / length)
+        return F.struct((n["x"] * s).alias("x"), (n["y"] * s).alias("y"), (n["z"] * s).alias("z"))
+
+    return _once(normalize(q), vector)
 
 
 def to_rotmat(q: Column) -> Column:
     """Row-major 3x3 rotation as an array of 9."""
-    w, x, y, z = parts(normalize(q))
-    return F.array(
-        1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
-        2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
-        2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
-    )
+
+    def rows(n: Column) -> Column:
+        w, x, y, z = parts(n)
+        return F.array(
+            1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
+            2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
+            2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
+        )
+
+    return _once(normalize(q), rows)
 
 
 def from_rotmat(r: Column) -> Column:
     """From a row-major 3x3 rotation, dividing by the largest of the four components."""
+    return _once(r, _from_rows)
+
+
+def _from_rows(r: Column) -> Column:
     m = [[r[3 * i + j] for j in range(3)] for i in range(3)]
     trace = m[0][0] + m[1][1] + m[2][2]
 
@@ -134,9 +154,12 @@ def from_heading_deg(heading: Column, pitch: Column | None = None, roll: Column
 
 def to_heading_deg(q: Column) -> Column:
     """Heading of the body's forward axis, clockwise from north, in [0, 360)."""
-    w, x, y, z = parts(normalize(q))
-    east, north = 1 - 2 * (y * y + z * z), 2 * (x * y + w * z)
-    return F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0))
+
+    def bearing(n: Column) -> Column:
+        w, x, y, z = parts(n)
+        return F.pmod(F.degrees(F.atan2(1 - 2 * (y * y + z * z), 2 * (x * y + w * z))), F.lit(360.0))
+
+    return _once(normalize(q), bearing)
 
 
 def dot(p: Column, q: Column) -> Column:
