@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _by_key(a: Column, b: Column) -> Column:
+    return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+
+
 def json_report(summary: DataFrame, by: list[str], metrics: list[str], places: int = 3) -> DataFrame:
     """One text column `report`: {"<first key>": {"<second key>": {metric: value}}} (or one level), keys sorted."""
     value = F.struct(*[F.round(m, places).alias(m) for m in metrics])
     rows = summary.select(*[F.col(k).cast("string").alias(k) for k in by], value.alias("_v"))
     for depth in range(len(by) - 1, -1, -1):
-        pairs = F.array_sort(F.collect_list(F.struct(F.col(by[depth]).alias("k"), F.col("_v").alias("v"))))
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(by[depth]).alias("k"), F.col("_v").alias("v"))), _by_key)
         rows = rows.groupBy(*by[:depth]).agg(F.map_from_entries(pairs).alias("_v"))
     return rows.select(F.to_json("_v").alias("report"))
 

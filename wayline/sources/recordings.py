@@ -75,7 +75,7 @@ def scan(spark: SparkSession, paths: list[str] | str, header_rule: HeaderRule) -
     is read as one column of lines with their place in it. Every column is looked at before any is dropped, as a bad
     value in an unused one counts too.
     """
-    lines = spark.read.option("wholetext", True).text(paths if isinstance(paths, list) else [paths])
+    lines = spark.read.text(paths, wholetext=True)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     first = lines.where("line = 0").select("text").first()
     if first is None:
