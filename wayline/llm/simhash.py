@@ -168,8 +168,8 @@ def _linked_runs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndar
     return _pairs(found)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: links (key null), and the members of runs above RUN with their block (key not null)."""
+def _links(run: int):
+    """From rows sorted by key: links (key null), and the members of runs above `run` with their block (key not null)."""
 
     def linked(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int32())
@@ -181,35 +181,38 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["a", "b", "key", "block"],
         )
 
-    keys, fps, block = np.empty(0, np.int32), np.empty(0, np.int64), 0
-    for batch in batches:
-        keys = np.concatenate([keys, batch.column("key").to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([fps, batch.column("fp").to_numpy(zero_copy_only=False)])
-        if not keys.size:
-            continue
-        if block:  # the run that overflowed goes on
-            n = int(np.searchsorted(keys, keys[0], "right"))
-            while n >= RUN or (n and n < keys.size):
-                yield overflow(fps[: min(n, RUN)], int(keys[0]), block)
-                keys, fps, n, block = keys[min(n, RUN) :], fps[min(n, RUN) :], max(0, n - RUN), block + 1
-            if n == 0:
-                block = 0
-            else:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps, block = np.empty(0, np.int32), np.empty(0, np.int64), 0
+        for batch in batches:
+            keys = np.concatenate([keys, batch.column("key").to_numpy(zero_copy_only=False)])
+            fps = np.concatenate([fps, batch.column("fp").to_numpy(zero_copy_only=False)])
+            if not keys.size:
                 continue
-        last = int(np.searchsorted(keys, keys[-1], "left")) if keys.size else 0
-        a, b = _linked_runs(keys[:last], fps[:last])
-        if len(a):
-            yield linked(a, b)
-        keys, fps = keys[last:], fps[last:]
-        while keys.size >= RUN:
-            yield overflow(fps[:RUN], int(keys[0]), block)
-            keys, fps, block = keys[RUN:], fps[RUN:], block + 1
-    if keys.size:
-        if block:
-            yield overflow(fps, int(keys[0]), block)
-        else:
-            a, b = _linked_runs(keys, fps)
-            yield linked(a, b)
+            if block:  # the run that overflowed goes on
+                n = int(np.searchsorted(keys, keys[0], "right"))
+                while n >= run or (n and n < keys.size):
+                    yield overflow(fps[: min(n, run)], int(keys[0]), block)
+                    keys, fps, n, block = keys[min(n, run) :], fps[min(n, run) :], max(0, n - run), block + 1
+                if n == 0:
+                    block = 0
+                else:
+                    continue
+            last = int(np.searchsorted(keys, keys[-1], "left")) if keys.size else 0
+            a, b = _linked_runs(keys[:last], fps[:last])
+            if len(a):
+                yield linked(a, b)
+            keys, fps = keys[last:], fps[last:]
+            while keys.size >= run:
+                yield overflow(fps[:run], int(keys[0]), block)
+                keys, fps, block = keys[run:], fps[run:], block + 1
+        if keys.size:
+            if block:
+                yield overflow(fps, int(keys[0]), block)
+            else:
+                a, b = _linked_runs(keys, fps)
+                yield linked(a, b)
+
+    return read
 
 
 def _block_links(group: pa.Table) -> pa.Table:
@@ -217,14 +220,14 @@ def _block_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
+def fingerprint_links(fps: DataFrame, run: int = RUN) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints as all links within BITS bits would.
 
-    Rows are dealt and sorted by key and read as a stream, so memory is bounded by RUN fingerprints of 8 bytes. A key
-    with more than RUN of them is cut into blocks, and every two blocks meet in a group of their own.
+    Rows are dealt and sorted by key and read as a stream, so memory is bounded by `run` fingerprints of 8 bytes. A key
+    with more than `run` of them is cut into blocks, and every two blocks meet in a group of their own.
     """
     keyed = fps.mapInArrow(_keyed, "key int, fp long").repartition("key").sortWithinPartitions("key")
-    found = cut(keyed.mapInArrow(_links, "a long, b long, key int, block int"))
+    found = cut(keyed.mapInArrow(_links(run), "a long, b long, key int, block int"))
     members = found.where("key is not null").select("key", "block", F.col("a").alias("fp"))
     blocks = members.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
     met = members.join(blocks, "key").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -232,16 +235,16 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return found.where("key is null").select("a", "b").unionByName(met.applyInArrow(_block_links, "a long, b long"))
 
 
-def component_ids(prints: DataFrame) -> DataFrame:
+def component_ids(prints: DataFrame, run: int = RUN) -> DataFrame:
     """prints: doc_id, fp. One row per distinct fp: fp, component_id, the smallest doc_id reachable from it."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = star_components(fingerprint_links(distinct.select("fp")))
+    roots = star_components(fingerprint_links(distinct.select("fp"), run))
     rooted = distinct.join(roots, F.expr("fp = node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
     return rooted.join(ids, F.expr("root = _root")).select("fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, run: int = RUN) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Null, empty and wordless texts have the fingerprint 0, linked like any other. Copies share a fingerprint and are
@@ -249,7 +252,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other columns are ignored; an empty table gives no rows.
     """
     prints = cut(with_fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id")))
-    ids = component_ids(prints).withColumnRenamed("fp", "_fp")
+    ids = component_ids(prints, run).withColumnRenamed("fp", "_fp")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(ids, F.expr("fp = _fp")).select("doc_id", digits.alias("fingerprint"), "component_id")
 
