@@ -35,6 +35,6 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def doc_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Columns that name a document: rows that agree on them are repeats of one row."""
-    return [F.col(doc_id), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)]
+def whole(docs: DataFrame) -> Column:
+    """All columns of a document as one, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")

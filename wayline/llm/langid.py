@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.common import crc_fold, cut, table
+from wayline.llm.common import crc_fold, cut, table, whole
 
 #: N-grams in a profile, longest n-gram, about how many documents of a language train, the fold that isn't learned from.
 PROFILE, GRAM, TRAIN_DOCS, FOLDS, HELD_OUT = 400, 3, 1500, 4, 2
@@ -154,8 +154,8 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 def keep_known_languages(docs: DataFrame, least: float = 0.05) -> DataFrame:
     """The documents, without those of no language and those that are near no profile (score under `least`)."""
-    found = with_language(docs, train_profiles(docs), *[F.col(f"`{c}`") for c in docs.columns])
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = with_language(docs, train_profiles(docs), whole(docs))
+    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select("_doc.*")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,5 +171,27 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
     return report.select("_doc.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def _oracle() -> str:
+    """DuckDB SQL of `op1_licenses` by brute force: every phrase at every word, every notice against every block."""
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
+    notices = ", ".join(f"('{n}', '{label}')" for n, label in NOTICES.items())
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', '{"abcdefghijklmnopqrstuvwxyz"}'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  p AS (SELECT string_split(col0, ' ') AS ph, col1 AS label, col2 AS n FROM (VALUES {phrases})),
+  q AS (SELECT list_distinct(string_split(col0, ' ')) AS nt, col1 AS label FROM (VALUES {notices})),
+  places AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
+  hits AS (SELECT doc_id, i, label FROM places, p WHERE w[i + 1] = ph[1] AND w[i + 1 : i + n] = ph),
+  base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY 1),
+  blocks AS (SELECT doc_id, list_distinct(w[b * {STEP} + 1 : b * {STEP} + {BLOCK}]) AS s FROM (SELECT doc_id, w, unnest(range((len(w) + {STEP - 1}) // {STEP})) AS b FROM d)),
+  shares AS (SELECT doc_id, label, len(list_intersect(s, nt)) / len(nt) AS c FROM blocks, q),
+  found AS (SELECT doc_id, label, max(c) AS c FROM shares WHERE c >= {THRESHOLD} - 1e-9 GROUP BY 1, 2 UNION ALL SELECT DISTINCT doc_id, label, 1.0 FROM hits),
+  every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS score FROM found GROUP BY 1)
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+    coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)""".replace("\\\\", "\\")
+
+
+ORACLE = _oracle()
+
+
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))

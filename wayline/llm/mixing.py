@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.common import SPACE_WORD, cut, table
+from wayline.llm.common import SPACE_WORD, cut, table, whole
 from wayline.llm.prefix import running_totals
 
 #: Weights dealt to the sources in code-point order, repeating; the share of all words that the mix has; the most that
@@ -174,7 +174,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     texts = docs.select(
         F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"),
-        F.col("source").cast("string").alias("_of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+        F.col("source").cast("string").alias("_of"), whole(docs),
     ).dropDuplicates(["_id", "_key", "_of"])
     met = picked.join(texts, F.expr("doc_id <=> _id and text_key = _key and source <=> _of"))
     # The words are a lambda's variable, so that they are found once a row and not once a run.

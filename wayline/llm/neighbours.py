@@ -176,11 +176,11 @@ def _block_nearest(group: pa.Table) -> pa.Table:
     return pa.table({"q": np.concatenate([none, *q]), "gid": np.concatenate([none, *g]), "score": np.concatenate([np.empty(0), *s])})
 
 
-def nearest(embeddings: DataFrame) -> DataFrame:
+def nearest(embeddings: DataFrame, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the NEAREST found vectors of largest inner product for every query.
 
     Vectors are projected and ordered along each curve; a range-partitioned sort gives every vector and query its place.
-    A query visits the blocks of BLOCK vectors that its window on each curve touches, and a block's vectors and its
+    A query visits the blocks of `block` vectors that its window on each curve touches, and a block's vectors and its
     visitors (in chunks of about CHUNK) meet in one group of bounded size. What the curves find is merged, scored again
     on the original vectors in one fixed order of summation, and expanded to the ids of equal vectors.
 
@@ -198,12 +198,12 @@ def nearest(embeddings: DataFrame) -> DataFrame:
     lined = running_totals(keyed, [F.col("curve"), F.col("key"), F.col("asking"), F.col("gid")], "is_data")
     places = cut(lined.select("curve", "gid", "asking", (F.col("_start") - F.col("curve") * n).alias("place")))
     width = window_width(groups, places)
-    visitors = asked * (2 * width + BLOCK) / max(n, 1)
+    visitors = asked * (2 * width + block) / max(n, 1)
     chunks = max(1, -int(-visitors // CHUNK))
     blocks = F.when(
         F.col("asking"),
-        F.expr(f"sequence(greatest(place - {width}, 0) div {BLOCK}, greatest(least(place + {width}, {max(n, 1) - 1}), 0) div {BLOCK})"),
-    ).otherwise(F.array(F.expr(f"place div {BLOCK}")))
+        F.expr(f"sequence(greatest(place - {width}, 0) div {block}, greatest(least(place + {width}, {max(n, 1) - 1}), 0) div {block})"),
+    ).otherwise(F.array(F.expr(f"place div {block}")))
     chunk = F.when(F.col("asking"), F.array(F.pmod(F.xxhash64("gid"), F.lit(chunks)).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(chunks - 1)))
     dealt = places.withColumn("block", F.explode(blocks)).withColumn("chunk", F.explode(chunk))
     vectors = groups.select(F.col("gid").alias("_g"), "vector")

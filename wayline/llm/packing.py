@@ -224,11 +224,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     islands = groups.select(
         "chunk", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("_g.n").alias("lengths"),
         F.lit(None).cast("array<array<int>>").alias("population"),
-    ).repartition("chunk", "island")
+    )
+    # Islands are slow to evolve but small to move: dealt to a given number of partitions, they aren't coalesced by bytes.
+    partitions = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for epoch in range(EPOCHS):
         if epoch:
-            islands = _migrated(islands).repartition("chunk", "island")
-        islands = cut(islands.mapInArrow(_epoch(capacity, epoch), kind))
+            islands = _migrated(islands)
+        islands = cut(islands.repartition(partitions, "chunk", "island").mapInArrow(_epoch(capacity, epoch), kind))
     best = islands.withColumn("_g", F.col("population")[0])
     size = F.struct(F.array_max("_g").alias("bins"), "island")
     best = best.groupBy("chunk").agg(F.min_by(F.struct("_g", "lengths"), size).alias("_b"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.common import crc_fold, cut, table
+from wayline.llm.common import crc_fold, cut, table, whole
 from wayline.llm.linear import fit_logistic, predict, sigmoid
 
 #: Folds and the one not learned from; most labelled documents to learn from; one in CALIBRATION of them calibrates.
@@ -236,10 +236,10 @@ def _score_documents(views: Views):
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents that score at least `least`, with the columns of `docs`."""
     views = co_train(cut(features(docs)), labels)
-    whole = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*whole, *[F.col(c).cast("string").alias(f"_{c}") for c in ("text", "lang", "source")])
-    kept = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return rows.mapInArrow(_score_documents(views), f"{kept}, _quality_score double").where(F.col("_quality_score") >= least).select(*whole)
+    rows = docs.select(whole(docs), *[F.col(c).cast("string").alias(f"_{c}") for c in ("text", "lang", "source")])
+    kind = rows.schema["_doc"].dataType.simpleString()
+    scored = rows.mapInArrow(_score_documents(views), f"_doc {kind}, _quality_score double")
+    return scored.where(F.col("_quality_score") >= least).select("_doc.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

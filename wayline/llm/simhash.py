@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import cut, table
+from wayline.llm.common import cut, table, whole
 from wayline.llm.components import star_components
 
 #: Words in a shingle, the hash's seed, the most differing bits of a link.
@@ -270,9 +270,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = grouped.select(F.col("best.doc_id").alias("_kept_id"), F.col("best._key").alias("_kept_key"))
     repeats = prints.groupBy(F.col("doc_id").alias("_i"), F.col("_key").alias("_k")).agg(F.count(F.lit(1)).alias("_times"))
     kept = kept.join(repeats, F.expr("_kept_id <=> _i and _kept_key = _k")).select("_kept_id", "_kept_key", "_times")
-    whole = docs.withColumn("_row_key", key).join(kept, F.expr("cast(doc_id as long) <=> _kept_id and _row_key = _kept_key"))
-    once = whole.where("_times = 1").select(*docs.columns)
-    return once.unionByName(whole.where("_times > 1").dropDuplicates(["_kept_id", "_kept_key"]).select(*docs.columns))
+    rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id"), key.alias("_row_key"))
+    found = rows.join(kept, F.expr("_id <=> _kept_id and _row_key = _kept_key"))
+    once = found.where("_times = 1").select("_doc.*")
+    return once.unionByName(found.where("_times > 1").dropDuplicates(["_kept_id", "_kept_key"]).select("_doc.*"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
