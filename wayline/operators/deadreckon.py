@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from wayline.operators.sequence import spread
 TWO_PI = 2 * math.pi
 #: Weight of a satellite heading in the blend. Fixed value.
 BLEND = 0.1
+#: About so many rows of whole sessions are folded together.
+GROUP_ROWS = 100_000
 
 
 def with_dt(steps: DataFrame, keys: list[str], fallback: float = 0.1) -> DataFrame:
@@ -51,21 +54,25 @@ def circular_blended(heading: float, gyro: float, dt: float, fix: float | None)
 def folded_headings(steps: DataFrame, gyro: str, init_deg: str, keys: list[str], rule: HeadingRule = blended, into: str = "heading_rad") -> DataFrame:
     """Headings by any rule, step by step: satellite headings (`gt_heading_deg`) count outside outages.
 
-    A true recurrence; each session of each variant is one group of one value per step.
+    A true recurrence, over one number per step. Many sessions share a group, whose rows are sorted once; a group has
+    about GROUP_ROWS rows, or one session if that is longer.
     """
     schema = steps.withColumn(into, F.lit(0.0)).schema
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        heading, out = math.radians(float(rows[init_deg].iloc[0])) % TWO_PI, []
-        fixes = rows["gt_heading_deg"].where(~rows["is_blackout"].astype(bool))
-        for n, (g, dt, fix) in enumerate(zip(rows[gyro], rows["dt"], fixes, strict=True)):
-            if n:
-                heading = rule(heading, float(g), float(dt), None if pd.isna(fix) else math.radians(float(fix)))
+        rows = rows.drop(columns="_bucket").sort_values([*keys, "i"], ignore_index=True)
+        starts = ~rows.duplicated(keys)
+        fixes = np.radians(rows["gt_heading_deg"].where(~rows["is_blackout"].astype(bool)).to_numpy(float))
+        first = np.radians(rows[init_deg].to_numpy(float)) % TWO_PI
+        out, heading = [], 0.0
+        for start, h0, g, dt, fix in zip(starts.tolist(), first.tolist(), rows[gyro].tolist(), rows["dt"].tolist(), fixes.tolist(), strict=True):
+            heading = h0 if start else rule(heading, g, dt, None if fix != fix else fix)
             out.append(heading)
         return rows.assign(**{into: out})
 
-    return spread(steps, keys).groupBy(*keys).applyInPandas(fold, schema)
+    buckets = max(int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-steps.count() // GROUP_ROWS))
+    dealt = steps.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    return spread(dealt, ["_bucket"]).groupBy("_bucket").applyInPandas(fold, schema)
 
 
 def positions(steps: DataFrame, speed: str, keys: list[str], fixed: bool = True) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from wayline.operators.filter_core import ATTITUDE_VAR, RADIUS, SPEED_VAR, Filter, heading_of, heading_quat
@@ -60,58 +61,131 @@ def _on_road(road: np.ndarray, at: np.ndarray, heading: float, gates: Gates) ->
     return "matched", at + gates.strength * (places[best] - at)
 
 
-def filtered(rows: pd.DataFrame, roads: dict[int, np.ndarray] | None, use: Settings) -> pd.DataFrame:
-    """One session's steps in order: propagate, speed, track, turn, remember the attitude, fix, road, record."""
-    rows = rows.sort_values("i").reset_index(drop=True)
-    first = rows.iloc[0]
-    lat0, lon0 = float(first["gt_lat"]), float(first["gt_lon"])
-    scale = RADIUS * np.cos(np.radians(lat0))
-    state = Filter(attitude=heading_quat(float(first["gt_heading_deg"])))
-    past = deque([(float(first["t_s"]), state.attitude.copy())])
-    out, last = [], float(first["t_s"])
-    for row in rows.itertuples(index=False):
-        t, outcome, moved = float(row.t_s), None, None
-        if out:
-            dt = t - last if t > last else 1.0
-            samples = np.asarray([np.asarray(s, float) for s in row.imu])
-            for s in samples:
-                state.predict(dt / len(samples), s[:3], s[3:6])
+NAMES = [c.strip().split(" ")[0] for c in OUTPUT.split(",")]
+
+
+class Run:
+    """One session under one schedule, its columns as arrays in step order."""
+
+    def __init__(self, rows: pd.DataFrame, roads: dict[int, np.ndarray] | None):
+        self.rows = rows.sort_values("i")
+        self.n, self.roads = len(rows), roads
+        self.t = self.rows["t_s"].to_numpy(float)
+        gap = np.diff(self.t, prepend=self.t[0])
+        self.dt = np.where(gap > 0, gap, 1.0)
+        self.speed = np.maximum(self.rows["speed_ms"].to_numpy(float), 0.0)
+        lat, lon = self.rows["gt_lat"].to_numpy(float), self.rows["gt_lon"].to_numpy(float)
+        self.lat0, self.lon0 = lat[0], lon[0]
+        self.scale = RADIUS * np.cos(np.radians(self.lat0))
+        self.fix = np.stack([np.radians(lon - self.lon0) * self.scale, np.radians(lat - self.lat0) * RADIUS, np.zeros(self.n)], 1)
+        self.hidden = self.rows["is_blackout"].to_numpy(bool) | ~np.isfinite(self.fix).all(1)
+        self.outage = [None if pd.isna(x) else int(x) for x in self.rows["interval_idx"]]
+        self.imu = np.stack([np.stack([np.asarray(s, float) for s in w]) for w in self.rows["imu"]])
+        self.turn = [None if q is None else np.asarray(q, float) for q in self.rows["rel_q"]]
+        self.heading = float(self.rows["gt_heading_deg"].iloc[0])
+
+
+def filtered(runs: list[Run], use: Settings) -> Iterator[pd.DataFrame]:
+    """All runs in step: propagate, speed, track, turn, remember the attitude, fix, road, record.
+
+    Runs with the same number of samples a step are one fleet, longest first, so those still going are its first rows
+    and every update is one array operation over all of them.
+    """
+    for samples in sorted({r.imu.shape[1] for r in runs}):
+        yield from _fleet(sorted((r for r in runs if r.imu.shape[1] == samples), key=lambda r: -r.n), samples, use)
+
+
+def _fleet(runs: list[Run], samples: int, use: Settings) -> Iterator[pd.DataFrame]:
+    fleet = Filter.fleet(heading_quat(np.array([r.heading for r in runs])))
+    lengths = np.array([r.n for r in runs])
+    state = [np.full((r.n, 8), np.nan) for r in runs]
+    outcome, moved = [[None] * r.n for r in runs], [[None] * r.n for r in runs]
+    past = [deque([(r.t[0], fleet.attitude[k].copy())]) for k, r in enumerate(runs)]
+    for i in range(lengths[0]):
+        going = int((lengths > i).sum())
+        now = fleet.some(slice(0, going))
+        if i:
+            dt = np.array([r.dt[i] for r in runs[:going]])
+            imu = np.stack([r.imu[i] for r in runs[:going]])
+            for k in range(samples):
+                now.predict(dt / samples, imu[:, k, :3], imu[:, k, 3:6])
             if use.speed:
-                state.take_speed(max(0.0, row.speed_ms), use.speed_var)
+                now.take_speed(np.array([r.speed[i] for r in runs[:going]]), use.speed_var)
             if use.track:
-                state.hold_to_track()
-            if use.turn and row.rel_q is not None:
-                start = min(past, key=lambda p: abs(p[0] - (t - LOOK_BACK)))[1]
-                state.take_turn(np.asarray(row.rel_q, float), start, use.turn_var)
-            past.append((t, state.attitude.copy()))
-            while len(past) > 2 and past[1][0] <= t - 2 * LOOK_BACK:
-                past.popleft()
-            if pd.notna(row.gt_lat) and pd.notna(row.gt_lon):
-                fix = np.array([np.radians(row.gt_lon - lon0) * scale, np.radians(row.gt_lat - lat0) * RADIUS, 0.0])
-                state.take_position(fix, use.fix_var, hidden=bool(row.is_blackout))
-            if roads is not None and row.is_blackout and pd.notna(row.interval_idx):
-                at = state.position[:2].copy()
-                outcome, to = _on_road(roads.get(int(row.interval_idx), np.empty((0, 4))), at, heading_of(state.attitude), use.gates)
-                if outcome == "matched":
-                    moved = float(np.linalg.norm(to - at))
-                    state.take_position(np.r_[to, state.position[2]], use.road_var)
-        e, n, u = state.position
-        heading, speed = heading_of(state.attitude), float(np.linalg.norm(state.velocity))
-        lat, lon = lat0 + np.degrees(n / RADIUS), lon0 + np.degrees(e / scale)
-        out.append((row.session_id, row.duration_s, row.i, t, bool(row.is_blackout), row.interval_idx, row.speed_ms, lat, lon, u, e, n, u, *state.velocity, heading, speed, row.gt_lat, row.gt_lon, outcome, moved))
-        last = t
-    frame = pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in OUTPUT.split(",")])
-    frame["interval_idx"] = frame["interval_idx"].astype("Int32")
-    return frame
+                now.hold_to_track()
+            for k in [k for k in range(going) if use.turn and runs[k].turn[i] is not None]:
+                part, back = now.some([k]), runs[k].t[i] - LOOK_BACK
+                part.take_turn(runs[k].turn[i][None], min(past[k], key=lambda p: abs(p[0] - back))[1][None], use.turn_var)
+                now.put([k], part)
+            for k in range(going):
+                past[k].append((runs[k].t[i], now.attitude[k].copy()))
+                while len(past[k]) > 2 and past[k][1][0] <= runs[k].t[i] - 2 * LOOK_BACK:
+                    past[k].popleft()
+            seen = [k for k in range(going) if not runs[k].hidden[i]]
+            if seen:
+                part = now.some(seen)
+                part.take_position(np.stack([runs[k].fix[i] for k in seen]), use.fix_var)
+                now.put(seen, part)
+            pulled = {}
+            for k in range(going):
+                run = runs[k]
+                if run.roads is not None and run.outage[i] is not None and run.rows["is_blackout"].iat[i]:
+                    at = now.position[k, :2].copy()
+                    road = run.roads.get(run.outage[i], np.empty((0, 4)))
+                    outcome[k][i], to = _on_road(road, at, float(heading_of(now.attitude[k])), use.gates)
+                    if outcome[k][i] == "matched":
+                        moved[k][i], pulled[k] = float(np.linalg.norm(to - at)), np.r_[to, now.position[k, 2]]
+            if pulled:
+                rows = list(pulled)
+                part = now.some(rows)
+                part.take_position(np.stack([pulled[k] for k in rows]), use.road_var)
+                now.put(rows, part)
+            fleet.put(slice(0, going), now)
+        shown = np.c_[now.position, now.velocity, heading_of(now.attitude), np.linalg.norm(now.velocity, axis=1)]
+        for k in range(going):
+            state[k][i] = shown[k]
+    for k, run in enumerate(runs):
+        s = state[k]
+        columns = {
+            **{c: run.rows[c].to_numpy() for c in ("session_id", "duration_s", "i", "t_s", "is_blackout", "speed_ms", "gt_lat", "gt_lon")},
+            "interval_idx": pd.array(run.outage, "Int32"), "lat": run.lat0 + np.degrees(s[:, 1] / RADIUS), "lon": run.lon0 + np.degrees(s[:, 0] / run.scale),
+            "alt": s[:, 2], **{c: s[:, j] for j, c in enumerate(("e", "n", "u", "ve", "vn", "vu", "heading_deg", "filter_speed_ms"))},
+            "road_outcome": outcome[k], "correction_m": np.array(moved[k], float),
+        }
+        frame = pd.DataFrame(columns)[NAMES]
+        yield frame.assign(correction_m=frame["correction_m"].astype("Float64"))
+
+
+#: About so many rows of whole sessions make a group, whose sessions move in step.
+GROUP_ROWS = 20_000
+
+
+def _bucket_count(steps: DataFrame) -> int:
+    """As many buckets as shuffle partitions, or more where they would have over GROUP_ROWS rows on average."""
+    return max(int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-steps.count() // GROUP_ROWS))
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> GroupedData:
+    return spread(rows.withColumn("_bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets))), ["_bucket"]).groupBy("_bucket")
+
+
+def _join_frames(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    found = list(frames)
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=NAMES)
 
 
 def run_filter(steps: DataFrame, use: Settings = Settings()) -> DataFrame:
     """The filter without a road. Steps: session_id, duration_s, i, t_s, imu (samples of the step: accelerations, then
     rates), speed_ms, rel_q (array w, x, y, z or null), gt_lat, gt_lon, gt_heading_deg, is_blackout, interval_idx.
 
-    Sessions and schedules are independent, so they spread over the cluster; within one the recurrence is sequential.
+    The recurrence is sequential within a session only: sessions and schedules spread over the cluster by bucket, and
+    those of a bucket move in step. A session longer than GROUP_ROWS still is one group.
     """
-    return spread(steps, KEYS).groupBy(*KEYS).applyInPandas(lambda rows: filtered(rows, None, use), OUTPUT)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return _join_frames(filtered([Run(g, None) for _, g in rows.groupby(KEYS)], use))
+
+    return _bucketed(steps, _bucket_count(steps)).applyInPandas(run, OUTPUT)
 
 
 def run_filter_on_roads(steps: DataFrame, segments: DataFrame, use: Settings = Settings()) -> DataFrame:
@@ -119,13 +193,14 @@ def run_filter_on_roads(steps: DataFrame, segments: DataFrame, use: Settings = S
     as a position measurement during outages."""
 
     def run(rows: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=[c.strip().split(" ")[0] for c in OUTPUT.split(",")])
-        ordered = roads.sort_values("segment_idx").groupby("interval_idx")
-        return filtered(rows, {int(k): g[["ax", "ay", "bx", "by"]].to_numpy(float) for k, g in ordered}, use)
+        held: dict[tuple, dict[int, np.ndarray]] = {}
+        for (session, duration, k), g in roads.sort_values("segment_idx").groupby([*KEYS, "interval_idx"]):
+            held.setdefault((session, duration), {})[int(k)] = g[["ax", "ay", "bx", "by"]].to_numpy(float)
+        return _join_frames(filtered([Run(g, held.get(key, {})) for key, g in rows.groupby(KEYS)], use))
 
+    buckets = _bucket_count(steps)
     fresh = segments.select(*[F.col(c).alias(c) for c in segments.columns])  # may share columns with the steps
-    return spread(steps, KEYS).groupBy(*KEYS).cogroup(spread(fresh, KEYS).groupBy(*KEYS)).applyInPandas(run, OUTPUT)
+    return _bucketed(steps, buckets).cogroup(_bucketed(fresh, buckets)).applyInPandas(run, OUTPUT)
 
 
 def event_steps(steps: DataFrame, samples: int = 10) -> DataFrame:

@@ -1,7 +1,8 @@
-"""A nine-state error-state Kalman filter in numpy: the small per-session kernel of the batch and streaming trackers.
+"""A nine-state error-state Kalman filter in numpy: the kernel of the batch and streaming trackers.
 
 Position, velocity (east, north, up) and attitude (body to navigation frame, forward-left-up). Errors are additive in
-position and velocity and a rotation vector in the navigation frame in attitude.
+position and velocity and a rotation vector in the navigation frame in attitude. All arrays may have leading axes: one
+object then is as many filters, which move in step.
 """
 
 from __future__ import annotations
@@ -18,59 +19,75 @@ NHC_VAR, SPEED_VAR, ATTITUDE_VAR, FIX_VAR = 0.05**2, 0.25**2, np.radians(5.0) **
 #: What a gated filter ignores: speeds and position residuals beyond these.
 MAX_SPEED, MAX_RESIDUAL = 100.0, 1000.0
 P, V, A = slice(0, 3), slice(3, 6), slice(6, 9)
+_EYE3, _EYE9, _CONJUGATE = np.eye(3), np.eye(9), np.array([1.0, -1, -1, -1])
+
+
+def times(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (m @ v[..., None])[..., 0]
+
+
+def turned_over(m: np.ndarray) -> np.ndarray:
+    return np.swapaxes(m, -1, -2)
 
 
 def cross(v: np.ndarray) -> np.ndarray:
-    return np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]], float)
+    """The matrix of v x."""
+    out = np.zeros((*v.shape[:-1], 3, 3))
+    out[..., 0, 1], out[..., 0, 2], out[..., 1, 2] = -v[..., 2], v[..., 1], -v[..., 0]
+    return out - turned_over(out)
 
 
 def unit(q: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(q)
-    if n < 1e-12:
-        return np.array([1.0, 0, 0, 0])
-    return q / (n if q[0] >= 0 else -n)
+    """Unit length with w >= 0; the identity for a quaternion of almost no length."""
+    n = np.sqrt((q * q).sum(-1, keepdims=True))
+    small = n < 1e-12
+    return np.where(small, [1.0, 0, 0, 0], q / np.where(small, 1, np.where(q[..., :1] >= 0, n, -n)))
 
 
 def product(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    w, v = p[0], p[1:]
-    return np.r_[w * q[0] - v @ q[1:], w * q[1:] + q[0] * v + np.cross(v, q[1:])]
+    w, v, a, b = p[..., :1], p[..., 1:], q[..., :1], q[..., 1:]
+    return np.concatenate([w * a - (v * b).sum(-1, keepdims=True), w * b + a * v + times(cross(v), b)], -1)
 
 
 def conjugate(q: np.ndarray) -> np.ndarray:
-    return unit(q) * [1, -1, -1, -1]
+    return unit(q) * _CONJUGATE
 
 
 def exp(v: np.ndarray) -> np.ndarray:
     """The quaternion of a rotation vector."""
-    half = np.linalg.norm(v) / 2
-    return unit(np.r_[np.cos(half), 0.5 * np.sinc(half / np.pi) * v])
+    half = np.sqrt((v * v).sum(-1, keepdims=True)) / 2
+    return unit(np.concatenate([np.cos(half), 0.5 * np.sinc(half / np.pi) * v], -1))
 
 
 def log(q: np.ndarray) -> np.ndarray:
     q = unit(q)
-    n = np.linalg.norm(q[1:])
-    return q[1:] * (2.0 if n < 1e-8 else 2 * np.arctan2(n, q[0]) / n)
+    n = np.sqrt((q[..., 1:] ** 2).sum(-1, keepdims=True))
+    small = n < 1e-8
+    return q[..., 1:] * np.where(small, 2.0, 2 * np.arctan2(n, q[..., :1]) / np.where(small, 1, n))
 
 
 def matrix(q: np.ndarray) -> np.ndarray:
     q = unit(q)
-    c = cross(q[1:])
-    return np.eye(3) + 2 * q[0] * c + 2 * c @ c
+    c = cross(q[..., 1:])
+    return _EYE3 + 2 * q[..., :1, None] * c + 2 * c @ c
 
 
-def heading_quat(degrees: float) -> np.ndarray:
+def heading_quat(degrees: np.ndarray | float) -> np.ndarray:
     """Level attitude of a heading: a turn about up by 90 degrees less the heading."""
-    return exp(np.array([0, 0, np.remainder(np.pi / 2 - np.radians(degrees) + np.pi, 2 * np.pi) - np.pi]))
+    half = (np.pi / 2 - np.radians(degrees)) / 2
+    zero = np.zeros_like(half)
+    return unit(np.stack([np.cos(half), zero, zero, np.sin(half)], -1))
 
 
-def heading_of(q: np.ndarray) -> float:
-    forward = matrix(q)[:, 0]
-    return float(np.degrees(np.arctan2(forward[0], forward[1])) % 360.0)
+def heading_of(q: np.ndarray) -> np.ndarray:
+    forward = matrix(q)[..., 0]
+    return np.degrees(np.arctan2(forward[..., 0], forward[..., 1])) % 360.0
 
 
 @dataclass
 class Filter:
-    """State and its updates. `gated` ignores non-finite measurements, impossible speeds and far fixes."""
+    """State and its updates. `gated` (for a single filter) ignores non-finite measurements, impossible speeds and far
+    fixes."""
 
     position: np.ndarray = field(default_factory=lambda: np.zeros(3))
     velocity: np.ndarray = field(default_factory=lambda: np.zeros(3))
@@ -78,28 +95,42 @@ class Filter:
     covariance: np.ndarray = field(default_factory=lambda: np.diag(START_SD**2))
     gated: bool = False
 
-    def predict(self, dt: float, force: np.ndarray, rate: np.ndarray) -> None:
+    @classmethod
+    def fleet(cls, attitudes: np.ndarray) -> Filter:
+        n = len(attitudes)
+        return cls(np.zeros((n, 3)), np.zeros((n, 3)), attitudes, np.tile(np.diag(START_SD**2), (n, 1, 1)))
+
+    def some(self, rows) -> Filter:
+        return Filter(self.position[rows], self.velocity[rows], self.attitude[rows], self.covariance[rows])
+
+    def put(self, rows, part: Filter) -> None:
+        self.position[rows], self.velocity[rows], self.attitude[rows], self.covariance[rows] = part.position, part.velocity, part.attitude, part.covariance
+
+    def predict(self, dt: np.ndarray | float, force: np.ndarray, rate: np.ndarray) -> None:
         """Move on by dt under a specific force and an angular rate in the body frame; nothing if dt isn't positive."""
-        if dt <= 0 or self.gated and not (np.isfinite(force).all() and np.isfinite(rate).all()):
+        if self.gated and not (np.isfinite(force).all() and np.isfinite(rate).all()):
             return
-        turned = matrix(self.attitude) @ force
+        dt = np.maximum(np.asarray(dt, float), 0.0)[..., None]
+        turned = times(matrix(self.attitude), force)
         gained = turned - [0, 0, GRAVITY]
         self.position = self.position + self.velocity * dt + gained * (dt * dt / 2)
         self.velocity = self.velocity + gained * dt
         self.attitude = unit(product(self.attitude, exp(rate * dt)))
-        step, noise, lever = np.eye(9), np.zeros((9, 9)), cross(turned)
-        step[P, V], step[P, A], step[V, A] = np.eye(3) * dt, lever * (-dt * dt / 2), lever * -dt
-        a, eye = ACCEL_SD**2 * dt, np.eye(3)
-        noise[P, P], noise[V, V], noise[A, A] = eye * (a * dt * dt / 3), eye * a, eye * (GYRO_SD**2 * dt)
-        noise[P, V] = noise[V, P] = eye * (a * dt / 2)
-        self._set_covariance(step @ self.covariance @ step.T + noise)
+        t = dt[..., None]
+        step, noise, lever = np.zeros(self.covariance.shape), np.zeros(self.covariance.shape), cross(turned)
+        step += _EYE9
+        step[..., P, V], step[..., P, A], step[..., V, A] = _EYE3 * t, lever * (-t * t / 2), lever * -t
+        a = ACCEL_SD**2 * t
+        noise[..., P, P], noise[..., V, V], noise[..., A, A] = _EYE3 * (a * t * t / 3), _EYE3 * a, _EYE3 * (GYRO_SD**2 * t)
+        noise[..., P, V] = noise[..., V, P] = _EYE3 * (a * t / 2)
+        self._set_covariance(step @ self.covariance @ turned_over(step) + noise)
 
     def _set_covariance(self, c: np.ndarray) -> None:
-        self.covariance = (c + c.T) / 2
+        self.covariance = (c + turned_over(c)) / 2
 
     def measure(self, residual: np.ndarray, jacobian: np.ndarray, noise: np.ndarray) -> None:
         """Kalman update with the Joseph form, then the error moves into the state."""
-        across = self.covariance @ jacobian.T
+        across = self.covariance @ turned_over(jacobian)
         spread = jacobian @ across + noise
         try:
             gain = across @ np.linalg.inv(spread)
@@ -107,38 +138,38 @@ class Filter:
             if self.gated:
                 return
             gain = across @ np.linalg.pinv(spread)
-        error, keep = gain @ residual, np.eye(9) - gain @ jacobian
-        self._set_covariance(keep @ self.covariance @ keep.T + gain @ noise @ gain.T)
-        self.position, self.velocity = self.position + error[P], self.velocity + error[V]
-        self.attitude = unit(product(exp(error[A]), self.attitude))
+        error, keep = times(gain, residual), _EYE9 - gain @ jacobian
+        self._set_covariance(keep @ self.covariance @ turned_over(keep) + gain @ noise @ turned_over(gain))
+        self.position, self.velocity = self.position + error[..., P], self.velocity + error[..., V]
+        self.attitude = unit(product(exp(error[..., A]), self.attitude))
 
     def _body_velocity(self, rows: slice, wanted: np.ndarray, variance: float) -> None:
-        to_body = matrix(self.attitude).T
-        jacobian = np.zeros((len(wanted), 9))
-        jacobian[:, V], jacobian[:, A] = to_body[rows], (to_body @ cross(self.velocity))[rows]
-        self.measure(wanted - (to_body @ self.velocity)[rows], jacobian, np.eye(len(wanted)) * variance)
+        to_body = turned_over(matrix(self.attitude))
+        jacobian = np.zeros((*self.velocity.shape[:-1], wanted.shape[-1], 9))
+        jacobian[..., V], jacobian[..., A] = to_body[..., rows, :], (to_body @ cross(self.velocity))[..., rows, :]
+        self.measure(wanted - times(to_body, self.velocity)[..., rows], jacobian, np.eye(wanted.shape[-1]) * variance)
 
     def hold_to_track(self, variance: float = NHC_VAR) -> None:
         """A vehicle doesn't move sideways or up in its own frame."""
         self._body_velocity(slice(1, 3), np.zeros(2), variance)
 
-    def take_speed(self, speed: float, variance: float = SPEED_VAR) -> None:
+    def take_speed(self, speed: np.ndarray | float, variance: float = SPEED_VAR) -> None:
         if not (self.gated and (not np.isfinite(speed) or abs(speed) > MAX_SPEED)):
-            self._body_velocity(slice(0, 1), np.array([speed]), variance)
+            self._body_velocity(slice(0, 1), np.asarray(speed, float)[..., None], variance)
 
     def take_turn(self, relative: np.ndarray, start: np.ndarray, variance: float = ATTITUDE_VAR) -> None:
         """A measured rotation since the attitude `start`; q and -q mean the same."""
         off = product(conjugate(relative), product(conjugate(start), self.attitude))
-        jacobian = np.zeros((3, 9))
-        jacobian[:, A] = np.eye(3)
-        self.measure(-matrix(self.attitude) @ log(off), jacobian, np.eye(3) * variance)
+        jacobian = np.zeros((*self.position.shape, 9))
+        jacobian[..., A] = _EYE3
+        self.measure(-times(matrix(self.attitude), log(off)), jacobian, _EYE3 * variance)
 
     def take_position(self, position: np.ndarray, variance: float = FIX_VAR, hidden: bool = False) -> bool:
         """Whether the fix was used: not while hidden, nor, if gated, when it is not finite or too far."""
         residual = np.asarray(position, float) - self.position
         if hidden or self.gated and (not np.isfinite(residual).all() or np.linalg.norm(residual) > MAX_RESIDUAL):
             return False
-        jacobian = np.zeros((3, 9))
-        jacobian[:, P] = np.eye(3)
-        self.measure(residual, jacobian, np.eye(3) * variance)
+        jacobian = np.zeros((*self.position.shape, 9))
+        jacobian[..., P] = _EYE3
+        self.measure(residual, jacobian, _EYE3 * variance)
         return True
