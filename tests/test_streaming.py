@@ -59,6 +59,10 @@ def test_tracker_survives_packing():
         b = Tracker.unpacked(*a.packed())
         assert b.place() == a.place()
         a = b
+    a.speed(3.0)
+    a.turn(20 * GRID_NS, [1.0, 0, 0, 0])
+    assert len(a.past) == 19 and a.place()[3] > 0.5
+    a.speed(math.nan)
     before = a.place()
     a.outage.command("start", 0)
     assert not a.fix(9 * GRID_NS, 52.0, 1.0, None) and a.place() == before

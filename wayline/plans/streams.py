@@ -76,6 +76,8 @@ def stream_filter(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("fix").alias("kind"), text.alias("cmd"), (51.4778 + F.col("i") * 5e-5).alias("lat"), F.lit(-0.0014).alias("lon"), F.lit(0.0).alias("heading_deg"), F.lit(None).cast("array<double>").alias("sample")),
         F.struct(F.lit("sample").alias("kind"), text.alias("cmd"), none.alias("lat"), none.alias("lon"), none.alias("heading_deg"), sample.alias("sample")),
     )
+    speed = F.struct(F.lit("speed").alias("kind"), text.alias("cmd"), none.alias("lat"), none.alias("lon"), none.alias("heading_deg"), F.array(F.lit(5.56)).alias("sample"))
+    parts = F.concat(parts, F.array(speed))
     rows = steps.select(F.col("session_id").alias("device"), "ts_ns", F.inline(parts)).where("kind <> 'command' or cmd is not null")
     found = drained(rows, lambda s: P.run_stateful(s, P.OnlineFilter(), P.TRACK))
     last = found.groupBy("device").agg(F.max_by(F.struct("mode", "lat", "lon", "heading_deg", "speed_ms"), F.struct("ts_ns", "kind")).alias("x"), F.count_if("applied").alias("applied"))

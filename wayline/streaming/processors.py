@@ -178,13 +178,18 @@ class OutageMachine(StatefulProcessor):
 TRACK = "device string, ts_ns long, kind string, mode string, lat double, lon double, heading_deg double, speed_ms double, applied boolean"
 
 
+#: Attitudes remembered for measured rotations, and how far back one reaches.
+REMEMBERED, LOOK_BACK_NS = 100, 5_000_000_000
+
+
 class Tracker:
-    """The online filter of one device: started by the first usable fix, moved by each sample, corrected by each fix
-    outside outages. Impossible measurements are ignored."""
+    """The online filter of one device: started by the first usable fix, moved by each sample, corrected by speeds and
+    measured rotations at any time and by fixes outside outages. Impossible measurements are ignored."""
 
     def __init__(self) -> None:
         self.filter: Filter | None = None
         self.origin, self.last, self.outage = (0.0, 0.0), 0, Outage()
+        self.past: list[tuple[int, list[float]]] = []
 
     def sample(self, ts: int, sample: list[float]) -> None:
         if self.filter is not None and ts > self.last:
@@ -192,6 +197,17 @@ class Tracker:
             self.filter.predict((ts - self.last) / 1e9, values[:3], values[3:])
             self.filter.hold_to_track()
             self.last = ts
+            self.past = [*self.past, (int(ts), self.filter.attitude.tolist())][-REMEMBERED:]
+
+    def speed(self, speed: float) -> None:
+        if self.filter is not None and np.isfinite(speed):
+            self.filter.take_speed(max(0.0, float(speed)))
+
+    def turn(self, ts: int, relative: list[float]) -> None:
+        """A rotation measured since 5 s before, from the remembered attitude nearest to then (the earlier on a tie)."""
+        if self.filter is not None and self.past and np.isfinite(np.asarray(relative, float)).all():
+            start = min(self.past, key=lambda p: abs(p[0] - (ts - LOOK_BACK_NS)))[1]
+            self.filter.take_turn(np.asarray(relative, float), np.asarray(start))
 
     def fix(self, ts: int, lat: float, lon: float, heading: float | None) -> bool:
         if not (np.isfinite(lat) and np.isfinite(lon)) or not self.outage.fix():
@@ -215,11 +231,13 @@ class Tracker:
     def packed(self) -> tuple:
         o, f = self.outage, self.filter
         numbers = [] if f is None else [*f.position, *f.velocity, *f.attitude, *f.covariance.ravel()]
-        return ([float(x) for x in numbers], *self.origin, int(self.last), o.mode, int(o.since), int(o.skipped))
+        times, attitudes = [t for t, _ in self.past], [q for _, q in self.past]
+        return ([float(x) for x in numbers], *self.origin, int(self.last), o.mode, int(o.since), int(o.skipped), times, attitudes)
 
     @classmethod
-    def unpacked(cls, numbers, lat, lon, last, mode, since, skipped) -> Tracker:
+    def unpacked(cls, numbers, lat, lon, last, mode, since, skipped, times, attitudes) -> Tracker:
         found = cls()
+        found.past = [(int(t), list(q)) for t, q in zip(times, attitudes, strict=True)]
         found.origin, found.last, found.outage = (lat, lon), last, Outage(mode, since, skipped)
         if len(numbers):
             x = np.array(numbers, float)
@@ -228,10 +246,11 @@ class Tracker:
 
 
 class OnlineFilter(StatefulProcessor):
-    """Samples, fixes and outage commands of a device (kind sample, fix or command) to its place after each."""
+    """What happens to a device (kind sample, speed, turn, fix or command) to its place after each. Columns: kind, cmd, lat,
+    lon, heading_deg and sample, which holds the sample's six values, the speed alone, or the rotation's w, x, y, z."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tracker", "numbers array<double>, lat double, lon double, last long, mode string, since long, skipped long")
+        self.state = handle.getValueState("tracker", "numbers array<double>, lat double, lon double, last long, mode string, since long, skipped long, times array<long>, attitudes array<array<double>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tracker = Tracker.unpacked(*self.state.get()) if self.state.exists() else Tracker()
@@ -240,6 +259,10 @@ class OnlineFilter(StatefulProcessor):
             applied = None
             if r.kind == "sample":
                 tracker.sample(int(r.ts_ns), list(r.sample))
+            elif r.kind == "speed":
+                tracker.speed(float(r.sample[0]))
+            elif r.kind == "turn":
+                tracker.turn(int(r.ts_ns), list(r.sample))
             elif r.kind == "fix":
                 applied = bool(tracker.fix(int(r.ts_ns), r.lat, r.lon, None if pd.isna(r.heading_deg) else float(r.heading_deg)))
             else:
