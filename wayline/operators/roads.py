@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import geo, text
@@ -79,14 +79,24 @@ def match(points: DataFrame, roads: DataFrame, keys: list[str], gates: Gates = G
     packed = roads.groupBy(*keys).agg(F.array_sort(F.collect_list(parts)).alias("_road"))
     rows = points.join(packed, keys, "left")
 
-    def measured(s):
-        p, a, b = (F.col("e"), F.col("n")), (s["ax"], s["ay"]), (s["bx"], s["by"])
-        share = geo.segment_share(p, a, b)
-        x, y = s["ax"] + share * (s["bx"] - s["ax"]), s["ay"] + share * (s["by"] - s["ay"])
-        away = F.sqrt(F.pow(F.col("e") - x, 2) + F.pow(F.col("n") - y, 2))
-        return F.struct(away.alias("d"), s["segment_idx"].alias("s"), x.alias("x"), y.alias("y"), geo.segment_heading_deg(a, b).alias("h"))
+    p = F.col("e"), F.col("n")
 
-    rows = rows.withColumn("_near", F.array_min(F.transform("_road", measured)))
+    def projected(s: Column) -> tuple[Column, Column]:
+        share = geo.segment_share(p, (s["ax"], s["ay"]), (s["bx"], s["by"]))
+        return s["ax"] + share * (s["bx"] - s["ax"]), s["ay"] + share * (s["by"] - s["ay"])
+
+    def away(s: Column, place: Column) -> Column:
+        x, y = projected(s)
+        return F.struct(((p[0] - x) * (p[0] - x) + (p[1] - y) * (p[1] - y)).alias("square"), place.alias("place"))
+
+    # Only the squared distance is worked out for every segment, the rest for the nearest.
+    rows = rows.withColumn("_best", F.array_min(F.transform("_road", away)))
+    rows = rows.withColumn("_seg", F.col("_road")[F.col("_best.place")])
+    seg = F.col("_seg")
+    x, y = projected(seg)
+    heading = geo.segment_heading_deg((seg["ax"], seg["ay"]), (seg["bx"], seg["by"]))
+    near = F.struct(F.sqrt("_best.square").alias("d"), seg["segment_idx"].alias("s"), x.alias("x"), y.alias("y"), heading.alias("h"))
+    rows = rows.withColumn("_near", F.when(seg.isNotNull(), near))
     turn = geo.heading_difference_deg(geo.wrap_degrees(F.col("heading_deg")), F.col("_near.h"))
     rows = rows.withColumn("_turn", turn)
     outcome = (
@@ -108,7 +118,7 @@ def match(points: DataFrame, roads: DataFrame, keys: list[str], gates: Gates = G
             "distance_m": hit(F.col("_near.d"), F.lit(float("inf"))), "heading_diff_deg": hit(F.col("_turn"), nan),
             "rejection_reason": reason,
         }
-    ).drop("_road", "_near", "_turn")
+    ).drop("_road", "_best", "_seg", "_near", "_turn")
 
 
 def match_stats(matches: DataFrame, keys: list[str]) -> DataFrame:
