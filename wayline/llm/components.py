@@ -26,7 +26,7 @@ def star_components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
         large = both.where("v > u").join(least, F.expr("u = k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")  # repeats go with the small step's
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         joined = large.join(least, F.expr("u = k"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
