@@ -73,7 +73,7 @@ def draw_slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     counts of the sources in a shard are a multinomial draw conditioned on each source's total. Within its source, slot
     k takes block perm(k mod blocks) of pass k div blocks; a block is thus taken at most once in each pass.
     """
-    total = targets.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("_total"))
+    total = targets.agg(F.sum("slots")).first()[0] or 0
     first = F.coalesce(F.sum("slots").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chunks = (
         targets.withColumn("_first", first)
@@ -86,12 +86,11 @@ def draw_slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
         F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(slots, (_chunk + 1) * {CHUNK}) - 1)")).alias("_k"),
     )
     placed = (
-        slots.crossJoin(F.broadcast(total))  # one row by construction
-        .withColumn("pass", F.expr("cast(_k div blocks as int)"))
+        slots.withColumn("pass", F.expr("cast(_k div blocks as int)"))
         .withColumn("_i", F.expr("_k % blocks"))
         .withColumn("block", permuted("_i", "blocks", "source_no", "pass"))
         .withColumn("_p", F.col("_first") + F.col("_k"))
-        .withColumn("_place", permuted("_p", "_total", "-1"))
+        .withColumn("_place", permuted("_p", f"{total}L", "-1"))
     )
     return placed.select(
         F.expr(f"_place div {shard_slots}").alias("shard"), F.expr(f"_place % {shard_slots}").alias("place"), "source_no", "pass", "block"

@@ -28,10 +28,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHE
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     placed = running_totals(sized, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "size")
-    total = sized.agg(F.sum("size").alias("_total"))
-    line = placed.crossJoin(F.broadcast(total))  # one row by construction
-    cut_at = F.expr(f"(2 * _start + size) * {shards} div greatest(2 * _total, 1)")
-    dealt = line.withColumn("shard", F.least(cut_at, F.lit(shards - 1)).cast("int"))
+    total = placed.agg(F.max(F.col("_start") + F.col("size"))).first()[0] or 0
+    cut_at = F.expr(f"(2 * _start + size) * {shards} div {max(2 * total, 1)}L")
+    dealt = placed.withColumn("shard", F.least(cut_at, F.lit(shards - 1)).cast("int"))
     firsts = dealt.groupBy("shard").agg(F.min("_row").alias("_first"))
     return dealt.join(F.broadcast(firsts), "shard").select(  # at most `shards` rows
         "doc_id", "size", "text_crc32", "shard", (F.col("_row") - F.col("_first")).alias("slot")
