@@ -55,7 +55,9 @@ def test_scan_pair_and_window(spark, folder):
     truth = RC.ground_truth(vehicle.where("not malformed"), spark.createDataFrame([("S-M1", 0), ("S-M1", 99)], "session_id string, window_idx long"))
     assert [r["lat"] for r in truth.orderBy("window_idx").collect()] == [51.49, 51.119]
     RC.write_windows(RC.windowed(phone, vehicle), str(folder / "out"))
-    assert spark.read.parquet(str(folder / "out")).count() == 7
+    assert spark.read.parquet(str(folder / "out" / "windows")).count() == 7
+    stats_row = spark.read.parquet(str(folder / "out" / "dataset_stats")).first()
+    assert abs(stats_row["normalize_mean"][2] - 9.8) < 1e-5 and stats_row["normalize_std"][1] == 1.0 and json.loads(stats_row["metadata_json"])["windows"] == 7
 
 
 def test_lookups(spark):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayline.functions import quat
 from wayline.functions.geo import kmh_to_ms
 from wayline.operators import sequence as S
+from wayline.operators.stats import window_channel_stats
 from wayline.schemas import IMU
 
 HeaderRule = Callable[[list[str]], dict[str, int]]
@@ -145,8 +146,19 @@ def windowed(phone: DataFrame, vehicle: DataFrame, size: int = 50, stride: int =
     )
 
 
+def dataset_stats(windows: DataFrame) -> DataFrame:
+    """One row: normalize_mean and normalize_std by channel (a sample counts once for each window that has it) and
+    metadata_json with the numbers of windows and sessions."""
+    found = window_channel_stats(windows, list(IMU)).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("mean", "std")))).alias("_m"))
+    counts = windows.agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("session_id").alias("sessions"), F.lit(",".join(IMU)).alias("channels"))
+    each = lambda part: F.array(*[F.col("_m")[c][part] for c in IMU])
+    return found.select(each("mean").alias("normalize_mean"), each("std").alias("normalize_std"), F.lit(counts.toJSON().first()).alias("metadata_json"))
+
+
 def write_windows(windows: DataFrame, path: str) -> None:
-    windows.write.mode("errorifexists").partitionBy("session_id").parquet(path)
+    """`windows` by session and `dataset_stats` below a folder. The windows are read back for the statistics."""
+    windows.write.mode("errorifexists").partitionBy("session_id").parquet(f"{path}/windows")
+    dataset_stats(windows.sparkSession.read.parquet(f"{path}/windows")).write.mode("errorifexists").parquet(f"{path}/dataset_stats")
 
 
 def ground_truth(vehicle: DataFrame, windows: DataFrame, size: int = 50, stride: int = 10) -> DataFrame:
