@@ -34,6 +34,15 @@ def test_shards_are_contiguous_balanced_and_gapless(spark, data):
     assert all(abs(sizes[s] - target) <= largest for s in range(40))
 
 
+def test_shards_match_the_oracle(spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    rel = con.sql(sharding.ORACLE)
+    assert sorted(tuple(r) for r in sharding.op7_sharding(spark, data).select(*rel.columns).collect()) == sorted(rel.fetchall())
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_awkward_shards(spark, extra):
     found = sharding.shard_by_bytes(documents(spark, AWKWARD, extra), 4).collect()

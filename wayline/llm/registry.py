@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from wayline.llm.langid import op8_langid
-from wayline.llm.licenses import ORACLE, op1_licenses
+from wayline.llm import licenses, sharding
+from wayline.llm.licenses import op1_licenses
 from wayline.llm.media import op6_media
 from wayline.llm.mixing import op3_mixing
 from wayline.llm.neighbours import op2_neighbours
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op1_licenses": ORACLE}
+ORACLES: dict[str, str] = {"op1_licenses": licenses.ORACLE, "op7_sharding": sharding.ORACLE}

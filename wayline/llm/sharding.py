@@ -37,6 +37,20 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHE
     )
 
 
+#: DuckDB SQL of `op7_sharding`. It has no crc32, so that is worked out byte by byte with the table of its polynomial.
+ORACLE = f"""WITH t AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, length(x) // 2 + {OVERHEAD} AS size, list_transform(regexp_extract_all(x, '..'), lambda p: CAST('0x' || p AS BIGINT)) AS bytes FROM h),
+d AS (
+  SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(bytes, lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) AS text_crc32 FROM b, t),
+l AS (
+  SELECT *, sum(size) OVER o - size AS start, sum(size) OVER () AS total, row_number() OVER o AS place FROM d
+  WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CAST(least({SHARDS} - 1, (2 * start + size) * {SHARDS} // greatest(2 * total, 1)) AS INT) AS shard FROM l)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s"""
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
