@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.llm.common import SPACE_WORD, cut, table, whole
@@ -57,7 +57,7 @@ def source_targets(sized: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def permuted(index: str, size: str, *key: str, rounds: int = ROUNDS) -> F.Column:
+def permuted(index: str, size: str, *key: str, rounds: int = ROUNDS) -> Column:
     """A pseudorandom permutation of 0..size-1 under the key: swap-or-not rounds, a bijection for any size."""
     keys = ", ".join(f"pmod(xxhash64({', '.join(key)}, {SEED}, {r}), {size})" for r in range(rounds))
     step = (
@@ -102,6 +102,13 @@ def shard_counts(slots: DataFrame) -> DataFrame:
     return slots.groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("slots"))
 
 
+def document_key() -> Column:
+    """A text that rows share only if they repeat one another in id, text and source; never null, so plain equality joins
+    on it and rows dealt by it for one purpose need not move for the next."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    return F.concat_ws(":", part("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).cast("string"), part("source")).alias("doc_key")
+
+
 def placed_documents(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The documents on their sources' word lines, and the sources.
 
@@ -112,7 +119,7 @@ def placed_documents(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Da
     sized = cut(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-            F.regexp_count(text, F.lit(SPACE_WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_key"),
+            F.regexp_count(text, F.lit(SPACE_WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_key"), document_key(),
         )
     )
     targets = cut(source_targets(sized, block))
@@ -168,14 +175,11 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     runs = taken_runs(*placed_documents(docs, block), block).where("passes <> 0 and words > 0")
     picked = (
         runs.withColumn("_pass", F.explode(F.expr(f"filter(sequence(0, {REPEATS - 1}), p -> passes >> p & 1 = 1)")))
-        .groupBy("_row", "doc_id", "source", "text_key", "_pass")
+        .groupBy("_row", "doc_key", "_pass")
         .agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias("_runs"))
     )
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"),
-        F.col("source").cast("string").alias("_of"), whole(docs),
-    ).dropDuplicates(["_id", "_key", "_of"])
-    met = picked.join(texts, F.expr("doc_id <=> _id and text_key = _key and source <=> _of"))
+    texts = docs.select(document_key().alias("_key"), whole(docs)).dropDuplicates(["_key"])
+    met = picked.join(texts, F.expr("doc_key = _key"))
     # The words are a lambda's variable, so that they are found once a row and not once a run.
     words = F.array(F.regexp_extract_all("_doc.text", F.lit(SPACE_WORD), F.lit(0)))
     run = lambda w: F.transform("_runs", lambda r: F.array_join(F.slice(w, r["from"].cast("int") + 1, r["words"].cast("int")), " "))
