@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.common import crc_fold, cut, table, whole
+from wayline.llm.common import crc_fold, cut, small, table, whole
 
 #: N-grams in a profile, longest n-gram, about how many documents of a language train, the fold that isn't learned from.
 PROFILE, GRAM, TRAIN_DOCS, FOLDS, HELD_OUT = 400, 3, 1500, 4, 2
@@ -122,8 +122,9 @@ class Profiles:
 
 def _predict(profiles: Profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [profiles.predict(t.as_py()) for t in batch.column("_text")]
+        for batch in small(batches):
+            texts = batch.column("_text") if "_text" in batch.schema.names else batch.column("_doc").field("text")
+            found = [profiles.predict(t.as_py()) for t in texts]
             names = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
@@ -134,8 +135,8 @@ def _predict(profiles: Profiles):
 
 
 def with_language(docs: DataFrame, profiles: dict[str, np.ndarray], *keep: F.Column) -> DataFrame:
-    """The columns `keep`, and _lang_pred and _lang_score of the whole text."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    """The columns `keep`, and _lang_pred and _lang_score of the whole text; without `keep`, the document as `_doc`."""
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_text")) if keep else docs.select(whole(docs))
     kept = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "_text")
     return rows.mapInArrow(_predict(Profiles(profiles)), f"{kept}, _lang_pred string, _lang_score double")
 
@@ -154,7 +155,7 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 def keep_known_languages(docs: DataFrame, least: float = 0.05) -> DataFrame:
     """The documents, without those of no language and those that are near no profile (score under `least`)."""
-    found = with_language(docs, train_profiles(docs), whole(docs))
+    found = with_language(docs, train_profiles(docs))
     return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select("_doc.*")
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.common import cut, table
+from wayline.llm.common import cut, small, table
 from wayline.llm.prefix import running_totals
 
 #: The public vocabulary, the id after each document, tokens in a sequence.
@@ -64,7 +64,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _pieces(vocabulary: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = token_ids(text.as_py(), vocabulary)

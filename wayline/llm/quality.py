@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.common import crc_fold, cut, table, whole
+from wayline.llm.common import crc_fold, cut, small, table, whole
 from wayline.llm.linear import fit_logistic, predict, sigmoid
 
 #: Folds and the one not learned from; most labelled documents to learn from; one in CALIBRATION of them calibrates.
@@ -102,7 +102,7 @@ def _unpacked(content: pa.Array, meta: pa.Array) -> list[np.ndarray]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = list(zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True))
         content = [content_view(t).astype(np.float16).tobytes() for t, _, _ in rows]
         meta = [metadata_view(*r).astype(np.float32).tobytes() for r in rows]
@@ -220,15 +220,15 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _score_documents(views: Views):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("_text", "_lang", "_source")), strict=True))
+        for batch in small(batches):
+            doc = batch.column("_doc")
+            rows = list(zip(doc.field("text").to_pylist(), batch.column("_lang").to_pylist(), batch.column("_source").to_pylist(), strict=True))
             if rows:
                 xs = [np.stack([content_view(t) for t, _, _ in rows]).astype(np.float16).astype(np.float64), np.stack([metadata_view(*r) for r in rows]).astype(np.float32).astype(np.float64)]
                 scores = views.score(xs)
             else:
                 scores = np.empty(0)
-            names = [n for n in batch.schema.names if n not in ("_text", "_lang", "_source")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], [*names, "_quality_score"])
+            yield pa.RecordBatch.from_arrays([doc, pa.array(scores, pa.float64())], ["_doc", "_quality_score"])
 
     return run
 
@@ -236,7 +236,7 @@ def _score_documents(views: Views):
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents that score at least `least`, with the columns of `docs`."""
     views = co_train(cut(features(docs)), labels)
-    rows = docs.select(whole(docs), *[F.col(c).cast("string").alias(f"_{c}") for c in ("text", "lang", "source")])
+    rows = docs.select(whole(docs), *[F.col(c).cast("string").alias(f"_{c}") for c in ("lang", "source")])
     kind = rows.schema["_doc"].dataType.simpleString()
     scored = rows.mapInArrow(_score_documents(views), f"_doc {kind}, _quality_score double")
     return scored.where(F.col("_quality_score") >= least).select("_doc.*")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import cut, table, whole
+from wayline.llm.common import cut, small, table, whole
 from wayline.llm.components import star_components
 
 #: Words in a shingle, the hash's seed, the most differing bits of a link.
@@ -45,7 +45,7 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         texts = batch.column("_text")
         values = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
         names = [n for n in batch.schema.names if n != "_text"]

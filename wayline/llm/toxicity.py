@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import crc_fold, table
+from wayline.llm.common import crc_fold, small, table
 from wayline.llm.linear import fit_nnpu, sigmoid
 
 #: Folds and the one not learned from; most confirmed and (about) most unlabelled documents to learn from; words kept.
@@ -33,7 +33,7 @@ def strength(n: int) -> float:
 
 
 def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         found = [sorted(word_counts(t).items()) for t in batch.column("text").to_pylist()]
         words = pa.array([[w for w, _ in x] for x in found], pa.list_(pa.string()))
         times = pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32()))
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             scores = sigmoid(np.array([model.margin(t.as_py()) for t in batch.column("text")], np.float64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores)], ["doc_id", "held_out", "score"])
 
