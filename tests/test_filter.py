@@ -7,6 +7,8 @@ from wayline.operators import blackout as B
 from wayline.operators import filter_batch as FB
 from wayline.operators.filter_core import Filter, conjugate, heading_of, heading_quat, product
 from wayline.operators.roads import segments
+from wayline.plans import filters
+from wayline.plans.common import event_intervals
 
 G = 9.80665
 
@@ -88,3 +90,16 @@ def test_road_pulls_the_track(spark):
     free = {r["i"]: abs(r["e"]) for r in FB.run_filter(drift).collect()}
     held = {r["i"]: r for r in FB.run_filter_on_roads(drift, segments(road, keys)).collect()}
     assert abs(held[20]["e"]) < free[20] and held[15]["road_outcome"] == "matched" and held[5]["road_outcome"] is None
+
+
+@pytest.mark.parametrize("name", ["ekf_version_a", "ekf_version_b_road", "ekf_ablation"])
+def test_all_schedules_are_run(spark, data, name):
+    keys = ["session_id", "duration_s"] if name != "ekf_ablation" else ["duration_s"]
+    wanted = {tuple(r) for r in event_intervals(spark, data).groupBy(*keys).agg(F.count(F.lit(1))).collect()}
+    assert {r["duration_s"] for r in event_intervals(spark, data).collect()} == set(B.DURATIONS)
+    found = filters.QUERIES[name](spark, data)
+    if name == "ekf_ablation":
+        for variant in ("all", "no_speed", "no_track"):
+            assert {(r["duration_s"], r["intervals"]) for r in found.where(F.col("variant") == variant).collect()} == wanted
+    else:
+        assert {(r["session_id"], r["duration_s"], r["intervals"]) for r in found.collect()} == wanted

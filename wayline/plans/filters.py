@@ -15,12 +15,11 @@ from wayline.plans.onnx_models import linear_over_window
 from wayline.sources.events import raw_steps, true_steps
 
 KEYS = ["session_id", "duration_s", "interval_idx"]
-#: Outages that the filter queries run; every session, every step.
-DURATION = 10
 
 
 def _steps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    intervals = event_intervals(spark, sf).where(F.col("duration_s") == DURATION)
+    """Every step of every session, once for each outage schedule that it has, and the intervals."""
+    intervals = event_intervals(spark, sf)
     return FB.event_steps(B.in_outage(true_steps(spark, sf), intervals)), intervals
 
 
@@ -50,13 +49,13 @@ def ekf_version_b_road(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ekf_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean final error without one measurement after another."""
+    """Mean final error by duration without one measurement after another."""
     steps, intervals = _steps(spark, sf)
     found = None
     for name, use in (("all", FB.Settings()), ("no_speed", FB.Settings(speed=False)), ("no_track", FB.Settings(track=False))):
         points = B.position_errors(FB.run_filter(steps, use))
         metrics = B.interval_metrics(B.members(points, intervals))
-        row = metrics.agg(F.lit(name).alias("variant"), r(F.avg("final_error_m"), 3).alias("final_error_m"), F.count(F.lit(1)).alias("intervals"))
+        row = metrics.groupBy("duration_s").agg(F.lit(name).alias("variant"), r(F.avg("final_error_m"), 3).alias("final_error_m"), F.count(F.lit(1)).alias("intervals"))
         found = row if found is None else found.unionByName(row)
     return found
 
