@@ -108,3 +108,24 @@ def test_shards_draw_all_sources(spark, data):
     counts = mixing.shard_counts(slots).groupBy("shard").agg(F.sum("slots").alias("n"), F.count(F.lit(1)).alias("sources")).orderBy("shard").collect()
     assert all(r["n"] == 100 for r in counts[:-1]) and min(r["sources"] for r in counts[:-1]) > 5
     assert slots.groupBy("shard", "place").count().where("count > 1").count() == 0
+
+
+def test_report_deals_the_mix_over_shards(spark, data):
+    """The runs of all documents are the whole mix: every slot of every shard once, with the drawn counts of its sources."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    found = mixing.mix_report(docs, shard_slots=100).collect()
+    _, targets = mixing.placed_documents(docs)
+    wanted = {(r["shard"], r["place"]): (r["source_no"], r["pass"]) for r in mixing.draw_slots(targets, shard_slots=100).collect()}
+    number = {r["source"]: r["source_no"] for r in targets.collect()}
+    got, words = {}, Counter()
+    for r in found:
+        assert sum(x["words"] for x in r["runs"]) == r["taken"]
+        assert [(x["shard"], x["place"]) for x in r["runs"]] == sorted((x["shard"], x["place"]) for x in r["runs"])
+        for x in r["runs"]:
+            at = x["shard"], x["place"]
+            assert got.setdefault(at, (number[r["source"]], x["pass"])) == (number[r["source"]], x["pass"])
+            words[at] += x["words"]
+    assert got == wanted and max(words.values()) <= mixing.BLOCK
+    starts = sorted((x["shard"], x["place"], x["at"], x["words"]) for r in found for x in r["runs"])
+    assert all(b[2] == (a[2] + a[3] if a[:2] == b[:2] else 0) for a, b in zip([(-1, -1, 0, 0), *starts], starts))
+    assert "runs" in mixing.op3_mixing(spark, data).columns

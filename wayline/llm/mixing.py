@@ -134,34 +134,42 @@ def placed_documents(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Da
     return found.withColumn("offset", F.col("_start") - F.col("_source_start")).drop("_start", "_source_start"), targets
 
 
-def taken_runs(placed: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
+def taken_runs(placed: DataFrame, targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Each document once for every block that it has words in, with the passes that take the block.
 
     Slots and document parts meet on (source_no, block): a block has a few documents' words and at most one slot in each
     pass, so no key is hot. Columns: those of `placed`, block, from (word in the document), words, passes: a bit for each
-    pass that takes the block.
+    pass that takes the block, and slots: shard, place and pass of each slot that takes it.
     """
     last = f"(offset + size - 1) div {block}"
     parts = placed.withColumn("block", F.explode_outer(F.expr(f"if(size > 0, sequence(offset div {block}, {last}), null)")))
     begin, end = F.greatest(F.col("block") * block, F.col("offset")), F.least((F.col("block") + 1) * block, F.col("offset") + F.col("size"))
     parts = parts.withColumn("from", begin - F.col("offset")).withColumn("words", F.coalesce(end - begin, F.lit(0)))
-    drawn = draw_slots(targets).groupBy("source_no", "block").agg(F.sum(F.expr("1L << pass")).alias("passes"))
+    drawn = draw_slots(targets, shard_slots).groupBy("source_no", "block")
+    drawn = drawn.agg(F.sum(F.expr("1L << pass")).alias("passes"), F.collect_list(F.struct("shard", "place", "pass")).alias("slots"))
+    parts = parts.drop("slots")  # the source's number of them
     met = parts.join(drawn.hint("merge"), ["source_no", "block"], "left")  # its size can't be told from its plan
     return met.withColumn("passes", F.coalesce("passes", F.lit(0)))
 
 
-def mix_report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+def mix_report(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, runs.
+
+    `runs` is where the mix has the document's words: shard and place of each slot that takes some of them, the word of
+    the slot's block that they start at, in that order, the pass, the document's first word and the number of words. Read
+    by shard, place and start over all documents, the runs are the mix.
 
     Null texts and texts without words have size 0 and nothing taken; a null source is a source of its own; repeated rows
     are documents of their own; other columns are ignored; an empty table gives no rows. The same rows always give the
     same mix, whatever their order or partitioning.
     """
-    runs = taken_runs(*placed_documents(docs, block), block)
+    runs = taken_runs(*placed_documents(docs, block), block, shard_slots)
     taken = F.sum(F.col("words") * F.bit_count("passes"))
+    run = lambda s: F.struct(s["shard"].alias("shard"), s["place"].alias("place"), F.expr(f"offset + from - block * {block}").alias("at"), s["pass"].alias("pass"), F.col("from"), F.col("words"))
+    dealt = F.sort_array(F.flatten(F.collect_list(F.transform("slots", run))))
     return (
         runs.groupBy("_row", "doc_id", "source", "size", "source_size", "target")
-        .agg(taken.cast("long").alias("taken"))
+        .agg(taken.cast("long").alias("taken"), dealt.alias("runs"))
         .drop("_row")
     )
 
@@ -191,4 +199,4 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "runs")
