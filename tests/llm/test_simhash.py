@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -77,6 +78,20 @@ def test_dense_balls_in_blocks(spark):
     assert len(ball) == 1 and roots.get(signed[-2], signed[-2]) != roots.get(signed[-1], signed[-1])
 
 
+@pytest.mark.parametrize("sizes", [(4, 4, 2), (4, 4, 4, 1), (6, 2, 3), (3, 5, 4, 4), (4, 4), (10,)])
+def test_a_key_goes_on_after_a_full_block(sizes):
+    """Runs that fill the last block exactly at the end of a batch, then the same key or another one."""
+    total = sum(sizes)
+    for later in (0, 1, 3, 9):
+        keys, fps = [5] * total + [8] * later, list(range(total)) + [1000 + i for i in range(later)]
+        ends = [sum(sizes[:i]) for i in range(len(sizes) + 1)] + ([total + later] if later else [])
+        batches = [pa.RecordBatch.from_pydict({"key": pa.array(keys[a:b], pa.int32()), "fp": pa.array(fps[a:b], pa.int64())}) for a, b in zip(ends, ends[1:])]
+        rows = [r for batch in S._links(4)(iter(batches)) for r in batch.to_pylist()]
+        got = [(r["key"], r["block"], r["a"]) for r in rows if r["key"] is not None]
+        wanted = [(5, i // 4, i) for i in range(total)] + [(8, i // 4, 1000 + i) for i in range(later) if later >= 4]
+        assert sorted(got) == sorted(wanted)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)]
     roots = {r["node"]: r["root"] for r in star_components(spark.createDataFrame(chain, "a long, b long")).collect()}

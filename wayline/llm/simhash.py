@@ -182,18 +182,20 @@ def _links(run: int):
         )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, block = np.empty(0, np.int32), np.empty(0, np.int64), 0
+        keys, fps, block, cut_key = np.empty(0, np.int32), np.empty(0, np.int64), 0, None
         for batch in batches:
             keys = np.concatenate([keys, batch.column("key").to_numpy(zero_copy_only=False)])
             fps = np.concatenate([fps, batch.column("fp").to_numpy(zero_copy_only=False)])
             if not keys.size:
                 continue
+            if block and int(keys[0]) != cut_key:  # the run that overflowed had ended with a block
+                block = 0
             if block:  # the run that overflowed goes on
                 n = int(np.searchsorted(keys, keys[0], "right"))
                 while n >= run or (n and n < keys.size):
                     yield overflow(fps[: min(n, run)], int(keys[0]), block)
                     keys, fps, n, block = keys[min(n, run) :], fps[min(n, run) :], max(0, n - run), block + 1
-                if n == 0:
+                if n == 0 and keys.size:  # with no rows left, the key may go on in the next batch
                     block = 0
                 else:
                     continue
@@ -203,7 +205,8 @@ def _links(run: int):
                 yield linked(a, b)
             keys, fps = keys[last:], fps[last:]
             while keys.size >= run:
-                yield overflow(fps[:run], int(keys[0]), block)
+                cut_key = int(keys[0])
+                yield overflow(fps[:run], cut_key, block)
                 keys, fps, block = keys[run:], fps[run:], block + 1
         if keys.size:
             if block:
