@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm.common import table
+from wayline.llm.common import stored, table
 from wayline.llm.langid import keep_known_languages
 from wayline.llm.mixing import mix_documents
 from wayline.llm.packing import pack_documents
@@ -50,7 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, the result of each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = stored(stage(spark, docs, sf_dir))
     return docs

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tests.llm.helpers import AWKWARD, documents
 from wayline.llm import media as M
 from wayline.llm import packing as P
@@ -161,3 +162,17 @@ def test_empty_pipeline(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_read_what_the_stage_before_wrote(spark, data, monkeypatch):
+    """Each stage but the first reads Parquet files of the shared folder, not the plan of the stage before."""
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs.limit(7).withColumn("source", F.lit("changed"))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", stage), ("second", stage), ("third", stage)])
+    assert corpus_pipeline.run(spark, data).count() == 7
+    shared = spark.sparkContext.getCheckpointDir().split("/")[-1]
+    assert not any(shared in f for f in read[0]) and all(files and all(shared in f for f in files) for files in read[1:])

@@ -112,3 +112,11 @@ def test_awkward(spark, extra):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] in (1, 2, 3, 4, 5)) == [1, 4]
     assert S.drop_near_duplicates(docs).columns == docs.columns
     assert S.near_duplicates(documents(spark, [])).count() == 0 and S.drop_near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_the_same_repeat_stays_in_any_order(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "en", s) for s in ("c", "a", None, "b")] + [(2, "", "en", "x"), (2, None, "en", "x"), (2, None, "en", "w")]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        kept = S.drop_near_duplicates(documents(spark, order).coalesce(1)).collect()
+        assert sorted((r["doc_id"], r["text"], r["source"]) for r in kept) == [(1, text, "a"), (2, "", "x")]

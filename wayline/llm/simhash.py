@@ -263,7 +263,8 @@ def near_duplicates(docs: DataFrame, run: int = RUN) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents with one left of each component: the one of the smallest doc_id, then of the smallest text checksum.
 
-    Columns are those of `docs`. Rows that repeat the one that stays in id and text go too.
+    Columns are those of `docs`. Rows that repeat the one that stays in id and text go too, whatever their order: the
+    least by its other columns stays.
     """
     key = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     prints = cut(with_fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id"), key.alias("_key")))
@@ -276,7 +277,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id"), key.alias("_row_key"))
     found = rows.join(kept, F.expr("_id <=> _kept_id and _row_key = _kept_key"))
     once = found.where("_times = 1").select("_doc.*")
-    return once.unionByName(found.where("_times > 1").dropDuplicates(["_kept_id", "_kept_key"]).select("_doc.*"))
+    # The text is the same but for null and empty.
+    others = F.to_json(F.struct(*[F.col(f"_doc.`{c}`") for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"})
+    order = F.struct(F.col("_doc.text").isNull(), others)
+    least = found.where("_times > 1").groupBy("_kept_id", "_kept_key").agg(F.min_by("_doc", order).alias("_doc"))
+    return once.unionByName(least.select("_doc.*"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
