@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left, insort
-from collections.abc import Iterator
-from functools import cache
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import cache, cached_property
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,14 @@ from wayline.llm.prefix import running_totals
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k", 2, 1024
 #: Pieces packed together, islands and epochs of each such group, individuals on an island, offspring in an epoch,
 #: individuals that migrate.
-GROUP, ISLANDS, EPOCHS, POPULATION, OFFSPRING, ELITES = 4096, 3, 2, 4, 5, 2
-#: A bin filled to this share is well filled: crossover may inject it whole.
-WELL_FILLED = 0.98
+GROUP, ISLANDS, EPOCHS, POPULATION, OFFSPRING, ELITES = 16384, 2, 3, 4, 25, 2
+#: A bin filled to this share is well filled: crossover may inject it whole, at most this share of them at once.
+WELL_FILLED, INJECTED = 0.98, 0.02
+#: The most bins that an offspring opens beside those that hold duplicates: emptiest ones, and ones of most pieces; orders
+#: in which the displaced pieces are fitted; times that the emptiest bin is exchanged away afterwards.
+EMPTIEST, FINEST, ORDERS, POLISHED = 300, 300, 6, 2
+#: Groups that are packed once more together in part; each gives so many of its emptiest bins and of its bins of most pieces.
+SPAN, LOOSE_BINS = 16, 64
 SEED = 71
 
 
@@ -66,120 +73,173 @@ def _pieces(vocabulary: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc_id, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
                 ids = token_ids(text.as_py(), vocabulary)
-                rows += [(doc_id, p, s, n, zlib.crc32(ids[s : s + n].tobytes())) for p, (s, n) in enumerate(cuts(len(ids), capacity))]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                rows += [(doc_id, p, s, n, zlib.crc32(ids[s : s + n].tobytes()), row) for p, (s, n) in enumerate(cuts(len(ids), capacity))]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
             )
 
     return run
 
 
 def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of each document: doc_id, piece, start, length, ids_crc32."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(vocabulary, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    """One row per piece of each document: doc_id, piece, start, length, ids_crc32, row (the same for the pieces of one
+    input row only, so that rows which repeat a doc_id can be told apart)."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text")
+    )
+    return rows.mapInArrow(_pieces(vocabulary, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 
-class Bins:
-    """Bins with room left, for best fit: bins by room, and the sorted rooms that some bin has."""
+@dataclass
+class Packing:
+    """An individual: bins of pieces and how full each is."""
 
-    def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int):
-        self.lengths, self.bins, self.rooms, self.by_room = lengths, bins, [], {}
-        for b, items in enumerate(bins):
-            self._put(capacity - sum(lengths[i] for i in items), b)
-        self.capacity = capacity
+    bins: list[list[int]]
+    fills: list[int]
+
+    def score(self, capacity: int) -> tuple[int, float]:
+        """Smaller is better: bins, then less of the sum of squared fills."""
+        full = np.array(self.fills, float) / capacity
+        return len(self.bins), -float(full @ full)
+
+    @cached_property
+    def genome(self) -> np.ndarray:
+        """Each piece's bin."""
+        out = np.empty(sum(map(len, self.bins)), np.int64)
+        out[list(chain.from_iterable(self.bins))] = np.repeat(np.arange(len(self.bins)), list(map(len, self.bins)))
+        return out
+
+
+def _with_room(fills: list[int], capacity: int) -> list[int]:
+    return np.flatnonzero(np.array(fills, np.int64) < capacity).tolist()
 
-    def _put(self, room: int, b: int) -> None:
-        if room:
-            if not (held := self.by_room.setdefault(room, [])):
-                insort(self.rooms, room)
-            held.append(b)
 
-    def fit(self, item: int) -> None:
-        """Into the fullest bin that takes the item, or a new one."""
-        n, rooms = self.lengths[item], self.rooms
+def rooms_of(fills: list[int], capacity: int) -> dict[int, list[int]]:
+    """The bins that have each room left."""
+    by_room: dict[int, list[int]] = {}
+    for b in _with_room(fills, capacity):
+        by_room.setdefault(capacity - fills[b], []).append(b)
+    return by_room
+
+
+def best_fit(lengths: list[int], order: Iterable[int], capacity: int, kept: Packing | None = None, by_room: dict[int, list[int]] | None = None) -> Packing:
+    """Each piece in turn into the fullest bin that takes it, or a new one. `by_room`: that of the kept bins, if known.
+    Neither is changed."""
+    bins, fills = ([], []) if kept is None else (list(kept.bins), list(kept.fills))
+    by_room = {room: list(held) for room, held in (rooms_of(fills, capacity) if by_room is None else by_room).items()}
+    rooms = sorted(by_room)
+    for item in order:
+        n = lengths[item]
         at = bisect_left(rooms, n)
         if at < len(rooms):
             room = rooms[at]
-            held = self.by_room[room]
+            held = by_room[room]
             b = held.pop()
             if not held:
                 del rooms[at]
-            self.bins[b].append(item)
+            bins[b] = [*bins[b], item]
+            fills[b] += n
         else:
-            room, b = self.capacity, len(self.bins)
-            self.bins.append([item])
-        self._put(room - n, b)
-
-
-def best_fit(lengths: list[int], order: list[int], capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:
-    packed = Bins(lengths, [list(b) for b in bins or []], capacity)
-    for item in order:
-        packed.fit(item)
-    return packed.bins
-
-
-def fitness(lengths: list[int], bins: list[list[int]], capacity: int) -> tuple[int, float]:
-    """Smaller is better: bins, then less of the sum of squared fills."""
-    return len(bins), -sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
-
-
-def crossed(lengths: list[int], a: list[list[int]], b: list[list[int]], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Inject about half of b's well-filled bins into a; a's bins that then hold duplicates are opened, and with a's
-    few emptiest bins what they held otherwise is best-fitted again, longest first."""
-    good = [x for x in b if sum(lengths[i] for i in x) >= WELL_FILLED * capacity]
-    injected = [x for x, take in zip(good, rng.random(len(good)) < 0.5, strict=True) if take]
-    inside = {i for x in injected for i in x}
-    fills = sorted(range(len(a)), key=lambda k: sum(lengths[i] for i in a[k]))
-    opened = set(fills[: max(1, len(a) // 50)])
-    kept, loose = [], []
-    for k, x in enumerate(a):
-        if k in opened or not inside.isdisjoint(x):
-            loose += [i for i in x if i not in inside]
-        else:
-            kept.append(x)
-    loose.sort(key=lambda i: (-lengths[i], i))
-    return best_fit(lengths, loose, capacity, kept + injected)
+            room, b = capacity, len(bins)
+            bins.append([item])
+            fills.append(n)
+        if room := room - n:
+            held = by_room.setdefault(room, [])
+            if not held:
+                insort(rooms, room)
+            held.append(b)
+    return Packing(bins, fills)
+
+
+def exchange(lengths: list[int], kept: Packing, loose: list[int], capacity: int) -> list[int]:
+    """Fill the kept bins' gaps: a displaced piece takes the place of a shorter one of the bin, as much longer as the gap
+    allows. Returns the pieces displaced then; together they are shorter by what the bins gained."""
+    free = sorted((lengths[i], i) for i in loose)
+    for k in _with_room(kept.fills, capacity):
+        gap = capacity - kept.fills[k]
+        items = kept.bins[k] = list(kept.bins[k])
+        while gap:
+            most, place, taken = 0, -1, -1
+            for j, i in enumerate(items):
+                at = bisect_right(free, (lengths[i] + gap, len(lengths))) - 1
+                if at >= 0 and free[at][0] - lengths[i] > most:
+                    most, place, taken = free[at][0] - lengths[i], j, at
+            if not most:
+                break
+            out, items[place] = items[place], free.pop(taken)[1]
+            insort(free, (lengths[out], out))
+            gap -= most
+        kept.fills[k] = capacity - gap
+    return [i for _, i in free]
+
+
+def crossed(lengths: list[int], a: Packing, b: Packing, capacity: int, rng: np.random.Generator) -> Packing:
+    """Inject some of b's well-filled bins whole into a. a's bins that then hold duplicates are opened, as are its
+    emptiest and some of its bins of most pieces; what they held otherwise is exchanged for shorter pieces where bins
+    have gaps, and best-fitted again in several orders, longest first, with more noise each time."""
+    good = np.flatnonzero(np.array(b.fills) >= WELL_FILLED * capacity)
+    share = int(rng.integers(0, max(1, int(INJECTED * len(good))))) + 1
+    injected = rng.choice(good, min(share, len(good)), replace=False).tolist()
+    inside = {i for k in injected for i in b.bins[k]}
+    emptiest = np.argsort(a.fills, kind="stable")[: int(EMPTIEST ** rng.random())]
+    finest = np.argsort(-np.array(list(map(len, a.bins))) - rng.random(len(a.bins)) * 3, kind="stable")[: int(rng.integers(0, FINEST + 1))]
+    opened = np.zeros(len(a.bins), bool)
+    opened[[*emptiest, *finest, *a.genome[list(inside)]]] = True
+    loose = [i for k in np.flatnonzero(opened).tolist() for i in a.bins[k] if i not in inside]
+    stay = (~opened).tolist()
+    kept = Packing([*compress(a.bins, stay), *(b.bins[k] for k in injected)], [*compress(a.fills, stay), *(b.fills[k] for k in injected)])
+    loose = exchange(lengths, kept, loose, capacity)
+    by_room, found = rooms_of(kept.fills, capacity), []
+    for i in range(ORDERS):
+        noise = rng.random(len(loose)) * 0.2 * i
+        order = [x for _, x in sorted(zip((-np.array([lengths[x] for x in loose]) * (1 - noise)).tolist(), loose, strict=True))]
+        found.append(best_fit(lengths, order, capacity, kept, by_room))
+    return emptied(lengths, min(found, key=lambda p: p.score(capacity)), capacity)
+
+
+def emptied(lengths: list[int], packing: Packing, capacity: int) -> Packing:
+    """The emptiest bin's pieces exchanged for shorter ones wherever other bins have gaps, as often as it gains."""
+    for _ in range(POLISHED):
+        least = int(np.argmin(packing.fills))
+        others = Packing([*packing.bins[:least], *packing.bins[least + 1 :]], [*packing.fills[:least], *packing.fills[least + 1 :]])
+        loose = exchange(lengths, others, packing.bins[least], capacity)
+        better = best_fit(lengths, sorted(loose, key=lambda i: (-lengths[i], i)), capacity, others)
+        if better.score(capacity) >= packing.score(capacity):
+            break
+        packing = better
+    return packing
 
 
-def evolved(lengths: list[int], population: list[list[list[int]]], capacity: int, rng: np.random.Generator) -> list[list[list[int]]]:
-    """One epoch on one island, best first. The first individual is best-fit decreasing, the others start from orders
-    with noise; each offspring replaces the worst individual if it is better."""
+def evolved(lengths: list[int], population: list[Packing], capacity: int, rng: np.random.Generator, offspring: int = OFFSPRING) -> list[Packing]:
+    """One epoch on one island, best first. A new island starts from best-fit decreasing and from orders with noise; each
+    offspring replaces the worst individual if it is better. It ends early at the least number of bins that could do."""
     n = len(lengths)
-    while len(population) < POPULATION:
-        noise = rng.random(n) * (0.15 * len(population))
-        order = sorted(range(n), key=lambda i: (-lengths[i] * (1 - noise[i]), i))
-        population.append(best_fit(lengths, order, capacity))
-    scored = sorted(((fitness(lengths, p, capacity), p) for p in population), key=lambda x: x[0])[:POPULATION]
+    population = list(population)
+    for k in range(POPULATION - len(population)):
+        noise = rng.random(n) * (0.05 * k)
+        population.append(best_fit(lengths, sorted(range(n), key=lambda i: (-lengths[i] * (1 - noise[i]), i)), capacity))
+    scored = sorted(((p.score(capacity), p) for p in population), key=lambda x: x[0])
     floor = -(-sum(lengths) // capacity)
-    for _ in range(OFFSPRING):
+    for _ in range(offspring):
         if scored[0][0][0] <= floor:
             break
         i, j = sorted(rng.choice(len(scored), 2, replace=False))
         child = crossed(lengths, scored[i][1], scored[j][1], capacity, rng)
-        rated = (fitness(lengths, child, capacity), child)
+        rated = (child.score(capacity), child)
         if rated[0] < scored[-1][0]:
             scored = sorted([*scored[:-1], rated], key=lambda x: x[0])
     return [p for _, p in scored]
 
 
-def _genome(bins: list[list[int]], n: int) -> list[int]:
-    out = [0] * n
-    for b, items in enumerate(bins):
-        for i in items:
-            out[i] = b
-    return out
-
-
-def _bins(genome: list[int]) -> list[list[int]]:
-    out: list[list[int]] = [[] for _ in range(max(genome, default=-1) + 1)]
+def _packing(genome: list[int], lengths: list[int]) -> Packing:
+    bins: list[list[int]] = [[] for _ in range(max(genome, default=-1) + 1)]
     for i, b in enumerate(genome):
-        out[b].append(i)
-    return out
+        bins[b].append(i)
+    return Packing(bins, [sum(lengths[i] for i in b) for b in bins])
 
 
 def _epoch(capacity: int, epoch: int):
@@ -188,8 +248,8 @@ def _epoch(capacity: int, epoch: int):
             for row in batch.to_pylist():
                 lengths = row["lengths"]
                 rng = np.random.default_rng([SEED, epoch, row["chunk"], row["island"]])
-                found = evolved(lengths, [_bins(g) for g in row["population"] or []], capacity, rng)
-                row["population"] = [_genome(p, len(lengths)) for p in found[: POPULATION if epoch < EPOCHS - 1 else 1]]
+                found = evolved(lengths, [_packing(g, lengths) for g in row["population"] or []], capacity, rng)
+                row["population"] = [p.genome.tolist() for p in found[: POPULATION if epoch < EPOCHS - 1 else 1]]
                 yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
 
     return run
@@ -205,28 +265,19 @@ def _migrated(islands: DataFrame) -> DataFrame:
     return met.select("chunk", "island", "lengths", F.concat("_own", "_elite").alias("population"))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset; no sequence holds more than `capacity` tokens.
+def pack_groups(groups: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """groups: chunk, lengths, start (a packing to start from as each piece's bin from 0 without gaps, or null). One row
+    per piece: _chunk, _at (its place in `lengths`), _n, _bin. No group gets more bins than it starts with.
 
-    A piece of full length is a sequence by itself. The others are numbered in a pseudorandom order and packed in groups
-    of GROUP, so a task holds a few groups whatever the input's size; a group is one row with its lengths and the
-    populations of one island, and epochs exchange elites between its islands. The shorter bins of each group cost at
-    most one sequence in about GROUP pieces over packing all at once.
+    A group is one row with its lengths and the populations of one island, and epochs exchange elites between its islands.
     """
-    held = cut(pieces.withColumn("_id", F.monotonically_increasing_id()))
-    whole = held.where(F.col("length") >= capacity)
-    alone = whole.select("*", (-1 - F.col("_id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    short = running_totals(held.where(F.col("length") < capacity), [F.xxhash64(F.col("_id"), F.lit(SEED))], "length")
-    short = short.withColumn("chunk", F.expr(f"_row div {GROUP}")).withColumn("_item", F.expr(f"cast(_row % {GROUP} as int)"))
-    short = cut(short.drop("_start", "_row"))
-    groups = short.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("_item", F.col("length").cast("int").alias("n")))).alias("_g"))
     kind = "chunk long, island int, lengths array<int>, population array<array<int>>"
     islands = groups.select(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("_g.n").alias("lengths"),
-        F.lit(None).cast("array<array<int>>").alias("population"),
+        "chunk", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths",
+        F.expr("if(start is null, null, array(start))").cast("array<array<int>>").alias("population"),
     )
     # Islands are slow to evolve but small to move: dealt to a given number of partitions, they aren't coalesced by bytes.
-    partitions = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for epoch in range(EPOCHS):
         if epoch:
             islands = _migrated(islands)
@@ -234,19 +285,51 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     best = islands.withColumn("_g", F.col("population")[0])
     size = F.struct(F.array_max("_g").alias("bins"), "island")
     best = best.groupBy("chunk").agg(F.min_by(F.struct("_g", "lengths"), size).alias("_b"))
-    items = best.select("chunk", F.posexplode(F.arrays_zip("_b._g", "_b.lengths")).alias("_item", "_z"))
-    before = Window.partitionBy("chunk", "_bin").orderBy("_item").rowsBetween(Window.unboundedPreceding, -1)
-    placed = items.select("chunk", "_item", F.col("_z._g").alias("_bin"), F.col("_z.lengths").alias("_n")).select(
-        F.col("chunk").alias("_chunk"), F.col("_item").alias("_at"), (F.col("chunk") * GROUP + F.col("_bin")).alias("sequence_id"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("offset"),
-    )
+    items = best.select("chunk", F.posexplode(F.arrays_zip("_b._g", "_b.lengths")).alias("_at", "_z"))
+    return items.select(F.col("chunk").alias("_chunk"), "_at", F.col("_z.lengths").alias("_n"), F.col("_z._g").alias("_bin"))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The pieces with sequence_id and offset; no sequence holds more than `capacity` tokens.
+
+    A piece of full length is a sequence by itself. The others are numbered in a pseudorandom order and packed in groups
+    of GROUP, so a task holds a few groups whatever the input's size. What a group can't fill well isn't left so:
+    LOOSE_BINS of each group's emptiest bins and as many of its bins of most pieces, of SPAN groups together, are packed
+    once more by the same algorithm from where they stand.
+    """
+    held = cut(pieces.withColumn("_id", F.monotonically_increasing_id()))
+    whole = held.where(F.col("length") >= capacity)
+    alone = whole.select("*", (F.col("_id") * 3).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = running_totals(held.where(F.col("length") < capacity), [F.xxhash64(F.col("_id"), F.lit(SEED))], "length")
+    short = short.withColumn("chunk", F.expr(f"_row div {GROUP}")).withColumn("_item", F.expr(f"cast(_row % {GROUP} as int)"))
+    short = cut(short.drop("_start", "_row"))
+    groups = short.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("_item", F.col("length").cast("int").alias("n")))).alias("_g"))
+    first = pack_groups(groups.select("chunk", F.col("_g.n").alias("lengths"), F.lit(None).cast("array<int>").alias("start")), capacity)
+    fills = first.groupBy("_chunk", "_bin").agg(F.sum("_n").alias("_fill"), F.count(F.lit(1)).alias("_pieces"))
+    emptiest = F.row_number().over(Window.partitionBy("_chunk").orderBy("_fill", "_bin"))
+    finest = F.row_number().over(Window.partitionBy("_chunk").orderBy(F.desc("_pieces"), "_bin"))
+    chosen = fills.withColumn("_k", F.least(emptiest, finest)).where(F.col("_k") <= LOOSE_BINS).select("_chunk", "_bin", "_k")
+    first = cut(first.join(chosen, ["_chunk", "_bin"], "left"))
+    loose = first.where("_k is not null").groupBy(F.expr(f"_chunk div {SPAN}").alias("chunk"))
+    loose = loose.agg(F.array_sort(F.collect_list(F.struct("_chunk", "_at", F.col("_n").cast("int").alias("n"), "_bin"))).alias("_g"))
+    loose = loose.withColumn("_bins", F.expr("array_distinct(transform(_g, x -> struct(x._chunk, x._bin)))"))
+    start = F.expr("transform(_g, x -> cast(array_position(_bins, struct(x._chunk, x._bin)) - 1 as int))")
+    loose = cut(loose.select("chunk", F.col("_g.n").alias("lengths"), start.alias("start"), "_g"))
+    second = pack_groups(loose.drop("_g"), capacity).select(F.col("_chunk").alias("_c"), F.col("_at").alias("_a"), F.col("_bin").alias("_b"))
+    members = loose.select("chunk", F.posexplode("_g").alias("_p", "_x")).join(second, F.expr("chunk = _c and _p = _a"))
+    placed = first.where("_k is null").select("_chunk", "_at", "_n", (F.expr(f"_chunk * {GROUP} + _bin") * 3 + 1).alias("sequence_id"))
+    placed = placed.unionByName(
+        members.select("_x._chunk", "_x._at", F.col("_x.n").alias("_n"), (F.expr(f"chunk * {GROUP * SPAN} + _b") * 3 + 2).alias("sequence_id"))
+    )
+    before = Window.partitionBy("sequence_id").orderBy("_chunk", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("offset", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long"))
     packed = short.join(placed, F.expr("chunk = _chunk and _item = _at"))
     columns = [*pieces.columns, "sequence_id", "offset"]
     return packed.select(*columns).unionByName(alone.select(*columns))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, row, sequence_id, offset.
 
     A null or empty text is one piece of one id. Repeated rows are packed each. Only documents longer than a sequence are
     cut. Other columns are ignored; an empty table gives no rows.
