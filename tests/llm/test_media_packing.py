@@ -161,7 +161,7 @@ def test_evolution_beats_best_fit():
     assert saved > 0
 
 
-def test_genetic_steps():
+def test_genetic_steps(monkeypatch):
     rng = np.random.default_rng(4)
     lengths = rng.integers(1, 700, 400).tolist()
     everything = list(range(400))
@@ -172,8 +172,10 @@ def test_genetic_steps():
         assert sorted(i for x in found.bins for i in x) == everything and all(sum(lengths[i] for i in x) <= 1024 for x in found.bins)
         assert found.fills == [sum(lengths[i] for i in x) for x in found.bins]
         assert found.genome.tolist() == P._packing(found.genome.tolist(), lengths).genome.tolist()
-    whole = [set(x) for x, n in zip(b.bins, b.fills, strict=True) if n >= P.WELL_FILLED * 1024]
-    assert any(set(x) in whole for x in child.bins)
+    monkeypatch.setattr(P, "WELL_FILLED", 1.0)  # only full bins are injected, which no exchange can better
+    full = [set(x) for x, n in zip(b.bins, b.fills, strict=True) if n == 1024 and set(x) not in map(set, a.bins)]
+    child = P.crossed(lengths, a, b, 1024, rng)
+    assert full and any(set(x) in full for x in child.bins)
     best = P.evolved(lengths, [], 1024, rng)[0]
     assert best.score(1024) <= P.best_fit(lengths, sorted(everything, key=lambda i: -lengths[i]), 1024).score(1024)
 
