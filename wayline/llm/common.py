@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word of prose: anything between ASCII white space.
+#: ASCII white space; a word of prose: anything between it.
+SPACE = r"[\x20\x09-\x0D]"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -1,11 +1,11 @@
-"""Mixing sources to target weights: token blocks, conditioned multinomial draws, index permutations."""
+"""Mixing sources to target weights: word blocks, multinomial source counts of each shard, index permutations."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.common import SPACE_WORD, cut, table, whole
+from wayline.llm.common import SPACE, SPACE_WORD, cut, table, whole
 from wayline.llm.prefix import running_totals
 
 #: Weights dealt to the sources in code-point order, repeating; the share of all words that the mix has; the most that
@@ -32,7 +32,8 @@ def source_targets(sized: DataFrame, block: int = BLOCK) -> DataFrame:
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("source_no") % len(WEIGHTS) + 1).cast("int"))
     whole = Window.partitionBy(F.lit(0))
     level = Window.orderBy("_ratio", "source_no")
-    before, after = level.rowsBetween(Window.unboundedPreceding, -1), level.rowsBetween(0, Window.unboundedFollowing)
+    before = level.rowsBetween(Window.unboundedPreceding, -1)
+    weight_left = F.sum("_weight").over(whole) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))
     target = F.when(F.col("_stops"), F.col("_most")).otherwise(
         F.col("_weight") * (F.col("_all") * SHARE - F.col("_stopped")) / F.col("_open")
     )
@@ -44,7 +45,7 @@ def source_targets(sized: DataFrame, block: int = BLOCK) -> DataFrame:
         .withColumn("_ratio", F.col("_most") / F.col("_weight"))
         .withColumn("_all", F.sum("source_size").over(whole))
         .withColumn("_left", F.col("_all") * SHARE - F.coalesce(F.sum("_most").over(before), F.lit(0.0)))
-        .withColumn("_stops", F.col("_left") / F.sum("_weight").over(after) >= F.col("_ratio"))
+        .withColumn("_stops", F.col("_left") / weight_left >= F.col("_ratio"))
         .withColumn("_stopped", F.sum(F.when(F.col("_stops"), F.col("_most")).otherwise(0.0)).over(whole))
         .withColumn("_open", F.sum(F.when(~F.col("_stops"), F.col("_weight")).otherwise(0.0)).over(whole))
         .withColumn("target", target)
@@ -66,64 +67,83 @@ def permuted(index: str, size: str, *key: str, rounds: int = ROUNDS) -> Column:
     return F.expr(f"aggregate(array({keys}), {index}, {step})")
 
 
-def draw_slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """One row per slot of the mix: shard, place, source_no, pass, block.
+def _with_firsts(targets: DataFrame) -> DataFrame:
+    """The sources that fill slots, each with the number of slots before its own."""
+    first = F.coalesce(F.sum("slots").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return targets.withColumn("_first", first).where("slots > 0").select("source_no", "blocks", "slots", "_first")
+
+
+def _total(targets: DataFrame) -> int:
+    """Slots of the whole mix; 1 where there are none, so that a remainder by it is defined."""
+    return targets.agg(F.sum("slots")).first()[0] or 1
 
-    Every source's slots are dealt over all places of all shards by one pseudorandom permutation of the places, so the
-    counts of the sources in a shard are a multinomial draw conditioned on each source's total. Within its source, slot
-    k takes block perm(k mod blocks) of pass k div blocks; a block is thus taken at most once in each pass.
+
+def shard_counts(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """shard, source_no, slots: how many of each output shard's slots each source fills.
+
+    One pseudorandom permutation deals all sources' slots over all places of all shards: a shard's counts are a
+    multinomial draw by the targets, conditioned on each source's total, which independent draws would miss. The counts
+    are summed where the slots are made, so a row for each shard and source is all that moves.
     """
-    total = targets.agg(F.sum("slots")).first()[0] or 0
-    first = F.coalesce(F.sum("slots").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = _total(targets)
     chunks = (
-        targets.withColumn("_first", first)
-        .where("slots > 0")
-        .select("source_no", "blocks", "slots", "_first", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("_chunk"))
+        _with_firsts(targets)
+        .select("source_no", "slots", "_first", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("_chunk"))
         .repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "_chunk")
     )
-    slots = chunks.select(
-        "source_no", "blocks", "_first",
-        F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(slots, (_chunk + 1) * {CHUNK}) - 1)")).alias("_k"),
-    )
-    placed = (
-        slots.withColumn("pass", F.expr("cast(_k div blocks as int)"))
-        .withColumn("_i", F.expr("_k % blocks"))
-        .withColumn("block", permuted("_i", "blocks", "source_no", "pass"))
-        .withColumn("_p", F.col("_first") + F.col("_k"))
-        .withColumn("_place", permuted("_p", f"{total}L", "-1"))
-    )
-    return placed.select(
-        F.expr(f"_place div {shard_slots}").alias("shard"), F.expr(f"_place % {shard_slots}").alias("place"), "source_no", "pass", "block"
-    )
+    places = chunks.select("source_no", F.explode(F.expr(f"sequence(_first + _chunk * {CHUNK}, _first + least(slots, (_chunk + 1) * {CHUNK}) - 1)")).alias("_p"))
+    dealt = places.select(permuted("_p", f"{total}L", "-1").alias("_place"), "source_no")
+    return dealt.groupBy(F.expr(f"_place div {shard_slots}").alias("shard"), "source_no").agg(F.count(F.lit(1)).alias("slots"))
 
 
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """How many slots of each output shard each source has."""
-    return slots.groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("slots"))
+def draw_slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """One row per slot of the mix: shard, place, source_no, pass, block.
+
+    The drawn counts say which slots are whose: shard by shard, each source goes on where its count in the shards before
+    left it (prefix sums over shards), and slot k of a source takes block perm(k mod blocks) of pass k div blocks; a
+    block is thus taken at most once in each pass. Within its shard the slots' places are permuted.
+    """
+    total = _total(targets)
+    counts = running_totals(shard_counts(targets, shard_slots), [F.col("source_no"), F.col("shard")], "slots")
+    firsts = _with_firsts(targets).select(F.col("source_no").alias("_no"), "blocks", "_first")
+    if targets.count() <= FEW_SOURCES:
+        firsts = F.broadcast(firsts)
+    before = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.join(firsts, F.expr("source_no = _no")).withColumn("_at", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+    slots = counts.select("shard", "source_no", "blocks", "_at", (F.col("_start") - F.col("_first")).alias("_k0"), F.explode(F.expr("sequence(0L, slots - 1)")).alias("_j"))
+    slots = slots.select(
+        "shard", "source_no", "blocks", (F.col("_k0") + F.col("_j")).alias("_k"), (F.col("_at") + F.col("_j")).alias("_p"),
+        F.least(F.lit(shard_slots).cast("long"), F.lit(total) - F.col("shard") * shard_slots).alias("_slots"),
+    )
+    taken = slots.withColumn("pass", F.expr("cast(_k div blocks as int)")).withColumn("_i", F.expr("_k % blocks"))
+    return taken.select(
+        "shard", permuted("_p", "_slots", "shard", "-2").alias("place"), "source_no", "pass", permuted("_i", "blocks", "source_no", "pass").alias("block")
+    )
 
 
-def document_key() -> Column:
-    """A text that rows share only if they repeat one another in id, text and source; never null, so plain equality joins
-    on it and rows dealt by it for one purpose need not move for the next."""
-    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    return F.concat_ws(":", part("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).cast("string"), part("source")).alias("doc_key")
+def document_key(docs: DataFrame) -> Column:
+    """A text that rows share only if they repeat one another in every column; never null, so plain equality joins on it
+    and rows dealt by it for one purpose need not move for the next."""
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"})
+    part = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00"))
+    return F.concat_ws(":", part, F.xxhash64("text").cast("string"), F.xxhash64(others).cast("string"), F.col("text").isNull().cast("string")).alias("doc_key")
 
 
 def placed_documents(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The documents on their sources' word lines, and the sources.
 
     A document's size is its number of words (null text: 0). Each source's documents follow one another in a
-    pseudorandom order that depends on their ids and texts only; equal rows are interchangeable.
+    pseudorandom order that depends on their ids and texts, then on their other columns; equal rows are interchangeable.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = cut(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-            F.regexp_count(text, F.lit(SPACE_WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_key"), document_key(),
+            F.regexp_count(text, F.lit(SPACE_WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_key"), document_key(docs),
         )
     )
     targets = cut(source_targets(sized, block))
-    order = [F.col("source").asc_nulls_last(), F.xxhash64(F.lit(SEED), "doc_id", "text_key"), F.col("doc_id"), F.col("text_key")]
+    order = [F.col("source").asc_nulls_last(), F.xxhash64(F.lit(SEED), "doc_id", "text_key"), F.col("doc_id"), F.col("text_key"), F.col("doc_key")]
     lined = running_totals(sized, order, "size")
     starts = lined.groupBy(F.col("source").alias("_of")).agg(F.min("_start").alias("_source_start"))
     sources = targets.withColumnRenamed("source", "_name").join(starts, F.expr("_name <=> _of")).drop("_of")
@@ -174,11 +194,15 @@ def mix_report(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLO
     )
 
 
-def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix as documents: for each document and pass, the words that the mix takes, in order, joined by spaces.
+def mix_documents(docs: DataFrame, block: int = BLOCK, pass_column: str | None = None) -> DataFrame:
+    """The mix as documents: for each document and pass, what the mix takes of it, in order, as it stands in the text.
 
-    A document appears once for each pass that takes some of it (at most REPEATS times) and not at all if none does.
-    The columns are those of `docs`; n_chars, where it exists, follows the new text.
+    A word goes with the white space after it, the first one also with that before it, so runs that follow one another
+    keep lines and indents, and a document that is taken whole is unchanged. A document appears once for each pass that
+    takes some of it (at most REPEATS times) and not at all if none does, as is the case for null texts and texts without
+    words. Repeated rows are documents of their own; a null id, source or other column stays as it is; ties of the order
+    are broken by all columns; an empty table gives no rows. The columns are those of `docs`, and `pass_column`, if named,
+    with the number of the pass; n_chars, where it exists, follows the new text.
     """
     runs = taken_runs(*placed_documents(docs, block), block).where("passes <> 0 and words > 0")
     picked = (
@@ -186,15 +210,17 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         .groupBy("_row", "doc_key", "_pass")
         .agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias("_runs"))
     )
-    texts = docs.select(document_key().alias("_key"), whole(docs)).dropDuplicates(["_key"])
+    texts = docs.select(document_key(docs).alias("_key"), whole(docs)).dropDuplicates(["_key"])
     met = picked.join(texts, F.expr("doc_key = _key"))
     # The words are a lambda's variable, so that they are found once a row and not once a run.
-    words = F.array(F.regexp_extract_all("_doc.text", F.lit(SPACE_WORD), F.lit(0)))
-    run = lambda w: F.transform("_runs", lambda r: F.array_join(F.slice(w, r["from"].cast("int") + 1, r["words"].cast("int")), " "))
-    mixed = met.withColumn("_text", F.transform(words, lambda w: F.array_join(run(w), " "))[0])
+    words = F.array(F.regexp_extract_all("_doc.text", F.lit(f"(?:^{SPACE}+)?{SPACE_WORD}{SPACE}*"), F.lit(0)))
+    run = lambda w: F.transform("_runs", lambda r: F.array_join(F.slice(w, r["from"].cast("int") + 1, r["words"].cast("int")), ""))
+    mixed = met.withColumn("_text", F.transform(words, lambda w: F.array_join(run(w), ""))[0])
     cols = {c: F.col(f"_doc.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
     if "n_chars" in cols:
         cols["n_chars"] = F.length("_text").cast("long")
+    if pass_column:
+        cols[pass_column] = F.col("_pass")
     return mixed.select(*[v.alias(c) for c, v in cols.items()])
 
 
