@@ -1,4 +1,6 @@
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +89,36 @@ def test_route_progress(spark):
     rows = {(r["route_id"], r["lat"]): r for r in R.route_progress(at, points).collect()}
     assert rows["r", 28.5451]["percent"] == 0 and rows["r", 28.5520]["percent"] == 100
     assert rows["one", 1.0]["progress_text"] == "Progress: 100%" and rows["none", 1.0]["progress_text"] == "Progress: --"
+
+
+def test_nearest_points_match_brute_force(spark):
+    """Near and far positions, ties, equal places, the poles and the date line."""
+    rng = random.Random(5)
+    points = [("r", i, 51 + rng.random() * 0.01, rng.random() * 0.01) for i in range(150)] + [("r", 150 + i, 51.005, 0.005) for i in range(3)]
+    points += [("w", i, a, b) for i, (a, b) in enumerate([(0.0, 179.9999), (0.0, -179.9999), (89.9999, 10.0), (-89.9, 0.0), (0.0, 1.0), (0.0, -1.0)])] + [("w", 9, None, 1.0)]
+    at = [("r", 51 + rng.random() * 0.02, rng.random() * 0.02) for _ in range(80)] + [("r", 40.0, 100.0), ("r", 51.005, 0.005), ("r", None, 1.0), ("none", 1.0, 1.0)]
+    at += [("w", 0.0, 180.0), ("w", 89.9999, -170.0), ("w", 0.0, 0.0), ("w", -60.0, 45.0)]
+    p = spark.createDataFrame([(*x, float(x[1])) for x in points], "k string, seq int, lat double, lon double, to_end_m double")
+    a = spark.createDataFrame([(i, *x) for i, x in enumerate(at)], "n int, k string, lat double, lon double")
+
+    def away(x, y):
+        h = math.sin(math.radians(y[0] - x[0]) / 2) ** 2 + math.cos(math.radians(x[0])) * math.cos(math.radians(y[0])) * math.sin(math.radians(y[1] - x[1]) / 2) ** 2
+        return 2 * 6371000.0 * math.atan2(math.sqrt(h), math.sqrt(max(0, 1 - h)))
+
+    found = {r["n"]: r for r in R.nearest_points(a, p, ["k"], "n").collect()}
+    for i, (k, lat, lon) in enumerate(at):
+        near = sorted((round(away((lat, lon), (x[2], x[3])), 6), x[1]) for x in points if x[0] == k and None not in (lat, x[2]))
+        if not near:
+            assert i not in found
+        else:
+            assert found[i]["d"] == pytest.approx(near[0][0], abs=1e-5) and found[i]["seq"] in [s for d, s in near if d <= near[0][0] + 1e-5] and found[i]["rest"] == found[i]["seq"]
+    assert found[81]["seq"] == 150
+
+
+def test_a_long_route(spark):
+    """One route of 100,000 points with as many positions: work grows with the points, not with their square."""
+    rows = spark.range(100_000).select(F.lit("r").alias("route_id"), F.col("id").alias("seq"), (51 + F.col("id") * 1e-5).alias("lat"), (F.sin(F.col("id") / 50) / 1000).alias("lon"))
+    began = time.perf_counter()
+    found = R.route_progress(rows.withColumn("lon", F.col("lon") + 1e-5).drop("seq"), rows)
+    least, most, n = found.agg(F.min("remaining_m"), F.max("remaining_m"), F.count("remaining_m")).first()
+    assert n == 100_000 and least < 2 and most > 111_000 and time.perf_counter() - began < 60

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import geo, text
+from wayline.operators.storage import cut
 
 
 @dataclass(frozen=True)
@@ -146,24 +147,67 @@ def route_lengths(points: DataFrame, key: str = "route_id") -> DataFrame:
     """Each route point with the metres from it to the route's end and the route's whole length."""
     w = Window.partitionBy(key).orderBy("seq")
     piece = geo.haversine_atan2_m(F.col("lat"), F.col("lon"), F.lead("lat").over(w), F.lead("lon").over(w))
-    rest = w.rowsBetween(0, Window.unboundedFollowing)
+    rest = Window.partitionBy(key).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)  # a frame that grows
     rows = points.withColumn("_piece", F.coalesce(piece, F.lit(0.0))).withColumn("to_end_m", F.sum("_piece").over(rest))
     return rows.withColumn("route_m", F.sum("_piece").over(Window.partitionBy(key))).drop("_piece")
 
 
+#: Metres within which the nearest point is looked for first, and how many times farther each next time.
+NEAR_M, FARTHER = 32.0, 8
+#: Any distance on the earth is less.
+FAR_M = 2.1e7
+
+
+def _on_globe(lat: Column, lon: Column) -> list[Column]:
+    """Metres along three axes: a straight distance, so never more than that along the ground."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [geo.EARTH_RADIUS_M * x for x in (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))]
+
+
+def nearest_points(at: DataFrame, points: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """For each position (keys, `row`, lat, lon; `row` numbers the positions) of a key that has points (keys, seq, lat,
+    lon, to_end_m): row, d, seq, rest of the nearest point by great-circle metres, the first on a tie.
+
+    Points are packed by cells of a grid in space, twice as wide as the distance looked in, so a position meets the points
+    of at most eight cells. Whatever has a point within that distance has found its nearest; only the others go on, with
+    cells FARTHER times as wide. Where several points are at one place the first counts. Places with a null take no part.
+    """
+    placed = "lat is not null and lon is not null"
+    one = cut(points.where(placed).groupBy(*keys, "lat", "lon").agg(F.min(F.struct("seq", "to_end_m")).alias("_p")))
+    left, found, radius = cut(at.where(placed).select(*keys, row, "lat", "lon")), None, NEAR_M
+    while True:
+        last = radius >= FAR_M
+        cell = lambda x, off: F.floor((x + off) / (2 * radius)).cast("long")  # noqa: E731, B023
+        held = one.withColumn("_cell", F.lit(0) if last else F.struct(*[cell(x, 0.0) for x in _on_globe(F.col("lat"), F.col("lon"))]))
+        held = held.groupBy(*keys, "_cell").agg(F.collect_list(F.struct("lat", "lon", F.col("_p.seq").alias("seq"), F.col("_p.to_end_m").alias("rest"))).alias("_points"))
+        x, y, z = _on_globe(F.col("lat"), F.col("lon"))
+        sides = (-radius, radius)
+        cells = F.array(F.lit(0)) if last else F.array_distinct(F.array(*[F.struct(cell(x, i), cell(y, j), cell(z, k)) for i in sides for j in sides for k in sides]))
+        asked = left.withColumn("_cell", F.explode(cells))
+        away = lambda p: F.struct(geo.haversine_atan2_m(F.col("lat"), F.col("lon"), p["lat"], p["lon"]).alias("d"), p["seq"].alias("seq"), p["rest"].alias("rest"))
+        best = asked.join(held, [*keys, "_cell"]).select(row, F.array_min(F.transform("_points", away)).alias("_n"))
+        best = best.groupBy(row).agg(F.min("_n").alias("_n")).select(row, "_n.*")
+        best = cut(best if last else best.where(F.col("d") <= radius))
+        found = best if found is None else found.unionByName(best)
+        left = cut(left.join(best.select(row), row, "left_anti").join(one.select(*keys).distinct(), keys, "left_semi"))
+        if last or left.isEmpty():
+            return found
+        radius *= FARTHER
+
+
 def route_progress(at: DataFrame, points: DataFrame, key: str = "route_id", total: str | None = None) -> DataFrame:
     """Remaining metres, whole percent done and their texts for positions (lat, lon) on the route of their key.
 
     Counted from the nearest route point (the first on a tie). `total` names a column with the planned length that counts
     instead of the measured one where positive. No points: nothing remains and the texts are dashes; no length: done.
     """
-    packed = F.struct("seq", "lat", "lon", "to_end_m")
-    routes = route_lengths(points, key).groupBy(key).agg(F.array_sort(F.collect_list(packed)).alias("_route"), F.max("route_m").alias("_length"))
-    rows = at.join(routes, key, "left")
-    away = lambda p: geo.haversine_atan2_m(F.col("lat"), F.col("lon"), p["lat"], p["lon"])
-    near = F.array_min(F.transform("_route", lambda p: F.struct(away(p).alias("d"), p["seq"].alias("seq"), p["to_end_m"].alias("rest"))))
+    measured = cut(route_lengths(points, key))
+    lengths = measured.groupBy(key).agg(F.max("route_m").alias("_length"))
+    asked = cut(at.withColumn("_row", F.monotonically_increasing_id()))
+    near = nearest_points(asked, measured, [key], "_row").select("_row", F.struct("d", "seq", "rest").alias("_near"))
+    rows = asked.join(lengths, key, "left").join(near, "_row", "left")
     length = F.col("_length") if total is None else F.when(F.col(total) > 0, F.col(total)).otherwise(F.col("_length"))
-    rows = rows.withColumn("_near", near).withColumn("_total", length)
+    rows = rows.withColumn("_total", length)
     none, done = F.col("_near").isNull(), F.col("_total") <= 0
     remaining = F.when(none | done, 0.0).otherwise(F.least(F.col("_total"), F.greatest(F.lit(0.0), F.col("_near.d") + F.col("_near.rest"))))
     rows = rows.withColumn("remaining_m", remaining)
@@ -171,4 +215,4 @@ def route_progress(at: DataFrame, points: DataFrame, key: str = "route_id", tota
     rows = rows.withColumn("percent", F.when(none, 0).when(done, 100).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), part))))
     rows = rows.withColumn("remaining_text", F.when(none, "--").otherwise(text.distance_text(F.col("remaining_m"))))
     shown = F.when(none, "Progress: --").when(done, "Progress: 100%").otherwise(text.progress_text(F.col("percent"), F.col("remaining_text")))
-    return rows.withColumn("progress_text", shown).drop("_route", "_length", "_near", "_total")
+    return rows.withColumn("progress_text", shown).drop("_row", "_length", "_near", "_total")

@@ -81,9 +81,11 @@ def nearest_as_of(left: DataFrame, right: DataFrame, at: str, time: str, values:
     both = asked.select(key, F.col(at).alias("_t"), F.lit(1).alias("_side"), "_row", F.lit(None).cast(one.schema["_v"].dataType).alias("_v")).unionByName(
         one.select(key, "_t", F.lit(0).alias("_side"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), "_v")
     )
-    w = Window.partitionBy(key).orderBy("_t", "_side")
-    back = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Both frames grow row by row; one that shrank would be gone through anew for every row.
+    back, ahead = (
+        F.last("_v", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        for order in (("_t", "_side"), (F.desc("_t"), F.desc("_side")))
+    )
     met = both.withColumn("_b", back).withColumn("_a", ahead).where("_side = 1")
     pick = F.when(F.col("_a").isNull() | (F.col("_t") - F.col("_b.t") <= F.col("_a.t") - F.col("_t")), F.col("_b")).otherwise(F.col("_a"))
     met = met.withColumn("_p", pick)

@@ -91,7 +91,7 @@ def blend_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def elapsed_time(spark: SparkSession, sf: str) -> DataFrame:
     points = raw_steps(spark, sf).select("session_id", "i", "t_s")
-    inside = B.members(points, event_intervals(spark, sf).where("duration_s = 10"))
+    inside = B.members(points, event_intervals(spark, sf))
     return inside.select(*KEYS, "i", (F.col("t_s") - F.col("start_s")).alias("elapsed_s"))
 
 
@@ -181,7 +181,7 @@ ORACLES = {
       FROM blend b JOIN variants v ON v.session_id = b.session_id AND v.duration_s = b.duration_s AND v.i = b.i + 1)
       SELECT session_id, duration_s, i, {O.r("sin(h)", 5)} AS east, {O.r("cos(h)", 5)} AS north FROM blend""",
     "elapsed_time": O.sql("""SELECT v.session_id, v.duration_s, v.interval_idx, s.i, s.t_s - v.start_s AS elapsed_s FROM raw s JOIN intervals v
-      ON v.session_id = s.session_id AND v.duration_s = 10 AND s.t_s BETWEEN v.start_s AND v.end_s"""),
+      ON v.session_id = s.session_id AND s.t_s BETWEEN v.start_s AND v.end_s"""),
     "comparison_unpivot_join": _VERSION_SQL + f"SELECT duration_s, metric, {', '.join(f'{O.r(v, 4)} AS {v}' for v in ('baseline', 'version_a', 'version_b'))} FROM (SELECT duration_s, metric, {_PIVOT} FROM long GROUP BY 1, 2)",
     "improvement": _VERSION_SQL + f"""SELECT duration_s, {O.r("baseline - version_a", 3)} AS absolute_improvement, CASE WHEN baseline <> 0 THEN
       {O.r("(baseline - version_a) / baseline * 100", 2)} END AS percent_improvement FROM (SELECT duration_s, metric, {_PIVOT} FROM long WHERE metric = 'final_error_m' GROUP BY 1, 2)""",

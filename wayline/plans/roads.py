@@ -74,10 +74,10 @@ def match_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def route_progress(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions as routes of every tenth true place; positions of every seventh step, a little off."""
+    """Sessions as routes of their true places; positions of all steps, a little off."""
     steps = true_steps(spark, sf)
-    points = steps.where("i % 10 = 0").select(F.col("session_id").alias("route_id"), F.col("i").alias("seq"), F.col("gt_lat").alias("lat"), F.col("gt_lon").alias("lon"))
-    at = steps.where("i % 7 = 0").select(F.col("session_id").alias("route_id"), "i", (F.col("gt_lat") + 1e-5).alias("lat"), (F.col("gt_lon") + 2e-5).alias("lon"))
+    points = steps.select(F.col("session_id").alias("route_id"), F.col("i").alias("seq"), F.col("gt_lat").alias("lat"), F.col("gt_lon").alias("lon"))
+    at = steps.select(F.col("session_id").alias("route_id"), "i", (F.col("gt_lat") + 1e-5).alias("lat"), (F.col("gt_lon") + 2e-5).alias("lon"))
     found = R.route_progress(at, points)
     return found.select("route_id", "i", r("remaining_m", 3).alias("remaining_m"), "percent", "progress_text")
 
@@ -138,11 +138,11 @@ ORACLES = {
     "match_rollup": O.sql(f"""{_ROAD} SELECT duration_s, CAST(sum(n_steps) AS BIGINT) AS n_steps, CAST(sum(n_matched) AS BIGINT) AS n_matched, CAST(sum(n_rejected_distance) AS BIGINT) AS n_rejected_distance,
       CAST(sum(n_rejected_heading) AS BIGINT) AS n_rejected_heading, {O.r("sum(n_matched) / sum(n_steps)", 4)} AS match_fraction,
       {O.r("coalesce(sum(avg_correction_m * n_matched) / nullif(sum(n_matched), 0), 0.0)", 4)} AS avg_correction_m, {O.r("avg(avg_correction_m)", 4)} AS mean_of_means_m FROM tallied GROUP BY 1"""),
-    "route_progress": O.sql(f""", pts AS (SELECT session_id AS route_id, i AS seq, gt_lat AS lat, gt_lon AS lon FROM steps WHERE i % 10 = 0),
+    "route_progress": O.sql(f""", pts AS (SELECT session_id AS route_id, i AS seq, gt_lat AS lat, gt_lon AS lon FROM steps),
       nexts AS (SELECT *, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon FROM pts WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
       pieces AS (SELECT *, coalesce({_DIST("lat", "lon", "nlat", "nlon")}, 0.0) AS piece FROM nexts),
       rest AS (SELECT *, sum(piece) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS to_end, sum(piece) OVER (PARTITION BY route_id) AS total FROM pieces),
-      spots AS (SELECT session_id AS route_id, i, gt_lat + 1e-5 AS alat, gt_lon + 2e-5 AS alon FROM steps WHERE i % 7 = 0),
+      spots AS (SELECT session_id AS route_id, i, gt_lat + 1e-5 AS alat, gt_lon + 2e-5 AS alon FROM steps),
       away AS (SELECT a.route_id, a.i, r.seq, r.to_end, r.total, {_DIST("alat", "alon", "lat", "lon")} AS d FROM spots a JOIN rest r USING (route_id)),
       best AS (SELECT *, row_number() OVER (PARTITION BY route_id, i ORDER BY d, seq) AS rn FROM away),
       rem AS (SELECT route_id, i, total, CASE WHEN total <= 0 THEN 0.0 ELSE least(total, greatest(0.0, d + to_end)) END AS m FROM best WHERE rn = 1),

@@ -55,11 +55,11 @@ def first_differences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asof_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """For each step, the step of multiples of 3 nearest to 5 s before it, the earlier one on a tie."""
+    """For each step, the step whose uneven time is nearest to 5 s before it, the earlier one on a tie."""
     rows = samples(spark, sf)
     left = rows.select("session_id", "seq", (F.col("t_s") - 5.0).alias("at"))
-    right = rows.where("seq % 3 = 0").select("session_id", "t_s", F.col("seq").alias("hist"))
-    found = S.nearest_as_of(left, right, "at", "t_s", ["hist"])
+    right = rows.select("session_id", (F.col("t_s") + (F.col("k") % 7) / 4.0).alias("t"), F.col("seq").alias("hist"))
+    found = S.nearest_as_of(left, right, "at", "t", ["hist"])
     return found.select("session_id", "seq", "matched_hist")
 
 
@@ -208,8 +208,9 @@ ORACLES = {
       row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) - 1 AS seq FROM events)
       SELECT a.session_id, a.seq, a.event_id AS left_id, b.event_id AS right_id FROM n a JOIN n b USING (session_id, seq) WHERE a.odd = 0 AND b.odd = 1""",
     "first_differences": O.sql(f"SELECT session_id, i AS seq, {O.r('d')} AS d_value FROM (SELECT session_id, i, value - lag(value) OVER (PARTITION BY session_id ORDER BY i) AS d FROM raw)"),
-    "asof_nearest": O.sql("""SELECT session_id, seq, arg_min(hist, (abs(want - t) * 1000000 + hist)) AS matched_hist FROM (
-      SELECT a.session_id, a.i AS seq, a.t_s - 5.0 AS want, b.t_s AS t, b.i AS hist FROM raw a JOIN raw b ON a.session_id = b.session_id AND b.i % 3 = 0) GROUP BY 1, 2"""),
+    "asof_nearest": O.sql("""SELECT session_id, seq, hist AS matched_hist FROM (
+      SELECT a.session_id, a.i AS seq, b.i AS hist, row_number() OVER (PARTITION BY a.session_id, a.i ORDER BY abs(a.t_s - 5.0 - (b.t_s + (b.k % 7) / 4.0)), b.t_s + (b.k % 7) / 4.0, b.i) AS n
+      FROM raw a JOIN raw b ON a.session_id = b.session_id) WHERE n = 1"""),
     "resample_interpolate": O.sql(f"""SELECT session_id, g, t0 + g * 0.25 AS t, {O.r("CASE WHEN nt IS NULL OR nt <= t THEN v ELSE v + (t0 + g * 0.25 - t) / (nt - t) * (nv - v) END", 9)} AS v FROM (
       SELECT *, unnest(range(lo, hi + 1)) AS g FROM (
       SELECT *, CAST(ceil((t - t0) / 0.25 - 1e-9) AS BIGINT) AS lo, CAST(CASE WHEN nt IS NULL THEN floor((t - t0) / 0.25 + 1e-9) ELSE ceil((nt - t0) / 0.25 - 1e-9) - 1 END AS BIGINT) AS hi FROM (
