@@ -310,11 +310,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     finest = F.row_number().over(Window.partitionBy("_chunk").orderBy(F.desc("_pieces"), "_bin"))
     chosen = fills.withColumn("_k", F.least(emptiest, finest)).where(F.col("_k") <= LOOSE_BINS).select("_chunk", "_bin", "_k")
     first = cut(first.join(chosen, ["_chunk", "_bin"], "left"))
-    loose = first.where("_k is not null").groupBy(F.expr(f"_chunk div {SPAN}").alias("chunk"))
-    loose = loose.agg(F.array_sort(F.collect_list(F.struct("_chunk", "_at", F.col("_n").cast("int").alias("n"), "_bin"))).alias("_g"))
-    loose = loose.withColumn("_bins", F.expr("array_distinct(transform(_g, x -> struct(x._chunk, x._bin)))"))
-    start = F.expr("transform(_g, x -> cast(array_position(_bins, struct(x._chunk, x._bin)) - 1 as int))")
-    loose = cut(loose.select("chunk", F.col("_g.n").alias("lengths"), start.alias("start"), "_g"))
+    loose = first.where("_k is not null").withColumn("_span", F.expr(f"_chunk div {SPAN}"))
+    stands = F.dense_rank().over(Window.partitionBy("_span").orderBy("_chunk", "_bin")) - 1
+    piece = F.struct("_chunk", "_at", F.col("_n").cast("int").alias("n"), "_stands")
+    loose = loose.withColumn("_stands", stands.cast("int")).groupBy(F.col("_span").alias("chunk")).agg(F.array_sort(F.collect_list(piece)).alias("_g"))
+    loose = cut(loose.select("chunk", F.col("_g.n").alias("lengths"), F.col("_g._stands").alias("start"), "_g"))
     second = pack_groups(loose.drop("_g"), capacity).select(F.col("_chunk").alias("_c"), F.col("_at").alias("_a"), F.col("_bin").alias("_b"))
     members = loose.select("chunk", F.posexplode("_g").alias("_p", "_x")).join(second, F.expr("chunk = _c and _p = _a"))
     placed = first.where("_k is null").select("_chunk", "_at", "_n", (F.expr(f"_chunk * {GROUP} + _bin") * 3 + 1).alias("sequence_id"))
