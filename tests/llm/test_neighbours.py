@@ -7,13 +7,13 @@ KIND = "vec_id long, embedding array<float>, label int"
 
 
 def exact(rows):
-    """query -> [(vec_id, score)] by brute force over valid rows."""
-    ids, x = [i for i, _ in rows], np.array([v for _, v in rows], float)
+    """query -> [(vec_id, score)] by brute force over valid rows; for repeated ids the lists follow one another."""
+    ids, vectors = [i for i, _ in rows], [np.array(v, float) for _, v in rows]
     out = {}
     for n, i in enumerate(ids):
         if i % N.EVERY == 0:
-            others = sorted(((-float(x[n] @ x[m]), j) for m, j in enumerate(ids) if j != i))
-            out[i] = [(j, -s) for s, j in others[: N.NEAREST]]
+            others = sorted(((-float(vectors[n] @ x), j) for m, (j, x) in enumerate(zip(ids, vectors, strict=True)) if m != n and len(x) == len(vectors[n])))
+            out.setdefault(i, []).extend((j, -s) for s, j in others[: N.NEAREST])
     return out
 
 
@@ -42,16 +42,58 @@ def test_recall_on_the_table(spark, data):
 
 
 def test_recall_with_many_blocks(spark):
-    """Clustered vectors of unequal length over far more blocks than a query visits."""
+    """Clustered vectors of unequal length: over more than 20 blocks a query sees under 30 % of the vectors (here about a
+    tenth), and finds at least nine tenths of its nearest."""
     rng = np.random.default_rng(5)
-    centres = rng.normal(size=(40, 16))
-    x = (centres[rng.integers(0, 40, 3000)] + 0.35 * rng.normal(size=(3000, 16))) * rng.uniform(0.8, 1.2, (3000, 1))
+    centres = rng.normal(size=(120, 32))
+    x = centres[rng.integers(0, 120, 6000)] + 0.3 * rng.normal(size=(6000, 32))
+    x *= rng.uniform(0.8, 1.2, (6000, 1)) / np.linalg.norm(x, axis=1)[:, None]
     rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], KIND)
-    found, wanted = found_of(N.nearest(df, block=128)), exact(rows)
-    hits = [len({j for j, _ in found[q]} & {j for j, _ in wanted[q]}) / N.NEAREST for q in wanted]
-    assert np.mean(hits) >= 0.9
+    found = found_of(N.nearest(df, block=32))
+    ids, matrix = np.arange(len(rows)), np.array([v for _, v in rows])
+    hits = []
+    for q in found:
+        scores = matrix @ matrix[q]
+        scores[q] = -np.inf
+        hits.append(len({j for j, _ in found[q]} & set(ids[np.argsort(-scores)[: N.NEAREST]].tolist())) / N.NEAREST)
+    assert len(hits) == 300 and np.mean(hits) >= 0.9
     assert all(abs(s - float(np.dot(np.array(rows[q][1]), np.array(rows[j][1])))) < 1e-9 for q in list(found)[:20] for j, s in found[q])
+    groups, _ = N.distinct_vectors(df)
+    places = N.curve_places(groups)
+    stand, visits = {}, {}
+    for r in N.visited_blocks(places, N.window_width(groups, places), 32).collect():
+        for b in r["blocks"]:
+            (visits if r["asking"] else stand).setdefault(r["gid"] if r["asking"] else (r["curve"], b), set()).add((r["curve"], b) if r["asking"] else r["gid"])
+    assert len(stand) > 20 * N.CURVES
+    seen = [len(set().union(*(stand[b] for b in blocks))) / len(rows) for blocks in visits.values()]
+    assert len(seen) == 300 and np.mean(seen) < 0.3, np.mean(seen)
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """128 one-hot vectors, all equally far from one another: the first ids are the nearest, whatever the blocks."""
+    rows = [(i, [float(k == i) for k in range(128)]) for i in range(128)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], KIND).repartition(5)
+    found = found_of(N.nearest(df, block=16, reached=1.0))
+    assert [j for j, _ in found[40]] == list(range(20)) and [j for j, _ in found[0]] == list(range(1, 21))
+    assert {q: [j for j, _ in v] for q, v in found.items()} == {q: [j for j, _ in v] for q, v in exact(rows).items()}
+
+
+def test_best_columns():
+    rng = np.random.default_rng(2)
+    scores = rng.integers(0, 6, (50, 40)).astype(float)
+    scores[0] = -np.inf
+    for row, keep in zip(scores, N.best_columns(scores.copy(), 7), strict=True):
+        wanted = [c for c in sorted(range(40), key=lambda c: (-row[c], c))[:7] if np.isfinite(row[c])]
+        assert np.flatnonzero(keep).tolist() == sorted(wanted)
+
+
+def test_every_length_is_searched_and_repeats_count(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=3 + 2 * (i % 2)).astype(np.float32).tolist()) for i in range(90)]
+    rows += [(60, [1.0, 2.0, 3.0]), (7, [1.0, 2.0, 3.0]), (7, [1.0, 2.0, 3.0]), (0, rows[0][1]), (20, rows[21][1])]
+    found = sorted((r["query_id"], r["vec_id"], round(r["score"], 9)) for r in N.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], KIND)).collect())
+    assert found == sorted((q, j, round(s, 9)) for q, pairs in exact(rows).items() for j, s in pairs)
 
 
 def test_copies_ties_and_invalid_rows(spark):
@@ -59,10 +101,10 @@ def test_copies_ties_and_invalid_rows(spark):
     same = [1.0, 0.0, 0.0, 0.0]
     rows = [(i, same) for i in range(60)] + [(i, (0.2 * rng.normal(size=4)).astype(np.float32).tolist()) for i in range(60, 100)]
     bad = [(200, None), (220, [0.0] * 4), (240, [1.0, None, 0.0, 0.0]), (260, [1.0, float("nan"), 0.0, 0.0]), (280, [1.0, float("inf"), 0.0, 0.0]), (300, [1.0, 2.0]), (None, same)]
-    df = spark.createDataFrame([(i, v, None) for i, v in rows + bad + rows[:3]], KIND)
-    found, wanted = found_of(N.nearest(df)), exact(rows)
+    df = spark.createDataFrame([(i, v, None) for i, v in rows + bad + rows[1:3]], KIND)
+    found, wanted = found_of(N.nearest(df)), exact(rows + rows[1:3])
     assert found.keys() == wanted.keys() == {0, 20, 40, 60, 80}
-    assert [j for j, _ in found[0]] == list(range(1, 21)) and [j for j, _ in found[40]] == list(range(20))
+    assert [j for j, _ in found[0]] == [1, 1, 2, 2, *range(3, 19)] and [j for j, _ in found[40]] == [0, 1, 1, 2, 2, *range(3, 18)]
     assert all([j for j, _ in found[q]] == [j for j, _ in wanted[q]] for q in wanted)
 
 

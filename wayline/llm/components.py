@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from wayline.llm.common import cut
 
 
+def spread_join(rows: DataFrame, key: str, by: str, once: DataFrame, once_key: str) -> DataFrame:
+    """rows joined with `once`, which has one row for each key: keys with far more rows than a partition's share are dealt
+    by `by` to several partitions, and their row of `once` goes to each.
+
+    With P partitions, keys of more than twice half a share are dealt; there are at most 2 * P of them, so they can be
+    broadcast.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(64, rows.count() // (2 * partitions))
+    hot = rows.groupBy(F.col(key).alias("_hot")).agg((F.count(F.lit(1)) / share).cast("int").alias("_parts")).where("_parts >= 2")
+    hot = F.broadcast(cut(hot))
+    left = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).otherwise(0))
+    right = once.join(hot, F.col(once_key) == F.col("_hot"), "left").withColumn("_at", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    left, right = left.drop("_hot", "_parts"), right.drop("_hot", "_parts")
+    return left.join(right, (F.col(key) == F.col(once_key)) & (F.col("_salt") == F.col("_at"))).drop("_salt", "_at")
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)

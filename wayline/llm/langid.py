@@ -73,7 +73,8 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_profiles(docs: DataFrame, train_docs: int = TRAIN_DOCS, profile: int = PROFILE) -> dict[str, np.ndarray]:
     """Each language's most frequent n-grams over about `train_docs` of its documents, chosen by hash (all, if fewer).
 
-    Documents aren't moved to be chosen: a language's share is known from a count. Only the n-gram counts are summed in Spark; what comes to the driver is `profile` numbers for each language.
+    Documents aren't moved to be chosen: a language's share is known from a count. The n-gram counts are summed in Spark;
+    what comes to the driver is the model, `profile` numbers for each language.
     """
     sample = (
         docs.where("lang is not null and text is not null")
@@ -86,7 +87,9 @@ def train_profiles(docs: DataFrame, train_docs: int = TRAIN_DOCS, profile: int =
         shares = F.broadcast(shares)
     chance = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30)) / float(1 << 30)
     picked = sample.join(shares, F.expr("lang = _of")).where(chance < F.col("_share"))
-    counts = picked.select("lang", "text").repartition(F.xxhash64("text")).mapInArrow(_gram_counts, "lang string, gram long, n long")
+    # Dealt in turn, not by text: copies of one text would land in one task.
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = picked.select("lang", "text").repartition(partitions).mapInArrow(_gram_counts, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= profile)
@@ -154,7 +157,12 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame, least: float = 0.05) -> DataFrame:
-    """The documents, without those of no language and those that are near no profile (score under `least`)."""
+    """The documents, without those of no language and those that are near no profile (score under `least`).
+
+    Null texts, empty texts and texts without a letter have no language and go, as does everything where no document
+    outside the held-out fold has a language. Whole texts of any length are read. Columns are those of `docs`; the
+    document's own `lang` isn't looked at or changed; repeated rows stay or go alike; an empty table gives no rows.
+    """
     found = with_language(docs, train_profiles(docs))
     return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select("_doc.*")
 

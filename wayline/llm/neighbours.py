@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,13 @@ from wayline.llm.prefix import running_totals
 
 #: Neighbours asked for; the queries are the ids that it divides.
 NEAREST, EVERY = 20, 20
-#: Curves, projected dimensions and bits of each (a key has at most 62 bits); vectors in a block, queries met with one.
-CURVES, DIMENSIONS, KEY_BITS, BLOCK, CHUNK = 16, 10, 6, 8192, 4096
+#: Curves, projected dimensions and bits of each (a key has at most 62 bits); queries met with one block.
+CURVES, DIMENSIONS, KEY_BITS, CHUNK = 16, 8, 7, 4096
+#: A block has as many vectors as a window reaches either side, within these bounds, so a query meets little more than its
+#: windows.
+LEAST_BLOCK, MOST_BLOCK = 128, 1024
 #: Queries whose true neighbours set the window, and the share of those neighbours that it must reach.
-TRIED, REACHED = 64, 0.97
+TRIED, REACHED = 64, 0.95
 SEED = 90210
 
 
@@ -65,32 +69,46 @@ class Curves:
             yield hilbert_keys(cells, self.bits)
 
 
+@lru_cache(maxsize=8)
+def curves_of(length: int, largest: float) -> Curves:
+    return Curves(length, largest)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
 
 
-def _keyed(curves: Curves):
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each vector length."""
+    lengths = batch.column("length").to_numpy()
+    for n in np.unique(lengths).tolist():
+        yield n, batch if (lengths == n).all() else batch.filter(pa.array(lengths == n))
+
+
+def _keyed(largest: dict[int, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors, ids = _matrix(batch.column("vector")), batch.column("gid").to_numpy()
-            asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-            for asking, rows in ((False, np.arange(len(ids))), (True, np.flatnonzero(asks))):
-                for curve, keys in enumerate(curves.keys(vectors[rows], asking)):
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, curve, np.int32)), pa.array(keys), pa.array(ids[rows]), pa.array(np.full(n, asking)), pa.array(np.full(n, int(not asking), np.int64))],
-                        ["curve", "key", "gid", "asking", "is_data"],
-                    )
+        for whole in batches:
+            for length, batch in _by_length(whole):
+                vectors, ids, first = _matrix(batch.column("vector")), batch.column("gid").to_numpy(), batch.column("first").to_numpy()
+                asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+                for asking, rows in ((False, np.arange(len(ids))), (True, np.flatnonzero(asks))):
+                    for curve, keys in enumerate(curves_of(length, largest[length]).keys(vectors[rows], asking)):
+                        n = len(rows)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(n, length, np.int32)), pa.array(np.full(n, curve, np.int32)), pa.array(keys), pa.array(first[rows]), pa.array(ids[rows]),
+                                pa.array(np.full(n, asking)), pa.array(np.full(n, int(not asking), np.int64)),
+                            ],
+                            ["length", "curve", "key", "first", "gid", "asking", "is_data"],
+                        )
 
     return run
 
 
 def distinct_vectors(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The vectors that take part, once each: gid, vector, ids (the smallest NEAREST + 1 that have it), asks; and the
-    queries: vec_id, gid.
+    """The vectors that take part, once each: gid, length, first (the smallest id), vector, ids (the smallest NEAREST + 1
+    of its rows), asks; and the queries: vec_id, gid, a row for each row that asks.
 
     Of a vector's copies only the smallest ids can be among the nearest, so large groups of copies shrink before the
     shuffle (the rank limit is applied by every task to its own rows first).
@@ -98,55 +116,74 @@ def distinct_vectors(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     finite = "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
     rows = embeddings.where("vec_id is not null and embedding is not null").where(finite)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("vector") == (common["n"] if common else 0))
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    few = rows.distinct().withColumn("_n", rank).where(F.col("_n") <= NEAREST + 1)
+    few = rows.withColumn("_n", rank).where(F.col("_n") <= NEAREST + 1)
     ids = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    asking = rows.where(F.col("vec_id") % EVERY == 0).distinct()
+    asking = rows.where(F.col("vec_id") % EVERY == 0)
     asks = asking.groupBy(F.col("vector").alias("_v")).agg(F.lit(True).alias("asks"))
     groups = ids.join(asks, F.expr("vector = _v"), "left").select(
-        F.monotonically_increasing_id().alias("gid"), "vector", "ids", F.coalesce("asks", F.lit(False)).alias("asks")
-    )
+        F.monotonically_increasing_id().alias("gid"), F.size("vector").alias("length"), F.col("ids")[0].alias("first"), "vector", "ids",
+        F.coalesce("asks", F.lit(False)).alias("asks"),
+    )
     groups = cut(groups)
     own = groups.where("asks").select("gid", F.col("vector").alias("_v"))
     return groups, asking.join(own, F.expr("vector = _v")).select("vec_id", "gid")
 
 
-def _brute(asked: np.ndarray, asked_ids: np.ndarray):
-    """The nearest of a partition to each of a few queries."""
+def curve_places(groups: DataFrame) -> DataFrame:
+    """length, curve, gid, first, asking, place, n: where each vector and query stands on each curve among the n vectors of
+    its length. One row for each vector length comes to the driver."""
+    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    spaces = groups.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("largest")).orderBy("length").collect()
+    keyed = groups.select("gid", "length", "first", "vector", "asks").mapInArrow(
+        _keyed({r["length"]: r["largest"] for r in spaces}), "length int, curve int, key long, first long, gid long, asking boolean, is_data long"
+    )
+    lined = running_totals(keyed, [F.col(c) for c in ("length", "curve", "key", "asking", "gid")], "is_data")
+    before, rows = 0, []
+    for r in spaces:
+        rows.append((r["length"], r["n"], before))
+        before += r["n"] * CURVES
+    known = groups.sparkSession.createDataFrame(rows, "_length int, n long, _before long")
+    lined = lined.join(F.broadcast(known), F.expr("length = _length"))  # one row for each vector length
+    return cut(lined.select("length", "curve", "gid", "first", "asking", "n", (F.col("_start") - F.col("_before") - F.col("curve") * F.col("n")).alias("place")))
+
+
+def _brute(asked: list):
+    """The nearest of a partition to each of a few queries: (gid, length, vector)."""
+    held = {n: [r for r in asked if r["length"] == n] for n in {r["length"] for r in asked}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores, ids = np.full((len(asked), NEAREST), -np.inf), np.full((len(asked), NEAREST), -1)
-        for batch in batches:
-            if batch.num_rows:
-                own = batch.column("gid").to_numpy()
-                s = asked @ _matrix(batch.column("vector")).T
-                s[asked_ids[:, None] == own[None, :]] = -np.inf
-                scores, ids = np.c_[scores, s], np.c_[ids, np.broadcast_to(own, s.shape)]
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for whole in batches:
+            for length, batch in _by_length(whole) if whole.num_rows else ():
+                if length not in held:
+                    continue
+                ids, own = np.array([r["gid"] for r in held[length]]), batch.column("gid").to_numpy()
+                s = np.array([r["vector"] for r in held[length]]) @ _matrix(batch.column("vector")).T
+                s[ids[:, None] == own[None, :]] = -np.inf
+                scores, found = best.get(length, (np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)))
+                scores, found = np.c_[scores, s], np.c_[found, np.broadcast_to(own, s.shape)]
                 at = np.argsort(-scores, axis=1, kind="stable")[:, :NEAREST]
-                scores, ids = np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
-        found = np.isfinite(scores)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.broadcast_to(asked_ids[:, None], ids.shape)[found]), pa.array(ids[found]), pa.array(scores[found])], ["q", "gid", "score"]
-        )
+                best[length] = np.take_along_axis(scores, at, 1), np.take_along_axis(found, at, 1)
+        for length, (scores, found) in best.items():
+            ids, keep = np.array([r["gid"] for r in held[length]]), np.isfinite(scores)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.broadcast_to(ids[:, None], found.shape)[keep]), pa.array(found[keep]), pa.array(scores[keep])], ["q", "gid", "score"]
+            )
 
     return run
 
 
 def window_width(groups: DataFrame, places: DataFrame, tried: int = TRIED, reached: float = REACHED) -> int:
-    """The distance in positions within which, on its best curve, a share `reached` of true neighbours lies.
+    """The distance in places within which, on its best curve, a share `reached` of true neighbours lies.
 
-    `tried` queries chosen by hash are compared with every vector, and the positions of them and their neighbours (at
-    most tried * (NEAREST + 1) vectors) on all curves are looked up. The same rule holds at every size.
+    `tried` queries chosen by hash are compared with every vector, and the places of them and their neighbours (at most
+    tried * (NEAREST + 1) vectors) on all curves are looked up. The same rule holds at every size.
     """
-    asked = groups.where("asks").orderBy(F.xxhash64("gid"), "gid").limit(tried).collect()
-    if not asked:
-        return 1
-    matrix, ids = np.array([r["vector"] for r in asked]), np.array([r["gid"] for r in asked])
+    asked = groups.where("asks").orderBy(F.xxhash64("gid"), "gid").limit(tried).select("gid", "length", "vector").collect()
     best = Window.partitionBy("q").orderBy(F.desc("score"), "gid")
-    near = groups.select("gid", "vector").mapInArrow(_brute(matrix, ids), "q long, gid long, score double")
-    pairs = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= NEAREST).select("q", "gid").collect()
+    near = groups.select("gid", "length", "vector").mapInArrow(_brute(asked), "q long, gid long, score double")
+    pairs = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= NEAREST).select("q", "gid").collect() if asked else []
     if not pairs:
         return 1
     known = groups.sparkSession.createDataFrame([(g,) for g in {g for p in pairs for g in p}], "_g long")
@@ -157,73 +194,80 @@ def window_width(groups: DataFrame, places: DataFrame, tried: int = TRIED, reach
     return int(np.quantile(away, reached, method="higher")) + 1
 
 
+def visited_blocks(places: DataFrame, width: int, block: int) -> DataFrame:
+    """The places with `blocks`: a vector's own, and those that a query's window of `width` places either side touches."""
+    reach = f"sequence(greatest(place - {width}, 0) div {block}, greatest(least(place + {width}, n - 1), 0) div {block})"
+    return places.withColumn("blocks", F.when(F.col("asking"), F.expr(reach)).otherwise(F.array(F.expr(f"place div {block}"))))
+
+
+def best_columns(scores: np.ndarray, most: int) -> np.ndarray:
+    """Which columns are among each row's `most` largest finite values; of equal ones at the end the leftmost."""
+    most = min(most, scores.shape[1])
+    least = -np.partition(-scores, most - 1, axis=1)[:, most - 1 :][:, :1]
+    keep = scores >= least
+    if (keep.sum(1) > most).any():
+        over, even = scores > least, scores == least
+        keep = over | (even & (even.cumsum(1) <= most - over.sum(1)[:, None]))
+    return keep & np.isfinite(scores)
+
+
 def _block_nearest(group: pa.Table) -> pa.Table:
-    """A block's nearest to each query that visits it."""
+    """A block's nearest to each query that visits it; equally near ones by their smallest ids."""
+    group = group.sort_by([("first", "ascending"), ("gid", "ascending")])
     asking = group.column("asking").to_numpy().astype(bool)
-    vectors, ids = _matrix(group.column("vector")), group.column("gid").to_numpy()
-    data, own = vectors[~asking], ids[~asking]
-    q, g, s = [], [], []
+    vectors, ids, first = _matrix(group.column("vector")), group.column("gid").to_numpy(), group.column("first").to_numpy()
+    data, own, least = vectors[~asking], ids[~asking], first[~asking]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     for at in np.array_split(np.flatnonzero(asking), max(1, asking.sum() // 256)) if len(own) else []:
         scores = vectors[at] @ data.T
         scores[ids[at][:, None] == own[None, :]] = -np.inf  # copies are added later
-        top = np.argpartition(-scores, min(NEAREST, len(own) - 1), axis=1)[:, : NEAREST + 1]
-        best = np.take_along_axis(scores, top, 1)
-        keep = np.isfinite(best)
-        q.append(np.broadcast_to(ids[at][:, None], top.shape)[keep])
-        g.append(own[top][keep])
-        s.append(best[keep])
-    none = np.empty(0, np.int64)
-    return pa.table({"q": np.concatenate([none, *q]), "gid": np.concatenate([none, *g]), "score": np.concatenate([np.empty(0), *s])})
+        row, column = np.nonzero(best_columns(scores, NEAREST + 1))
+        found.append((ids[at][row], own[column], least[column], scores[row, column]))
+    q, g, f, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"q": q, "gid": g, "first": f, "score": s})
 
 
-def nearest(embeddings: DataFrame, block: int = BLOCK) -> DataFrame:
+def nearest(embeddings: DataFrame, block: int | None = None, reached: float = REACHED) -> DataFrame:
     """query_id, rank, vec_id, score: the NEAREST found vectors of largest inner product for every query.
 
     Vectors are projected and ordered along each curve; a range-partitioned sort gives every vector and query its place.
-    A query visits the blocks of `block` vectors that its window on each curve touches, and a block's vectors and its
+    A query visits the blocks of `block` vectors (if not given, by the window) that its window on each curve touches, and a block's vectors and its
     visitors (in chunks of about CHUNK) meet in one group of bounded size. What the curves find is merged, scored again
     on the original vectors in one fixed order of summation, and expanded to the ids of equal vectors.
 
-    Null ids, vectors null, zero, with null or non-finite components or of another length than the most common take no
-    part. Rows that repeat id and vector count once. Ties go to the smaller vec_id. Other columns are ignored.
+    Null ids and vectors null, zero or with null or non-finite components take no part. Vectors of another length have no
+    inner product with a query, so each length is searched by itself. Repeated rows are candidates each, and queries each:
+    a query leaves out its own row only. Ties go to the smaller vec_id. Other columns are ignored.
     """
     groups, queries = distinct_vectors(embeddings)
-    sums = groups.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("length"), F.count_if("asks").alias("asked"),
-        F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("largest"),
-    ).first()
-    n, asked = sums["n"], sums["asked"]
-    curves = Curves(sums["length"] or 1, sums["largest"] or 1.0)
-    keyed = groups.select("gid", "vector", "asks").mapInArrow(_keyed(curves), "curve int, key long, gid long, asking boolean, is_data long")
-    lined = running_totals(keyed, [F.col("curve"), F.col("key"), F.col("asking"), F.col("gid")], "is_data")
-    places = cut(lined.select("curve", "gid", "asking", (F.col("_start") - F.col("curve") * n).alias("place")))
-    width = window_width(groups, places)
-    visitors = asked * (2 * width + block) / max(n, 1)
+    places = curve_places(groups)
+    width = window_width(groups, places, reached=reached)
+    block = block or min(max(width, LEAST_BLOCK), MOST_BLOCK)
+    most = places.groupBy("length", "curve").agg(F.count_if("asking").alias("asked"), F.max("n").alias("n"))
+    visitors = most.agg(F.max(F.col("asked") * F.least((2 * width + block) / F.col("n"), F.lit(1.0)))).first()[0] or 0
     chunks = max(1, -int(-visitors // CHUNK))
-    blocks = F.when(
-        F.col("asking"),
-        F.expr(f"sequence(greatest(place - {width}, 0) div {block}, greatest(least(place + {width}, {max(n, 1) - 1}), 0) div {block})"),
-    ).otherwise(F.array(F.expr(f"place div {block}")))
     chunk = F.when(F.col("asking"), F.array(F.pmod(F.xxhash64("gid"), F.lit(chunks)).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    dealt = places.withColumn("block", F.explode(blocks)).withColumn("chunk", F.explode(chunk))
+    dealt = visited_blocks(places, width, block).withColumn("block", F.explode("blocks")).withColumn("chunk", F.explode(chunk))
     vectors = groups.select(F.col("gid").alias("_g"), "vector")
-    met = dealt.join(vectors, F.expr("gid = _g")).select("curve", "block", "chunk", "gid", "asking", "vector")
-    found = met.groupBy("curve", "block", "chunk").applyInArrow(_block_nearest, "q long, gid long, score double")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "gid")
-    merged = found.groupBy("q", "gid").agg(F.max("score").alias("score"))
+    keys = ["length", "curve", "block", "chunk"]
+    met = dealt.join(vectors, F.expr("gid = _g")).select(*keys, "gid", "first", "asking", "vector")
+    found = met.groupBy(*keys).applyInArrow(_block_nearest, "q long, gid long, first long, score double")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "first", "gid")
+    merged = found.groupBy("q", "gid", "first").agg(F.max("score").alias("score"))
     merged = merged.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= NEAREST + 1).select("q", "gid")
     own = groups.where("asks").select(F.col("gid").alias("q"), "gid")  # a query's own copies
     asking = groups.where("asks").select(F.col("gid").alias("_q"), F.col("vector").alias("_qv"))
     other = groups.select(F.col("gid").alias("_g"), F.col("vector").alias("_gv"), "ids")
     pairs = merged.unionByName(own).join(asking, F.expr("q = _q")).join(other, F.expr("gid = _g"))
     score = F.aggregate(F.zip_with("_qv", "_gv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    each = pairs.select("q", score.alias("score"), F.explode("ids").alias("vec_id"))
-    by_id = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    each = pairs.select("q", (F.col("q") == F.col("gid")).alias("same"), score.alias("score"), F.explode("ids").alias("vec_id"))
+    by_id = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "same")
     top = each.withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= NEAREST + 1)
-    # A query that isn't among its own vector's smallest ids still has those, and loses nobody.
-    lists = top.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("_found"))
+    lists = top.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score", "same"))).alias("_found"))
     asked_of = queries.withColumnRenamed("vec_id", "query_id").join(lists, F.expr("gid = q"))
-    others = F.slice(F.filter("_found", lambda x: x["vec_id"] != F.col("query_id")), 1, NEAREST)
+    # A query that isn't among the smallest ids of its own vector is in no list, and loses nobody.
+    own_at = F.array_position(F.transform("_found", lambda x: x["same"] & (x["vec_id"] == F.col("query_id"))), True)
+    others = F.slice(F.filter("_found", lambda x: x["_n"] != own_at), 1, NEAREST)
     ranked = asked_of.select("query_id", F.posexplode(others).alias("_at", "_x"))
     return ranked.select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_x.vec_id").alias("vec_id"), F.col("_x.score").alias("score"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm.common import cut, small, table, whole
-from wayline.llm.components import star_components
+from wayline.llm.components import spread_join, star_components
 
 #: Words in a shingle, the hash's seed, the most differing bits of a link.
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -242,9 +242,9 @@ def component_ids(prints: DataFrame, run: int = RUN) -> DataFrame:
     """prints: doc_id, fp. One row per distinct fp: fp, component_id, the smallest doc_id reachable from it."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = star_components(fingerprint_links(distinct.select("fp"), run))
-    rooted = distinct.join(roots, F.expr("fp = node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = cut(distinct.join(roots, F.expr("fp = node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, F.expr("root = _root")).select("fp", "component_id")
+    return spread_join(rooted, "root", "fp", ids, "_root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -263,8 +263,9 @@ def near_duplicates(docs: DataFrame, run: int = RUN) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents with one left of each component: the one of the smallest doc_id, then of the smallest text checksum.
 
-    Columns are those of `docs`. Rows that repeat the one that stays in id and text go too, whatever their order: the
-    least by its other columns stays.
+    Columns are those of `docs`. Null, empty and wordless texts are one component. A row without an id stays only where
+    its component has none with one. Rows that repeat the one that stays in id and text go too, whatever their order: the
+    least by its other columns stays. An empty table gives no rows.
     """
     key = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     prints = cut(with_fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id"), key.alias("_key")))
