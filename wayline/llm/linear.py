@@ -26,30 +26,3 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
 
 def predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
-
-
-def fit_nnpu(
-    positive: np.ndarray, unlabelled: np.ndarray, p_times: np.ndarray, u_times: np.ndarray, prior: float,
-    l2: float = 1e-4, steps: int = 600, rate: float = 0.05,
-) -> np.ndarray:
-    """Weights and, last, the intercept of a linear scorer under the non-negative positive-unlabelled risk.
-
-    With the logistic loss l(z, y), the risk is prior * E_P l(z, 1) + max(0, E_U l(z, 0) - prior * E_P l(z, 0)). When the
-    bracket falls below zero, the step goes up its gradient instead, so that the model can't drive an estimate of the
-    negatives' loss below what is possible. Rows stand for p_times and u_times documents each. Steps are Adam's.
-    """
-    p, u = (np.c_[x, np.ones(len(x), x.dtype)] for x in (positive, unlabelled))
-    p_share, u_share = p_times / p_times.sum(), u_times / u_times.sum()
-    w = np.zeros(p.shape[1])
-    w[-1] = np.log(prior / (1 - prior))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    shrink = np.full(len(w), l2)
-    shrink[-1] = 0
-    for t in range(1, steps + 1):
-        zp, zu = p @ w.astype(p.dtype), u @ w.astype(u.dtype)
-        bracket = u_share @ np.logaddexp(0, zu) - prior * (p_share @ np.logaddexp(0, zp))
-        negatives = u.T @ (u_share * sigmoid(zu)) - prior * (p.T @ (p_share * sigmoid(zp)))
-        gradient = -negatives if bracket < 0 else prior * (p.T @ (p_share * (sigmoid(zp) - 1))) + negatives + shrink * w
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w

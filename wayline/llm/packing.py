@@ -22,7 +22,7 @@ from wayline.llm.prefix import running_totals
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k", 2, 1024
 #: Pieces packed together, islands and epochs of each such group, individuals on an island, offspring in an epoch,
 #: individuals that migrate.
-GROUP, ISLANDS, EPOCHS, POPULATION, OFFSPRING, ELITES = 16384, 2, 3, 4, 25, 2
+GROUP, ISLANDS, EPOCHS, POPULATION, OFFSPRING, ELITES = 16384, 2, 3, 4, 22, 2
 #: A bin filled to this share is well filled: crossover may inject it whole, at most this share of them at once.
 WELL_FILLED, INJECTED = 0.98, 0.02
 #: The most bins that an offspring opens beside those that hold duplicates: emptiest ones, and ones of most pieces; orders

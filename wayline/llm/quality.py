@@ -9,16 +9,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import crc_fold, cut, small, table, whole
+from wayline.llm.common import crc_fold, cut, small, stored, table, whole
 from wayline.llm.linear import fit_logistic, predict, sigmoid
+from wayline.llm.sums import task_sum, total
 
 #: Folds and the one not learned from; most labelled documents to learn from; one in CALIBRATION of them calibrates.
 FOLDS, HELD_OUT, LABELLED, CALIBRATION = 5, 0, 6000, 4
-#: Rounds, pseudo-labels that each view gives for each class in a round, how sure it must be, what they weigh.
-ROUNDS, EXCHANGED, SURE, WEIGHT = 3, 150, 0.95, 0.5
+#: Rounds, Newton steps from nothing in each, how sure a view must be of a pseudo-label, and what all of a class weigh at
+#: most together, as a share of the class's labelled documents.
+ROUNDS, NEWTON, SURE, WEIGHT = 3, 6, 0.95, 0.5
+#: Shrinkage of the views' weights, the longest step.
+L2, LONGEST = 2.0, 4.0
 #: Hash buckets of the content view, of a page's language and of its source.
 BUCKETS, LANGS, SOURCES = 256, 8, 16
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+|\d+")
@@ -28,39 +32,49 @@ _CLASSES = np.stack([
     np.isin(_BYTES, [9, 10, 11, 12, 13, 32]), np.isin(_BYTES, list(b".,")), np.isin(_BYTES, list(b"!?;:'\"()-")),
     np.isin(_BYTES, list(b"#$%&*+/<=>@[\\]^_`{|}~")),
 ]).astype(np.float64)
-META = 16 + LANGS + SOURCES
+#: Features of each view: words and the shape of the wording; layout, language and source.
+CONTENT, LAYOUT = BUCKETS + 14, 6
+META = LAYOUT + LANGS + SOURCES
+#: Numbers in what a task hands on in a round.
+NOTHING = sum(2 * (1 + d + d * d) for d in (CONTENT + 1, META + 1))
 
 
 def content_view(text: str | None) -> np.ndarray:
-    """Hashed words, symbol runs and numbers of the whole text, as logarithms of their rate in 1000 tokens."""
-    counts = Counter(_TOKEN.findall((text or "").lower()))
-    out = np.zeros(BUCKETS)
+    """What the whole text says: hashed words, symbol runs and numbers, as logarithms of their rate in 1000 tokens; shares of
+    kinds of letters; how far words and lines repeat."""
+    text = text or ""
+    counts = Counter(_TOKEN.findall(text.lower()))
+    out = np.zeros(CONTENT)
     for token, n in counts.items():
         out[zlib.crc32(token.encode("utf-8", "replace")) % BUCKETS] += n
-    return np.log1p(out * (1000 / max(1, out.sum())))
+    out[:BUCKETS] = np.log1p(out[:BUCKETS] * (1000 / max(1, out[:BUCKETS].sum())))
+    data = text.encode("utf-8", "replace")
+    shares = _CLASSES @ np.bincount(np.frombuffer(data, np.uint8), minlength=256) / max(1, len(data))
+    lines, words = [line for line in text.split("\n") if line.strip()], text.split()
+    top = Counter(lines).most_common(1)
+    n_lines, n_words, kinds = max(1, len(lines)), max(1, len(words)), len(set(words))
+    out[BUCKETS : BUCKETS + 7] = shares
+    out[BUCKETS + 7 :] = (
+        len(set(lines)) / n_lines, (top[0][1] - 1) / n_lines if top else 0, kinds / n_words, kinds / np.sqrt(n_words) / 10, np.log1p(len(data) / n_words),
+        shares[0] / max(1e-9, shares[0] + shares[1]), np.log1p(n_words) / 10,
+    )
+    return out
 
 
 def metadata_view(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
-    """What a page shows without reading it: its language and source, its length, and the shape of its lines and letters."""
-    text = text or ""
-    data = text.encode("utf-8", "replace")
-    size = max(1, len(data))
-    shares = _CLASSES @ np.bincount(np.frombuffer(data, np.uint8), minlength=256) / size
-    lines = [line for line in text.split("\n") if line.strip()]
-    words = text.split()
-    top = Counter(lines).most_common(1)
-    n_lines, n_words = max(1, len(lines)), max(1, len(words))
+    """What is known of a page without reading its words: language, source, and its layout: bytes, lines, their lengths
+    and how much of it is blank."""
+    lines = (text or "").split("\n")
+    sizes = np.array([len(line) for line in lines if line.strip()] or [0], float)
     out = np.zeros(META)
-    out[:7] = shares
-    out[7:16] = (
-        np.log1p(len(data)), np.log1p(len(lines)), np.log1p(len(data) / n_lines), len(set(lines)) / n_lines,
-        (top[0][1] - 1) / n_lines if top else 0, len(set(words)) / n_words, len(set(words)) / np.sqrt(n_words),
-        len(data) / n_words, shares[0] / max(1e-9, shares[0] + shares[1]),
+    out[:LAYOUT] = (
+        np.log1p(len((text or "").encode("utf-8", "replace"))), np.log1p(len(sizes)), np.log1p(sizes.mean()), np.log1p(sizes.max()),
+        sizes.std() / max(1.0, sizes.mean()), 1 - len(sizes) / len(lines),
     )
     if lang is not None:
-        out[16 + zlib.crc32(lang.encode()) % LANGS] = 1
+        out[LAYOUT + zlib.crc32(lang.encode("utf-8", "replace")) % LANGS] = 1
     if source is not None:
-        out[16 + LANGS + zlib.crc32(source.encode()) % SOURCES] = 1
+        out[LAYOUT + LANGS + zlib.crc32(source.encode("utf-8", "replace")) % SOURCES] = 1
     return out
 
 
@@ -77,7 +91,11 @@ class Views:
 
     def fit(self, view: int, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         mean, spread = self.scale[view]
-        self.models[view] = fit_logistic((x - mean) / spread, y, weight, l2=2.0)
+        self.models[view] = fit_logistic((x - mean) / spread, y, weight, l2=L2)
+
+    def sureness(self, view: int, x: np.ndarray) -> np.ndarray:
+        """A view's own calibrated probability of good quality."""
+        return sigmoid(predict(self.margins(view, x)[:, None], self.calibration[view]))
 
     def calibrated(self, xs: list[np.ndarray]) -> np.ndarray:
         return np.stack([predict(self.margins(v, xs[v])[:, None], self.calibration[v]) for v in (0, 1)], 1)
@@ -95,7 +113,7 @@ class Views:
 
 def _unpacked(content: pa.Array, meta: pa.Array) -> list[np.ndarray]:
     found = []
-    for column, kind, width in ((content, np.float16, BUCKETS), (meta, np.float32, META)):
+    for column, kind, width in ((content, np.float16, CONTENT), (meta, np.float32, META)):
         data = b"".join(column.to_pylist()) if isinstance(column, (pa.Array, pa.ChunkedArray)) else b"".join(column)
         found.append(np.frombuffer(data, kind).reshape(-1, width).astype(np.float64))
     return found
@@ -103,96 +121,113 @@ def _unpacked(content: pa.Array, meta: pa.Array) -> list[np.ndarray]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True))
+        kept = [n for n in batch.schema.names if n not in ("_text", "_lang", "_source")]
+        texts = batch.column("_text") if "_text" in batch.schema.names else batch.column("_doc").field("text")
+        rows = list(zip(texts.to_pylist(), batch.column("_lang").to_pylist(), batch.column("_source").to_pylist(), strict=True))
         content = [content_view(t).astype(np.float16).tobytes() for t, _, _ in rows]
         meta = [metadata_view(*r).astype(np.float32).tobytes() for r in rows]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(content, pa.binary()), pa.array(meta, pa.binary())],
-            ["doc_id", "held_out", "content", "meta"],
-        )
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(content, pa.binary()), pa.array(meta, pa.binary())], [*kept, "content", "meta"])
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out and the two views of every whole document, about 700 bytes each."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
-        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
-    )
-    return rows.mapInArrow(_features, "doc_id long, held_out boolean, content binary, meta binary")
+def features(docs: DataFrame, *keep: F.Column) -> DataFrame:
+    """The columns `keep`, doc_id, held_out and the two views of every whole document, about 700 bytes each. With `keep`
+    the text is taken from the document in `_doc`, so that it goes to Python once."""
+    known = F.col("doc_id").cast("long").alias("doc_id"), (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
+    read = [F.col(c).cast("string").alias(f"_{c}") for c in (("lang", "source") if keep else ("text", "lang", "source"))]
+    rows = docs.select(*keep, *known, *read)
+    kept = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n not in ("_text", "_lang", "_source"))
+    return rows.mapInArrow(_features, f"{kept}, content binary, meta binary")
 
 
-def _confident(views: Views, taken: set[int], most: int):
-    """For each view and class, a partition's `most` surest rows."""
+def _told(teachers: Views, students: Views, labelled: np.ndarray):
+    """A task's sums for a Newton step of both views on the pseudo-labels that the other view gives: for each view and
+    class their number, the gradient and the curvature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, int], list[tuple]] = {(v, y): [] for v in (0, 1) for y in (0, 1)}
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+        sums = [np.zeros(1 + d + d * d) for d in (CONTENT + 1, META + 1) for _ in (0, 1)]
+        for batch in small(batches, 2000):
+            ids = np.array([-1 if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
+            fresh = ~np.isin(ids, labelled)
             xs = _unpacked(batch.column("content"), batch.column("meta"))
-            fresh = np.array([i is not None and i not in taken for i in ids], bool)
             for v in (0, 1):
-                good = sigmoid(views.margins(v, xs[v]))
+                good = teachers.sureness(1 - v, xs[1 - v])
+                mean, spread = students.scale[v]
                 for y in (0, 1):
-                    sure = good if y else 1 - good
-                    at = np.flatnonzero(fresh & (sure >= SURE))
-                    at = at[np.argsort(-sure[at], kind="stable")[:most]]
-                    own = best[v, y]
-                    own += [(-float(sure[i]), ids[i], batch.column("content")[int(i)].as_py(), batch.column("meta")[int(i)].as_py()) for i in at]
-                    own.sort()
-                    del own[most:]
-        rows = [{"view": v, "label": y, "sure": -s, "doc_id": i, "content": c, "meta": m} for (v, y), own in best.items() for s, i, c, m in own]
-        kind = pa.schema([("view", pa.int32()), ("label", pa.int32()), ("sure", pa.float64()), ("doc_id", pa.int64()), ("content", pa.binary()), ("meta", pa.binary())])
-        yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                    a = xs[v][fresh & ((good if y else 1 - good) >= SURE)]
+                    a = np.c_[(a - mean) / spread, np.ones(len(a))]
+                    p, d = sigmoid(a @ students.models[v]), a.shape[1]
+                    own = sums[2 * v + y]
+                    own[0] += len(a)
+                    own[1 : 1 + d] += a.T @ (p - y)
+                    own[1 + d :] += ((a * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ a).ravel()
+        yield task_sum(np.concatenate(sums))
 
     return run
 
 
-def co_train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> Views:
+def _stepped(views: Views, told: np.ndarray, xs: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
+    """Both models after a Newton step on the labelled documents and the pseudo-labels."""
+    models, at = [], 0
+    for v in (0, 1):
+        mean, spread = views.scale[v]
+        a, w = np.c_[(xs[v] - mean) / spread, np.ones(len(y))], views.models[v]
+        p, d = sigmoid(a @ w), len(w)
+        shrink = np.full(d, L2)
+        shrink[-1] = 1e-6
+        gradient = a.T @ (p - y) + shrink * w
+        curve = (a * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ a + np.diag(shrink)
+        size = 1 + d + d * d
+        given = told[at : at + 2 * size].reshape(2, size)
+        at += 2 * size
+        have = np.array([(y == label).sum() for label in (0, 1)])
+        share = min(WEIGHT, *(given[:, 0] / have))
+        for own, n in zip(given, have, strict=True):
+            weight = share * n / max(own[0], 1)
+            gradient += weight * own[1 : 1 + d]
+            curve += weight * own[1 + d :].reshape(d, d)
+        models.append(w - np.clip(np.linalg.solve(curve, gradient), -LONGEST, LONGEST))
+    return models
+
+
+def co_train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Views:
     """Learn both views from at most `labelled` labelled documents and the pseudo-labels that they give one another.
 
-    In each round each view scores every document outside the held-out fold, and for each class its `exchanged` surest
-    ones (at least SURE) join the other view's examples. Each partition sends on its own surest rows only, and the
-    driver gets at most 4 * `exchanged` of them. Then each view is calibrated on labelled documents kept back from
-    fitting, and a logistic model of the two calibrated margins combines them.
+    In each round each view is calibrated on labelled documents kept back from fitting and scores every document outside
+    the held-out fold, and all that it is at least SURE of join the other view's examples; a class's pseudo-labels share a weight of at most WEIGHT of its labelled documents', so neither
+    their number nor the larger class takes over. A round is NEWTON passes over all documents, whose gradients and
+    curvatures are summed in Spark. In the end a logistic model of the two calibrated margins combines them.
+
+    Labelled documents are chosen by hash; of rows that repeat a doc_id the one with the least views counts.
     """
     known = labels.where("quality is not null and doc_id is not null").where(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("_quality"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(labelled)
-    sample = rows.join(F.broadcast(known), F.expr("doc_id = _id")).dropDuplicates(["doc_id"])  # at most `labelled` ids
-    found = sorted(sample.select("doc_id", "_quality", "content", "meta").collect(), key=lambda r: r["doc_id"])
+    known = cut(known.orderBy(F.xxhash64("_id"), "_id").limit(labelled))
+    sample = rows.select("doc_id", "content", "meta").join(F.broadcast(known), F.expr("doc_id = _id"))  # at most `labelled` ids
+    sample = sample.groupBy("doc_id", "_quality").agg(F.min(F.struct("content", "meta")).alias("_views"))
+    found = sorted(sample.select("doc_id", "_quality", "_views.*").collect(), key=lambda r: r["doc_id"])
     y = np.array([float(r["_quality"] == 1) for r in found])
     if len(set(y.tolist())) < 2:
         views = Views([])
         views.constant = float(y[0]) if len(y) else 1.0
         return views
     xs = _unpacked([r["content"] for r in found], [r["meta"] for r in found])
-    views = Views([(x.mean(0), np.maximum(x.std(0), 1e-3 if x.shape[1] == META else 0.25)) for x in xs])
+    views = Views([(x.mean(0), np.maximum(x.std(0), 1e-3 if x.shape[1] == META else np.r_[np.full(BUCKETS, 0.25), np.full(CONTENT - BUCKETS, 1e-3)])) for x in xs])
     kept_back = np.array([zlib.crc32(f"calibrate {r['doc_id']}".encode()) % CALIBRATION == 0 for r in found])
     if len(set(y[kept_back].tolist())) < 2 or len(set(y[~kept_back].tolist())) < 2:
         kept_back[:] = False
-    extra: list[list[tuple[float, np.ndarray]]] = [[], []]
-    taken = {r["doc_id"] for r in found}
-
-    def fit() -> None:
-        for v in (0, 1):
-            more = np.stack([x for _, x in extra[v]]) if extra[v] else np.empty((0, xs[v].shape[1]))
-            weight = np.r_[np.ones((~kept_back).sum()), np.full(len(more), WEIGHT)]
-            views.fit(v, np.r_[xs[v][~kept_back], more], np.r_[y[~kept_back], [label for label, _ in extra[v]]], weight)
-
-    fit()
-    kind = "view int, label int, sure double, doc_id long, content binary, meta binary"
-    surest = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id")
+    own, back = [x[~kept_back] for x in xs], kept_back if kept_back.any() else ~kept_back
+    for v in (0, 1):
+        views.fit(v, own[v], y[~kept_back], np.ones((~kept_back).sum()))
+    ids = np.array(sorted(r["doc_id"] for r in found), np.int64)
+    others = rows.where("not held_out").select("doc_id", "content", "meta")
     for _ in range(rounds):
-        told = rows.where("not held_out").mapInArrow(_confident(views, set(taken), exchanged), kind).dropDuplicates(["view", "label", "doc_id"])
-        told = told.withColumn("_n", F.row_number().over(surest)).where(F.col("_n") <= exchanged).collect()
-        if not told:
-            break
-        for r in sorted(told, key=lambda r: (r["view"], r["label"], r["_n"])):
-            content, meta = _unpacked([r["content"]], [r["meta"]])
-            extra[1 - r["view"]].append((float(r["label"]), (meta if r["view"] == 0 else content)[0]))
-            taken.add(r["doc_id"])
-        fit()
-    back = kept_back if kept_back.any() else ~kept_back
+        views.calibrate([x[back] for x in xs], y[back])
+        teachers = Views(views.scale)
+        teachers.models, teachers.calibration = views.models, views.calibration
+        views.models = [np.zeros_like(w) for w in views.models]
+        for _ in range(NEWTON):
+            told = total(others.mapInArrow(_told(teachers, views, ids), "vector binary"))
+            views.models = _stepped(views, told if told.size else np.zeros(NOTHING), own, y[~kept_back])
     views.calibrate([x[back] for x in xs], y[back])
     return views
 
@@ -221,24 +256,23 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _score_documents(views: Views):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            doc = batch.column("_doc")
-            rows = list(zip(doc.field("text").to_pylist(), batch.column("_lang").to_pylist(), batch.column("_source").to_pylist(), strict=True))
-            if rows:
-                xs = [np.stack([content_view(t) for t, _, _ in rows]).astype(np.float16).astype(np.float64), np.stack([metadata_view(*r) for r in rows]).astype(np.float32).astype(np.float64)]
-                scores = views.score(xs)
-            else:
-                scores = np.empty(0)
-            yield pa.RecordBatch.from_arrays([doc, pa.array(scores, pa.float64())], ["_doc", "_quality_score"])
+            scores = views.score(_unpacked(batch.column("content"), batch.column("meta")))
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(scores, pa.float64())], ["_doc", "_quality_score"])
 
     return run
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents that score at least `least`, with the columns of `docs`."""
-    views = co_train(cut(features(docs)), labels)
-    rows = docs.select(whole(docs), *[F.col(c).cast("string").alias(f"_{c}") for c in ("lang", "source")])
+    """The documents that score at least `least`, with the columns of `docs`.
+
+    Both views are made once and stored beside the documents as Parquet, where training reads the views alone. Null and
+    empty texts are scored as such, texts of any length whole; nulls in lang and source are no feature; repeated rows stay
+    or go alike; without labels of both classes everything is of the one class there is (good, if none); an empty table
+    gives no rows.
+    """
+    rows = stored(features(docs, whole(docs)))
     kind = rows.schema["_doc"].dataType.simpleString()
-    scored = rows.mapInArrow(_score_documents(views), f"_doc {kind}, _quality_score double")
+    scored = rows.select("_doc", "content", "meta").mapInArrow(_score_documents(co_train(rows, labels)), f"_doc {kind}, _quality_score double")
     return scored.where(F.col("_quality_score") >= least).select("_doc.*")
 
 
