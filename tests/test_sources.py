@@ -60,6 +60,29 @@ def test_scan_pair_and_window(spark, folder):
     assert abs(stats_row["normalize_mean"][2] - 9.8) < 1e-5 and stats_row["normalize_std"][1] == 1.0 and json.loads(stats_row["metadata_json"])["windows"] == 7
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    """Two dialects with their columns in another order, CRLF line ends, a header alone, split files."""
+    one = "TIME SINCE START (ms),ACCELEROMETER X (m/s),ACCELEROMETER Y (m/s),ACCELEROMETER Z (m/s),GYROSCOPE Yaw (rad/s),GYROSCOPE Pitch (rad/s),GYROSCOPE Roll (rad/s)"
+    two = "ACCELEROMETER X (m/s),TIME SINCE START (ms),ACCELEROMETER Y (m/s),ACCELEROMETER Z (m/s),GYROSCOPE X (rad/s),GYROSCOPE Y (rad/s),GYROSCOPE Z (rad/s),GRAVITY X (m/s)"
+    (tmp_path / "S-1.csv").write_text("\n".join([one, *(f"{100 * i},{i},2,3,4,5,6" for i in range(2000))]) + "\n")
+    (tmp_path / "S-2.csv").write_text("\r\n".join([two, "1,100,2,3,4,5,6,7", "", "2,200,2,3,4,5,6", "x,300,2,3,4,5,6,7"]))
+    (tmp_path / "S-3.csv").write_text(one + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = RC.scan(spark, str(tmp_path), RC.phone_header).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    by = {(r["session_id"], r["seq"]): r for r in rows if not r["malformed"]}
+    assert len(rows) == 2003 and all(by["S-1", i]["time_ms"] == 100 * i and by["S-1", i]["accel_x"] == i and by["S-1", i]["gravity_x"] is None for i in range(2000))
+    assert (by["S-2", 0]["time_ms"], by["S-2", 0]["accel_x"], by["S-2", 0]["gravity_x"]) == (100.0, 1.0, 7.0)
+    assert by["S-2", 1]["time_ms"] == 300.0 and by["S-2", 1]["accel_x"] != by["S-2", 1]["accel_x"]  # no number: NaN
+    assert sum(r["malformed"] for r in rows) == 1
+    (tmp_path / "S-4.csv").write_text("ACCELEROMETER X\n1\n")
+    with pytest.raises(ValueError):
+        RC.scan(spark, str(tmp_path), RC.phone_header)
+
+
 def test_lookups(spark):
     body = json.dumps([{"lat": "28.5", "lon": "77.25", "display_name": "there"}])
     rows = spark.createDataFrame([("a", body), ("b", "[]"), ("c", "no json")], "query string, body string")

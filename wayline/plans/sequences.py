@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.operators import sequence as S
 from wayline.operators import stats
+from wayline.operators.storage import checkpoint_folder
 from wayline.plans import oracles as O
 from wayline.plans.common import r, rounded
 from wayline.sources.events import raw_steps, table
-from wayline.sources.recordings import valid_numbers
+from wayline.sources.recordings import matched_pairs, phone_header, scan, valid_numbers
 
 CHANNELS = ["accel_x", "accel_y", "accel_z"]
 
@@ -119,14 +122,40 @@ def speed_mae_huber(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def session_pairing_anti(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as phone files and orders as vehicle files: the first partner by status, and files without one."""
-    phones = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    files = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), (F.col("o_orderstatus") == "F").alias("same"), F.col("o_orderkey").alias("path"))
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("same"), "path"))
-    best = files.withColumn("_n", first).where("_n = 1").select("key", "path")
-    paired = phones.join(best, "key").select("key", "path", F.lit(True).alias("paired"))
-    alone = phones.join(best, "key", "left_anti").select("key", F.lit(None).cast("long").alias("path"), F.lit(False).alias("paired"))
-    return paired.unionByName(alone)
+    """Customers as phone files in folders by key, orders as vehicle files in folders by status: the partner in the same
+    folder, else the first by path, and phone files without one."""
+    key = F.col("c_custkey")
+    phones = table(spark, sf, "customer").select(F.concat(F.lit("/rec/"), F.when(key % 2 == 0, "F").otherwise("P"), F.lit("/S-"), key.cast("string"), F.lit(".csv")).alias("path"))
+    files = table(spark, sf, "orders").select(F.concat(F.lit("/rec/"), "o_orderstatus", F.lit("/V-"), F.col("o_custkey").cast("string"), F.lit(".csv")).alias("path"))
+    pairs, alone = matched_pairs(phones, files.distinct())
+    return pairs.unionByName(alone, allowMissingColumns=True)
+
+
+#: Recordings that the sessions are written to by user, in two dialects of header.
+RECORDINGS = 16
+_DIALECTS = (
+    "Time Since Start (ms),Date,Accelerometer X,Accelerometer Y,Accelerometer Z,Gyroscope Yaw,Gyroscope Pitch,Gyroscope Roll",
+    "Gyroscope X (rad/s),Accelerometer Z,Accelerometer X,Note,Time Since Start (ms),Gyroscope Z (rad/s),Accelerometer Y,Gyroscope Y (rad/s),GRAVITY X",
+)
+
+
+def recordings_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The steps written as CSV files, every other one in another dialect with its columns in another order, with broken
+    rows among them, and scanned again all at once: each by its own header."""
+    rows = samples(spark, sf).withColumn("rec", F.col("session_id").cast("long") % RECORDINGS)
+    broken = F.when(F.col("event_id") % 13 == 0, "nan").when(F.col("event_id") % 17 == 0, "1,2").when(F.col("event_id") % 19 == 0, "text").otherwise("0")
+    number = lambda c: F.col(c).cast("string")
+    time = (F.col("t_s") * 100).cast("string")
+    first = F.concat_ws(",", time, broken, number("accel_x"), number("accel_y"), number("accel_z"), F.lit("0"), F.lit("0"), number("gyro_z"))
+    second = F.concat_ws(",", F.lit("0"), number("accel_z"), number("accel_x"), broken, time, number("gyro_z"), number("accel_y"), F.lit("0"), number("value"))
+    line = F.when(F.col("rec") % 2 == 0, first).otherwise(second)
+    tops = spark.range(RECORDINGS).select(F.col("id").alias("rec"), F.lit(-1).cast("long").alias("event_id"), F.when(F.col("id") % 2 == 0, _DIALECTS[0]).otherwise(_DIALECTS[1]).alias("value"))
+    lines = tops.unionByName(rows.select("rec", "event_id", line.alias("value")))
+    folder = f"{checkpoint_folder(spark)}/recordings-{uuid.uuid4().hex}"
+    lines.repartition("rec").sortWithinPartitions("rec", "event_id").select("rec", "value").write.partitionBy("rec").text(folder)
+    found = scan(spark, folder, phone_header)
+    rec = F.regexp_extract("path", "rec=([0-9]+)", 1).cast("int").alias("rec")
+    return rounded(found.where("not malformed"), [rec, "seq"], 9, **{c: c for c in ("time_ms", "accel_x", "accel_y", "accel_z", "gyro_z")}, gravity_x="gravity_x")
 
 
 def session_selection_semi(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,7 +213,7 @@ def column_parity(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     count_sliding_windows, window_targets, timestamp_unwrap, positional_join, first_differences, asof_nearest, resample_interpolate, channel_stats,
-    volume_channel_stats, train_split_stats, partition_stats, seeded_session_split, split_disjoint, speed_mae_huber, session_pairing_anti,
+    volume_channel_stats, train_split_stats, partition_stats, seeded_session_split, split_disjoint, speed_mae_huber, session_pairing_anti, recordings_scan,
     session_selection_semi, prefix_limit, tolerant_parse, malformed_counts, sample_validity, speed_clamp, zscore, column_parity,
 )}
 
@@ -224,8 +253,13 @@ ORACLES = {
     "split_disjoint": O.sql("SELECT session_id FROM raw WHERE 1 = 0"),
     "speed_mae_huber": O.sql(f"""SELECT event_type, {O.r("avg(g)")} AS mae_ms, {O.r("avg(g) * 3.6")} AS mae_kmh, {O.r("avg(CASE WHEN g < 1 THEN 0.5 * g * g ELSE g - 0.5 END)")} AS smooth_l1
       FROM (SELECT event_type, abs(speed_ms - true_speed) AS g FROM raw) GROUP BY 1"""),
-    "session_pairing_anti": """WITH b AS (SELECT o_custkey AS key, arg_min(o_orderkey, (CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1000000000 END) + o_orderkey) AS path FROM orders GROUP BY 1)
-      SELECT c_custkey AS key, path, path IS NOT NULL AS paired FROM customer LEFT JOIN b ON key = c_custkey""",
+    "session_pairing_anti": """WITH p AS (SELECT 'S-' || c_custkey AS session_id, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'P' END AS folder FROM customer),
+      v AS (SELECT DISTINCT 'S-' || o_custkey AS session_id, o_orderstatus AS folder, '/rec/' || o_orderstatus || '/V-' || o_custkey || '.csv' AS vehicle FROM orders),
+      met AS (SELECT p.session_id, p.folder, v.vehicle, row_number() OVER (PARTITION BY p.session_id ORDER BY (p.folder = v.folder) DESC, v.vehicle) AS n FROM p LEFT JOIN v USING (session_id))
+      SELECT session_id, '/rec/' || folder || '/' || session_id || '.csv' AS phone, vehicle FROM met WHERE n = 1""",
+    "recordings_scan": O.sql(f"""SELECT CAST(rec AS INT) AS rec, row_number() OVER (PARTITION BY rec ORDER BY event_id) - 1 AS seq, {O.r("t_s * 100", 9)} AS time_ms,
+      {', '.join(f"{O.r(c, 9)} AS {c}" for c in ("accel_x", "accel_y", "accel_z", "gyro_z"))}, CASE WHEN rec % 2 = 1 THEN {O.r("value", 9)} END AS gravity_x
+      FROM (SELECT *, CAST(session_id AS BIGINT) % {RECORDINGS} AS rec FROM raw) WHERE event_id % 13 <> 0 AND event_id % 17 <> 0"""),
     "session_selection_semi": O.sql("""SELECT session_id FROM (SELECT DISTINCT session_id FROM raw) WHERE session_id IN ('3', '7') OR (
       NOT EXISTS (SELECT 1 FROM raw WHERE session_id IN ('3', '7')) AND session_id IN (SELECT DISTINCT session_id FROM raw ORDER BY 1 LIMIT 3))"""),
     "prefix_limit": O.sql("SELECT session_id, i AS seq, event_id FROM raw WHERE i < 20"),

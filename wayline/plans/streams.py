@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.operators import sequence as S
+from wayline.operators.infer import infer
 from wayline.plans import oracles as O
 from wayline.plans.common import r
+from wayline.plans.onnx_models import linear_over_window
 from wayline.sources.events import raw_steps, table
 from wayline.streaming import processors as P
 from wayline.streaming.run import drained
@@ -53,7 +55,22 @@ def _sensors(spark: SparkSession, sf: str) -> DataFrame:
 def stream_resample(spark: SparkSession, sf: str) -> DataFrame:
     """Grid samples of every device, from the stateful processor on a stream."""
     rows = drained(_sensors(spark, sf), lambda s: P.run_stateful(s, P.Resampler(), P.RESAMPLED))
-    return rows.groupBy("device").agg(F.count(F.lit(1)).alias("samples"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), r(F.sum(F.col("sample")[2]), 3).alias("az"))
+    sums = {name: r(F.sum(F.col("sample")[i]), 3) for name, i in (("ax", 0), ("az", 2), ("gz", 5))}
+    return rows.groupBy("device").agg(
+        F.count(F.lit(1)).alias("samples"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), *[c.alias(n) for n, c in sums.items()],
+        r(F.max_by("rate_hz", "ts_ns"), 6).alias("rate_hz"),
+    )
+
+
+def stream_infer(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensor events to windows to a model's answer, all on one stream; whether each answer is the sum it stands for."""
+    weights = [0.5, -0.25, 0.125, 0.0, 0.0, 1.0]
+    model = linear_over_window(weights, P.CAPACITY)
+    live = lambda s: infer(P.run_stateful(s, P.LiveWindows(), P.LIVE_WINDOWS), model, "imu", "predicted")
+    rows = drained(_sensors(spark, sf), live)
+    total = F.aggregate("imu", F.lit(0.0), lambda a, x: a + sum(w * x[i] for i, w in enumerate(weights)))
+    close = F.abs(F.col("predicted") - total / P.CAPACITY) < 1e-4
+    return rows.select("device", "ts_ns", "n", r(total, 4).alias("total"), close.alias("agrees"), r("window_rate_hz", 6).alias("window_rate_hz"))
 
 
 def resample_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +117,7 @@ def last_known_location(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    outage_fsm_batch, stream_outage_fsm, stream_resample, resample_counts, stream_filter, rate_meter_tumbling, hop_window_event_time, last_known_location,
+    outage_fsm_batch, stream_outage_fsm, stream_resample, stream_infer, resample_counts, stream_filter, rate_meter_tumbling, hop_window_event_time, last_known_location,
 )}
 
 _FSM = O.sql("""SELECT device, ts_ns, CASE WHEN last_cmd IS NULL THEN 'FIX' WHEN last_cmd = 'start' THEN 'OUTAGE' WHEN fixes > 0 THEN 'RECOVERED' ELSE 'RECOVERING' END AS mode, skipped FROM (
@@ -110,7 +127,23 @@ _FSM = O.sql("""SELECT device, ts_ns, CASE WHEN last_cmd IS NULL THEN 'FIX' WHEN
   SELECT session_id AS device, i * 1000000000 AS ts_ns, CASE WHEN i % 20 = 10 THEN 'start' WHEN i % 20 = 17 THEN 'restore' END AS cmd FROM raw)
   WINDOW w AS (PARTITION BY device ORDER BY ts_ns)))""")
 _HOPS = """SELECT event_type, day - INTERVAL (h) DAY AS window_start, count(*) AS n, {total} AS total FROM (SELECT *, date_trunc('day', ts) AS day FROM events), (SELECT unnest([0, 1, 2, 3]) AS h) GROUP BY 1, 2"""
+#: Grid samples of both sensors, interpolated between the seconds and the half seconds that they were measured at.
+_GRID = """, ends AS (SELECT session_id, (max(i) * 1000000000 - 500000000) // 100000000 + 1 AS samples FROM raw GROUP BY 1 HAVING max(i) > 0),
+grid AS (SELECT session_id, unnest(range(samples)) AS g FROM ends),
+spots AS (SELECT *, (g + 5) // 10 AS ia, ((g + 5) % 10) / 10.0 AS sa, g // 10 AS ig, (g % 10) / 10.0 AS sg, 500000000 + g * 100000000 AS ts_ns FROM grid),
+f AS (SELECT session_id, i, CAST(CAST(accel_x AS FLOAT) AS DOUBLE) AS ax, CAST(CAST(accel_y AS FLOAT) AS DOUBLE) AS ay, CAST(CAST(accel_z AS FLOAT) AS DOUBLE) AS az, CAST(CAST(gyro_z AS FLOAT) AS DOUBLE) AS gz FROM raw),
+lerped AS (
+  SELECT p.session_id, p.g, p.ts_ns, a.ax + sa * (coalesce(b.ax, a.ax) - a.ax) AS ax, a.ay + sa * (coalesce(b.ay, a.ay) - a.ay) AS ay, a.az + sa * (coalesce(b.az, a.az) - a.az) AS az,
+    c.gz + sg * (coalesce(d.gz, c.gz) - c.gz) AS gz
+  FROM spots p JOIN f a ON a.session_id = p.session_id AND a.i = ia LEFT JOIN f b ON b.session_id = p.session_id AND b.i = ia + 1
+  JOIN f c ON c.session_id = p.session_id AND c.i = ig LEFT JOIN f d ON d.session_id = p.session_id AND d.i = ig + 1)"""
 ORACLES = {
+    "stream_resample": O.sql(f"""{_GRID} SELECT session_id AS device, count(*) AS samples, CAST(min(ts_ns) AS BIGINT) AS first_ns, CAST(max(ts_ns) AS BIGINT) AS last_ns, {O.r("sum(ax)", 3)} AS ax,
+      {O.r("sum(az)", 3)} AS az, {O.r("sum(gz)", 3)} AS gz, CASE WHEN count(*) > 20 THEN 10.0 WHEN count(*) > 10 THEN 11.0 ELSE 0.0 END AS rate_hz FROM lerped GROUP BY 1"""),
+    "stream_infer": O.sql(f"""{_GRID}, sums AS (
+      SELECT session_id, g, ts_ns, sum(0.5 * ax - 0.25 * ay + 0.125 * az + gz) OVER (PARTITION BY session_id ORDER BY g ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS total FROM lerped)
+      SELECT session_id AS device, CAST(ts_ns AS BIGINT) AS ts_ns, g + 1 AS n, {O.r("total", 4)} AS total, true AS agrees,
+        CASE WHEN g = 49 THEN 0.0 WHEN g = 59 THEN 2.0 ELSE 1.0 END AS window_rate_hz FROM sums WHERE g >= 49 AND (g - 49) % 10 = 0"""),
     "outage_fsm_batch": _FSM,
     "stream_outage_fsm": _FSM,
     "resample_counts": O.sql("""SELECT session_id AS device, CAST((max(i) * 1000000000 - 500000000) // 100000000 + 1 AS BIGINT) AS samples, 500000000::BIGINT AS first_ns,

@@ -69,26 +69,40 @@ def valid_numbers(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def scan(spark: SparkSession, paths: list[str] | str, header_rule: HeaderRule) -> DataFrame:
-    """session_id, path, seq, malformed and the header's channels as doubles of CSV files with one header.
+    """session_id, path, seq, malformed and the channels as doubles of CSV files, each read by its own header.
 
-    Rows with another number of fields than the header, or with a NaN or infinity anywhere, are malformed; a text that is
-    no number becomes NaN. `seq` counts the rows that aren't malformed (null for the others), in file order: the file
-    is read as one column of lines with their place in it. Every column is looked at before any is dropped, as a bad
-    value in an unused one counts too.
+    Rows with another number of fields than their file's header, or with a NaN or infinity anywhere, are malformed; a text
+    that is no number becomes NaN, a channel that the file lacks is null. `seq` counts the file's rows that aren't
+    malformed (null for the others) in file order. Every column is looked at before any is dropped, as a bad value in an
+    unused one counts too. A file that has one header line and no more gives no rows.
+
+    Files are read as lines and may be split: a line's place is the start of its split and its order within it. Each
+    different header line comes to the driver once, to be resolved by `header_rule`.
     """
-    lines = spark.read.text(paths, wholetext=True)
-    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    first = lines.where("line = 0").select("text").first()
-    if first is None:
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line"), "value"
+    )
+    tops = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"), F.min("line").alias("_top"))
+    headers = [r["header"] for r in tops.select("header").distinct().collect()]
+    if not headers:
         raise ValueError("no file was found")
-    header = first["text"].split(",")
-    channels = header_rule(header)
-    fields = lines.where("line > 0 and text <> ''").select("path", "line", F.from_csv("text", F.lit(", ".join(f"c{i} string" for i in range(len(header)))), {"mode": "PERMISSIVE"}).alias("_f"), F.size(F.split("text", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")).alias("_n"))
-    rows = valid_numbers(fields.select("path", "line", "_n", "_f.*"), [f"c{i}" for i in range(len(header))])
-    rows = rows.withColumn("malformed", F.col("malformed") | (F.col("_n") != len(header)))
+    places = {h: header_rule(h.split(",")) for h in headers}
+    channels = sorted({c for found in places.values() for c in found}, key=lambda c: min(found.get(c, len(places)) for found in places.values()))
+    widest = max(h.count(",") + 1 for h in headers)
+    known = spark.createDataFrame([(h, h.count(",") + 1, [found.get(c) for c in channels]) for h, found in places.items()], "header string, fields int, places array<int>")
+    files = tops.join(F.broadcast(known), "header").select("path", "_top", "fields", "places")  # one row for each dialect
+    rows = lines.where("value <> ''").join(files, "path").where(F.col("line") != F.col("_top"))
+    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(widest))), {"mode": "PERMISSIVE"})
+    size = F.size(F.split("value", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
+    rows = rows.select("path", "line", "fields", "places", size.alias("_n"), F.array(*[cells[f"c{i}"] for i in range(widest)]).alias("_texts"))
+    number = F.transform("_texts", lambda x: x.try_cast("double"))
+    rows = rows.withColumn("_numbers", number)
+    odd = F.exists("_numbers", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False)))
+    rows = rows.withColumn("malformed", odd | (F.col("_n") != F.col("fields")))
     order = Window.partitionBy("path", "malformed").orderBy("line")
     rows = rows.withColumn("seq", F.when(~F.col("malformed"), F.row_number().over(order) - 1).cast("long"))
-    return rows.select(file_session(F.col("path")).alias("session_id"), "path", "seq", "malformed", *[F.col(f"c{i}").alias(c) for c, i in channels.items()])
+    value = lambda k: F.when(F.col("places")[k].isNotNull(), F.coalesce(F.get("_numbers", F.col("places")[k]), F.lit(float("nan"))))
+    return rows.select(file_session(F.col("path")).alias("session_id"), "path", "seq", "malformed", *[value(k).alias(c) for k, c in enumerate(channels)])
 
 
 def file_name(path: Column) -> Column:

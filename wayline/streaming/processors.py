@@ -1,7 +1,8 @@
 """Keyed state for live telemetry: resampling two sensors onto one grid, the outage machine, the online filter.
 
 Rows of a key arrive unsorted within a batch, so each processor sorts them by time first. What is older than what was
-already given out is late: it is dropped and counted.
+already given out is late: it is dropped and counted. A row that says reset clears its key's state, and with `ttl_ms` the
+state of a key that has been silent for so long goes by itself.
 """
 
 from __future__ import annotations
@@ -18,11 +19,43 @@ from wayline.operators.filter_core import RADIUS, Filter, heading_of, heading_qu
 GRID_NS, CAPACITY = 100_000_000, 50
 
 
+SECOND_NS = 1_000_000_000
+
+
 def valid(values: object) -> bool:
     """Three finite numbers."""
     return values is not None and len(values) == 3 and bool(np.isfinite(np.asarray(values, float)).all())
 
 
+class RateMeter:
+    """Hertz of what is counted, estimated anew whenever at least a second has gone by; the first one starts the clock and
+    counts as well."""
+
+    def __init__(self, since: int | None = None, n: int = 0, hz: float = 0.0):
+        self.since, self.n, self.hz = since, n, hz
+
+    def tick(self, ts: int) -> float:
+        self.n += 1
+        if self.since is None:
+            self.since = int(ts)
+        elif ts - self.since >= SECOND_NS:
+            self.hz, self.n, self.since = self.n * SECOND_NS / (ts - self.since), 0, int(ts)
+        return self.hz
+
+
+class Keyed(StatefulProcessor):
+    """One value of state for each key."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def held(self, handle: StatefulProcessorHandle, name: str, schema: str):
+        return handle.getValueState(name, schema, self.ttl_ms) if self.ttl_ms else handle.getValueState(name, schema)
+
+    def close(self) -> None:
+        pass
+
+
 class Grid:
     """Two sensors' samples interpolated at the times that both have reached; starts at the later first sample."""
 
@@ -61,33 +94,48 @@ class Grid:
         return [a + share * (b - a) for a, b in zip(v0, v1, strict=True)]
 
 
-RESAMPLED = "device string, ts_ns long, sample array<double>, n long, ready boolean, late long"
+RESAMPLED = "device string, ts_ns long, sample array<double>, n long, ready boolean, late long, rate_hz double"
+_GRID = "next long, n long, late long, sensors array<string>, times array<long>, samples array<array<double>>, since long, ticks long, hz double"
+
+
+class Sampled:
+    """A device's grid, how many samples it gave, and their rate."""
 
+    def __init__(self, packed: tuple | None = None):
+        self.grid, self.n, self.rate = Grid(), 0, RateMeter()
+        if packed is not None:
+            self.grid.next, self.n, self.grid.late, sensors, times, samples, *rate = packed
+            for s, t, v in zip(sensors, times, samples, strict=True):
+                self.grid.queues[s].append((t, list(v)))
+            self.rate = RateMeter(*rate)
+
+    def add(self, frame: pd.DataFrame) -> Iterator[tuple[int, list[float], float]]:
+        """(time, sample, rate) of each grid sample; a reset forgets all."""
+        for r in frame.sort_values(["ts_ns", "sensor"]).itertuples():
+            if r.sensor == "reset":
+                self.grid, self.n, self.rate = Grid(), 0, RateMeter()
+                continue
+            for ts, sample in self.grid.add(r.sensor, r.ts_ns, r.values if hasattr(r, "values") else None):
+                self.n += 1
+                yield ts, sample, self.rate.tick(ts)
+
+    def packed(self) -> tuple:
+        kept = [(s, t, v) for s, q in self.grid.queues.items() for t, v in q]
+        return (self.grid.next, self.n, self.grid.late, *([k[i] for k in kept] for i in range(3)), self.rate.since, self.rate.n, self.rate.hz)
 
-class Resampler(StatefulProcessor):
-    """sensor_events to grid samples; `n` counts them and `ready` says that the last CAPACITY make a window."""
+
+class Resampler(Keyed):
+    """Sensor events (sensor accel, gyro or reset) to grid samples; `n` counts them, `ready` says that the last CAPACITY
+    make a window, `rate_hz` is the rate of grid samples."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("grid", "next long, n long, late long, sensors array<string>, times array<long>, samples array<array<double>>")
+        self.state = self.held(handle, "grid", _GRID)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        grid, n = Grid(), 0
-        if self.state.exists():
-            grid.next, n, grid.late, sensors, times, samples = self.state.get()
-            for s, t, v in zip(sensors, times, samples, strict=True):
-                grid.queues[s].append((t, list(v)))
-        out = []
-        frame = pd.concat(list(rows)).sort_values(["ts_ns", "sensor"])
-        for r in frame.itertuples():
-            for ts, sample in grid.add(r.sensor, r.ts_ns, r.values if hasattr(r, "values") else None):
-                n += 1
-                out.append((key[0], ts, sample, n, n >= CAPACITY, grid.late))
-        kept = [(s, t, v) for s, q in grid.queues.items() for t, v in q]
-        self.state.update((grid.next, n, grid.late, [k[0] for k in kept], [k[1] for k in kept], [k[2] for k in kept]))
-        yield pd.DataFrame(out, columns=["device", "ts_ns", "sample", "n", "ready", "late"])
-
-    def close(self) -> None:
-        pass
+        sampled = Sampled(self.state.get() if self.state.exists() else None)
+        out = [(key[0], ts, sample, sampled.n, sampled.n >= CAPACITY, sampled.grid.late, hz) for ts, sample, hz in sampled.add(pd.concat(list(rows)))]
+        self.state.update(sampled.packed())
+        yield pd.DataFrame(out, columns=["device", "ts_ns", "sample", "n", "ready", "late", "rate_hz"])
 
 
 class Rolling:
@@ -104,23 +152,50 @@ class Rolling:
 WINDOWS = "device string, ts_ns long, imu array<array<double>>"
 
 
-class RollingWindows(StatefulProcessor):
-    """Grid samples to windows of CAPACITY, one for each sample once there are as many."""
+class RollingWindows(Keyed):
+    """Grid samples to windows of CAPACITY, one for each sample once there are as many. A null sample is a reset."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", "samples array<array<double>>")
+        self.state = self.held(handle, "held", "samples array<array<double>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rolling = Rolling(held=[list(s) for s in self.state.get()[0]] if self.state.exists() else [])
         out = []
         for r in pd.concat(list(rows)).sort_values("ts_ns").itertuples():
-            if (window := rolling.add(r.sample)) is not None:
+            if r.sample is None:
+                rolling.held = []
+            elif (window := rolling.add(r.sample)) is not None:
                 out.append((key[0], r.ts_ns, [list(x) for x in window]))
         self.state.update((rolling.held,))
         yield pd.DataFrame(out, columns=["device", "ts_ns", "imu"])
 
-    def close(self) -> None:
-        pass
+
+LIVE_WINDOWS = "device string, ts_ns long, imu array<array<double>>, n long, window_rate_hz double"
+
+
+class LiveWindows(Keyed):
+    """Sensor events straight to the windows that a model reads: the grid, its last CAPACITY samples, and a window for
+    every `stride` samples from the first full one on, with the rate of windows."""
+
+    def __init__(self, stride: int = 10, ttl_ms: int | None = None):
+        super().__init__(ttl_ms)
+        self.stride = stride
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = self.held(handle, "live", _GRID + ", held array<array<double>>, w_since long, w_ticks long, w_hz double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        packed = self.state.get() if self.state.exists() else None
+        sampled = Sampled(None if packed is None else packed[:9])
+        rolling = Rolling(held=[] if packed is None else [list(s) for s in packed[9]])
+        rate, out = RateMeter(*(() if packed is None else packed[10:])), []
+        for ts, sample, _ in sampled.add(pd.concat(list(rows))):
+            if sampled.n == 1:  # the first, or the first after a reset
+                rolling, rate = Rolling(), RateMeter()
+            if (window := rolling.add(sample)) is not None and (sampled.n - CAPACITY) % self.stride == 0:
+                out.append((key[0], ts, [list(x) for x in window], sampled.n, rate.tick(ts)))
+        self.state.update((*sampled.packed(), rolling.held, rate.since, rate.n, rate.hz))
+        yield pd.DataFrame(out, columns=["device", "ts_ns", "imu", "n", "window_rate_hz"])
 
 
 class Outage:
@@ -138,6 +213,8 @@ class Outage:
             self.mode, self.since, self.skipped = "OUTAGE", int(ts), 0
         elif cmd == "restore":
             self.mode = "RECOVERING"
+        elif cmd == "reset":
+            self.mode, self.since, self.skipped = "FIX", 0, 0
 
     def fix(self) -> bool:
         """Whether a fix may be used."""
@@ -151,11 +228,11 @@ class Outage:
 OUTAGES = "device string, ts_ns long, mode string, skipped long, applied boolean"
 
 
-class OutageMachine(StatefulProcessor):
-    """Commands (cmd start or restore) and fixes (cmd null) of a device to its mode after each."""
+class OutageMachine(Keyed):
+    """Commands (cmd start, restore or reset) and fixes (cmd null) of a device to its mode after each."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("mode", "mode string, since long, skipped long")
+        self.state = self.held(handle, "mode", "mode string, since long, skipped long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         machine = Outage(*self.state.get()) if self.state.exists() else Outage()
@@ -171,9 +248,6 @@ class OutageMachine(StatefulProcessor):
         frame = pd.DataFrame(out, columns=["device", "ts_ns", "mode", "skipped", "applied"])
         yield frame.astype({"applied": "boolean"})
 
-    def close(self) -> None:
-        pass
-
 
 TRACK = "device string, ts_ns long, kind string, mode string, lat double, lon double, heading_deg double, speed_ms double, applied boolean"
 
@@ -245,12 +319,12 @@ class Tracker:
         return found
 
 
-class OnlineFilter(StatefulProcessor):
+class OnlineFilter(Keyed):
     """What happens to a device (kind sample, speed, turn, fix or command) to its place after each. Columns: kind, cmd, lat,
     lon, heading_deg and sample, which holds the sample's six values, the speed alone, or the rotation's w, x, y, z."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tracker", "numbers array<double>, lat double, lon double, last long, mode string, since long, skipped long, times array<long>, attitudes array<array<double>>")
+        self.state = self.held(handle, "tracker", "numbers array<double>, lat double, lon double, last long, mode string, since long, skipped long, times array<long>, attitudes array<array<double>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tracker = Tracker.unpacked(*self.state.get()) if self.state.exists() else Tracker()
@@ -265,6 +339,8 @@ class OnlineFilter(StatefulProcessor):
                 tracker.turn(int(r.ts_ns), list(r.sample))
             elif r.kind == "fix":
                 applied = bool(tracker.fix(int(r.ts_ns), r.lat, r.lon, None if pd.isna(r.heading_deg) else float(r.heading_deg)))
+            elif r.cmd == "reset":
+                tracker = Tracker()
             else:
                 tracker.outage.command(r.cmd, r.ts_ns)
             out.append((key[0], r.ts_ns, r.kind, tracker.outage.mode, *tracker.place(), applied))
@@ -272,10 +348,8 @@ class OnlineFilter(StatefulProcessor):
         names = ["device", "ts_ns", "kind", "mode", "lat", "lon", "heading_deg", "speed_ms", "applied"]
         yield pd.DataFrame(out, columns=names).astype({"applied": "boolean"})
 
-    def close(self) -> None:
-        pass
-
 
 def run_stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, key: str = "device") -> DataFrame:
     """A processor over a stream (RocksDB state store) or, on the same code, over a batch."""
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", "none")
+    mode = "processingTime" if getattr(processor, "ttl_ms", None) else "none"  # state goes by the clock
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", mode)

@@ -2,40 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
+from wayline.operators.storage import checkpoint_folder, cut
 
-def shared_folder(spark) -> str:
-    """A new path in the shared checkpoint folder the session names; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def drained(rows: DataFrame, plan: Callable[[DataFrame], DataFrame], batches: int = 2, order: str = "ts_ns") -> DataFrame:
     """What a streaming plan gives for these rows: they are written as files, earlier rows first, read as a stream of
-    `batches` batches until none is left, and the output is read back. Input, state and output lie in the shared folder."""
+    about `batches` batches until none is left, and the output is read back. Input, state and output lie in the shared
+    folder.
+
+    Each batch is written as a file for each shuffle partition, dealt by device, and a trigger takes as many files. The
+    stream runs in a session of its own, so that its state store is no setting of the caller's.
+    """
     spark = rows.sparkSession
-    path = shared_folder(spark)
-    part = F.ntile(batches).over(Window.partitionBy("device").orderBy(order))
-    numbered = rows.withColumn("_batch", part)
-    for n in range(1, batches + 1):
-        numbered.where(F.col("_batch") == n).drop("_batch").repartition(1).write.mode("append").parquet(f"{path}/in")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        query = plan(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    path = f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = cut(rows.withColumn("_batch", F.ntile(batches).over(Window.partitionBy("device").orderBy(order))))
+    for n in range(1, batches + 1):  # one after another: the source takes older files first
+        numbered.where(F.col("_batch") == n).drop("_batch").repartition(files, "device").write.mode("append").parquet(f"{path}/in")
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    stream = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
+    query = plan(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.parquet(f"{path}/out")
