@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import scalar_filter
 from tests.test_outages import drive, outages
 from wayline.operators import blackout as B
 from wayline.operators import filter_batch as FB
@@ -99,7 +100,52 @@ def test_all_schedules_are_run(spark, data, name):
     assert {r["duration_s"] for r in event_intervals(spark, data).collect()} == set(B.DURATIONS)
     found = filters.QUERIES[name](spark, data)
     if name == "ekf_ablation":
-        for variant in ("all", "no_speed", "no_track"):
+        for variant in ("all", "no_speed", "no_track", "no_turn"):
             assert {(r["duration_s"], r["intervals"]) for r in found.where(F.col("variant") == variant).collect()} == wanted
     else:
         assert {(r["session_id"], r["duration_s"], r["intervals"]) for r in found.collect()} == wanted
+
+
+def sessions(frame, names, key=("session_id", "duration_s")):
+    found = {}
+    for r in frame.select(*names).collect():
+        found.setdefault(tuple(r[k] for k in key), []).append(r.asDict())
+    return {k: sorted(v, key=lambda r: r["i"]) for k, v in found.items()}
+
+
+@pytest.mark.parametrize("use", [FB.Settings(), FB.Settings(speed=False), FB.Settings(track=False), FB.Settings(turn=False)])
+def test_version_a_is_the_scalar_filter(spark, data, use):
+    """Every step of all sessions and schedules of version A and its ablations, against a second form of the filter."""
+    steps = filters._steps(spark, data)[0]
+    rows = sessions(steps, ["session_id", "duration_s", "i", "t_s", "imu", "speed_ms", "rel_q", "gt_lat", "gt_lon", "gt_heading_deg", "is_blackout", "interval_idx"])
+    assert any(r["rel_q"] is not None for v in rows.values() for r in v)
+    found = sessions(FB.run_filter(steps, use), ["session_id", "duration_s", "i", "e", "n", "heading_deg"])
+    assert found.keys() == rows.keys()
+    for key in sorted(rows)[::3]:
+        for got, (e, n, heading, _) in zip(found[key], scalar_filter.run(rows[key], use), strict=True):
+            assert abs(got["e"] - e) < 1e-5 and abs(got["n"] - n) < 1e-5 and abs((got["heading_deg"] - heading + 180) % 360 - 180) < 1e-6
+
+
+def test_version_b_is_the_scalar_filter(spark, data):
+    """The same with roads: places and match outcomes."""
+    steps, roads, _ = filters._road_inputs(spark, data)
+    rows = sessions(steps, ["session_id", "duration_s", "i", "t_s", "imu", "speed_ms", "rel_q", "gt_lat", "gt_lon", "gt_heading_deg", "is_blackout", "interval_idx"])
+    held = {}
+    for r in roads.orderBy("segment_idx").collect():
+        held.setdefault((r["session_id"], r["duration_s"]), {}).setdefault(r["interval_idx"], []).append((r["ax"], r["ay"], r["bx"], r["by"]))
+    found = sessions(FB.run_filter_on_roads(steps, roads), ["session_id", "duration_s", "i", "e", "n", "road_outcome"])
+    matched = 0
+    for key in sorted(rows)[::2]:
+        for got, (e, n, _, outcome) in zip(found[key], scalar_filter.run(rows[key], FB.Settings(), held.get(key, {})), strict=True):
+            assert abs(got["e"] - e) < 1e-5 and abs(got["n"] - n) < 1e-5 and got["road_outcome"] == outcome
+            matched += outcome == "matched"
+    assert matched > 10
+
+
+def test_measured_turns(spark):
+    rows = spark.createDataFrame([(10.0, 350.0), (350.0, 10.0), (90.0, None), (270.0, 90.0)], "now double, start double")
+    turns = [r[0] for r in rows.select(FB.measured_turn(F.col("now"), F.col("start"), F.lit(0.0))).collect()]
+    assert turns[2] is None and all(q[0] >= 0 for q in turns if q)
+    for q, now, start in zip(turns, (10, 350, None, 270), (350, 10, None, 90), strict=True):
+        if q:
+            assert abs((heading_of(product(heading_quat(start), np.array(q))) - now + 180) % 360 - 180) < 1e-9

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from wayline.operators.filter_core import ATTITUDE_VAR, RADIUS, SPEED_VAR, Filter, heading_of, heading_quat
@@ -33,6 +33,7 @@ class Settings:
     fix_var: float = 0.1**2
     road_var: float = 5.0
     gates: Gates = Gates()
+    road_in_outages_only: bool = True
 
 
 OUTPUT = (
@@ -78,7 +79,8 @@ class Run:
         self.lat0, self.lon0 = lat[0], lon[0]
         self.scale = RADIUS * np.cos(np.radians(self.lat0))
         self.fix = np.stack([np.radians(lon - self.lon0) * self.scale, np.radians(lat - self.lat0) * RADIUS, np.zeros(self.n)], 1)
-        self.hidden = self.rows["is_blackout"].to_numpy(bool) | ~np.isfinite(self.fix).all(1)
+        self.blackout = self.rows["is_blackout"].to_numpy(bool)
+        self.hidden = self.blackout | ~np.isfinite(self.fix).all(1)
         self.outage = [None if pd.isna(x) else int(x) for x in self.rows["interval_idx"]]
         self.imu = np.stack([np.stack([np.asarray(s, float) for s in w]) for w in self.rows["imu"]])
         self.turn = [None if q is None else np.asarray(q, float) for q in self.rows["rel_q"]]
@@ -129,7 +131,7 @@ def _fleet(runs: list[Run], samples: int, use: Settings) -> Iterator[pd.DataFram
             pulled = {}
             for k in range(going):
                 run = runs[k]
-                if run.roads is not None and run.outage[i] is not None and run.rows["is_blackout"].iat[i]:
+                if run.roads is not None and run.outage[i] is not None and (run.blackout[i] or not use.road_in_outages_only):
                     at = now.position[k, :2].copy()
                     road = run.roads.get(run.outage[i], np.empty((0, 4)))
                     outcome[k][i], to = _on_road(road, at, float(heading_of(now.attitude[k])), use.gates)
@@ -203,8 +205,20 @@ def run_filter_on_roads(steps: DataFrame, segments: DataFrame, use: Settings = S
     return _bucketed(steps, buckets).cogroup(_bucketed(fresh, buckets)).applyInPandas(run, OUTPUT)
 
 
+def measured_turn(heading_deg: Column, start_deg: Column, error: Column) -> Column:
+    """The rotation from a level pose of one heading to one of another, w >= 0, with an error in radians about up; null where
+    there is no start."""
+    half = (F.radians(start_deg - heading_deg) + error) / 2
+    sign = F.when(F.cos(half) < 0, -1.0).otherwise(1.0)
+    return F.when(start_deg.isNotNull(), F.array(F.cos(half) * sign, F.lit(0.0), F.lit(0.0), F.sin(half) * sign))
+
+
 def event_steps(steps: DataFrame, samples: int = 10) -> DataFrame:
     """Add what the filter reads to steps with accelerations, yaw rate and truth: `imu`, the step's own readings repeated,
-    with the yaw rate turning left when positive and the specific force of driving straight; and no measured rotation."""
+    with the yaw rate turning left when positive and the specific force of driving straight; and `rel_q`, the rotation
+    measured since LOOK_BACK seconds before, from the true headings with an error of a thousandth or none."""
     reading = F.array(F.lit(0.0), F.lit(0.0), F.col("accel_z"), F.lit(0.0), F.lit(0.0), -F.col("gyro_z"))
-    return steps.withColumn("imu", F.array_repeat(reading, samples)).withColumn("rel_q", F.lit(None).cast("array<double>"))
+    keys = [k for k in KEYS if k in steps.columns]
+    start = F.lag("gt_heading_deg", int(LOOK_BACK)).over(Window.partitionBy(*keys).orderBy("i"))
+    turn = measured_turn(F.col("gt_heading_deg"), start, (F.col("i") % 3 - 1) / 1000)
+    return steps.withColumn("imu", F.array_repeat(reading, samples)).withColumn("rel_q", turn)

@@ -156,7 +156,21 @@ long AS (SELECT v, duration_s, metric, value FROM means UNPIVOT (value FOR metri
 """
 _PIVOT = ", ".join(f"max(value) FILTER (WHERE v = '{v}') AS {v}" for v in ("baseline", "version_a", "version_b"))
 
+def _blended() -> str:
+    """The tracker's CTEs with headings that a tenth of the satellite's is blended into along the shorter arc."""
+    start, end = O.PRELUDE.index("est_h AS ("), O.PRELUDE.index("runs AS (")
+    moved, turn = "(b.h + v.gyro_z * v.dt)", "(radians(v.gt_heading_deg) - (b.h + v.gyro_z * v.dt))"
+    blend = f"""blend AS (
+      SELECT session_id, duration_s, i, {O.wrap("radians(gt_heading_deg)")} AS h FROM variants WHERE i = 0 UNION ALL
+      SELECT v.session_id, v.duration_s, v.i, {O.wrap(f"{moved} + CASE WHEN v.is_blackout THEN 0.0 ELSE 0.1 * ({turn} - 2 * pi() * round({turn} / (2 * pi()))) END")}
+      FROM blend b JOIN variants v ON v.session_id = b.session_id AND v.duration_s = b.duration_s AND v.i = b.i + 1),
+    est_h AS (SELECT v.*, b.h, (v.i = 0 OR NOT v.is_blackout) AS fix FROM variants v JOIN blend b ON b.session_id = v.session_id AND b.duration_s = v.duration_s AND b.i = v.i),
+    """
+    return (O.PRELUDE[:start] + blend + O.PRELUDE[end:]).replace("WITH ev", "WITH RECURSIVE ev")
+
+
 ORACLES = {
+    "blend_summary": _blended() + f"SELECT duration_s, count(*) AS intervals, {MEAN_SQL} FROM metrics GROUP BY 1",
     "dr_heading_integration": O.sql(f"""SELECT session_id, i, {O.r("sin(h)")} AS east, {O.r("cos(h)")} AS north FROM (
       SELECT session_id, i, pi() / 2 + sum(gyro_z * dt) OVER (PARTITION BY session_id ORDER BY i) AS h FROM raw)"""),
     "dr_trajectory": O.sql(f"SELECT session_id, duration_s, i, is_blackout, {O.r('lat', 8)} AS lat, {O.r('lon', 8)} AS lon FROM est"),
