@@ -239,12 +239,13 @@ def fingerprint_links(fps: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def component_ids(prints: DataFrame, run: int = RUN) -> DataFrame:
-    """prints: doc_id, fp. One row per distinct fp: fp, component_id, the smallest doc_id reachable from it."""
+    """prints: doc_id, fp. One row per distinct fp: fp, root (one fp of the component), component_id, the smallest doc_id
+    reachable from it. Two components may share that where rows repeat a doc_id; no two share a root."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = star_components(fingerprint_links(distinct.select("fp"), run))
     rooted = cut(distinct.join(roots, F.expr("fp = node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    return spread_join(rooted, "root", "fp", ids, "_root").select("fp", "component_id")
+    return spread_join(rooted, "root", "fp", ids, "_root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -271,7 +272,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     prints = cut(with_fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id"), key.alias("_key")))
     ids = component_ids(prints.select("doc_id", "fp")).withColumnRenamed("fp", "_fp")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best")
-    grouped = prints.join(ids, F.expr("fp = _fp")).groupBy("component_id").agg(best)
+    grouped = prints.join(ids, F.expr("fp = _fp")).groupBy("root").agg(best)
     kept = grouped.select(F.col("best.doc_id").alias("_kept_id"), F.col("best._key").alias("_kept_key"))
     repeats = prints.groupBy(F.col("doc_id").alias("_i"), F.col("_key").alias("_k")).agg(F.count(F.lit(1)).alias("_times"))
     kept = kept.join(repeats, F.expr("_kept_id <=> _i and _kept_key = _k")).select("_kept_id", "_kept_key", "_times")
