@@ -110,6 +110,8 @@ def draw_slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
         firsts = F.broadcast(firsts)
     before = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.join(firsts, F.expr("source_no = _no")).withColumn("_at", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+    # Few small rows stand for many slots: dealt to a given number of partitions, they aren't coalesced by bytes.
+    counts = counts.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "source_no")
     slots = counts.select("shard", "source_no", "blocks", "_at", (F.col("_start") - F.col("_first")).alias("_k0"), F.explode(F.expr("sequence(0L, slots - 1)")).alias("_j"))
     slots = slots.select(
         "shard", "source_no", "blocks", (F.col("_k0") + F.col("_j")).alias("_k"), (F.col("_at") + F.col("_j")).alias("_p"),
