@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.operators.prefix import running_totals
+
 
 def channel_stats(rows: DataFrame, channels: list[str], keys: list[str] = ()) -> DataFrame:
     """channel, mean, std: population deviation, 1 where it is 0. One aggregate over all channels, then unpivoted."""
@@ -49,12 +51,32 @@ def split_of(session_ids: list[str], val_fraction: float = 0.1, test_fraction: f
 
 
 def session_splits(rows: DataFrame, **options) -> DataFrame:
-    """session_id, split. The distinct sessions come to the driver: one id per recording."""
+    """session_id, split, by `split_of`. The distinct sessions come to the driver, one id per recording; beyond some millions
+    of them use `hash_splits`."""
     ids = [r["session_id"] for r in rows.select("session_id").distinct().toLocalIterator()]
     pairs = [(s, part) for part, members in split_of(ids, **options).items() for s in members]
     return rows.sparkSession.createDataFrame(pairs, "session_id string, split string")
 
 
+def hash_splits(rows: DataFrame, val_fraction: float = 0.1, test_fraction: float = 0.1, seed: int = 42) -> DataFrame:
+    """session_id, split, for any number of sessions: `split_of`'s shares over the sessions in the order of their seeded md5.
+
+    The order is numbered by range partitions and prefix sums, so no task and not the driver sees all sessions.
+    """
+    ids = rows.select("session_id").distinct().withColumn("_one", F.lit(1))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("session_id").cast("string")))
+    placed = running_totals(ids, [key, F.col("session_id")], "_one")
+    n = placed.agg(F.max("_row")).first()[0]
+    n = 0 if n is None else n + 1
+    val = max(1, round(n * val_fraction)) if n > 2 else int(n == 2)
+    test = max(1, round(n * test_fraction)) if n > 2 else 0
+    train = n - val - test
+    if n > 2 and train <= 0:
+        train, val = 1, max(1, (n - 1) // 2)
+    part = F.when(F.col("_row") < train, "train").when(F.col("_row") < train + val, "val").otherwise("test")
+    return placed.select("session_id", part.alias("split"))
+
+
 def partition_stats(rows: DataFrame, speed: str, keys: list[str]) -> DataFrame:
     """Windows and mean, deviation, least and most of a speed, in m/s and km/h."""
     figures = {"mean": F.avg(speed), "std": F.stddev_pop(speed), "min": F.min(speed), "max": F.max(speed)}

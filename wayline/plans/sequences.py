@@ -109,6 +109,11 @@ def seeded_session_split(spark: SparkSession, sf: str) -> DataFrame:
     return met.groupBy("split").agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("session_id").alias("sessions"))
 
 
+def hashed_session_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Every session's part in the split by seeded md5."""
+    return stats.hash_splits(samples(spark, sf)).select("session_id", "split")
+
+
 def split_disjoint(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions that two parts share: none."""
     parts = samples(spark, sf).select("session_id", _parts().alias("split")).distinct()
@@ -213,7 +218,7 @@ def column_parity(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     count_sliding_windows, window_targets, timestamp_unwrap, positional_join, first_differences, asof_nearest, resample_interpolate, channel_stats,
-    volume_channel_stats, train_split_stats, partition_stats, seeded_session_split, split_disjoint, speed_mae_huber, session_pairing_anti, recordings_scan,
+    volume_channel_stats, train_split_stats, partition_stats, seeded_session_split, hashed_session_split, split_disjoint, speed_mae_huber, session_pairing_anti, recordings_scan,
     session_selection_semi, prefix_limit, tolerant_parse, malformed_counts, sample_validity, speed_clamp, zscore, column_parity,
 )}
 
@@ -253,6 +258,9 @@ ORACLES = {
     "split_disjoint": O.sql("SELECT session_id FROM raw WHERE 1 = 0"),
     "speed_mae_huber": O.sql(f"""SELECT event_type, {O.r("avg(g)")} AS mae_ms, {O.r("avg(g) * 3.6")} AS mae_kmh, {O.r("avg(CASE WHEN g < 1 THEN 0.5 * g * g ELSE g - 0.5 END)")} AS smooth_l1
       FROM (SELECT event_type, abs(speed_ms - true_speed) AS g FROM raw) GROUP BY 1"""),
+    "hashed_session_split": O.sql("""SELECT session_id, CASE WHEN place < n - 2 * t THEN 'train' WHEN place < n - t THEN 'val' ELSE 'test' END AS split FROM (
+      SELECT session_id, row_number() OVER (ORDER BY md5('42:' || session_id), session_id) - 1 AS place, count(*) OVER () AS n, greatest(1, CAST(round_even(count(*) OVER () * 0.1, 0) AS BIGINT)) AS t
+      FROM (SELECT DISTINCT session_id FROM raw))"""),
     "session_pairing_anti": """WITH p AS (SELECT 'S-' || c_custkey AS session_id, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'P' END AS folder FROM customer),
       v AS (SELECT DISTINCT 'S-' || o_custkey AS session_id, o_orderstatus AS folder, '/rec/' || o_orderstatus || '/V-' || o_custkey || '.csv' AS vehicle FROM orders),
       met AS (SELECT p.session_id, p.folder, v.vehicle, row_number() OVER (PARTITION BY p.session_id ORDER BY (p.folder = v.folder) DESC, v.vehicle) AS n FROM p LEFT JOIN v USING (session_id))
