@@ -115,10 +115,12 @@ def _fleet(runs: list[Run], samples: int, use: Settings) -> Iterator[pd.DataFram
                 now.take_speed(np.array([r.speed[i] for r in runs[:going]]), use.speed_var)
             if use.track:
                 now.hold_to_track()
-            for k in [k for k in range(going) if use.turn and runs[k].turn[i] is not None]:
-                part, back = now.some([k]), runs[k].t[i] - LOOK_BACK
-                part.take_turn(runs[k].turn[i][None], min(past[k], key=lambda p: abs(p[0] - back))[1][None], use.turn_var)
-                now.put([k], part)
+            turned = [k for k in range(going) if use.turn and runs[k].turn[i] is not None]
+            if turned:
+                part, back = now.some(turned), [runs[k].t[i] - LOOK_BACK for k in turned]
+                starts = np.stack([min(past[k], key=lambda p: abs(p[0] - t))[1] for k, t in zip(turned, back, strict=True)])  # noqa: B023
+                part.take_turn(np.stack([runs[k].turn[i] for k in turned]), starts, use.turn_var)
+                now.put(turned, part)
             for k in range(going):
                 past[k].append((runs[k].t[i], now.attitude[k].copy()))
                 while len(past[k]) > 2 and past[k][1][0] <= runs[k].t[i] - 2 * LOOK_BACK:
