@@ -12,8 +12,8 @@ def spread_join(rows: DataFrame, key: str, by: str, once: DataFrame, once_key: s
     """rows joined with `once`, which has one row for each key: keys with far more rows than a partition's share are dealt
     by `by` to several partitions, and their row of `once` goes to each.
 
-    With P partitions, keys of more than twice half a share are dealt; there are at most 2 * P of them, so they can be
-    broadcast.
+    With P partitions, keys of more than a share (a P-th of the rows) are dealt, into parts of half a share; there are at
+    most P of them, so they can be broadcast.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = max(64, rows.count() // (2 * partitions))
@@ -33,8 +33,9 @@ def _signature(edges: DataFrame) -> tuple:
 def star_components(edges: DataFrame) -> DataFrame:
     """edges: a long, b long. One row (node, root) per node that has an edge to a smaller one at the end.
 
-    A root is its component's smallest node and has no row. Each step groups with map-side minima and joins them back, so
-    a hub's edges are never gathered in one place; every step's edges go to the checkpoint folder.
+    A root is its component's smallest node and has no row. Each step groups with map-side minima and joins them back with
+    hubs dealt to several tasks, so a hub's edges are never gathered in one place; every step's edges go to the checkpoint
+    folder.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     now = cut(now)
@@ -42,7 +43,7 @@ def star_components(edges: DataFrame) -> DataFrame:
     while found != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
-        large = both.where("v > u").join(least, F.expr("u = k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = spread_join(both.where("v > u"), "u", "v", least, "k").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v")  # repeats go with the small step's
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         joined = large.join(least, F.expr("u = k"))
