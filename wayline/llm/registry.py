@@ -13,6 +13,7 @@ from wayline.llm.quality import op4_quality
 from wayline.llm.sharding import op7_sharding
 from wayline.llm.simhash import op10_simhash
 from wayline.llm.toxicity import op5_toxicity
+from wayline.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_licenses": op1_licenses,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLES: dict[str, str] = {"op1_licenses": licenses.ORACLE, "op7_sharding": sharding.ORACLE}
