@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import cut
+from wayline.llm.common import cut, stored
 
 
-def spread_join(rows: DataFrame, key: str, by: str, once: DataFrame, once_key: str) -> DataFrame:
+def spread_join(rows: DataFrame, key: str, by: str, once: DataFrame, once_key: str, counts: DataFrame | None = None) -> DataFrame:
     """rows joined with `once`, which has one row for each key: keys with far more rows than a partition's share are dealt
     by `by` to several partitions, and their row of `once` goes to each.
 
     With P partitions, keys of more than a share (a P-th of the rows) are dealt, into parts of half a share; there are at
-    most P of them, so they can be broadcast.
+    most P of them, so they can be broadcast. `counts`: key and `count`, where they are known already.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = max(64, rows.count() // (2 * partitions))
-    hot = rows.groupBy(F.col(key).alias("_hot")).agg((F.count(F.lit(1)) / share).cast("int").alias("_parts")).where("_parts >= 2")
+    counts = rows.groupBy(key).count() if counts is None else counts
+    hot = counts.select(F.col(key).alias("_hot"), (F.col("count") / share).cast("int").alias("_parts")).where("_parts >= 2")
     hot = F.broadcast(cut(hot))
     left = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).otherwise(0))
     right = once.join(hot, F.col(once_key) == F.col("_hot"), "left").withColumn("_at", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
@@ -34,20 +35,20 @@ def star_components(edges: DataFrame) -> DataFrame:
     """edges: a long, b long. One row (node, root) per node that has an edge to a smaller one at the end.
 
     A root is its component's smallest node and has no row. Each step groups with map-side minima and joins them back with
-    hubs dealt to several tasks, so a hub's edges are never gathered in one place; every step's edges go to the checkpoint
-    folder.
+    hubs dealt to several tasks, so a hub's edges are never gathered in one place; every step's edges are written to the
+    checkpoint folder.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now = cut(now)
+    now = stored(now)  # written, not checkpointed: the planner then sees real sizes, not products over all steps
     before, found = None, _signature(now)
     while found != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
         large = spread_join(both.where("v > u"), "u", "v", least, "k").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v")  # repeats go with the small step's
+        large = stored(large.where("u <> v"))  # repeats go with the small step's
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        joined = large.join(least, F.expr("u = k"))
+        joined = spread_join(large, "u", "v", least, "k")  # a hub above its neighbours keeps all its edges to here
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct())
+        now = stored(small.where("u <> v").distinct())
         before, found = found, _signature(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from wayline.llm.langid import op8_langid
-from wayline.llm import collocations, licenses, sharding
+from wayline.llm import collocations, licenses, minhash, sharding
 from wayline.llm.collocations import op13_collocations
 from wayline.llm.licenses import op1_licenses
 from wayline.llm.media import op6_media
+from wayline.llm.minhash import op12_minhash
 from wayline.llm.mixing import op3_mixing
 from wayline.llm.neighbours import op2_neighbours
 from wayline.llm.packing import op9_packing
@@ -28,7 +29,8 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
     "op11_whitening": op11_whitening,
+    "op12_minhash": op12_minhash,
     "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op1_licenses": licenses.ORACLE, "op7_sharding": sharding.ORACLE, "op13_collocations": collocations.ORACLE}
+ORACLES: dict[str, str] = {"op1_licenses": licenses.ORACLE, "op7_sharding": sharding.ORACLE, "op12_minhash": minhash.ORACLE, "op13_collocations": collocations.ORACLE}
