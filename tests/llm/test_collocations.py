@@ -70,6 +70,7 @@ def test_random_words(spark):
 def test_small_pieces_of_work(spark, monkeypatch):
     """Tasks that put out and forget all the time, and a filter that lets nearly everything pass."""
     monkeypatch.setattr(C, "HELD", 3)
+    monkeypatch.setattr(C, "HELD_HASHES", 5)
     monkeypatch.setattr(C, "KNOWN", 4)
     wanted = got(C.collocations(documents(spark, TEXTS), 5, 2))
     monkeypatch.setattr(C, "MOST", 3)

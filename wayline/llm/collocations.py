@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.common import cut, small, table
 from wayline.llm.components import spread_join
+from wayline.operators.prefix import running_totals
 
 #: Words of the longest phrase, occurrences of a candidate, phrases returned for a language; a phrase goes if a longer
 #: one has at least SHARE percent of its occurrences.
@@ -20,8 +21,8 @@ WORDS, LEAST, TOP, SHARE = 5, 100, 2000, 100
 #: Ends of pieces become a line feed, A-Z lower case; what is left between white space within a line is a word.
 _BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b"\n"
-#: Phrases a task counts, and words it remembers, before it starts afresh.
-HELD, KNOWN = 400_000, 1_000_000
+#: Phrases and hashes a task counts, and words it remembers, before it starts afresh.
+HELD, HELD_HASHES, KNOWN = 400_000, 4_000_000, 1_000_000
 #: Bits of the filter of frequent phrases: so many for each, at most 2^MOST in all (32 MB), in pieces of 2^PIECE.
 BITS_EACH, MOST, PIECE = 16, 28, 20
 
@@ -77,21 +78,6 @@ class _Hashes(dict):
         return h
 
 
-class _Frequent(dict):
-    """Whether a word of a language passes the filter, remembered; END doesn't."""
-
-    def __init__(self, lang: str, known: Filter):
-        super().__init__({END: False})
-        self.lang, self.known = lang, known
-
-    def __missing__(self, word: bytes) -> bool:
-        if len(self) > KNOWN:
-            self.clear()
-            self[END] = False
-        hit = self[word] = bool(self.known.passes(chained(np.array([word_hash(word, self.lang)], np.uint64), 1))[0])
-        return hit
-
-
 def _rows(count: Callable[[str, list[bytes], Counter], None]):
     """Rows lang, phrase, f of what `count` adds for each text, put out whenever a task holds HELD phrases."""
 
@@ -122,31 +108,34 @@ def _counted(texts: DataFrame, count: Callable[[str, list[bytes], Counter], None
     return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
 
 
-def frequent_filter(frequent: DataFrame, k: int) -> Filter:
-    """The filter of frequent phrases of k words. Its size follows their number up to 2^MOST bits; beyond that more rare
-    phrases pass, which costs rows and changes nothing else."""
-    wanted = max(frequent.count() * BITS_EACH, 1 << 16)
-    power = min(MOST, (wanted - 1).bit_length())
-    piece = min(PIECE, power)
+def word_hashes(words: DataFrame) -> DataFrame:
+    """The filter's hash of each phrase of one word."""
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [[word_hash(w, lang) for w in p.split(b" ")] for lang, p in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)]
-            if hashes:
-                rows = np.array(hashes, np.uint64)
-                at = np.unique((np.concatenate([chained(r, k) for r in rows]) & np.uint64((1 << power) - 1)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(at >> piece), pa.array(at & ((1 << piece) - 1))], ["piece", "bit"])
+            hashes = [word_hash(p, lang) for lang, p in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(chained(np.array(hashes, np.uint64), 1).view(np.int64))], ["hash"])
+
+    return words.select("lang", F.col("phrase").cast("binary").alias("phrase")).mapInArrow(run, "hash long")
+
+
+def frequent_filter(hashes: DataFrame) -> Filter:
+    """The filter of the hashes of frequent phrases. Its size follows their number up to 2^MOST bits; beyond that more rare
+    phrases pass, which costs rows and changes nothing else."""
+    power = min(MOST, (max(hashes.count() * BITS_EACH, 1 << 16) - 1).bit_length())
+    piece = min(PIECE, power)
 
     def packed(group: pa.Table) -> pa.Table:
         bits = np.zeros(1 << piece, bool)
         bits[group.column("bit").to_numpy()] = True
         return pa.table({"piece": group.column("piece")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    rows = frequent.select("lang", F.col("phrase").cast("binary").alias("phrase")).mapInArrow(places, "piece long, bit long").distinct()
-    bits = np.zeros(1 << (power - piece), object)
+    at = F.col("hash").bitwiseAND((1 << power) - 1)
+    rows = hashes.select(F.shiftright(at, piece).alias("piece"), at.bitwiseAND((1 << piece) - 1).alias("bit")).distinct()
+    bits = [bytes((1 << piece) // 8)] * (1 << (power - piece))
     for row in rows.groupBy("piece").applyInArrow(packed, "piece long, bits binary").toLocalIterator():  # 2^MOST bits at most
         bits[row["piece"]] = bytes(row["bits"])
-    return Filter(np.frombuffer(b"".join(b or bytes((1 << piece) // 8) for b in bits), np.uint8))
+    return Filter(np.frombuffer(b"".join(bits), np.uint8))
 
 
 def _words(lang: str, words: list[bytes], counts: Counter) -> None:
@@ -154,37 +143,56 @@ def _words(lang: str, words: list[bytes], counts: Counter) -> None:
     counts.pop(END, None)
 
 
-def _pairs(known):
-    memo: dict[str, _Frequent] = {}
+def _pair_hashes(known):
+    """Rows hash, f of the pairs of words that both pass the filter: numbers, as nearly all of them are seen once."""
 
-    def count(lang: str, words: list[bytes], counts: Counter) -> None:
-        if len(words) < 2:
-            return
-        seen = memo.get(lang) or memo.setdefault(lang, _Frequent(lang, known.value))
-        frequent = np.fromiter(map(seen.__getitem__, words), bool, len(words))
-        at = np.flatnonzero(frequent[:-1] & frequent[1:]).tolist()
-        counts.update([words[i] + b" " + words[i + 1] for i in at])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        memo: dict[str, _Hashes] = {}
+        size = 0
 
-    return count
+        def put_out() -> pa.RecordBatch:
+            hashes, f = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(f)], ["hash", "f"])
+
+        for batch in small(batches, 200):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("_text"), strict=True):
+                hashes = _hashed(lang, text_words(text.as_py()), memo)
+                if hashes.size > 1:
+                    good = (hashes != 0) & known.value.passes(chained(hashes, 1))
+                    held.append(chained(hashes, 2)[good[:-1] & good[1:]])
+                    size += held[-1].size
+            if size > HELD_HASHES:
+                yield put_out()
+                held, size = [], 0
+        yield put_out()
+
+    return run
+
+
+def _hashed(lang: str, words: list[bytes], memo: dict[str, _Hashes]) -> np.ndarray:
+    seen = memo.get(lang)
+    if seen is None:
+        seen = memo[lang] = _Hashes(lang)
+    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
-def _longer(known, most: int):
+def _phrases(known, most: int):
+    """Counts phrases of 2 to `most` words of which every pair passes the filter."""
     memo: dict[str, _Hashes] = {}
 
     def count(lang: str, words: list[bytes], counts: Counter) -> None:
-        if len(words) < 4:
+        hashes = _hashed(lang, words, memo)
+        if hashes.size < 2:
             return
-        seen = memo.get(lang) or memo.setdefault(lang, _Hashes(lang))
-        hashes = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        whole = (hashes[:-1] != 0) & (hashes[1:] != 0)
-        good = whole & known.value.passes(chained(hashes, 2))
+        good = (hashes[:-1] != 0) & (hashes[1:] != 0) & known.value.passes(chained(hashes, 2))
         run = good
-        for k in range(3, most + 1):
-            run = run[:-1] & good[k - 2 :]
+        for k in range(2, most + 1):
             at = np.flatnonzero(run).tolist()
             if not at:
                 break
             counts.update([b" ".join(words[i : i + k]) for i in at])
+            run = run[:-1] & good[k - 1 :]
 
     return count
 
@@ -193,26 +201,24 @@ def phrase_counts(docs: DataFrame, most: int = WORDS, least: int = LEAST) -> tup
     """(phrases, totals): lang, phrase, k, f of every phrase of 1 to `most` words with f >= least; lang and its n.
 
     Each word starts a row of a phrase of every length, counted by hash aggregation after a count within the task. A
-    phrase can only be frequent if every part of it is, so pairs are put out where both words pass the filter of frequent
-    words, and longer phrases where all pairs pass that of frequent pairs: rows that could not reach `least` are never
-    made, and no count of the others changes.
+    phrase can only be frequent if every part of it is, and most pairs of words are seen once or twice. So pairs are
+    counted by their hashes first, where both words pass the filter of frequent words; phrases become rows where all their
+    pairs pass the filter of frequent hashes. Rows that could not reach `least` are not made, and no count of the others
+    changes; what passes by chance is counted like any other and falls short.
     """
     spark = docs.sparkSession
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     texts = docs.select(lang.alias("lang"), F.col("text").cast("binary").alias("_text"))
     words = cut(_counted(texts, _words))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = [words.where(F.col("f") >= least).withColumn("k", F.lit(1))]
+    often = words.where(F.col("f") >= least)
+    phrases = often.withColumn("k", F.lit(1))
     if most >= 2:
-        known = spark.sparkContext.broadcast(frequent_filter(often[0], 1))
-        often.append(cut(_counted(texts, _pairs(known)).where(F.col("f") >= least)).withColumn("k", F.lit(2)))
-    if most >= 3:
-        known = spark.sparkContext.broadcast(frequent_filter(often[1], 2))
-        longer = cut(_counted(texts, _longer(known, most)).where(F.col("f") >= least))
-        often.append(longer.withColumn("k", F.size(F.split("phrase", " "))))
-    phrases = often[0]
-    for more in often[1:]:
-        phrases = phrases.unionByName(more)
+        known = spark.sparkContext.broadcast(frequent_filter(word_hashes(often)))
+        pairs = texts.mapInArrow(_pair_hashes(known), "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f"))
+        known = spark.sparkContext.broadcast(frequent_filter(cut(pairs.where(F.col("f") >= least).select("hash"))))
+        longer = cut(_counted(texts, _phrases(known, most)).where(F.col("f") >= least))
+        phrases = phrases.unionByName(longer.withColumn("k", F.size(F.split("phrase", " "))))
     return phrases, totals
 
 
@@ -259,13 +265,15 @@ def collocations(docs: DataFrame, most: int = WORDS, least: int = LEAST, top: in
     met = met.withColumn("score", F.expr("_over div _under"))
     best = F.min(F.struct("score", "_cut", "l", "r")).alias("_best")
     scored = met.groupBy("lang", "phrase", "a", "n").agg(best).select("lang", "phrase", "a", "_best.l", "_best.r", "n", "_best.score")
-    # A language's phrases are ranked in parts first, so that few of them meet in one task.
+    # Ranks within parts leave out what can't be among the first; ranks over all come from prefix sums over ranges.
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = scored.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
     dealt = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    placed = cut(running_totals(dealt.drop("_part", "rank"), [F.asc("lang"), *order], "a"))
+    firsts = placed.groupBy(F.col("lang").alias("_of")).agg(F.min("_row").alias("_first"))
+    ranked = spread_join(placed, "lang", "phrase", firsts, "_of").withColumn("rank", F.col("_row") - F.col("_first") + 1).where(F.col("rank") <= top)
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 #: DuckDB SQL of `op13_collocations`: every phrase at every word, every longer phrase against its parts.
