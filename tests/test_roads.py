@@ -2,9 +2,11 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wayline.functions import geo
 from wayline.operators import roads as R
 
 KEYS = ["road_id"]
@@ -122,3 +124,35 @@ def test_a_long_route(spark):
     found = R.route_progress(rows.withColumn("lon", F.col("lon") + 1e-5).drop("seq"), rows)
     least, most, n = found.agg(F.min("remaining_m"), F.max("remaining_m"), F.count("remaining_m")).first()
     assert n == 100_000 and least < 2 and most > 111_000 and time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("leaf, fan", [(1, 2), (3, 2), (16, 16)])
+def test_index_nodes_are_bounded_and_whole(spark, leaf, fan):
+    rng = random.Random(9)
+    rows = [(k, i, 51 + rng.random() * s, rng.random() * s, 0.0) for k, s, n in (("a", 1e-6, 90), ("b", 1.0, 7), ("c", 1e-3, 200)) for i in range(n)]
+    points = spark.createDataFrame(rows, "k string, seq int, lat double, lon double, to_end_m double").withColumn("_p", F.struct("seq", "to_end_m"))
+    levels = R._point_index(points, ["k"], leaf, fan)
+    assert all(r["n"] <= (leaf if i == 0 else fan) for i, level in enumerate(levels) for r in level.select(F.size("kids").alias("n")).collect())
+    assert levels[0].select(F.sum(F.size("kids"))).first()[0] == len(rows) and levels[-1].count() == 3
+    at = spark.createDataFrame([(i, k, 51 + rng.random() * s, rng.random() * s) for i, (k, s) in enumerate([("a", 2e-6), ("b", 2.0), ("c", 1e-3)] * 30)], "n int, k string, lat double, lon double")
+    found = {r["n"]: r["d"] for r in R.nearest_points(at, points.drop("_p"), ["k"], "n", leaf, fan).collect()}
+    away = geo.haversine_atan2_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    every = at.join(points.select("k", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "k").groupBy("n").agg(F.min(away).alias("d"))
+    assert found == {r["n"]: pytest.approx(r["d"], abs=1e-6) for r in every.collect()} and len(found) == 90
+
+
+def test_a_standing_vehicle(spark):
+    """100,000 points and as many positions within 10 m: no position meets more than a few leaves."""
+    n = 100_000
+    place = lambda c, seed: (c + F.rand(seed) * 8e-5)
+    points = spark.range(n).select(F.lit("r").alias("k"), F.col("id").alias("seq"), place(F.lit(51.0), 1).alias("lat"), place(F.lit(0.0), 2).alias("lon"), F.lit(0.0).alias("to_end_m")).checkpoint()
+    at = spark.range(n).select(F.col("id").alias("n"), F.lit("r").alias("k"), place(F.lit(51.0), 3).alias("lat"), place(F.lit(0.0), 4).alias("lon")).checkpoint()
+    began = time.perf_counter()
+    found = R.nearest_points(at, points, ["k"], "n").toPandas()
+    assert time.perf_counter() - began < 120 and sorted(found["n"]) == list(range(n))
+    p, a = points.toPandas(), at.where("n % 1000 = 0").toPandas()
+    lat, lon = np.radians(p["lat"].to_numpy()), np.radians(p["lon"].to_numpy())
+    near = found.set_index("n")["d"]
+    for i, x, y in zip(a["n"], np.radians(a["lat"]), np.radians(a["lon"]), strict=True):
+        h = np.sin((lat - x) / 2) ** 2 + np.cos(x) * np.cos(lat) * np.sin((lon - y) / 2) ** 2
+        assert abs(near[i] - 2 * 6371000.0 * np.arcsin(np.sqrt(h)).min()) < 1e-6

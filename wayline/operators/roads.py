@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import geo, text
+from wayline.operators.prefix import running_totals
 from wayline.operators.storage import cut
 
 
@@ -152,10 +153,12 @@ def route_lengths(points: DataFrame, key: str = "route_id") -> DataFrame:
     return rows.withColumn("route_m", F.sum("_piece").over(Window.partitionBy(key))).drop("_piece")
 
 
-#: Metres within which the nearest point is looked for first, and how many times farther each next time.
-NEAR_M, FARTHER = 32.0, 8
-#: Any distance on the earth is less.
-FAR_M = 2.1e7
+#: Points in a leaf of the index, nodes in a node above.
+LEAF, FAN = 16, 16
+#: Levels of up to so many nodes (under 10 MB) are sent to every task; others are joined by shuffle.
+FEW_NODES = 4096
+#: Bits of each axis in each half of a point's place on the curve: 42 in all, steps of a few micrometres.
+CURVE_BITS = 21
 
 
 def _on_globe(lat: Column, lon: Column) -> list[Column]:
@@ -164,35 +167,75 @@ def _on_globe(lat: Column, lon: Column) -> list[Column]:
     return [geo.EARTH_RADIUS_M * x for x in (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))]
 
 
-def nearest_points(at: DataFrame, points: DataFrame, keys: list[str], row: str) -> DataFrame:
+def _interleaved(axes: list[Column]) -> Column:
+    """The low CURVE_BITS bits of whole numbers in turn, as one."""
+
+    def bit(m: Column, b: Column) -> Column:
+        for i, v in enumerate(axes):
+            m = m + F.call_function("shiftleft", F.call_function("shiftright", v, b).bitwiseAND(1), 3 * b + i)
+        return m
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(CURVE_BITS - 1)), F.lit(0).cast("long"), bit)
+
+
+def _square(p: list[Column], q: list[Column]) -> Column:
+    return sum(((a - b) * (a - b) for a, b in zip(p[1:], q[1:], strict=True)), (p[0] - q[0]) * (p[0] - q[0]))
+
+
+def _point_index(points: DataFrame, keys: list[str], leaf: int, fan: int) -> list[DataFrame]:
+    """Levels of an index over each key's points, leaves first: keys, node, kids. The last has one node for each key.
+
+    Points stand along a space-filling curve, numbered by prefix sums over ranges of it; every `leaf` in a row are a leaf
+    and every `fan` nodes a node above, so no node ever holds more, however near to each other points are. A kid is a
+    node's box, one of its points, and its number; a leaf's kids are its points.
+    """
+    axes = ["_x", "_y", "_z"]
+    on = dict(zip(axes, _on_globe(F.col("lat"), F.col("lon")), strict=True))
+    scaled = [F.floor((v + geo.EARTH_RADIUS_M) / (2.0 * geo.EARTH_RADIUS_M + 1) * float(1 << 2 * CURVE_BITS)).cast("long") for v in on.values()]
+    rough, fine = _interleaved([F.shiftright(v, CURVE_BITS) for v in scaled]), _interleaved([v.bitwiseAND((1 << CURVE_BITS) - 1) for v in scaled])
+    lined = points.withColumns(on | {"_rough": rough, "_fine": fine, "_one": F.lit(1)})
+    order = [F.col(k) for k in keys] + [F.col("_rough"), F.col("_fine"), F.col("seq")]
+    placed = running_totals(lined, order, "_one", "_before", "_place").withColumn("node", F.expr(f"_place div {leaf}"))
+    boxes = [f(a).alias(f"{n}{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    kid = F.struct("lat", "lon", F.col("_p.seq").alias("seq"), F.col("_p.to_end_m").alias("rest"))
+    level = cut(placed.groupBy(*keys, "node").agg(F.collect_list(kid).alias("kids"), *boxes, F.first(F.struct(*axes)).alias("mid")))
+    levels = [level.select(*keys, "node", "kids")]
+    while level.groupBy(*keys).count().where("count > 1").limit(1).count():
+        kid = F.struct("node", "mid", *[f"{n}{a}" for a in axes for n in ("lo", "hi")])
+        boxes = [f(f"{n}{a}").alias(f"{n}{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        level = cut(level.groupBy(*keys, F.expr(f"node div {fan}").alias("_up")).agg(F.collect_list(kid).alias("kids"), *boxes, F.first("mid").alias("mid")).withColumnRenamed("_up", "node"))
+        levels.append(level.select(*keys, "node", "kids"))
+    return levels
+
+
+def nearest_points(at: DataFrame, points: DataFrame, keys: list[str], row: str, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """For each position (keys, `row`, lat, lon; `row` numbers the positions) of a key that has points (keys, seq, lat,
     lon, to_end_m): row, d, seq, rest of the nearest point by great-circle metres, the first on a tie.
 
-    Points are packed by cells of a grid in space, twice as wide as the distance looked in, so a position meets the points
-    of at most eight cells. Whatever has a point within that distance has found its nearest; only the others go on, with
-    cells FARTHER times as wide. Where several points are at one place the first counts. Places with a null take no part.
+    A position goes down its key's index: of a node's kids it follows those whose box isn't farther than some point that
+    it knows, so it meets a few leaves of bounded size wherever the points lie and however dense they are. Straight
+    distances prune, with room for rounding; distances along the ground decide. Where several points are at one place the
+    first counts. Places with a null take no part.
     """
     placed = "lat is not null and lon is not null"
-    one = cut(points.where(placed).groupBy(*keys, "lat", "lon").agg(F.min(F.struct("seq", "to_end_m")).alias("_p")))
-    left, found, radius = cut(at.where(placed).select(*keys, row, "lat", "lon")), None, NEAR_M
-    while True:
-        last = radius >= FAR_M
-        cell = lambda x, off: F.floor((x + off) / (2 * radius)).cast("long")  # noqa: E731, B023
-        held = one.withColumn("_cell", F.lit(0) if last else F.struct(*[cell(x, 0.0) for x in _on_globe(F.col("lat"), F.col("lon"))]))
-        held = held.groupBy(*keys, "_cell").agg(F.collect_list(F.struct("lat", "lon", F.col("_p.seq").alias("seq"), F.col("_p.to_end_m").alias("rest"))).alias("_points"))
-        x, y, z = _on_globe(F.col("lat"), F.col("lon"))
-        sides = (-radius, radius)
-        cells = F.array(F.lit(0)) if last else F.array_distinct(F.array(*[F.struct(cell(x, i), cell(y, j), cell(z, k)) for i in sides for j in sides for k in sides]))
-        asked = left.withColumn("_cell", F.explode(cells))
-        away = lambda p: F.struct(geo.haversine_atan2_m(F.col("lat"), F.col("lon"), p["lat"], p["lon"]).alias("d"), p["seq"].alias("seq"), p["rest"].alias("rest"))
-        best = asked.join(held, [*keys, "_cell"]).select(row, F.array_min(F.transform("_points", away)).alias("_n"))
-        best = best.groupBy(row).agg(F.min("_n").alias("_n")).select(row, "_n.*")
-        best = cut(best if last else best.where(F.col("d") <= radius))
-        found = best if found is None else found.unionByName(best)
-        left = cut(left.join(best.select(row), row, "left_anti").join(one.select(*keys).distinct(), keys, "left_semi"))
-        if last or left.isEmpty():
-            return found
-        radius *= FARTHER
+    one = points.where(placed).groupBy(*keys, "lat", "lon").agg(F.min(F.struct("seq", "to_end_m")).alias("_p")).withColumn("seq", F.col("_p.seq"))
+    levels = _point_index(one, keys, leaf, fan)
+    x, y, z = _on_globe(F.col("lat"), F.col("lon"))
+    levels = [F.broadcast(level) if level.count() <= FEW_NODES else level for level in levels]
+    # Positions are few bytes and much work: dealt to a given number of partitions, they aren't coalesced by size.
+    spread = at.where(placed).repartition(int(at.sparkSession.conf.get("spark.sql.shuffle.partitions")), row)
+    asked = spread.select(*keys, row, "lat", "lon", x.alias("_px"), y.alias("_py"), z.alias("_pz"), F.lit(float("inf")).alias("_bound"))
+    p = [F.col(f"_p{a}") for a in "xyz"]
+    met = asked.join(levels[-1], keys).drop("node")
+    for below in reversed(levels[:-1]):
+        reach = F.array_min(F.transform("kids", lambda k: _square(p, [k["mid"][f"_{a}"] for a in "xyz"])))
+        met = met.withColumn("_bound", F.least("_bound", reach))
+        outside = lambda k: [F.least(F.greatest(v, k[f"lo_{a}"]), k[f"hi_{a}"]) for v, a in zip(p, "xyz", strict=True)]
+        near = F.filter("kids", lambda k: _square(p, outside(k)) <= F.col("_bound") * (1 + 1e-9) + 1e-6)
+        met = met.withColumn("node", F.explode(F.transform(near, lambda k: k["node"]))).drop("kids").join(below, [*keys, "node"])
+    away = lambda q: F.struct(geo.haversine_atan2_m(F.col("lat"), F.col("lon"), q["lat"], q["lon"]).alias("d"), q["seq"].alias("seq"), q["rest"].alias("rest"))
+    best = met.select(row, F.array_min(F.transform("kids", away)).alias("_n")).groupBy(row).agg(F.min("_n").alias("_n"))
+    return best.select(row, "_n.*")
 
 
 def route_progress(at: DataFrame, points: DataFrame, key: str = "route_id", total: str | None = None) -> DataFrame:
