@@ -163,15 +163,17 @@ def taken_runs(placed: DataFrame, targets: DataFrame, block: int = BLOCK, shard_
     pass, so no key is hot. Columns: those of `placed`, block, from (word in the document), words, passes: a bit for each
     pass that takes the block, and slots: shard, place and pass of each slot that takes it.
     """
+    placed = placed.drop("slots")  # the source's number of them
     last = f"(offset + size - 1) div {block}"
-    parts = placed.withColumn("block", F.explode_outer(F.expr(f"if(size > 0, sequence(offset div {block}, {last}), null)")))
+    parts = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(offset div {block}, {last})")))
     begin, end = F.greatest(F.col("block") * block, F.col("offset")), F.least((F.col("block") + 1) * block, F.col("offset") + F.col("size"))
-    parts = parts.withColumn("from", begin - F.col("offset")).withColumn("words", F.coalesce(end - begin, F.lit(0)))
+    parts = parts.withColumn("from", begin - F.col("offset")).withColumn("words", end - begin)
     drawn = draw_slots(targets, shard_slots).groupBy("source_no", "block")
     drawn = drawn.agg(F.sum(F.expr("1L << pass")).alias("passes"), F.collect_list(F.struct("shard", "place", "pass")).alias("slots"))
-    parts = parts.drop("slots")  # the source's number of them
     met = parts.join(drawn.hint("merge"), ["source_no", "block"], "left")  # its size can't be told from its plan
-    return met.withColumn("passes", F.coalesce("passes", F.lit(0)))
+    # Documents without words have no block to meet on: they are put beside the join.
+    none = placed.where("size = 0").withColumn("from", F.lit(0).cast("long")).withColumn("words", F.lit(0).cast("long"))
+    return met.unionByName(none, allowMissingColumns=True).withColumn("passes", F.coalesce("passes", F.lit(0)))
 
 
 def mix_report(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:

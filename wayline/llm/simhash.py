@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, run: int = RUN) -> DataFrame:
     prints = cut(with_fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id")))
     ids = component_ids(prints, run).withColumnRenamed("fp", "_fp")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(ids, F.expr("fp = _fp")).select("doc_id", digits.alias("fingerprint"), "component_id")
+    return spread_join(prints, "fp", "doc_id", ids, "_fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     prints = cut(with_fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id"), key.alias("_key")))
     ids = component_ids(prints.select("doc_id", "fp")).withColumnRenamed("fp", "_fp")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best")
-    grouped = prints.join(ids, F.expr("fp = _fp")).groupBy("root").agg(best)
+    grouped = spread_join(prints, "fp", "_key", ids, "_fp").groupBy("root").agg(best)
     kept = grouped.select(F.col("best.doc_id").alias("_kept_id"), F.col("best._key").alias("_kept_key"))
     repeats = prints.groupBy(F.col("doc_id").alias("_i"), F.col("_key").alias("_k")).agg(F.count(F.lit(1)).alias("_times"))
     kept = kept.join(repeats, F.expr("_kept_id <=> _i and _kept_key = _k")).select("_kept_id", "_kept_key", "_times")
