@@ -23,6 +23,8 @@ _BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 els
 END = b"\n"
 #: Phrases and hashes a task counts, and words it remembers, before it starts afresh.
 HELD, HELD_HASHES, KNOWN = 400_000, 4_000_000, 1_000_000
+#: Pairs are counted by this much of their hash (5 bytes a row); pairs that share it pass together or not at all.
+SHORT = np.uint64((1 << 40) - 1)
 #: Bits of the filter of frequent phrases: so many for each, at most 2^MOST in all (32 MB), in pieces of 2^PIECE.
 BITS_EACH, MOST, PIECE = 16, 28, 20
 
@@ -160,7 +162,7 @@ def _pair_hashes(known):
                 hashes = _hashed(lang, text_words(text.as_py()), memo)
                 if hashes.size > 1:
                     good = (hashes != 0) & known.value.passes(chained(hashes, 1))
-                    held.append(chained(hashes, 2)[good[:-1] & good[1:]])
+                    held.append(chained(hashes, 2)[good[:-1] & good[1:]] & SHORT)
                     size += held[-1].size
             if size > HELD_HASHES:
                 yield put_out()
