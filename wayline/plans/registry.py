@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wayline.plans import filters, geometry, outages, roads, sequences, streams
+from wayline.plans import filter_algebra, filters, geometry, outages, roads, sequences, streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (outages, sequences, geometry, roads, filters, streams):
+for _part in (outages, sequences, geometry, roads, filters, filter_algebra, streams):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
