@@ -7,7 +7,9 @@ state of a key that has been silent for so long goes by itself.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from wayline.operators.filter_core import RADIUS, Filter, heading_of, heading_quat
 
 GRID_NS, CAPACITY = 100_000_000, 50
+#: What one sensor keeps while the other is silent.
+HORIZON_NS = 60_000_000_000
+_time = itemgetter(0)
 
 
 SECOND_NS = 1_000_000_000
@@ -57,12 +62,16 @@ class Keyed(StatefulProcessor):
 
 
 class Grid:
-    """Two sensors' samples interpolated at the times that both have reached; starts at the later first sample."""
+    """Two sensors' samples interpolated at the times that both have reached; starts at the later first sample.
 
-    def __init__(self, step: int = GRID_NS):
-        self.step, self.next = step, None
+    A sensor whose partner is silent keeps `horizon` of samples: what is older is let go and counted, and the grid starts
+    anew with the partner's next sample, so a key's state stays bounded.
+    """
+
+    def __init__(self, step: int = GRID_NS, horizon: int = HORIZON_NS):
+        self.step, self.horizon, self.next = step, horizon, None
         self.queues: dict[str, list[tuple[int, list[float]]]] = {"accel": [], "gyro": []}
-        self.late = 0
+        self.late, self.let_go = 0, 0
 
     def add(self, sensor: str, ts: int, values: object) -> Iterator[tuple[int, list[float]]]:
         if sensor not in self.queues or not valid(values):
@@ -73,19 +82,25 @@ class Grid:
             return
         queue.append((int(ts), [float(v) for v in values]))
         accel, gyro = self.queues["accel"], self.queues["gyro"]
-        if not accel or not gyro:
-            return
-        if self.next is None:
-            self.next = max(accel[0][0], gyro[0][0])
-        while min(accel[-1][0], gyro[-1][0]) >= self.next:
-            yield self.next, self._at(accel) + self._at(gyro)
-            for q in (accel, gyro):  # one sample before the last grid time stays
-                while len(q) > 1 and q[1][0] <= self.next:
-                    q.pop(0)
-            self.next += self.step
+        if accel and gyro:
+            if self.next is None:
+                self.next = max(accel[0][0], gyro[0][0])
+            reached = min(accel[-1][0], gyro[-1][0])
+            while reached >= self.next:
+                yield self.next, self._at(accel) + self._at(gyro)
+                self.next += self.step
+            for q in (accel, gyro):  # one sample before the next grid time stays, as the next may lie between
+                del q[: max(0, bisect_right(q, self.next - self.step, key=_time) - 1)]
+        if ts - queue[0][0] > self.horizon:
+            gone = bisect_left(queue, ts - self.horizon, key=_time)
+            del queue[:gone]
+            self.let_go += gone
+            if self.next is not None and queue[0][0] > self.next:
+                self.next = None
+                self.queues["gyro" if sensor == "accel" else "accel"].clear()
 
     def _at(self, queue: list[tuple[int, list[float]]]) -> list[float]:
-        after = next((i for i, (t, _) in enumerate(queue) if t >= self.next), len(queue) - 1)
+        after = min(bisect_left(queue, self.next, key=_time), len(queue) - 1)
         t1, v1 = queue[after]
         if after == 0 or t1 <= self.next:
             return list(v1)
@@ -198,6 +213,25 @@ class LiveWindows(Keyed):
         yield pd.DataFrame(out, columns=["device", "ts_ns", "imu", "n", "window_rate_hz"])
 
 
+NEWEST_WINDOWS = LIVE_WINDOWS + ", skipped long"
+
+
+class NewestWindows(LiveWindows):
+    """As LiveWindows, but a batch gives only the newest window of a key: whatever is slower than the stream then works
+    on what is current instead of falling behind. `skipped` counts the windows left out so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.count = self.held(handle, "skipped", "skipped long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        skipped = self.count.get()[0] if self.count.exists() else 0
+        for windows in super().handleInputRows(key, rows, timerValues):
+            skipped += max(0, len(windows) - 1)
+            self.count.update((skipped,))
+            yield windows.tail(1).assign(skipped=skipped)
+
+
 class Outage:
     """FIX, OUTAGE, RECOVERING and RECOVERED; recovered stays until the next outage."""
 
@@ -321,7 +355,12 @@ class Tracker:
 
 class OnlineFilter(Keyed):
     """What happens to a device (kind sample, speed, turn, fix or command) to its place after each. Columns: kind, cmd, lat,
-    lon, heading_deg and sample, which holds the sample's six values, the speed alone, or the rotation's w, x, y, z."""
+    lon, heading_deg and sample, which holds the sample's six values, the speed alone, or the rotation's w, x, y, z. Rows of
+    a batch are taken in the order of the columns `order`."""
+
+    def __init__(self, ttl_ms: int | None = None, order: tuple[str, ...] = ("ts_ns", "kind")):
+        super().__init__(ttl_ms)
+        self.order = list(order)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = self.held(handle, "tracker", "numbers array<double>, lat double, lon double, last long, mode string, since long, skipped long, times array<long>, attitudes array<array<double>>")
@@ -329,7 +368,7 @@ class OnlineFilter(Keyed):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tracker = Tracker.unpacked(*self.state.get()) if self.state.exists() else Tracker()
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts_ns", "kind"], kind="stable").itertuples():
+        for r in pd.concat(list(rows)).sort_values(self.order, kind="stable").itertuples():
             applied = None
             if r.kind == "sample":
                 tracker.sample(int(r.ts_ns), list(r.sample))
