@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wayline.plans import filter_algebra, filters, geometry, live, outages, roads, sequences, streams
+from wayline.plans import filter_algebra, filters, geometry, live, outages, recording_path, roads, sequences, streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (outages, sequences, geometry, roads, filters, filter_algebra, streams, live):
+for _part in (outages, sequences, geometry, roads, filters, filter_algebra, streams, live, recording_path):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -55,7 +55,7 @@ def nearest_segment(spark: SparkSession, sf: str) -> DataFrame:
 
 def map_match(spark: SparkSession, sf: str) -> DataFrame:
     found = R.match(_road_points(spark, sf), R.segments(_roads(spark, sf), KEYS), KEYS)
-    return rounded(found, [*KEYS, "i", "matched", "outcome"], 3, corr_e="corr_e", corr_n="corr_n")
+    return rounded(found, [*KEYS, "i", "matched", "outcome", "rejection_reason"], 3, corr_e="corr_e", corr_n="corr_n")
 
 
 def match_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,6 +125,8 @@ tallied AS (
 _K = "session_id, duration_s, interval_idx"
 _DIST = lambda a, b, c, d: f"(2 * 6371000.0 * atan2(sqrt({_half(a, b, c, d)}), sqrt(greatest(0.0, 1 - {_half(a, b, c, d)}))))"
 _half = lambda a, b, c, d: f"(sin(radians({c} - {a}) / 2) ^ 2 + cos(radians({a})) * cos(radians({c})) * sin(radians({d} - {b}) / 2) ^ 2)"
+_REASON = """CASE outcome WHEN 'no_road' THEN 'no road polyline provided' WHEN 'distance' THEN format('distance {:.1f}m exceeds max_match_dist_m (20.0m)', d)
+  WHEN 'heading' THEN format('heading diff {:.1f}deg exceeds max_heading_diff_deg (30.0deg)', least(a2, 180 - a2)) ELSE '' END"""
 ORACLES = {
     "road_from_lookback": O.sql(f"{_ROAD} SELECT {_K}, vertex, {O.r('e', 5)} AS e, {O.r('n', 5)} AS n FROM road"),
     "road_dedupe": O.sql("""SELECT session_id, seq, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS INT) AS vertex, e, n FROM (
@@ -132,7 +134,7 @@ ORACLES = {
       WINDOW w AS (PARTITION BY session_id ORDER BY seq)) WHERE pe IS NULL OR sqrt((e - pe) ^ 2 + (n - pn) ^ 2) > 0.1"""),
     "polyline_segments": O.sql(f"{_ROAD} SELECT {_K}, segment_idx, {', '.join(f'{O.r(c, 5)} AS {c.rstrip(chr(95))}' for c in ('ax', 'ay', 'bx', 'by_'))} FROM segs"),
     "nearest_segment": O.sql(f"{_ROAD} SELECT {_K}, i, {O.r('d', 4)} AS distance_m FROM near4 WHERE d IS NOT NULL"),
-    "map_match": O.sql(f"{_ROAD} SELECT {_K}, i, matched, outcome, {O.r('corr_e', 3)} AS corr_e, {O.r('corr_n', 3)} AS corr_n FROM corrected"),
+    "map_match": O.sql(f"{_ROAD} SELECT {_K}, i, matched, outcome, {_REASON} AS rejection_reason, {O.r('corr_e', 3)} AS corr_e, {O.r('corr_n', 3)} AS corr_n FROM corrected"),
     "match_stats": O.sql(f"""{_ROAD} SELECT {_K}, n_steps, n_matched, n_rejected_distance, n_rejected_heading, {O.r("n_matched / n_steps", 4)} AS match_fraction,
       {O.r("avg_correction_m", 4)} AS avg_correction_m, {O.r("max_correction_m", 4)} AS max_correction_m FROM tallied"""),
     "match_rollup": O.sql(f"""{_ROAD} SELECT duration_s, CAST(sum(n_steps) AS BIGINT) AS n_steps, CAST(sum(n_matched) AS BIGINT) AS n_matched, CAST(sum(n_rejected_distance) AS BIGINT) AS n_rejected_distance,

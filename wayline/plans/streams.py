@@ -11,6 +11,7 @@ from wayline.plans import oracles as O
 from wayline.plans.common import r
 from wayline.plans.onnx_models import linear_over_window
 from wayline.sources.events import raw_steps, table
+from wayline.sources.live import last_known
 from wayline.streaming import processors as P
 from wayline.streaming.run import drained
 
@@ -111,9 +112,11 @@ def hop_window_event_time(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def last_known_location(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest event of each user."""
-    rows = table(spark, sf, "events")
-    return rows.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
+    """Each user's freshest event, kept as a fix whose altitude is the event's number."""
+    time = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)") * 1_000_000 + F.col("event_id")  # equal times by number
+    fixes = table(spark, sf, "events").select(F.col("user_id").alias("device"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.col("event_id").alias("alt"), time.alias("ts_ns"))
+    latest = last_known(fixes).select(F.col("device").alias("user_id"), F.col("alt").alias("event_id"))
+    return latest.join(table(spark, sf, "events").select("event_id", "ts"), "event_id").select("user_id", "event_id", "ts")
 
 
 QUERIES = {f.__name__: f for f in (
