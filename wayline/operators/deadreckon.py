@@ -35,40 +35,54 @@ def headings(steps: DataFrame, gyro: str, init_deg: str, keys: list[str], into:
     return steps.withColumn(into, F.pmod(F.radians(first) + turn, F.lit(TWO_PI)))
 
 
-HeadingRule = Callable[[float, float, float, float | None], float]
+HeadingRule = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def blended(heading: float, gyro: float, dt: float, fix: float | None) -> float:
-    """Gyro integration with a tenth of the satellite heading where there is one. The blend is linear, not circular: of
-    359 and 1 degrees it makes 323.2."""
+def blended(heading: np.ndarray, gyro: np.ndarray, dt: np.ndarray, fix: np.ndarray) -> np.ndarray:
+    """Gyro integration with a tenth of the satellite heading where there is one (NaN: none). The blend is linear, not
+    circular: of 359 and 1 degrees it makes 323.2."""
     moved = heading + gyro * dt
-    return (moved if fix is None else (1 - BLEND) * moved + BLEND * fix) % TWO_PI
+    return np.where(np.isnan(fix), moved, (1 - BLEND) * moved + BLEND * fix) % TWO_PI
 
 
-def circular_blended(heading: float, gyro: float, dt: float, fix: float | None) -> float:
+def circular_blended(heading: np.ndarray, gyro: np.ndarray, dt: np.ndarray, fix: np.ndarray) -> np.ndarray:
     """As `blended`, along the shorter arc."""
     moved = heading + gyro * dt
-    return moved % TWO_PI if fix is None else (moved + BLEND * math.remainder(fix - moved, TWO_PI)) % TWO_PI
+    turn = (fix - moved) - TWO_PI * np.round((fix - moved) / TWO_PI)
+    return (moved + np.where(np.isnan(fix), 0.0, BLEND * turn)) % TWO_PI
+
+
+def in_step(lengths: np.ndarray, first: np.ndarray, rule: HeadingRule, gyro: np.ndarray, dt: np.ndarray, fixes: np.ndarray) -> np.ndarray:
+    """Headings of sessions that stand one after another (`lengths` rows each), all moved a step at a time: a step is one
+    array operation over the sessions that are that long."""
+    starts = np.cumsum(lengths) - lengths
+    longest = np.argsort(-lengths, kind="stable")
+    starts, sizes = starts[longest], lengths[longest]
+    out = np.empty(len(gyro))
+    heading = first[starts]
+    out[starts] = heading
+    for step in range(1, int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -step, "left"))  # those longer than `step`
+        at = starts[:n] + step
+        heading = out[at] = rule(heading[:n], gyro[at], dt[at], fixes[at])
+    return out
 
 
 def folded_headings(steps: DataFrame, gyro: str, init_deg: str, keys: list[str], rule: HeadingRule = blended, into: str = "heading_rad") -> DataFrame:
     """Headings by any rule, step by step: satellite headings (`gt_heading_deg`) count outside outages.
 
-    A true recurrence, over one number per step. Many sessions share a group, whose rows are sorted once; a group has
-    about GROUP_ROWS rows, or one session if that is longer.
+    A true recurrence, over one number per step. Many sessions share a group, whose rows are sorted once and whose sessions
+    move in step; a group has about GROUP_ROWS rows, or one session if that is longer.
     """
     schema = steps.withColumn(into, F.lit(0.0)).schema
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns="_bucket").sort_values([*keys, "i"], ignore_index=True)
-        starts = ~rows.duplicated(keys)
+        starts = np.flatnonzero(~rows.duplicated(keys).to_numpy())
         fixes = np.radians(rows["gt_heading_deg"].where(~rows["is_blackout"].astype(bool)).to_numpy(float))
         first = np.radians(rows[init_deg].to_numpy(float)) % TWO_PI
-        out, heading = [], 0.0
-        for start, h0, g, dt, fix in zip(starts.tolist(), first.tolist(), rows[gyro].tolist(), rows["dt"].tolist(), fixes.tolist(), strict=True):
-            heading = h0 if start else rule(heading, g, dt, None if fix != fix else fix)
-            out.append(heading)
-        return rows.assign(**{into: out})
+        lengths = np.diff(np.append(starts, len(rows)))
+        return rows.assign(**{into: in_step(lengths, first, rule, rows[gyro].to_numpy(float), rows["dt"].to_numpy(float), fixes)})
 
     buckets = max(int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-steps.count() // GROUP_ROWS))
     dealt = steps.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
