@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import cut, stored
+from wayline.llm.common import stored
 
 
-def spread_join(rows: DataFrame, key: str, by: str, once: DataFrame, once_key: str, counts: DataFrame | None = None) -> DataFrame:
+def spread_join(
+    rows: DataFrame, key: str, by: str, once: DataFrame, once_key: str, counts: DataFrame | None = None, total: int | None = None
+) -> DataFrame:
     """rows joined with `once`, which has one row for each key: keys with far more rows than a partition's share are dealt
     by `by` to several partitions, and their row of `once` goes to each.
 
     With P partitions, keys of more than a share (a P-th of the rows) are dealt, into parts of half a share; there are at
-    most P of them, so they can be broadcast. `counts`: key and `count`, where they are known already.
+    most P of them, so they go through the driver, and without any the join is a plain one. `counts`: key and `count`, and
+    `total`, the number of rows, where they are known already.
     """
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = max(64, rows.count() // (2 * partitions))
+    spark = rows.sparkSession
+    share = max(64, (rows.count() if total is None else total) // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     counts = rows.groupBy(key).count() if counts is None else counts
-    hot = counts.select(F.col(key).alias("_hot"), (F.col("count") / share).cast("int").alias("_parts")).where("_parts >= 2")
-    hot = F.broadcast(cut(hot))
+    hot = counts.where(F.col("count") >= 2 * share).select(F.col(key).alias("_hot"), F.expr(f"cast(count div {share} as int)").alias("_parts"))
+    found = hot.collect()  # at most P
+    same = F.col(key) == F.col(once_key)
+    if not found:
+        return rows.join(once, same)
+    hot = F.broadcast(spark.createDataFrame(found, hot.schema))
     left = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).otherwise(0))
     right = once.join(hot, F.col(once_key) == F.col("_hot"), "left").withColumn("_at", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
     left, right = left.drop("_hot", "_parts"), right.drop("_hot", "_parts")
-    return left.join(right, (F.col(key) == F.col(once_key)) & (F.col("_salt") == F.col("_at"))).drop("_salt", "_at")
+    return left.join(right, same & (F.col("_salt") == F.col("_at"))).drop("_salt", "_at")
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -44,10 +51,10 @@ def star_components(edges: DataFrame) -> DataFrame:
     while found != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
-        large = spread_join(both.where("v > u"), "u", "v", least, "k").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = spread_join(both.where("v > u"), "u", "v", least, "k", total=found[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u <> v"))  # repeats go with the small step's
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        joined = spread_join(large, "u", "v", least, "k")  # a hub above its neighbours keeps all its edges to here
+        joined = spread_join(large, "u", "v", least, "k", total=found[0])  # a hub above its neighbours keeps all its edges to here
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
         now = stored(small.where("u <> v").distinct())
         before, found = found, _signature(now)
