@@ -83,6 +83,28 @@ def test_each_file_is_read_by_its_own_header(spark, tmp_path):
         RC.scan(spark, str(tmp_path), RC.phone_header)
 
 
+def test_a_file_of_several_splits(spark, tmp_path):
+    """Numbers go on from split to split; a split with no good row and malformed rows at the edges count nothing."""
+    line = lambda i: f"{'nan' if i % 7 == 3 or 300 <= i < 420 else 51.0},{100 * i},2020-01-01,{i},0,9.8,0.1,0.2,0.3,{i},0,0"
+    for name, n in (("S-LONG.csv", 1000), ("S-SHORT.csv", 5)):
+        (tmp_path / name).write_text("\n".join([DIALECTS[0], *(line(i) for i in range(n))]) + "\n")
+    options = {"spark.sql.files.maxPartitionBytes": "2048", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        assert spark.read.text(str(tmp_path / "S-LONG.csv")).rdd.getNumPartitions() > 20
+        rows = RC.scan(spark, str(tmp_path), RC.phone_header).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for session, n in (("S-LONG", 1000), ("S-SHORT", 5)):
+        good = sorted((r["seq"], r["accel_x"]) for r in rows if r["session_id"] == session and not r["malformed"])
+        kept = [i for i in range(n) if not (i % 7 == 3 or 300 <= i < 420)]
+        assert good == [(k, float(i)) for k, i in enumerate(kept)]
+    assert len(rows) == 1005 and all(r["seq"] is None for r in rows if r["malformed"])
+
+
 def test_lookups(spark):
     body = json.dumps([{"lat": "28.5", "lon": "77.25", "display_name": "there"}])
     rows = spark.createDataFrame([("a", body), ("b", "[]"), ("c", "no json")], "query string, body string")

@@ -1,4 +1,7 @@
-"""Dead reckoning: headings and positions as window sums; blended headings as a fold over each session."""
+"""Dead reckoning: headings and positions as window sums; blended headings as a fold over each session.
+
+Where `chunk` is given, a session is cut into pieces of so many rows, so that none has to fit into a task.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +10,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.geo import EARTH_RADIUS_M
+from wayline.operators.scans import lagged, running
 from wayline.operators.sequence import spread
+from wayline.operators.storage import cut
 
 TWO_PI = 2 * math.pi
 #: Weight of a satellite heading in the blend. Fixed value.
@@ -20,15 +25,21 @@ BLEND = 0.1
 GROUP_ROWS = 100_000
 
 
-def with_dt(steps: DataFrame, keys: list[str], fallback: float = 0.1) -> DataFrame:
+def with_dt(steps: DataFrame, keys: list[str], fallback: float = 0.1, chunk: int | None = None) -> DataFrame:
     """`dt`: seconds since the step before; `fallback` if that isn't positive; 0 for the first step."""
-    w = Window.partitionBy(*keys).orderBy("i")
-    gap = F.col("t_s") - F.lag("t_s").over(w)
-    return steps.withColumn("dt", F.when(gap.isNull(), 0.0).when(gap <= 0, fallback).otherwise(gap))
+    if chunk:
+        steps = lagged(steps, keys, "i", chunk, {"_t": ("t_s", 1)})
+    else:
+        steps = steps.withColumn("_t", F.lag("t_s").over(Window.partitionBy(*keys).orderBy("i")))
+    gap = F.col("t_s") - F.col("_t")
+    return steps.withColumn("dt", F.when(gap.isNull(), 0.0).when(gap <= 0, fallback).otherwise(gap)).drop("_t")
 
 
-def headings(steps: DataFrame, gyro: str, init_deg: str, keys: list[str], into: str = "heading_rad") -> DataFrame:
+def headings(steps: DataFrame, gyro: str, init_deg: str, keys: list[str], into: str = "heading_rad", chunk: int | None = None) -> DataFrame:
     """Integrated yaw rate (positive turns right) from each session's first heading, in [0, 2 pi)."""
+    if chunk:
+        rows = running(steps, keys, "i", chunk, {"_turn": F.col(gyro) * F.col("dt")}, {"_first": init_deg})
+        return rows.withColumn(into, F.pmod(F.radians("_first") + F.col("_turn"), F.lit(TWO_PI))).drop("_turn", "_first")
     w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     first = F.first(init_deg).over(w)
     turn = F.sum(F.col(gyro) * F.col("dt")).over(w)
@@ -89,17 +100,23 @@ def folded_headings(steps: DataFrame, gyro: str, init_deg: str, keys: list[str],
     return spread(dealt, ["_bucket"]).groupBy("_bucket").applyInPandas(fold, schema)
 
 
-def positions(steps: DataFrame, speed: str, keys: list[str], fixed: bool = True) -> DataFrame:
+def _is_fix(fixed: bool) -> Column:
+    return (F.col("i") == 0) | ((~F.col("is_blackout") & F.col("gt_lat").isNotNull() & F.col("gt_lon").isNotNull()) if fixed else F.lit(False))
+
+
+def positions(steps: DataFrame, speed: str, keys: list[str], fixed: bool = True, chunk: int | None = None) -> DataFrame:
     """lat and lon in degrees along the headings, started at gt_lat and gt_lon and put back there at every fix.
 
     A step moves along its new heading; its east share is scaled at the latitude before it. Where `fixed`, each step
     outside outages takes the true position instead (its own movement is dropped). The sums start anew at each fix, so
-    two window passes over one sort give every position.
+    two window passes over one sort give every position. With `chunk` the rows are checkpointed before each of the two
+    sums, as the sums' totals and the sums read them.
     """
+    if chunk:
+        return _chunked_positions(steps, speed, keys, fixed, chunk)
     w = Window.partitionBy(*keys).orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    fix = (F.col("i") == 0) | ((~F.col("is_blackout") & F.col("gt_lat").isNotNull() & F.col("gt_lon").isNotNull()) if fixed else F.lit(False))
-    moved = steps.withColumn("_fix", fix).withColumn("_run", F.count(F.when(F.col("_fix"), 1)).over(upto))
+    moved = steps.withColumn("_fix", _is_fix(fixed)).withColumn("_run", F.count(F.when(F.col("_fix"), 1)).over(upto))
     run = Window.partitionBy(*keys, "_run").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     metres = F.col(speed) * F.col("dt") / EARTH_RADIUS_M
     moved = moved.withColumn("_north", F.when(F.col("_fix"), 0.0).otherwise(metres * F.cos("heading_rad")))
@@ -108,3 +125,17 @@ def positions(steps: DataFrame, speed: str, keys: list[str], fixed: bool = True)
     moved = moved.withColumn("_east", F.when(F.col("_fix"), 0.0).otherwise(east))
     moved = moved.withColumn("_lon", F.radians(F.first("gt_lon").over(run)) + F.sum("_east").over(run))
     return moved.withColumns({"lat": F.degrees("_lat"), "lon": F.degrees("_lon")}).drop("_fix", "_run", "_north", "_east", "_lat", "_lon")
+
+
+def _chunked_positions(steps: DataFrame, speed: str, keys: list[str], fixed: bool, chunk: int) -> DataFrame:
+    """A step that isn't a fix has its predecessor in its own run, so the latitude before it is its own less its movement."""
+    metres = F.col(speed) * F.col("dt") / EARTH_RADIUS_M
+    moved = running(steps.withColumn("_fix", _is_fix(fixed)), keys, "i", chunk, {"_run": F.col("_fix").cast("long")})
+    moved = cut(moved.withColumn("_north", F.when(F.col("_fix"), 0.0).otherwise(metres * F.cos("heading_rad"))))
+    moved = running(moved, keys, "i", chunk, {"_norths": F.col("_north")}, {"_lat": "gt_lat"}, run="_run")
+    moved = moved.withColumn("_lat", F.radians("_lat") + F.col("_norths"))
+    east = metres * F.sin("heading_rad") / F.cos(F.col("_lat") - F.col("_north"))
+    moved = cut(moved.withColumn("_east", F.when(F.col("_fix"), 0.0).otherwise(east)))
+    moved = running(moved, keys, "i", chunk, {"_easts": F.col("_east")}, {"_lon": "gt_lon"}, run="_run")
+    moved = moved.withColumns({"lat": F.degrees("_lat"), "lon": F.degrees(F.radians("_lon") + F.col("_easts"))})
+    return moved.drop("_fix", "_run", "_north", "_norths", "_east", "_easts", "_lat", "_lon")

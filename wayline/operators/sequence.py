@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.operators.scans import lagged, running
+
 
 def by_session(order: str, key: str | list[str] = "session_id"):
     keys = [key] if isinstance(key, str) else key
@@ -22,14 +24,24 @@ def numbered(df: DataFrame, order: list[str], key: str = "session_id", into: str
     return df.withColumn(into, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
 
 
-def unwrap_resets(df: DataFrame, time: str = "time_ms", into: str = "time_ms", step: float = 100.0) -> DataFrame:
+def unwrap_resets(df: DataFrame, time: str = "time_ms", into: str = "time_ms", step: float = 100.0, chunk: int | None = None) -> DataFrame:
     """Carry on the clock over resets: at each step back, add what the step back lost plus the step before it (or `step`
-    if that wasn't forward); all later rows keep the sum. The unwrapped clock never runs back."""
-    w = by_session("seq")
-    now, last, second = F.col(time), F.lag(time, 1).over(w), F.lag(time, 2).over(w)
+    if that wasn't forward); all later rows keep the sum. The unwrapped clock never runs back. With `chunk` a session is cut
+    into pieces of so many rows, so that none has to fit into a task."""
+    w, keys = by_session("seq"), ["session_id"]
+    if chunk:
+        df = lagged(df, keys, "seq", chunk, {"_last": (time, 1), "_second": (time, 2)})
+    else:
+        df = df.withColumns({"_last": F.lag(time, 1).over(w), "_second": F.lag(time, 2).over(w)})
+    now, last, second = F.col(time), F.col("_last"), F.col("_second")
     before = F.when(last - second > 0, last - second).otherwise(F.lit(step))
     jump = F.when(now < last, last + before - now).otherwise(F.lit(0.0))
-    return df.withColumn("_jump", jump).withColumn(into, now + F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_jump")
+    df = df.withColumn("_jump", jump)
+    if chunk:
+        df = running(df, keys, "seq", chunk, {"_shift": F.col("_jump")})
+    else:
+        df = df.withColumn("_shift", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.withColumn(into, now + F.col("_shift")).drop("_last", "_second", "_jump", "_shift")
 
 
 def positional_join(left: DataFrame, right: DataFrame, key: str = "session_id") -> DataFrame:

@@ -9,6 +9,9 @@ from wayline.operators import blackout as B
 from wayline.operators.tracking import track
 from wayline.sources.events import raw_steps, true_steps
 
+#: Rows of a chunk in the queries over sessions of any length. Small, so that the tables' sessions have several.
+CHUNK_ROWS = 50
+
 
 def r(x: Column | str, n: int = 6) -> Column:
     """Rounded, with one zero."""

@@ -12,7 +12,7 @@ from wayline.operators.deadreckon import circular_blended, headings, with_dt
 from wayline.operators.tracking import evaluate, track
 from wayline.plans import oracles as O
 from wayline.plans import reports
-from wayline.plans.common import event_intervals, metrics, r, rounded, tracked
+from wayline.plans.common import CHUNK_ROWS, event_intervals, metrics, r, rounded, tracked
 from wayline.sources.events import raw_steps, true_steps
 from wayline.sources.synthetic import straight_drive
 
@@ -32,6 +32,13 @@ def dr_trajectory(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(points, ["session_id", "duration_s", "i", "is_blackout"], 8, lat="lat", lon="lon")
 
 
+def dr_trajectory_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    """As dr_trajectory, from numbering to positions without a task that sees a whole session."""
+    intervals = B.outage_intervals(B.session_lengths(raw_steps(spark, sf, CHUNK_ROWS)))
+    points = track(true_steps(spark, sf, CHUNK_ROWS), intervals, chunk=CHUNK_ROWS)
+    return rounded(points, ["session_id", "duration_s", "i", "is_blackout"], 8, lat="lat", lon="lon")
+
+
 def dr_errors(spark: SparkSession, sf: str) -> DataFrame:
     points, _ = tracked(spark, sf)
     return rounded(points, ["session_id", "duration_s", "i"], 5, error_m="error_m")
@@ -133,7 +140,7 @@ def synthetic_drive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    dr_heading_integration, dr_trajectory, dr_errors, blackout_intervals, blackout_membership, blackout_metrics, blackout_summary, session_summary,
+    dr_heading_integration, dr_trajectory, dr_trajectory_chunked, dr_errors, blackout_intervals, blackout_membership, blackout_metrics, blackout_summary, session_summary,
     blackout_summary_grouping_sets, extended_metrics, error_growth_slope, dr_heading_blend, blend_summary, elapsed_time, comparison_unpivot_join, improvement,
     json_report, error_lines, synthetic_drive,
 )}
@@ -204,3 +211,4 @@ ORACLES = {
     "synthetic_drive": f"""WITH p AS (SELECT i, radians(51.4778) + i * 1.0 * cos(radians(45.0)) / 6371000.0 AS la FROM (SELECT unnest(range(600)) AS i))
       SELECT i, {O.r("i * (60.0 / 599)", 8)} AS t_s, {O.r("degrees(la)", 8)} AS gt_lat, {O.r("degrees(radians(-0.0014) + sum(CASE WHEN i = 0 THEN 0.0 ELSE sin(radians(45.0)) / (6371000.0 * cos(la)) END) OVER (ORDER BY i))", 8)} AS gt_lon FROM p""",
 }
+ORACLES["dr_trajectory_chunked"] = ORACLES["dr_trajectory"]

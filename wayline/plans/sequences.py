@@ -11,7 +11,7 @@ from wayline.operators import sequence as S
 from wayline.operators import stats
 from wayline.operators.storage import checkpoint_folder
 from wayline.plans import oracles as O
-from wayline.plans.common import r, rounded
+from wayline.plans.common import CHUNK_ROWS, r, rounded
 from wayline.sources.events import raw_steps, table
 from wayline.sources.recordings import matched_pairs, phone_header, scan, valid_numbers
 
@@ -44,6 +44,13 @@ def timestamp_unwrap(spark: SparkSession, sf: str) -> DataFrame:
     return S.unwrap_resets(rows).select("session_id", "seq", "time_ms")
 
 
+def timestamp_unwrap_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    """As timestamp_unwrap, without a task that sees a whole session."""
+    rows = raw_steps(spark, sf, CHUNK_ROWS).withColumnRenamed("i", "seq")
+    rows = rows.withColumn("time_ms", (F.col("seq") % 17) * 100.0 + F.col("k"))
+    return S.unwrap_resets(rows, chunk=CHUNK_ROWS).select("session_id", "seq", "time_ms")
+
+
 def positional_join(spark: SparkSession, sf: str) -> DataFrame:
     """Clicks and purchases of a user paired by position."""
     rows = table(spark, sf, "events").withColumn("session_id", F.col("user_id").cast("string"))
@@ -217,7 +224,7 @@ def column_parity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    count_sliding_windows, window_targets, timestamp_unwrap, positional_join, first_differences, asof_nearest, resample_interpolate, channel_stats,
+    count_sliding_windows, window_targets, timestamp_unwrap, timestamp_unwrap_chunked, positional_join, first_differences, asof_nearest, resample_interpolate, channel_stats,
     volume_channel_stats, train_split_stats, partition_stats, seeded_session_split, hashed_session_split, split_disjoint, speed_mae_huber, session_pairing_anti, recordings_scan,
     session_selection_semi, prefix_limit, tolerant_parse, malformed_counts, sample_validity, speed_clamp, zscore, column_parity,
 )}
@@ -278,3 +285,4 @@ ORACLES = {
     "zscore": O.sql(f"""SELECT event_id, {O.r("(true_speed - m) / s")} AS z, {O.r("true_speed")} AS back FROM raw, (SELECT avg(true_speed) AS m, stddev_pop(true_speed) AS s FROM raw)"""),
     "column_parity": O.sql(f"SELECT {O.r('max(abs(speed_ms - true_speed))')} AS max_abs_diff, {O.r('avg(abs(speed_ms - true_speed))')} AS mean_abs_diff FROM raw"),
 }
+ORACLES["timestamp_unwrap_chunked"] = ORACLES["timestamp_unwrap"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.operators.deadreckon import headings, positions, with_dt
+from wayline.operators.scans import numbered_across
 from wayline.operators.sequence import numbered
 
 ORIGIN = (51.4778, -0.0014)
@@ -15,13 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session_id, i, t_s, estimated and true speed and yaw rate, accelerations, and the event's own columns."""
+def raw_steps(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFrame:
+    """session_id, i, t_s, estimated and true speed and yaw rate, accelerations, and the event's own columns. With `chunk`
+    sessions are numbered, and in `true_steps` tracked, without one task seeing all of one."""
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("session_id"), "ts", "event_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
-    rows = numbered(rows, ["ts", "event_id"], into="i")
+    rows = (numbered_across if chunk else numbered)(rows, ["ts", "event_id"], into="i")
     true_speed = 5 + F.col("value") / 50
     return rows.select(
         "session_id", "i", F.col("i").cast("double").alias("t_s"), "ts", "event_id", "event_type", "value", "k",
@@ -32,11 +34,11 @@ def raw_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def true_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def true_steps(spark: SparkSession, sf_dir: str, chunk: int | None = None) -> DataFrame:
     """Steps with the true track: gt_lat, gt_lon, gt_heading_deg."""
-    rows = with_dt(raw_steps(spark, sf_dir), ["session_id"], fallback=1.0)
+    rows = with_dt(raw_steps(spark, sf_dir, chunk), ["session_id"], fallback=1.0, chunk=chunk)
     rows = rows.withColumns({"gt_lat": F.lit(ORIGIN[0]), "gt_lon": F.lit(ORIGIN[1]), "is_blackout": F.lit(True), "_init": F.lit(0.0)})
-    rows = headings(rows, "true_gyro", "_init", ["session_id"])
-    rows = positions(rows, "true_speed", ["session_id"], fixed=False)
+    rows = headings(rows, "true_gyro", "_init", ["session_id"], chunk=chunk)
+    rows = positions(rows, "true_speed", ["session_id"], fixed=False, chunk=chunk)
     true = {"gt_lat": F.col("lat"), "gt_lon": F.col("lon"), "gt_heading_deg": F.degrees("heading_rad")}
     return rows.withColumns(true).drop("lat", "lon", "heading_rad", "is_blackout", "_init")

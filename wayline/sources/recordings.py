@@ -76,13 +76,14 @@ def scan(spark: SparkSession, paths: list[str] | str, header_rule: HeaderRule) -
     malformed (null for the others) in file order. Every column is looked at before any is dropped, as a bad value in an
     unused one counts too. A file that has one header line and no more gives no rows.
 
-    Files are read as lines and may be split: a line's place is the start of its split and its order within it. Each
-    different header line comes to the driver once, to be resolved by `header_rule`.
+    Files are read as lines and may be split: a line's place is the start of its split and its order within it. A split's
+    rows are numbered by themselves and moved by the counts of the file's splits before it; only files of several splits are
+    read once more for these counts. Each different header line comes to the driver once, to be resolved by `header_rule`.
     """
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line"), "value"
     )
-    tops = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"), F.min("line").alias("_top"))
+    tops = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"), F.min("line").alias("_top"), F.max("line.block").alias("_last_block"))
     headers = [r["header"] for r in tops.select("header").distinct().collect()]
     if not headers:
         raise ValueError("no file was found")
@@ -90,17 +91,22 @@ def scan(spark: SparkSession, paths: list[str] | str, header_rule: HeaderRule) -
     channels = sorted({c for found in places.values() for c in found}, key=lambda c: min(found.get(c, len(places)) for found in places.values()))
     widest = max(h.count(",") + 1 for h in headers)
     known = spark.createDataFrame([(h, h.count(",") + 1, [found.get(c) for c in channels]) for h, found in places.items()], "header string, fields int, places array<int>")
-    files = tops.join(F.broadcast(known), "header").select("path", "_top", "fields", "places")  # one row for each dialect
+    files = tops.join(F.broadcast(known), "header").select("path", "_top", "_last_block", "fields", "places")  # one row for each dialect
     rows = lines.where("value <> ''").join(files, "path").where(F.col("line") != F.col("_top"))
     cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(widest))), {"mode": "PERMISSIVE"})
     size = F.size(F.split("value", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
-    rows = rows.select("path", "line", "fields", "places", size.alias("_n"), F.array(*[cells[f"c{i}"] for i in range(widest)]).alias("_texts"))
+    rows = rows.select("path", "line", "_last_block", "fields", "places", size.alias("_n"), F.array(*[cells[f"c{i}"] for i in range(widest)]).alias("_texts"))
     number = F.transform("_texts", lambda x: x.try_cast("double"))
     rows = rows.withColumn("_numbers", number)
     odd = F.exists("_numbers", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False)))
     rows = rows.withColumn("malformed", odd | (F.col("_n") != F.col("fields")))
-    order = Window.partitionBy("path", "malformed").orderBy("line")
-    rows = rows.withColumn("seq", F.when(~F.col("malformed"), F.row_number().over(order) - 1).cast("long"))
+    rows = rows.withColumn("_block", F.col("line.block"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.where("_last_block > 0").groupBy("path", "_block").agg(F.count_if(~F.col("malformed")).alias("_good"))
+    moved = counts.select("path", "_block", F.sum("_good").over(before).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("path", "_block", "malformed").orderBy("line.n")) - 1
+    rows = rows.join(moved, ["path", "_block"], "left")
+    rows = rows.withColumn("seq", F.when(~F.col("malformed"), here + F.coalesce("_before", F.lit(0))).cast("long"))
     value = lambda k: F.when(F.col("places")[k].isNotNull(), F.coalesce(F.get("_numbers", F.col("places")[k]), F.lit(float("nan"))))
     return rows.select(file_session(F.col("path")).alias("session_id"), "path", "seq", "malformed", *[value(k).alias(c) for k, c in enumerate(channels)])
 
