@@ -156,3 +156,40 @@ def test_a_standing_vehicle(spark):
     for i, x, y in zip(a["n"], np.radians(a["lat"]), np.radians(a["lon"]), strict=True):
         h = np.sin((lat - x) / 2) ** 2 + np.cos(x) * np.cos(lat) * np.sin((lon - y) / 2) ** 2
         assert abs(near[i] - 2 * 6371000.0 * np.arcsin(np.sqrt(h)).min()) < 1e-6
+
+
+def drive(spark, n):
+    """A session that stands still for stretches, so that look-backs begin at fixes that aren't kept."""
+    i = F.col("id")
+    moving = i - F.greatest(i % 40 - 25, F.lit(0))
+    return spark.range(n).select(
+        F.lit("s").alias("session_id"), i.cast("double").alias("t_s"), (51.4778 + moving * 2e-6).alias("gt_lat"), (F.sin(moving / 50) / 1e3).alias("gt_lon"), F.lit(51.4778).alias("ref_lat"), F.lit(0.0).alias("ref_lon"),
+    )
+
+
+@pytest.mark.parametrize("lookback", [0.0, 7.0, 33.0, 120.0])
+def test_ranges_are_the_roads(spark, lookback):
+    fixes = drive(spark, 400).where("t_s >= 3")
+    starts = [0.0, 3.0, 4.0, 6.0, 31.0, 38.0, 41.0, 66.5, 70.0, 82.0, 84.0, 199.0, 395.0, 900.0]
+    outages = spark.createDataFrame([("s", 5.0, k, t, t + 5) for k, t in enumerate(starts)] + [("none", 5.0, 0, 9.0, 14.0)], "session_id string, duration_s double, interval_idx int, start_s double, end_s double")
+    whole = {tuple(r)[:4]: (r["e"], r["n"]) for r in R.past_roads(fixes, outages, lookback).collect()}
+    polyline, ranges = R.road_ranges(fixes, outages, lookback)
+    parts = {tuple(r)[:4]: (r["e"], r["n"]) for r in R.range_vertices(polyline, ranges).collect()}
+    assert parts == whole and len(whole) > 10
+    for r in ranges.collect():
+        road = [whole[r["session_id"], r["duration_s"], r["interval_idx"], v] for v in range(r["n_vertices"])]
+        assert abs(sum(math.dist(p, q) for p, q in zip(road, road[1:])) - r["length_m"]) < 1e-6
+    if lookback in (7.0, 33.0):
+        assert ranges.where("start is not null").count() > 0
+
+
+def test_ranges_of_a_long_session(spark):
+    """100,000 fixes, all of which lie before most of 2,000 outages: no copy of them a outage."""
+    outages = spark.range(2000).select(
+        F.lit("s").alias("session_id"), F.lit(5.0).alias("duration_s"), F.col("id").cast("int").alias("interval_idx"), (F.col("id") * 50.0 + 60).alias("start_s"), (F.col("id") * 50.0 + 65).alias("end_s")
+    )
+    began = time.perf_counter()
+    polyline, ranges = R.road_ranges(drive(spark, 100_000), outages, 0.0)
+    found = ranges.agg(F.count(F.lit(1)).alias("n"), F.max("last_vertex").alias("v"), F.min("first_vertex").alias("f")).first()
+    assert time.perf_counter() - began < 30
+    assert found["n"] == 2000 and found["f"] == 0 and found["v"] == polyline.where("t_s < 100010").count() - 1

@@ -61,6 +61,64 @@ def past_roads(fixes: DataFrame, intervals: DataFrame, lookback_s: float = 120.0
     return rows.select(*keys, "vertex", "e", "n")
 
 
+def _apart(a: Column, b: Column) -> Column:
+    return F.sqrt(F.pow(a["e"] - b["e"], 2) + F.pow(a["n"] - b["n"], 2))
+
+
+def road_ranges(fixes: DataFrame, intervals: DataFrame, lookback_s: float = 120.0, min_vertices: int = 3, min_length_m: float = 1.0, least_m: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """The roads of `past_roads` as each session's one polyline and the range of it that an interval has.
+
+    No fix is copied to an interval, so the work is linear in fixes whatever the look-back. Whether a vertex is kept depends
+    on the fix before it alone, so all roads of a session share its vertices but for a first fix that isn't kept there.
+    The polyline has session_id, vertex, t_s, e, n and length_m from its start; a range has the interval's keys, first_vertex
+    and last_vertex of the polyline, `start` (e, n of a first vertex of its own, else null), n_vertices and length_m.
+    """
+    asc, desc = (Window.partitionBy("session_id").orderBy(o) for o in ("t_s", F.desc("t_s")))
+    upto, past = asc.rowsBetween(Window.unboundedPreceding, 0), asc.rowsBetween(Window.unboundedPreceding, -1)
+    spot = F.struct(geo.east_m(F.col("gt_lon"), F.col("ref_lat"), F.col("ref_lon")).alias("e"), geo.north_m(F.col("gt_lat"), F.col("ref_lat")).alias("n"))
+    rows = fixes.select("session_id", "t_s", spot.alias("at")).withColumn("_gap", _apart(F.col("at"), F.lag("at").over(asc)))
+    rows = rows.withColumn("kept", F.col("_gap").isNull() | (F.col("_gap") > least_m)).withColumn("_mine", F.when(F.col("kept"), F.col("at")))
+    rows = rows.withColumn("_piece", F.when(F.col("kept"), _apart(F.col("at"), F.last("_mine", ignorenulls=True).over(past))))
+    rows = rows.withColumns({
+        "no": F.row_number().over(asc), "v": F.count("_mine").over(upto).cast("int"), "m": F.coalesce(F.sum("_piece").over(upto), F.lit(0.0)),
+    })
+    nearest = F.last(F.when(F.col("kept"), F.struct("at", "m")), ignorenulls=True)
+    rows = rows.withColumn("then", nearest.over(desc.rowsBetween(Window.unboundedPreceding, -1)))
+    polyline = rows.where("kept").select("session_id", (F.col("v") - 1).alias("vertex"), "t_s", "at.e", "at.n", F.col("m").alias("length_m"))
+
+    keys = ["session_id", "duration_s", "interval_idx"]
+    since = F.col("start_s") - lookback_s if lookback_s > 0 else F.lit(float("-inf"))
+    ends = F.explode(F.array(F.struct(since.alias("t"), F.lit(True).alias("first")), F.struct(F.col("start_s").alias("t"), F.lit(False).alias("first"))))
+    asked = intervals.select(*keys, ends.alias("_end")).select("session_id", F.col("_end.t").alias("t_s"), F.lit(0).alias("_side"), F.struct(*keys[1:], "_end.first").alias("_ask"))
+    packed = rows.select("session_id", "t_s", F.lit(1).alias("_side"), F.struct("no", "v", "m", "kept", "at", "then").alias("_fix"))
+    both = asked.unionByName(packed, allowMissingColumns=True)
+    # At one time the mark stands before the fix: the last fix behind it is earlier, the first from it on may be as late.
+    behind, ahead = (
+        F.last("_fix", ignorenulls=True).over(Window.partitionBy("session_id").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0))
+        for o in (("t_s", "_side"), (F.desc("t_s"), F.desc("_side")))
+    )
+    met = both.withColumns({"_b": behind, "_a": ahead}).where("_ask is not null")
+    one = lambda first, c: F.max_by(c, F.when(F.col("_ask.first") == F.lit(first), 1))
+    found = met.groupBy("session_id", F.col("_ask.duration_s").alias("duration_s"), F.col("_ask.interval_idx").alias("interval_idx")).agg(one(True, "_a").alias("a"), one(False, "_b").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    further = F.when(a["kept"], b["m"] - a["m"]).otherwise(_apart(a["at"], a["then"]["at"]) + b["m"] - a["then"]["m"])
+    found = found.where(b["no"] - a["no"] + 1 >= min_vertices).withColumns({
+        "first_vertex": a["v"] - a["kept"].cast("int"), "last_vertex": b["v"] - 1, "start": F.when(~a["kept"], a["at"]),
+        "n_vertices": b["v"] - a["v"] + 1, "length_m": F.when(b["v"] > a["v"], further).otherwise(0.0),
+    })
+    ranges = found.where((F.col("n_vertices") >= min_vertices) & (F.col("length_m") >= min_length_m)).drop("a", "b")
+    return polyline, ranges
+
+
+def range_vertices(polyline: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Vertices of the ranges' roads, as `past_roads` gives them; each range's are copied out here."""
+    keys = ["session_id", "duration_s", "interval_idx"]
+    own = F.col("start").isNotNull().cast("int")
+    shared = ranges.join(polyline.drop("length_m"), "session_id").where(F.col("vertex").between(F.col("first_vertex"), F.col("last_vertex")))
+    shared = shared.select(*keys, (F.col("vertex") - F.col("first_vertex") + own).alias("vertex"), "e", "n")
+    return shared.unionByName(ranges.where("start is not null").select(*keys, F.lit(0).alias("vertex"), "start.e", "start.n"))
+
+
 def segments(vertices: DataFrame, keys: list[str]) -> DataFrame:
     """Consecutive vertices as segments; a road of fewer than two vertices has none."""
     w = Window.partitionBy(*keys).orderBy("vertex")

@@ -37,6 +37,12 @@ def road_from_lookback(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_roads(spark, sf), [*KEYS, "vertex"], 5, e="e", n="n")
 
 
+def road_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Roads from all fixes before each outage, as ranges of each session's polyline."""
+    _, ranges = R.road_ranges(_fixes(spark, sf), event_intervals(spark, sf), lookback_s=0.0)
+    return rounded(ranges, [*KEYS, "first_vertex", "last_vertex", "n_vertices"], 4, length_m="length_m")
+
+
 def road_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Vertices on a coarse grid, where a session stands still now and then."""
     vertices = _fixes(spark, sf).select("session_id", F.col("i").alias("seq"), (F.floor(F.col("t_s") / 3) * 2.0).alias("e"), (F.floor(F.col("t_s") / 4) * 1.0).alias("n"))
@@ -83,7 +89,7 @@ def route_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    road_from_lookback, road_dedupe, polyline_segments, nearest_segment, map_match, match_stats, match_rollup, route_progress,
+    road_from_lookback, road_ranges, road_dedupe, polyline_segments, nearest_segment, map_match, match_stats, match_rollup, route_progress,
 )}
 
 _ROAD = f""", looked AS (
@@ -129,6 +135,8 @@ _REASON = """CASE outcome WHEN 'no_road' THEN 'no road polyline provided' WHEN '
   WHEN 'heading' THEN format('heading diff {:.1f}deg exceeds max_heading_diff_deg (30.0deg)', least(a2, 180 - a2)) ELSE '' END"""
 ORACLES = {
     "road_from_lookback": O.sql(f"{_ROAD} SELECT {_K}, vertex, {O.r('e', 5)} AS e, {O.r('n', 5)} AS n FROM road"),
+    "road_ranges": O.sql(f"""{_ROAD.replace(" AND s.t_s >= v.start_s - 120.0", "")} SELECT {_K}, 0 AS first_vertex, CAST(kept_n - 1 AS INT) AS last_vertex, CAST(kept_n AS INT) AS n_vertices,
+      {O.r("max(road_m)", 4)} AS length_m FROM sized WHERE kept_n >= 3 AND road_m >= 1.0 GROUP BY {_K}, kept_n"""),
     "road_dedupe": O.sql("""SELECT session_id, seq, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS INT) AS vertex, e, n FROM (
       SELECT *, lag(e) OVER w AS pe, lag(n) OVER w AS pn FROM (SELECT session_id, i AS seq, floor(t_s / 3) * 2.0 AS e, floor(t_s / 4) * 1.0 AS n FROM raw)
       WINDOW w AS (PARTITION BY session_id ORDER BY seq)) WHERE pe IS NULL OR sqrt((e - pe) ^ 2 + (n - pn) ^ 2) > 0.1"""),
