@@ -50,15 +50,15 @@ HeadingRule = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndar
 
 
 def blended(heading: np.ndarray, gyro: np.ndarray, dt: np.ndarray, fix: np.ndarray) -> np.ndarray:
-    """Gyro integration with a tenth of the satellite heading where there is one (NaN: none). The blend is linear, not
+    """Gyro integration with a tenth of the satellite heading where there is one (NaN or None: none). The blend is linear, not
     circular: of 359 and 1 degrees it makes 323.2."""
-    moved = heading + gyro * dt
+    moved, fix = heading + gyro * dt, np.asarray(fix, float)
     return np.where(np.isnan(fix), moved, (1 - BLEND) * moved + BLEND * fix) % TWO_PI
 
 
 def circular_blended(heading: np.ndarray, gyro: np.ndarray, dt: np.ndarray, fix: np.ndarray) -> np.ndarray:
     """As `blended`, along the shorter arc."""
-    moved = heading + gyro * dt
+    moved, fix = heading + gyro * dt, np.asarray(fix, float)
     turn = (fix - moved) - TWO_PI * np.round((fix - moved) / TWO_PI)
     return (moved + np.where(np.isnan(fix), 0.0, BLEND * turn)) % TWO_PI
 
