@@ -6,7 +6,7 @@ from tests import scalar_filter
 from tests.test_outages import drive, outages
 from wayline.operators import blackout as B
 from wayline.operators import filter_batch as FB
-from wayline.operators.filter_core import Filter, conjugate, heading_of, heading_quat, product
+from wayline.operators.filter_core import Filter, Fleet, conjugate, heading_of, heading_quat, product
 from wayline.operators.roads import segments
 from wayline.plans import filters
 from wayline.plans.common import event_intervals
@@ -71,6 +71,29 @@ def test_gates(position):
     assert (f.velocity == 0).all() and (f.position == 0).all()
 
 
+def test_a_fleet_is_as_many_filters():
+    """Vehicles on the last axis, each block of the algebra by itself, against the plain matrices."""
+    rng, n = np.random.default_rng(5), 40
+    plain = Filter.fleet(heading_quat(rng.uniform(0, 360, n)))
+    fleet = Fleet.level(plain.attitude.T)
+    for _ in range(30):
+        dt, force, rate, speed = rng.uniform(-0.02, 0.2, n), rng.normal(size=(n, 3)) + [0, 0, G], rng.normal(size=(n, 3)) / 10, rng.uniform(0, 10, n)
+        turn, start, place = rng.normal(size=(n, 4)) + [5, 0, 0, 0], plain.attitude.copy(), rng.normal(size=(n, 3))
+        for f, cast in ((plain, lambda a: a), (fleet, lambda a: a.T)):
+            f.predict(dt, cast(force), cast(rate))
+            f.take_speed(speed)
+            f.hold_to_track()
+            f.take_turn(cast(turn), cast(start))
+            f.take_position(cast(place), 0.01)
+    assert np.allclose(fleet.position.T, plain.position, atol=1e-10) and np.allclose(fleet.attitude.T, plain.attitude, atol=1e-10)
+    assert np.allclose(np.moveaxis(fleet.covariance, -1, 0), plain.covariance, atol=1e-10)
+
+
+def test_the_start_of_a_turn_where_clocks_stand_still():
+    assert FB._turn_starts(np.arange(12.0)).tolist() == [0, 0, 0, 0, 0, 0, 1, 2, 3, 4, 5, 6]
+    assert FB._turn_starts(np.array([0.0, 4, 4, 9, 9, 14])).tolist() == [0, 0, 0, 1, 1, 3]
+
+
 def ready(spark, pairs, **kind):
     steps = drive(spark, 25, **kind).withColumn("accel_z", F.lit(G))
     return FB.event_steps(B.in_outage(steps, outages(spark, *pairs)))

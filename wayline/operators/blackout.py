@@ -57,10 +57,10 @@ def members(points: DataFrame, intervals: DataFrame) -> DataFrame:
     return rows.join(intervals, keys).where(F.col("t_s").between(F.col("start_s"), F.col("end_s")))
 
 
-def interval_metrics(inside: DataFrame) -> DataFrame:
+def interval_metrics(inside: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Final, largest and root-mean-square error, distance by estimated speed (left ends), drift and points of every
-    interval. Distances up to a millimetre have no drift."""
-    keys = ["session_id", "duration_s", "interval_idx", "start_s", "end_s"]
+    interval, and of each value of the columns `also`. Distances up to a millimetre have no drift."""
+    keys = [*also, "session_id", "duration_s", "interval_idx", "start_s", "end_s"]
     w = Window.partitionBy(*keys).orderBy("i")
     rows = inside.withColumn("_d", F.col("speed_ms") * (F.lead("t_s").over(w) - F.col("t_s")))
     found = rows.groupBy(*keys).agg(

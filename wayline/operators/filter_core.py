@@ -173,3 +173,135 @@ class Filter:
         jacobian[..., P] = _EYE3
         self.measure(residual, jacobian, _EYE3 * variance)
         return True
+
+
+def _turn(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """v x w along the first axis; v may have fewer axes in the middle."""
+    a, b, c = v
+    return np.stack([b * w[2] - c * w[1], c * w[0] - a * w[2], a * w[1] - b * w[0]])
+
+
+def _quat(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    a, b, c, d = p
+    w, x, y, z = q
+    return np.stack([a * w - b * x - c * y - d * z, a * x + b * w + c * z - d * y, a * y - b * z + c * w + d * x, a * z + b * y - c * x + d * w])
+
+
+def _unit(q: np.ndarray) -> np.ndarray:
+    return unit(q.T).T
+
+
+class Fleet:
+    """The same filter for many vehicles that move in step, with the vehicle as the last axis of every array.
+
+    Each operation runs along whole rows of numbers, and the blocks of the algebra that are zero or the identity are left out:
+    no matrices of one vehicle are multiplied. An update takes S as the spread of the measurement and K as the gain; with
+    K S = C H', the Joseph form is C less K (C H')'.
+    """
+
+    def __init__(self, position: np.ndarray, velocity: np.ndarray, attitude: np.ndarray, covariance: np.ndarray):
+        self.position, self.velocity, self.attitude, self.covariance = position, velocity, attitude, covariance
+
+    @classmethod
+    def level(cls, attitude: np.ndarray) -> Fleet:
+        """At the origin with the starting deviations; attitudes as (4, n)."""
+        n = attitude.shape[1]
+        return cls(np.zeros((3, n)), np.zeros((3, n)), attitude.copy(), np.repeat(np.diag(START_SD**2)[..., None], n, 2))
+
+    def some(self, which) -> Fleet:
+        return Fleet(*(a[..., which] for a in (self.position, self.velocity, self.attitude, self.covariance)))
+
+    def put(self, which, part: Fleet) -> None:
+        for mine, new in zip((self.position, self.velocity, self.attitude, self.covariance), (part.position, part.velocity, part.attitude, part.covariance), strict=True):
+            mine[..., which] = new
+
+    def rotation(self) -> np.ndarray:
+        w, x, y, z = _unit(self.attitude)
+        return np.stack([
+            np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)]), np.stack([2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)]),
+            np.stack([2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]),
+        ])
+
+    def heading(self) -> np.ndarray:
+        r = self.rotation()
+        return np.degrees(np.arctan2(r[0, 0], r[1, 0])) % 360.0
+
+    def predict(self, dt: np.ndarray, force: np.ndarray, rate: np.ndarray) -> None:
+        t = np.maximum(dt, 0.0)
+        turned = (self.rotation() * force).sum(1)
+        gained = turned.copy()
+        gained[2] -= GRAVITY
+        self.position = self.position + self.velocity * t + gained * (t * t / 2)
+        self.velocity = self.velocity + gained * t
+        self.attitude = _unit(_quat(self.attitude, exp((rate * t).T).T))
+        c = self.covariance
+        lever = _turn(turned, c[A]) * t  # on the rows of attitude
+        rows_p, rows_v = c[P] + c[V] * t - lever * (t / 2), c[V] - lever
+        u = turned[:, None]
+        pa, va, a = rows_p[:, A], rows_v[:, A], ACCEL_SD**2 * t
+        lever = _turn(u, pa.swapaxes(0, 1)).swapaxes(0, 1) * t  # on the columns
+        pv = rows_p[:, V] - lever
+        pp = rows_p[:, P] + rows_p[:, V] * t - lever * (t / 2)
+        vv = rows_v[:, V] - _turn(u, va.swapaxes(0, 1)).swapaxes(0, 1) * t
+        new = np.empty_like(c)
+        new[P, P], new[V, V], new[A, A] = (pp + pp.swapaxes(0, 1)) / 2, (vv + vv.swapaxes(0, 1)) / 2, c[A, A]
+        new[P, V], new[P, A], new[V, A] = pv, pa, va
+        for i in range(3):
+            new[i, i] += a * t * t / 3
+            new[3 + i, 3 + i] += a
+            new[6 + i, 6 + i] += GYRO_SD**2 * t
+            new[i, 3 + i] += a * t / 2
+        new[V, P], new[A, P], new[A, V] = new[P, V].swapaxes(0, 1), pa.swapaxes(0, 1), va.swapaxes(0, 1)
+        self.covariance = new
+
+    def _measure(self, residual: np.ndarray, across: np.ndarray, spread: np.ndarray) -> None:
+        """Residual (m, n), C H' (9, m, n), and S (m, m, n) of 1 to 3 values; a filter whose S has no inverse stays as it is."""
+        m, s = len(residual), spread
+        if m == 1:
+            d = s[0, 0]
+            adjugate = [[np.ones_like(d)]]
+        elif m == 2:
+            d = s[0, 0] * s[1, 1] - s[0, 1] * s[1, 0]
+            adjugate = [[s[1, 1], -s[0, 1]], [-s[1, 0], s[0, 0]]]
+        else:
+            cofactor = lambda i, j: s[(i + 1) % 3, (j + 1) % 3] * s[(i + 2) % 3, (j + 2) % 3] - s[(i + 1) % 3, (j + 2) % 3] * s[(i + 2) % 3, (j + 1) % 3]
+            adjugate = [[cofactor(j, i) for j in range(3)] for i in range(3)]
+            d = s[0, 0] * adjugate[0][0] + s[0, 1] * adjugate[1][0] + s[0, 2] * adjugate[2][0]
+        inverse = np.stack([np.stack(row) for row in adjugate]) / np.where(d == 0, np.inf, d)
+        gain = [sum(across[:, k] * inverse[k, j] for k in range(m)) for j in range(m)]
+        error = sum(gain[j] * residual[j] for j in range(m))
+        new = self.covariance - sum(gain[j][:, None] * across[None, :, j] for j in range(m))
+        self.covariance = (new + new.swapaxes(0, 1)) / 2
+        self.position, self.velocity = self.position + error[P], self.velocity + error[V]
+        self.attitude = _unit(_quat(exp(error[A].T).T, self.attitude))
+
+    def _body_velocity(self, rows: tuple[int, ...], wanted: np.ndarray | float, variance: float) -> None:
+        to_body = self.rotation().swapaxes(0, 1)
+        c, across, spread, residual = self.covariance, [], [], []
+        jacobian = [(to_body[i], _turn(to_body[i], self.velocity)) for i in rows]  # b' [v x] is (b x v)'
+        for i, (v, a) in zip(rows, jacobian, strict=True):
+            across.append((c[:, V] * v).sum(1) + (c[:, A] * a).sum(1))
+            residual.append(wanted - (to_body[i] * self.velocity).sum(0))
+        for j, (v, a) in enumerate(jacobian):
+            spread.append(np.stack([(v * x[V]).sum(0) + (a * x[A]).sum(0) + (variance if j == k else 0.0) for k, x in enumerate(across)]))
+        self._measure(np.stack(residual), np.stack(across, 1), np.stack(spread))
+
+    def hold_to_track(self, variance: float = NHC_VAR) -> None:
+        self._body_velocity((1, 2), 0.0, variance)
+
+    def take_speed(self, speed: np.ndarray, variance: float = SPEED_VAR) -> None:
+        self._body_velocity((0,), speed, variance)
+
+    def _direct(self, part: slice, residual: np.ndarray, variance: float) -> None:
+        spread = self.covariance[part, part].copy()
+        for i in range(3):
+            spread[i, i] += variance
+        self._measure(residual, self.covariance[:, part], spread)
+
+    def take_turn(self, relative: np.ndarray, start: np.ndarray, variance: float = ATTITUDE_VAR) -> None:
+        inverse = lambda q: _unit(q) * _CONJUGATE[:, None]
+        off = log(_quat(inverse(relative), _quat(inverse(start), self.attitude)).T).T
+        self._direct(A, -(self.rotation() * off).sum(1), variance)
+
+    def take_position(self, position: np.ndarray, variance: float = FIX_VAR) -> None:
+        self._direct(P, position - self.position, variance)

@@ -58,13 +58,11 @@ def ekf_version_b_road(spark: SparkSession, sf: str, lookback_s: float = 120.0,
 def ekf_ablation(spark: SparkSession, sf: str) -> DataFrame:
     """Mean final error by duration without one measurement after another."""
     steps, intervals = _steps(spark, sf)
-    found = None
-    for name, use in (("all", FB.Settings()), ("no_speed", FB.Settings(speed=False)), ("no_track", FB.Settings(track=False)), ("no_turn", FB.Settings(turn=False))):
-        points = B.position_errors(FB.run_filter(steps, use))
-        metrics = B.interval_metrics(B.members(points, intervals))
-        row = metrics.groupBy("duration_s").agg(F.lit(name).alias("variant"), r(F.avg("final_error_m"), 3).alias("final_error_m"), F.count(F.lit(1)).alias("intervals"))
-        found = row if found is None else found.unionByName(row)
-    return found
+    uses = {"all": FB.Settings(), "no_speed": FB.Settings(speed=False), "no_track": FB.Settings(track=False), "no_turn": FB.Settings(turn=False)}
+    points = B.position_errors(FB.run_variants(steps, uses))
+    metrics = B.interval_metrics(B.members(points, intervals), ("variant",))
+    found = metrics.groupBy("duration_s", "variant").agg(F.avg("final_error_m").alias("final_error_m"), F.count(F.lit(1)).alias("intervals"))
+    return found.select("duration_s", "variant", r("final_error_m", 3).alias("final_error_m"), "intervals")
 
 
 def onnx_infer(spark: SparkSession, sf: str) -> DataFrame:
