@@ -77,3 +77,14 @@ def test_no_time_moves_nothing_and_no_inverse_keeps_the_state(spark):
     assert_same(FC.predict(df, F.lit(-1.0), M.vector(1.0, 2.0, 3.0), M.vector(1.0, 0.0, 0.0)), one)
     flat = M.rows(M.vector(*[0.0] * 9))
     assert_same(FC.measure(df, M.vector(1.0), flat, M.rows(M.vector(0.0))), one)
+
+
+def test_rows_without_a_measurement_keep_their_state(spark):
+    df, one, _ = both(spark, 4)
+    rows = df.crossJoin(spark.createDataFrame([(0, 6.5), (1, None), (2, 2.0)], "n int, speed double")).checkpoint()
+    found = {r["n"]: r for r in FC.take_speed(rows, F.col("speed")).collect()}
+    assert found[1]["velocity"] == one.velocity.tolist() and np.allclose(found[1]["covariance"], one.covariance, atol=1e-12)
+    for n, speed in ((0, 6.5), (2, 2.0)):
+        other = Filter(one.position, one.velocity, one.attitude, one.covariance)
+        other.take_speed(speed, 0.25**2)
+        assert np.allclose(found[n]["velocity"], other.velocity) and np.allclose(found[n]["covariance"], other.covariance, atol=1e-12)

@@ -1,18 +1,24 @@
-"""One step of the error-state filter as Column expressions: each row is a filter of its own, with no Python in the plan.
+"""One step of the error-state filter over many rows: each row is a filter of its own.
 
-A state is four columns: position and velocity (vectors), attitude (quaternion), covariance (9 x 9 rows). `filter_core` is
-the same algebra for filters that move from row to row; here it serves single steps over many rows, such as replaying
-stored states. What is used several times is a column of its own for the while, so that it is worked out once.
+A state is four columns: position and velocity (vectors), attitude (quaternion), covariance (9 x 9 rows). `filter_core` has
+filters that move from row to row; here it serves single steps, such as replaying stored states. Predictions and the usual
+updates take a batch of rows as one fleet; `measure` is the update of any measurement as Column expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions import matrix as M
 from wayline.functions import quat as Q
 from wayline.operators import filter_core as C
+from wayline.operators.filter_core import Fleet
 
 STATE = ("position", "velocity", "attitude", "covariance")
 
@@ -28,49 +34,66 @@ def start_covariance() -> Column:
     return M.rows(*[M.vector(*[float(v) if i == j else 0.0 for j in range(9)]) for i, v in enumerate(C.START_SD**2)])
 
 
-def _rotation(q: Column) -> Column:
-    """The rotation of a quaternion as rows."""
-    return M.let(Q.to_rotmat(q), lambda r: M.rows(*[F.slice(r, 3 * i + 1, 3) for i in range(3)]))
-
-
-def _blocks(parts: dict[tuple[int, int], Column], diagonals: dict[tuple[int, int], Column], diagonal: float) -> Column:
-    """A 9 x 9 matrix with `diagonal` along it, with 3 x 3 blocks, and with blocks that are a number times the identity."""
-
-    def cell(i: int, j: int) -> Column | float:
-        block, same = (i // 3, j // 3), i % 3 == j % 3
-        if block in parts:
-            return parts[block][i % 3][j % 3]
-        return (diagonals[block] if block in diagonals else diagonal if i == j else 0.0) if same else 0.0
-
-    return M.rows(*[M.vector(*[cell(i, j) for j in range(9)]) for i in range(9)])
-
-
 def _moved(v: str, by: Column) -> Column:
     return F.zip_with(v, by, lambda x, y: x + y)
 
 
+def _numbers(column: pa.ChunkedArray, *shape: int) -> np.ndarray:
+    """Numbers of nested lists or of a struct, with the row as the last axis."""
+    flat = column.combine_chunks()
+    if pa.types.is_struct(flat.type):
+        return np.stack([f.to_numpy(zero_copy_only=False) for f in flat.flatten()])
+    while pa.types.is_list(flat.type):
+        flat = pc.list_flatten(flat)
+    return np.moveaxis(flat.to_numpy(zero_copy_only=False).reshape(-1, *shape), 0, -1)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """The other way: rows of nested lists."""
+    flat, sizes = pa.array(np.ascontiguousarray(np.moveaxis(values, -1, 0)).ravel()), values.shape[:-1]
+    for size in reversed(sizes):
+        flat = pa.FixedSizeListArray.from_arrays(flat, size).cast(pa.list_(flat.type))
+    return flat
+
+
+def _each(df: DataFrame, change: Callable[[Fleet, Callable[..., np.ndarray]], None], **inputs: Column) -> DataFrame:
+    """The states after `change`, a batch of rows as one fleet; it gets the inputs as arrays by name and shape. Rows where a part
+    of the state or an input is null keep their state."""
+    names = {name: f"_f_{name}" for name in inputs}
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            table = whole.select(df_columns)
+            good = np.ones(len(whole), bool)
+            for c in [*STATE, *names.values()]:
+                good &= whole[c].is_valid().to_numpy()
+            rows = whole if good.all() else whole.filter(pa.array(good))
+            if len(rows):
+                fleet = Fleet(_numbers(rows["position"], 3), _numbers(rows["velocity"], 3), _numbers(rows["attitude"]), _numbers(rows["covariance"], 9, 9))
+                change(fleet, lambda name, *shape: _numbers(rows[names[name]], *shape))  # noqa: B023
+                struct = table["attitude"].type
+                new = {
+                    "position": _lists(fleet.position), "velocity": _lists(fleet.velocity), "covariance": _lists(fleet.covariance),
+                    "attitude": pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in fleet.attitude], names=[f.name for f in struct]),
+                }
+                for c, value in new.items():
+                    value = value.cast(table[c].type)
+                    if len(rows) < len(whole):
+                        at = pa.array(np.cumsum(good) - 1, mask=~good)
+                        value = pc.if_else(pa.array(good), value.take(at), table[c].combine_chunks())
+                    table = table.set_column(df_columns.index(c), c, value)
+            yield from table.to_batches()
+
+    df_columns = df.columns
+    return df.withColumns({names[n]: c for n, c in inputs.items()}).mapInArrow(run, schema)
+
+
 def predict(df: DataFrame, dt: Column, force: Column, rate: Column) -> DataFrame:
     """The states moved on by dt seconds (nothing if not positive) under a specific force and an angular rate in the body
     frame."""
-    t, lever = F.col("_f_t"), F.col("_f_lever")
-    a = C.ACCEL_SD**2 * t
-    noise = {(0, 0): a * t * t / 3, (1, 1): a, (2, 2): C.GYRO_SD**2 * t, (0, 1): a * t / 2, (1, 0): a * t / 2}
-    turn = M.let(rate, lambda w: F.struct(*[(w[i] * t).alias(n) for i, n in enumerate("xyz")]))
-    return _staged(df, [
-        ("_f_t", F.greatest(dt, F.lit(0.0))),
-        ("_f_turned", M.times(_rotation(F.col("attitude")), force)),
-        ("_f_gained", M.added(F.col("_f_turned"), M.vector(0.0, 0.0, -C.GRAVITY))),
-        ("_f_lever", M.skew(F.col("_f_turned"))),
-        ("_f_turn", turn),
-        ("_f_turn", Q.from_rotvec(*[F.col(f"_f_turn.{n}") for n in "xyz"])),
-        ("position", _moved("position", F.zip_with("velocity", "_f_gained", lambda v, g: v * t + g * t * t / 2))),
-        ("velocity", _moved("velocity", F.transform("_f_gained", lambda g: g * t))),
-        ("attitude", Q.normalize(Q.multiply(F.col("attitude"), F.col("_f_turn")))),
-        ("_f_step", _blocks({(0, 2): M.scaled(lever, -t * t / 2), (1, 2): M.scaled(lever, -t)}, {(0, 1): t}, 1.0)),
-        ("_f_half", M.product(F.col("_f_step"), F.col("covariance"))),
-        ("_f_whole", M.plus(M.product(F.col("_f_half"), M.transpose(F.col("_f_step"))), _blocks({}, noise, 0.0))),
-        ("covariance", M.symmetric(F.col("_f_whole"))),
-    ])
+    return _each(df, lambda fleet, given: fleet.predict(given("dt"), given("force", 3), given("rate", 3)), dt=dt, force=force, rate=rate)
 
 
 def measure(df: DataFrame, residual: Column, jacobian: Column, noise: Column) -> DataFrame:
@@ -99,43 +122,19 @@ def measure(df: DataFrame, residual: Column, jacobian: Column, noise: Column) ->
     ])
 
 
-def _row(left: Column | None, middle: Column | None, right: Column | None) -> Column:
-    """A row of the jacobian from its parts for position, velocity and attitude."""
-    zero = M.vector(0.0, 0.0, 0.0)
-    return F.concat(*[zero if x is None else x for x in (left, middle, right)])
-
-
-def _unit(i: int) -> Column:
-    return M.vector(*[float(i == j) for j in range(3)])
-
-
-def _body_velocity(df: DataFrame, first: int, wanted: list[Column], variance: float) -> DataFrame:
-    body, lever, n = F.col("_b_body"), F.col("_b_lever"), len(wanted)
-    rows = df.withColumn("_b_body", M.transpose(_rotation(F.col("attitude"))))
-    rows = rows.withColumn("_b_lever", M.product(body, M.skew(F.col("velocity")))).withColumn("_b_velocity", M.times(body, F.col("velocity")))
-    residual = M.vector(*[w - F.col("_b_velocity")[first + i] for i, w in enumerate(wanted)])
-    jacobian = M.rows(*[_row(None, body[first + i], lever[first + i]) for i in range(n)])
-    return measure(rows, residual, jacobian, M.diagonal(n, variance)).drop("_b_body", "_b_lever", "_b_velocity")
-
-
 def hold_to_track(df: DataFrame, variance: float = C.NHC_VAR) -> DataFrame:
     """A vehicle doesn't move sideways or up in its own frame."""
-    return _body_velocity(df, 1, [F.lit(0.0), F.lit(0.0)], variance)
+    return _each(df, lambda fleet, given: fleet.hold_to_track(variance))
 
 
 def take_speed(df: DataFrame, speed: Column, variance: float = C.SPEED_VAR) -> DataFrame:
-    return _body_velocity(df, 0, [speed], variance)
+    return _each(df, lambda fleet, given: fleet.take_speed(given("speed"), variance), speed=speed.cast("double"))
 
 
 def take_turn(df: DataFrame, relative: Column, start: Column, variance: float = C.ATTITUDE_VAR) -> DataFrame:
     """A measured rotation since the attitude `start`; q and -q mean the same."""
-    rows = df.withColumn("_b_since", Q.inverse(start)).withColumn("_b_since", Q.multiply(F.col("_b_since"), F.col("attitude")))
-    rows = rows.withColumn("_b_back", Q.inverse(relative)).withColumn("_b_off", Q.to_rotvec(Q.multiply(F.col("_b_back"), F.col("_b_since"))))
-    residual = M.times(_rotation(F.col("attitude")), M.vector(*[-F.col(f"_b_off.{n}") for n in "xyz"]))
-    jacobian = M.rows(*[_row(None, None, _unit(i)) for i in range(3)])
-    return measure(rows, residual, jacobian, M.diagonal(3, variance)).drop("_b_since", "_b_back", "_b_off")
+    return _each(df, lambda fleet, given: fleet.take_turn(given("relative"), given("start"), variance), relative=relative, start=start)
 
 
 def take_position(df: DataFrame, position: Column, variance: float = C.FIX_VAR) -> DataFrame:
-    jacobian = M.rows(*[_row(_unit(i), None, None) for i in range(3)])
-    return measure(df, F.zip_with(position, "position", lambda a, b: a - b), jacobian, M.diagonal(3, variance))
+    return _each(df, lambda fleet, given: fleet.take_position(given("position", 3), variance), position=position)

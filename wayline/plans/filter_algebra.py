@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from wayline.functions import matrix as M
 from wayline.functions import quat as Q
 from wayline.operators import filter_columns as FC
-from wayline.operators.storage import cut
 from wayline.plans import oracles as O
 from wayline.plans.common import r
 from wayline.sources.events import raw_steps
@@ -45,7 +44,7 @@ def filter_predict(spark: SparkSession, sf: str) -> DataFrame:
 
 def filter_updates(spark: SparkSession, sf: str) -> DataFrame:
     """Every event's filter after a prediction and one update, for each kind of update."""
-    rows = cut(_predicted(spark, sf).withColumn("back", Q.inverse(F.col("pose"))).withColumn("relative", Q.multiply(F.col("back"), F.col("later"))))
+    rows = _predicted(spark, sf).withColumn("back", Q.inverse(F.col("pose"))).withColumn("relative", Q.multiply(F.col("back"), F.col("later")))
     fix = F.zip_with("position", M.vector(F.col("k") / 20, -1.5, F.col("speed_ms") / 10), lambda a, b: a + b)
     after = {
         "track": FC.hold_to_track(rows), "speed": FC.take_speed(rows, F.col("speed_ms")),
