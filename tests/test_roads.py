@@ -193,3 +193,13 @@ def test_ranges_of_a_long_session(spark):
     found = ranges.agg(F.count(F.lit(1)).alias("n"), F.max("last_vertex").alias("v"), F.min("first_vertex").alias("f")).first()
     assert time.perf_counter() - began < 30
     assert found["n"] == 2000 and found["f"] == 0 and found["v"] == polyline.where("t_s < 100010").count() - 1
+
+
+def test_the_nearest_segment_is_worked_out_once(spark):
+    """However often the result mentions it, also in a filter after it; the first on a tie, none on an empty road."""
+    points = spark.createDataFrame([("a", 1.0, 5.0, 0.0), ("a", 0.0, 20.0, 0.0), ("b", 0.0, 0.0, 0.0)], "k string, e double, n double, heading_deg double")
+    roads = spark.createDataFrame([("a", i, 0.0, i * 10.0, 0.0, i * 10.0 + 10) for i in range(3)], "k string, segment_idx int, ax double, ay double, bx double, by double")
+    found = R.match(points, roads, ["k"]).where("matched")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("lambda") < 20
+    assert sorted((r["n"], r["segment_idx"], r["distance_m"]) for r in found.collect()) == [(5.0, 0, 1.0), (20.0, 1, 0.0)]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayline.functions import geo, text
 from wayline.operators.prefix import running_totals
@@ -126,11 +131,55 @@ def segments(vertices: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where("bx is not null")
 
 
+#: The nearest segment of a point: metres to it, its number, the place on it, and its direction.
+_NEAR = T.StructType([T.StructField(n, T.IntegerType() if n == "s" else T.DoubleType()) for n in "dsxyh"])
+#: So many pairs of points and segments are held at once.
+PAIRS = 500_000
+
+
+def _with_nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put `_near`, the first of the nearest segments of `_road`, in the place of `_road`; null without a segment."""
+    for batch in batches:
+        counts = pc.fill_null(pc.list_value_length(batch["_road"]), 0).to_numpy(zero_copy_only=False)
+        first = 0
+        while first < len(batch):
+            n = max(1, int(np.searchsorted(np.cumsum(counts[first:]), PAIRS, "right")))
+            part = batch.slice(first, n)
+            near = _nearest(part["_road"], counts[first : first + n], *(part[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("e", "n")))
+            names = [c for c in part.schema.names if c != "_road"]
+            yield pa.RecordBatch.from_arrays([*[part[c] for c in names], near], [*names, "_near"])
+            first += n
+
+
+def _nearest(roads: pa.Array, counts: np.ndarray, e: np.ndarray, n: np.ndarray) -> pa.Array:
+    have = np.flatnonzero(counts)
+    starts, row = np.cumsum(counts[have]) - counts[have], np.repeat(have, counts[have])
+    parts = pc.list_flatten(roads)
+    ax, ay, bx, by = (pc.struct_field(parts, c).to_numpy(zero_copy_only=False) for c in ("ax", "ay", "bx", "by"))
+    dx, dy = bx - ax, by - ay
+    square = dx * dx + dy * dy
+    share = np.where(square < 1e-12, 0.0, np.clip(((e[row] - ax) * dx + (n[row] - ay) * dy) / np.where(square < 1e-12, 1.0, square), 0.0, 1.0))
+    x, y = ax + share * dx, ay + share * dy
+    away = (e[row] - x) ** 2 + (n[row] - y) ** 2
+    away = np.where(np.isnan(away), np.inf, away)
+    least = np.minimum.reduceat(away, starts) if len(have) else away
+    nearest = np.flatnonzero(away == np.repeat(least, counts[have]))
+    best = nearest[np.unique(row[nearest], return_index=True)[1]]
+    at = np.zeros(len(counts), int)
+    at[have] = np.arange(len(have))
+    none = counts == 0
+    pick = lambda v: pa.array(v).take(pa.array(at, mask=none))
+    heading = np.degrees(np.arctan2(dx[best], dy[best])) % 360.0
+    numbers = pc.struct_field(parts, "segment_idx").cast(pa.int32()).take(pa.array(best))
+    values = [pick(np.sqrt(away[best])), numbers.take(pa.array(at, mask=none)), pick(x[best]), pick(y[best]), pick(heading)]
+    return pa.StructArray.from_arrays(values, names=list("dsxyh"), mask=pa.array(none))
+
+
 def match(points: DataFrame, roads: DataFrame, keys: list[str], gates: Gates = Gates()) -> DataFrame:
     """Match each point (e, n, heading_deg) with the road of its keys.
 
-    A road's segments travel as one array (at most a look-back of fixes), and the nearest is a fold over it: no pairs are
-    shuffled. The nearest segment (first on a tie) is taken before the gates; a farther one that would pass them isn't
+    A road's segments travel as one array (at most a look-back of fixes), and the nearest is found over Arrow batches of
+    points: no pairs are shuffled, and what is asked of the result isn't worked out again for each mention of it. The nearest segment (first on a tie) is taken before the gates; a farther one that would pass them isn't
     tried. Both gates pass at equality. Unmatched points keep their place and have no segment (-1), NaN angles and
     infinite distance. Adds matched, outcome, proj_e, proj_n, corr_e, corr_n, road_heading_deg, segment_idx, distance_m,
     heading_diff_deg, rejection_reason.
@@ -139,24 +188,7 @@ def match(points: DataFrame, roads: DataFrame, keys: list[str], gates: Gates = G
     packed = roads.groupBy(*keys).agg(F.array_sort(F.collect_list(parts)).alias("_road"))
     rows = points.join(packed, keys, "left")
 
-    p = F.col("e"), F.col("n")
-
-    def projected(s: Column) -> tuple[Column, Column]:
-        share = geo.segment_share(p, (s["ax"], s["ay"]), (s["bx"], s["by"]))
-        return s["ax"] + share * (s["bx"] - s["ax"]), s["ay"] + share * (s["by"] - s["ay"])
-
-    def away(s: Column, place: Column) -> Column:
-        x, y = projected(s)
-        return F.struct(((p[0] - x) * (p[0] - x) + (p[1] - y) * (p[1] - y)).alias("square"), place.alias("place"))
-
-    # Only the squared distance is worked out for every segment, the rest for the nearest.
-    rows = rows.withColumn("_best", F.array_min(F.transform("_road", away)))
-    rows = rows.withColumn("_seg", F.col("_road")[F.col("_best.place")])
-    seg = F.col("_seg")
-    x, y = projected(seg)
-    heading = geo.segment_heading_deg((seg["ax"], seg["ay"]), (seg["bx"], seg["by"]))
-    near = F.struct(F.sqrt("_best.square").alias("d"), seg["segment_idx"].alias("s"), x.alias("x"), y.alias("y"), heading.alias("h"))
-    rows = rows.withColumn("_near", F.when(seg.isNotNull(), near))
+    rows = rows.mapInArrow(_with_nearest, T.StructType([*rows.drop("_road").schema, T.StructField("_near", _NEAR)]))
     turn = geo.heading_difference_deg(geo.wrap_degrees(F.col("heading_deg")), F.col("_near.h"))
     rows = rows.withColumn("_turn", turn)
     outcome = (
@@ -178,7 +210,7 @@ def match(points: DataFrame, roads: DataFrame, keys: list[str], gates: Gates = G
             "distance_m": hit(F.col("_near.d"), F.lit(float("inf"))), "heading_diff_deg": hit(F.col("_turn"), nan),
             "rejection_reason": reason,
         }
-    ).drop("_road", "_best", "_seg", "_near", "_turn")
+    ).drop("_near", "_turn")
 
 
 def match_stats(matches: DataFrame, keys: list[str]) -> DataFrame:
