@@ -13,7 +13,7 @@ from wayline.operators.tracking import evaluate, track
 from wayline.plans import oracles as O
 from wayline.plans import reports
 from wayline.plans.common import CHUNK_ROWS, event_intervals, metrics, r, rounded, tracked
-from wayline.sources.events import raw_steps, true_steps
+from wayline.sources.events import raw_steps, session_lengths, true_steps
 from wayline.sources.synthetic import straight_drive
 
 KEYS = ["session_id", "duration_s", "interval_idx"]
@@ -34,8 +34,8 @@ def dr_trajectory(spark: SparkSession, sf: str) -> DataFrame:
 
 def dr_trajectory_chunked(spark: SparkSession, sf: str) -> DataFrame:
     """As dr_trajectory, from numbering to positions without a task that sees a whole session."""
-    intervals = B.outage_intervals(B.session_lengths(raw_steps(spark, sf, CHUNK_ROWS)))
-    points = track(true_steps(spark, sf, CHUNK_ROWS), intervals, chunk=CHUNK_ROWS)
+    intervals = B.outage_intervals(session_lengths(spark, sf))
+    points = track(true_steps(spark, sf, CHUNK_ROWS, ["speed_ms", "gyro_z"]), intervals, chunk=CHUNK_ROWS)
     return rounded(points, ["session_id", "duration_s", "i", "is_blackout"], 8, lat="lat", lon="lon")
 
 
