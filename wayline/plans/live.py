@@ -9,6 +9,7 @@ from wayline.plans import oracles as O
 from wayline.plans import streams
 from wayline.plans.common import r
 from wayline.sources.events import raw_steps
+from wayline.streaming import fleet as FL
 from wayline.streaming import ordered as OR
 from wayline.streaming import processors as P
 from wayline.streaming.run import drained
@@ -67,7 +68,9 @@ def window_speed() -> Column:
 def stream_closed_loop(spark: SparkSession, sf: str) -> DataFrame:
     """Unordered readings, fixes and commands to order, windows, measurements and the filter on one stream: the last place
     of each device, and how many measurements its windows gave."""
-    found = drained(loop_rows(spark, sf), lambda s: OR.closed_loop(s.drop("arrival"), window_speed()), 3, "arrival", OR.end_of_stream(spark))
+    rows = loop_rows(spark, sf)
+    buckets = FL.bucket_count(rows, 5)  # a reading becomes five samples
+    found = drained(rows, lambda s: OR.closed_loop(s.drop("arrival"), window_speed(), buckets=buckets), 3, "arrival", OR.end_of_stream(spark))
     last = found.groupBy("device").agg(
         F.max_by(F.struct("mode", "lat", "lon", "heading_deg", "speed_ms"), F.struct("ts_ns", "kind")).alias("x"),
         F.count_if("applied").alias("fixes"), F.count_if(F.col("kind") == "speed").alias("speeds"), F.count_if(F.col("kind") == "turn").alias("turns"),
