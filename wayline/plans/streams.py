@@ -12,6 +12,7 @@ from wayline.plans.common import r
 from wayline.plans.onnx_models import linear_over_window
 from wayline.sources.events import raw_steps, table
 from wayline.sources.live import last_known
+from wayline.streaming import fleet as FL
 from wayline.streaming import processors as P
 from wayline.streaming.run import drained
 
@@ -97,7 +98,8 @@ def stream_filter(spark: SparkSession, sf: str) -> DataFrame:
     speed = F.struct(F.lit("speed").alias("kind"), text.alias("cmd"), none.alias("lat"), none.alias("lon"), none.alias("heading_deg"), F.array(F.lit(5.56)).alias("sample"))
     parts = F.concat(parts, F.array(speed))
     rows = steps.select(F.col("session_id").alias("device"), "ts_ns", F.inline(parts)).where("kind <> 'command' or cmd is not null")
-    found = drained(rows, lambda s: P.run_stateful(s, P.OnlineFilter(), P.TRACK))
+    buckets = FL.bucket_count(rows)
+    found = drained(rows, lambda s: FL.run_bucketed(s, FL.FleetFilter(), P.TRACK, buckets))
     last = found.groupBy("device").agg(F.max_by(F.struct("mode", "lat", "lon", "heading_deg", "speed_ms"), F.struct("ts_ns", "kind")).alias("x"), F.count_if("applied").alias("applied"))
     return last.select("device", "applied", "x.mode", r("x.lat", 6).alias("lat"), r("x.lon", 6).alias("lon"), r("x.speed_ms", 3).alias("speed_ms"))
 
