@@ -80,7 +80,9 @@ def stream_closed_loop(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_newest_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The newest window of each device in each batch, and how many it has skipped so far."""
-    rows = drained(streams._sensors(spark, sf), lambda s: P.run_stateful(s, P.NewestWindows(), P.NEWEST_WINDOWS))
+    sensors = streams._sensors(spark, sf)
+    buckets = FL.bucket_count(sensors)
+    rows = drained(sensors, lambda s: FL.run_bucketed(s, FL.FleetWindows(newest=True), P.NEWEST_WINDOWS, buckets))
     return rows.select("device", "ts_ns", "n", "skipped")
 
 
