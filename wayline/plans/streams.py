@@ -68,11 +68,17 @@ def stream_infer(spark: SparkSession, sf: str) -> DataFrame:
     """Sensor events to windows to a model's answer, all on one stream; whether each answer is the sum it stands for."""
     weights = [0.5, -0.25, 0.125, 0.0, 0.0, 1.0]
     model = linear_over_window(weights, P.CAPACITY)
-    live = lambda s: infer(P.run_stateful(s, P.LiveWindows(), P.LIVE_WINDOWS), model, "imu", "predicted")
-    rows = drained(_sensors(spark, sf), live)
-    total = F.aggregate("imu", F.lit(0.0), lambda a, x: a + sum(w * x[i] for i, w in enumerate(weights)))
-    close = F.abs(F.col("predicted") - total / P.CAPACITY) < 1e-4
-    return rows.select("device", "ts_ns", "n", r(total, 4).alias("total"), close.alias("agrees"), r("window_rate_hz", 6).alias("window_rate_hz"))
+    sample = lambda at: sum(w * F.get("imu", at + i) for i, w in enumerate(weights))
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(6 * P.CAPACITY - 6), F.lit(6)), F.lit(0.0), lambda a, at: a + sample(at))
+    sensors = _sensors(spark, sf)
+    buckets = FL.bucket_count(sensors)
+
+    def live(rows: DataFrame) -> DataFrame:
+        windows = FL.run_bucketed(rows, FL.FleetWindows(flat=True), FL.FLAT_WINDOWS, buckets)
+        return infer(windows, model, "imu", "predicted").withColumn("total", total).drop("imu")  # windows aren't written
+
+    close = F.abs(F.col("predicted") - F.col("total") / P.CAPACITY) < 1e-4
+    return drained(sensors, live).select("device", "ts_ns", "n", r("total", 4).alias("total"), close.alias("agrees"), r("window_rate_hz", 6).alias("window_rate_hz"))
 
 
 def resample_counts(spark: SparkSession, sf: str) -> DataFrame:
