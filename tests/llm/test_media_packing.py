@@ -245,3 +245,30 @@ def test_stages_read_what_the_stage_before_wrote(spark, data, monkeypatch):
     assert corpus_pipeline.run(spark, data).count() == 7
     shared = spark.sparkContext.getCheckpointDir().split("/")[-1]
     assert not any(shared in f for f in read[0]) and all(files and all(shared in f for f in files) for files in read[1:])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab1'é漢!  \n\t  \x1c<|")), max_size=30), max_size=6))
+def test_ids_of_many_texts_are_those_of_each(texts):
+    """Words known from other texts, white space of every kind around them, and texts that can't be cut."""
+    assert [x.tolist() for x in P.ids_of_texts([*texts, None])] == [ids_of(t) for t in [*texts, None]]
+
+
+def test_a_known_word_is_not_encoded_again(monkeypatch):
+    words, asked = P.Words(P.VOCABULARY), []
+    encoded = words.encoded
+    monkeypatch.setattr(words, "encoded", lambda text: asked.append(text) or encoded(text))
+    found = words.ids(["one two three two", "one two  cut", ""])
+    assert [x.tolist() for x in found] == [ids_of(t)[:-1] for t in ("one two three two", "one two  cut", "")]
+    asked.clear()
+    assert words.ids(["three two three two"])[0].tolist() == ids_of("three two three two")[:-1]
+    assert asked == ["", "three"]
+
+
+def test_words_beyond_what_is_kept(monkeypatch):
+    monkeypatch.setattr(P, "KNOWN", 40)
+    words, texts = P.Words(P.VOCABULARY), [f"word{i} other{i} text{i % 3}" for i in range(60)]
+    for a in range(0, 60, 5):
+        assert [x.tolist() for x in words.ids(texts[a : a + 5])] == [ids_of(t)[:-1] for t in texts[a : a + 5]]
+    assert len(words.kept) < 20
+    assert [x.tolist() for x in P.ids_of_texts([*texts, "x " * 50])] == [ids_of(t) for t in [*texts, "x " * 50]]

@@ -12,6 +12,7 @@ from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ EMPTIEST, FINEST, ORDERS, POLISHED = 300, 300, 6, 2
 #: Groups that are packed once more together in part; each gives so many of its emptiest bins and of its bins of most pieces.
 SPAN, LOOSE_BINS = 16, 64
 SEED = 71
+#: Bytes of words whose ids a worker keeps, and characters of texts that it encodes at once; longer texts are encoded alone.
+KNOWN = 1 << 22
 
 
 @cache
@@ -52,15 +55,85 @@ def _tokenizer(vocabulary: str):
     return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
 
 
+class Words:
+    """A vocabulary's ids of words, each encoded once while it is kept.
+
+    The pattern never matches beyond a word into white space, so a text can be cut before any space that follows no white
+    space: a word with the space before it has the same ids in every text. New words are encoded as one text, whose ids
+    are told apart by the bytes they stand for.
+    """
+
+    def __init__(self, vocabulary: str):
+        self.encoder = _encoder(vocabulary)
+        self.bytes_of = np.zeros(self.encoder.max_token_value + 1, np.int64)
+        for token in self.encoder.token_byte_values():
+            self.bytes_of[self.encoder.encode_single_token(token)] = len(token)
+        self.kept, self.pool, self.ends, self.size = pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64), 0
+
+    def encoded(self, text: str) -> np.ndarray:
+        return self.encoder.encode_to_numpy(text).astype(np.uint32)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        first = np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy())]
+        coded = cut.flatten().dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        # An empty word or one that ends in white space is no place to cut after.
+        last = pc.utf8_slice_codeunits(words, -1)
+        blank = pa.array([c for c in last.unique().to_pylist() if not c or c.isspace()], pa.string())
+        uncut = pc.is_in(last, value_set=blank).to_numpy(zero_copy_only=False)
+        known = pc.fill_null(pc.index_in(words, value_set=self.kept), -1).to_numpy().astype(np.int64)
+        fresh = (known < 0) & ~uncut
+        new = words.filter(pa.array(fresh))
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(new)], new), " ")[0].as_py()
+        ids = self.encoded(f" {joined}" if len(new) else "")
+        stand = np.cumsum(pc.binary_length(new).to_numpy().astype(np.int64) + 1)
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), stand) + 1
+        known[fresh] = len(self.kept) + np.arange(len(new))
+        known[uncut] = len(self.kept) + len(new)
+        kept, pool, bounds = pa.concat_arrays([self.kept, new]), np.concatenate([self.pool, ids]), np.concatenate([self.ends, len(self.pool) + ends])
+        # The first word has no space before it, and its ids are its text's own.
+        heads = [self.encoded(cut[i].values[0].as_py()) for i in range(len(texts))]
+        uncut, known = uncut[codes], known[codes]
+        place, taken = bounds[known], np.diff(bounds, append=bounds[-1])[known]
+        at = len(pool) + np.r_[0, np.cumsum(list(map(len, heads)), dtype=np.int64)]
+        place[first[:-1]], taken[first[:-1]] = at[:-1], np.diff(at)
+        whole = np.concatenate([pool, *heads])
+        out = np.r_[0, np.cumsum(taken)]
+        ids = whole[np.arange(out[-1]) + np.repeat(place - out[:-1], taken)]
+        direct = np.add.reduceat(uncut, first[:-1], dtype=np.int64) > 0 if len(texts) else []
+        if self.size <= KNOWN:
+            self.kept, self.pool, self.ends, self.size = kept, pool, bounds, self.size + int(stand[-1] if len(stand) else 0)
+        return [self.encoded(text) if d else ids[out[a] : out[b]] for text, d, a, b in zip(texts, direct, first[:-1], first[1:], strict=True)]
+
+
+_words = cache(Words)
+
+
+def ids_of_texts(texts: list[str | None], vocabulary: str = VOCABULARY) -> Iterator[np.ndarray]:
+    """Ids of each whole text without special tokens, then END_ID. Texts that spell a special token go to the JSON file's
+    own tokenizer, which alone knows how to read them."""
+    at, some, end = 0, [t or "" for t in texts], np.array([END_ID], "<u4")
+    while at < len(some):
+        last, size = at, 0
+        while last < len(some) and (last == at or size + len(some[last]) <= KNOWN):
+            size += len(some[last])
+            last += 1
+        group = some[at:last]
+        plain = _words(vocabulary).ids(["" if "<|" in t or size > KNOWN else t for t in group])
+        for text, ids in zip(group, plain, strict=True):
+            if "<|" in text:
+                ids = np.array(_tokenizer(vocabulary).encode(text, add_special_tokens=False).ids, np.uint32)
+            elif size > KNOWN:
+                ids = _words(vocabulary).encoded(text)
+            yield np.append(ids.astype("<u4"), end)
+        at = last
+
+
 def token_ids(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
-    """Ids of a whole text without special tokens, then END_ID. Texts that spell a special token go to the JSON file's
-    own tokenizer, which alone knows how to read it."""
-    text = text or ""
-    if "<|" in text:
-        ids = np.array(_tokenizer(vocabulary).encode(text, add_special_tokens=False).ids, np.uint32)
-    else:
-        ids = _encoder(vocabulary).encode_to_numpy(text)
-    return np.append(ids.astype("<u4"), np.array([END_ID], "<u4"))
+    """The ids of one text."""
+    return next(ids_of_texts([text], vocabulary))
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -73,8 +146,8 @@ def _pieces(vocabulary: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             rows = []
-            for doc_id, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
-                ids = token_ids(text.as_py(), vocabulary)
+            found = ids_of_texts(batch.column("text").to_pylist(), vocabulary)
+            for doc_id, row, ids in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), found, strict=True):
                 rows += [(doc_id, p, s, n, zlib.crc32(ids[s : s + n].tobytes()), row) for p, (s, n) in enumerate(cuts(len(ids), capacity))]
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
