@@ -203,3 +203,14 @@ def test_the_nearest_segment_is_worked_out_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("lambda") < 20
     assert sorted((r["n"], r["segment_idx"], r["distance_m"]) for r in found.collect()) == [(5.0, 0, 1.0), (20.0, 1, 0.0)]
+
+
+def test_short_routes_need_no_index(spark, monkeypatch):
+    """Routes of one leaf are compared with as they are, whatever the number of routes; many positions are dealt to parts."""
+    monkeypatch.setattr(R, "_point_index", None)
+    monkeypatch.setattr(R, "ASKED", 100)
+    points = spark.range(600).select((F.col("id") % 20).alias("k"), F.col("id").alias("seq"), (51 + F.col("id") * 1e-4).alias("lat"), F.lit(0.0).alias("lon"), F.lit(1.0).alias("to_end_m"))
+    at = points.where("k < 19").select("k", F.col("seq").alias("n"), (F.col("lat") + 1e-6).alias("lat"), "lon")
+    at = at.unionByName(spark.range(1000, 2000).select(F.lit(3).cast("long").alias("k"), F.col("id").alias("n"), F.lit(51.0003).alias("lat"), F.lit(0.0).alias("lon")))
+    found = R.nearest_points(at, points, ["k"], "n").toPandas()
+    assert dict(zip(found["n"], found["seq"], strict=True)) == {n: n for n in range(600) if n % 20 < 19} | dict.fromkeys(range(1000, 2000), 3)

@@ -244,7 +244,9 @@ def route_lengths(points: DataFrame, key: str = "route_id") -> DataFrame:
 
 
 #: Points in a leaf of the index, nodes in a node above.
-LEAF, FAN = 16, 16
+LEAF, FAN = 1024, 16
+#: Positions that meet one leaf are dealt to parts of about so many; so many are compared with it at a time.
+ASKED, AT_ONCE = 65_536, 256
 #: Levels of up to so many nodes (under 10 MB) are sent to every task; others are joined by shuffle.
 FEW_NODES = 4096
 #: Bits of each axis in each half of a point's place on the curve: 42 in all, steps of a few micrometres.
@@ -273,11 +275,13 @@ def _square(p: list[Column], q: list[Column]) -> Column:
 
 
 def _point_index(points: DataFrame, keys: list[str], leaf: int, fan: int) -> list[DataFrame]:
-    """Levels of an index over each key's points, leaves first: keys, node, kids. The last has one node for each key.
+    """Levels of an index over each key's points, leaves first: keys, node, kids; the leaves also have `leaf_id`. The last
+    has one node for each key.
 
-    Points stand along a space-filling curve, numbered by prefix sums over ranges of it; every `leaf` in a row are a leaf
-    and every `fan` nodes a node above, so no node ever holds more, however near to each other points are. A kid is a
-    node's box, one of its points, and its number; a leaf's kids are its points.
+    Points stand along a space-filling curve, numbered by prefix sums over ranges of it; every `leaf` in a row of a key are
+    a leaf and every `fan` nodes a node above, so no node ever holds more, however near to each other points are, and
+    the longest route alone decides the number of levels. A kid is a node's box, one of its points, its number, and a
+    leaf's id; a leaf's kids are its points.
     """
     axes = ["_x", "_y", "_z"]
     on = dict(zip(axes, _on_globe(F.col("lat"), F.col("lon")), strict=True))
@@ -285,47 +289,117 @@ def _point_index(points: DataFrame, keys: list[str], leaf: int, fan: int) -> lis
     rough, fine = _interleaved([F.shiftright(v, CURVE_BITS) for v in scaled]), _interleaved([v.bitwiseAND((1 << CURVE_BITS) - 1) for v in scaled])
     lined = points.withColumns(on | {"_rough": rough, "_fine": fine, "_one": F.lit(1)})
     order = [F.col(k) for k in keys] + [F.col("_rough"), F.col("_fine"), F.col("seq")]
-    placed = running_totals(lined, order, "_one", "_before", "_place").withColumn("node", F.expr(f"_place div {leaf}"))
+    placed = running_totals(lined, order, "_one", "_before", "_place")
+    firsts = placed.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    placed = placed.join(firsts, keys).withColumn("node", F.expr(f"(_place - _first) div {leaf}"))
+    placed = placed.withColumn("leaf_id", (F.col("_first") + F.col("node") * leaf) * 2 + 1)
     boxes = [f(a).alias(f"{n}{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    kid = F.struct("lat", "lon", F.col("_p.seq").alias("seq"), F.col("_p.to_end_m").alias("rest"))
-    level = cut(placed.groupBy(*keys, "node").agg(F.collect_list(kid).alias("kids"), *boxes, F.first(F.struct(*axes)).alias("mid")))
-    levels = [level.select(*keys, "node", "kids")]
-    while level.groupBy(*keys).count().where("count > 1").limit(1).count():
-        kid = F.struct("node", "mid", *[f"{n}{a}" for a in axes for n in ("lo", "hi")])
+    kid = F.struct("lat", "lon", "seq", "to_end_m")
+    level = cut(placed.groupBy(*keys, "node", "leaf_id").agg(F.collect_list(kid).alias("kids"), *boxes, F.first(F.struct(*axes)).alias("mid")))
+    levels = [level.select(*keys, "node", "leaf_id", "kids")]
+    while len(levels) == 1 or level.groupBy(*keys).count().where("count > 1").limit(1).count():
+        kid = F.struct("node", "leaf_id", "mid", *[f"{n}{a}" for a in axes for n in ("lo", "hi")])
         boxes = [f(f"{n}{a}").alias(f"{n}{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]
-        level = cut(level.groupBy(*keys, F.expr(f"node div {fan}").alias("_up")).agg(F.collect_list(kid).alias("kids"), *boxes, F.first("mid").alias("mid")).withColumnRenamed("_up", "node"))
+        level = cut(level.groupBy(*keys, F.expr(f"node div {fan}").alias("_up")).agg(
+            F.collect_list(kid).alias("kids"), *boxes, F.first("mid").alias("mid"), F.first("leaf_id").alias("leaf_id")
+        ).withColumnRenamed("_up", "node"))
         levels.append(level.select(*keys, "node", "kids"))
     return levels
 
 
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by leaf and part, points (row null) before positions: each position with the points of the leaf that
+    are as near as the nearest, with room for rounding. A leaf's points are all that is held."""
+    held, kept = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("leaf_id", "part", "asked", "lat", "lon")}
+        a, b = np.radians(whole["lat"]), np.radians(whole["lon"])
+        place = geo.EARTH_RADIUS_M * np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
+        starts = np.flatnonzero(np.r_[True, np.any([whole[n][1:] != whole[n][:-1] for n in ("leaf_id", "part", "asked")], axis=0)])
+        found = []
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            group = int(whole["leaf_id"][i]), int(whole["part"][i])
+            if not whole["asked"][i]:
+                kept = [*(kept if group == held else []), (place[:, i:j], batch.slice(i, j - i).select(["lat", "lon", "seq", "rest"]))]
+                held = group
+                continue
+            if len(kept) > 1:
+                kept = [(np.concatenate([x for x, _ in kept], 1), pa.Table.from_batches([x for _, x in kept]).combine_chunks().to_batches()[0])]
+            (points, columns), = kept
+            for k in range(i, j, AT_ONCE):
+                some = place[:, k : min(j, k + AT_ONCE)]
+                away = np.sqrt(sum((p[:, None] - q[None, :]) ** 2 for p, q in zip(some, points, strict=True)))
+                at, near = np.nonzero(away <= away.min(1)[:, None] * (1 + 1e-9) + 1e-6)
+                own = batch.select(["row", "lat", "lon"]).take(pa.array(at + k))
+                found.append(pa.RecordBatch.from_arrays([*own.columns, *columns.take(pa.array(near)).columns], ["row", "lat", "lon", "to_lat", "to_lon", "seq", "rest"]))
+        yield from found
+
+
+def _searched(met: DataFrame, points: DataFrame) -> DataFrame:
+    """met: row, lat, lon, leaf_id; points: leaf_id, lat, lon, seq, to_end_m. The nearest point of each row: row, d, seq, rest."""
+    met = cut(met)
+    parts = met.groupBy("leaf_id").count().select("leaf_id", F.expr(f"cast(count div {ASKED} + 1 as int)").alias("_parts"))
+    many = F.broadcast(cut(parts.where("_parts > 1")))  # at most one for each ASKED positions
+    seq = points.schema["seq"].dataType
+    asked = met.join(many, "leaf_id", "left").select(
+        "leaf_id", F.pmod(F.xxhash64("row"), F.coalesce("_parts", F.lit(1))).cast("int").alias("part"), F.lit(True).alias("asked"), "row", "lat", "lon",
+        F.lit(None).cast(seq).alias("seq"), F.lit(None).cast("double").alias("rest"),
+    )
+    known = points.join(many, "leaf_id", "left").select(
+        "leaf_id", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("part"), F.lit(False).alias("asked"),
+        F.lit(None).cast("long").alias("row"), "lat", "lon", "seq", F.col("to_end_m").alias("rest"),
+    )
+    # Few bytes and much work: dealt to a given number of partitions, they aren't coalesced by size.
+    spread = asked.unionByName(known).repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "leaf_id", "part")
+    pairs = spread.sortWithinPartitions("leaf_id", "part", "asked").mapInArrow(
+        _compared, f"row long, lat double, lon double, to_lat double, to_lon double, seq {seq.simpleString()}, rest double"
+    )
+    away = F.struct(geo.haversine_atan2_m(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon")).alias("d"), "seq", "rest")
+    return pairs.groupBy("row").agg(F.min(away).alias("_n")).select("row", "_n.*")
+
+
 def nearest_points(at: DataFrame, points: DataFrame, keys: list[str], row: str, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """For each position (keys, `row`, lat, lon; `row` numbers the positions) of a key that has points (keys, seq, lat,
     lon, to_end_m): row, d, seq, rest of the nearest point by great-circle metres, the first on a tie.
 
-    A position goes down its key's index: of a node's kids it follows those whose box isn't farther than some point that
-    it knows, so it meets a few leaves of bounded size wherever the points lie and however dense they are. Straight
+    A key of at most `leaf` points is one leaf. A position of a longer one goes down its index: of a node's kids it follows
+    those whose box isn't farther than some point that it knows, so it meets a few leaves of bounded size wherever the
+    points lie and however dense they are. In a leaf it is compared with every point, over Arrow batches. Straight
     distances prune, with room for rounding; distances along the ground decide. Where several points are at one place the
     first counts. Places with a null take no part.
     """
     placed = "lat is not null and lon is not null"
-    one = points.where(placed).groupBy(*keys, "lat", "lon").agg(F.min(F.struct("seq", "to_end_m")).alias("_p")).withColumn("seq", F.col("_p.seq"))
-    levels = _point_index(one, keys, leaf, fan)
-    x, y, z = _on_globe(F.col("lat"), F.col("lon"))
+    one = points.where(placed).groupBy(*keys, "lat", "lon").agg(F.min(F.struct("seq", "to_end_m")).alias("_p"))
+    one = one.select(*keys, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "_p.*")
+    sizes = cut(one.groupBy(*keys).agg(F.count(F.lit(1)).alias("_points")).withColumn("leaf_id", F.monotonically_increasing_id() * 2))
+    held = one.join(sizes, keys)
+    asked = at.where(placed).select(*keys, F.col(row).cast("long").alias("row"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).join(sizes, keys)
+    few = f"_points <= {leaf}"
+    leaves, met = held.where(few).select("leaf_id", "lat", "lon", "seq", "to_end_m"), asked.where(few).select("row", "lat", "lon", "leaf_id")
+    if sizes.where(f"not {few}").limit(1).count():
+        lowest, *levels = _point_index(held.where(f"not {few}").drop("_points", "leaf_id"), keys, leaf, fan)
+        leaves, met = leaves.unionByName(lowest.select("leaf_id", F.inline("kids"))), met.unionByName(_descended(asked.where(f"not {few}").drop("_points", "leaf_id"), levels, keys))
+    return _searched(met, leaves).withColumnRenamed("row", row)
+
+
+def _descended(asked: DataFrame, levels: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The leaves that each position must see: row, lat, lon, leaf_id."""
     levels = [F.broadcast(level) if level.count() <= FEW_NODES else level for level in levels]
-    # Positions are few bytes and much work: dealt to a given number of partitions, they aren't coalesced by size.
-    spread = at.where(placed).repartition(int(at.sparkSession.conf.get("spark.sql.shuffle.partitions")), row)
-    asked = spread.select(*keys, row, "lat", "lon", x.alias("_px"), y.alias("_py"), z.alias("_pz"), F.lit(float("inf")).alias("_bound"))
+    x, y, z = _on_globe(F.col("lat"), F.col("lon"))
+    spread = asked.repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
+    met = spread.select(*keys, "row", "lat", "lon", x.alias("_px"), y.alias("_py"), z.alias("_pz"), F.lit(float("inf")).alias("_bound"), F.lit(0).cast("long").alias("node"))
     p = [F.col(f"_p{a}") for a in "xyz"]
-    met = asked.join(levels[-1], keys).drop("node")
-    for below in reversed(levels[:-1]):
+    for level in reversed(levels):
+        met = met.join(level, [*keys, "node"])
         reach = F.array_min(F.transform("kids", lambda k: _square(p, [k["mid"][f"_{a}"] for a in "xyz"])))
         met = met.withColumn("_bound", F.least("_bound", reach))
         outside = lambda k: [F.least(F.greatest(v, k[f"lo_{a}"]), k[f"hi_{a}"]) for v, a in zip(p, "xyz", strict=True)]
         near = F.filter("kids", lambda k: _square(p, outside(k)) <= F.col("_bound") * (1 + 1e-9) + 1e-6)
-        met = met.withColumn("node", F.explode(F.transform(near, lambda k: k["node"]))).drop("kids").join(below, [*keys, "node"])
-    away = lambda q: F.struct(geo.haversine_atan2_m(F.col("lat"), F.col("lon"), q["lat"], q["lon"]).alias("d"), q["seq"].alias("seq"), q["rest"].alias("rest"))
-    best = met.select(row, F.array_min(F.transform("kids", away)).alias("_n")).groupBy(row).agg(F.min("_n").alias("_n"))
-    return best.select(row, "_n.*")
+        met = met.withColumn("_kid", F.explode(F.transform(near, lambda k: F.struct(k["node"].alias("node"), k["leaf_id"].alias("leaf_id")))))
+        met = met.drop("kids", "leaf_id", "node").select("*", "_kid.*").drop("_kid")
+    return met.select("row", "lat", "lon", "leaf_id")
 
 
 def route_progress(at: DataFrame, points: DataFrame, key: str = "route_id", total: str | None = None) -> DataFrame:
