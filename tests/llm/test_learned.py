@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import AWKWARD, documents
-from wayline.llm import langid, quality, toxicity
+from wayline.llm import langid, quality, sums, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 SF = "/root/testdata/sf0.01"
@@ -168,6 +168,25 @@ def test_co_training_matches_brute_force(spark):
     assert given > 0 and max(abs(found[i] - wanted[i]) for i in range(240)) < 1e-6
 
 
+def test_sums_of_a_step_follow_the_cores(spark, monkeypatch):
+    """However many partitions: two vectors a core at most, each with half of the curvature, and few for the driver."""
+    cores, seen = spark.sparkContext.defaultParallelism, []
+
+    def counted(parts, *tasks):
+        seen.append((parts.count(), len(parts.first()["vector"]) // 8, *tasks))
+        return sums.total(parts, *tasks)
+
+    monkeypatch.setattr(quality, "total", counted)
+    text = F.concat(F.when(F.col("id") % 2 == 0, "good words ").otherwise("bad lines "), F.col("id"))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).cast("int").alias("quality"))
+    quality.co_train(quality.features(docs.repartition(2 * cores + 7)), labels, rounds=1)
+    sizes = [quality.CONTENT + 1, quality.META + 1]
+    assert len(seen) == quality.NEWTON and all(n <= 2 * cores and size <= sum(d * d + 3 * d + 2 for d in sizes) for n, size, *_ in seen)
+    square = np.array([[1.0, 2, 3], [2, 4, 5], [3, 5, 6]])
+    assert (sums.symmetric(sums.upper(square), 3) == square).all()
+
+
 def test_toxicity_held_out(spark, truth):
     found = toxicity.op5_toxicity(spark, "/root/testdata/sf0.1").collect()
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.common import crc_fold, cut, small, stored, table, whole
 from wayline.llm.linear import fit_logistic, predict, sigmoid
-from wayline.llm.sums import task_sum, total
+from wayline.llm.sums import few_tasks, symmetric, task_sum, total, upper
 
 #: Folds and the one not learned from; most labelled documents to learn from; one in CALIBRATION of them calibrates.
 FOLDS, HELD_OUT, LABELLED, CALIBRATION = 5, 0, 6000, 4
@@ -36,7 +36,7 @@ _CLASSES = np.stack([
 CONTENT, LAYOUT = BUCKETS + 14, 6
 META = LAYOUT + LANGS + SOURCES
 #: Numbers in what a task hands on in a round.
-NOTHING = sum(2 * (1 + d + d * d) for d in (CONTENT + 1, META + 1))
+NOTHING = sum(2 * (1 + d + d * (d + 1) // 2) for d in (CONTENT + 1, META + 1))
 
 
 def content_view(text: str | None) -> np.ndarray:
@@ -141,10 +141,10 @@ def features(docs: DataFrame, *keep: F.Column) -> DataFrame:
 
 def _told(teachers: Views, students: Views, labelled: np.ndarray):
     """A task's sums for a Newton step of both views on the pseudo-labels that the other view gives: for each view and
-    class their number, the gradient and the curvature."""
+    class their number, the gradient and the upper half of the curvature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(1 + d + d * d) for d in (CONTENT + 1, META + 1) for _ in (0, 1)]
+        sums = [(np.zeros(1 + d), np.zeros((d, d))) for d in (CONTENT + 1, META + 1) for _ in (0, 1)]
         for batch in small(batches, 2000):
             ids = np.array([-1 if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
             fresh = ~np.isin(ids, labelled)
@@ -155,12 +155,12 @@ def _told(teachers: Views, students: Views, labelled: np.ndarray):
                 for y in (0, 1):
                     a = xs[v][fresh & ((good if y else 1 - good) >= SURE)]
                     a = np.c_[(a - mean) / spread, np.ones(len(a))]
-                    p, d = sigmoid(a @ students.models[v]), a.shape[1]
-                    own = sums[2 * v + y]
-                    own[0] += len(a)
-                    own[1 : 1 + d] += a.T @ (p - y)
-                    own[1 + d :] += ((a * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ a).ravel()
-        yield task_sum(np.concatenate(sums))
+                    p = sigmoid(a @ students.models[v])
+                    first, curve = sums[2 * v + y]
+                    first[0] += len(a)
+                    first[1:] += a.T @ (p - y)
+                    curve += (a * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ a
+        yield task_sum(np.concatenate([part for first, curve in sums for part in (first, upper(curve))]))
 
     return run
 
@@ -176,7 +176,7 @@ def _stepped(views: Views, told: np.ndarray, xs: list[np.ndarray], y: np.ndarray
         shrink[-1] = 1e-6
         gradient = a.T @ (p - y) + shrink * w
         curve = (a * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ a + np.diag(shrink)
-        size = 1 + d + d * d
+        size = 1 + d + d * (d + 1) // 2
         given = told[at : at + 2 * size].reshape(2, size)
         at += 2 * size
         have = np.array([(y == label).sum() for label in (0, 1)])
@@ -184,7 +184,7 @@ def _stepped(views: Views, told: np.ndarray, xs: list[np.ndarray], y: np.ndarray
         for own, n in zip(given, have, strict=True):
             weight = share * n / max(own[0], 1)
             gradient += weight * own[1 : 1 + d]
-            curve += weight * own[1 + d :].reshape(d, d)
+            curve += weight * symmetric(own[1 + d :], d)
         models.append(w - np.clip(np.linalg.solve(curve, gradient), -LONGEST, LONGEST))
     return models
 
@@ -219,14 +219,14 @@ def co_train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, round
     for v in (0, 1):
         views.fit(v, own[v], y[~kept_back], np.ones((~kept_back).sum()))
     ids = np.array(sorted(r["doc_id"] for r in found), np.int64)
-    others = rows.where("not held_out").select("doc_id", "content", "meta")
+    others, tasks = few_tasks(rows.where("not held_out").select("doc_id", "content", "meta"))
     for _ in range(rounds):
         views.calibrate([x[back] for x in xs], y[back])
         teachers = Views(views.scale)
         teachers.models, teachers.calibration = views.models, views.calibration
         views.models = [np.zeros_like(w) for w in views.models]
         for _ in range(NEWTON):
-            told = total(others.mapInArrow(_told(teachers, views, ids), "vector binary"))
+            told = total(others.mapInArrow(_told(teachers, views, ids), "vector binary"), tasks)
             views.models = _stepped(views, told if told.size else np.zeros(NOTHING), own, y[~kept_back])
     views.calibrate([x[back] for x in xs], y[back])
     return views
