@@ -77,6 +77,25 @@ def test_small_pieces_of_work(spark, monkeypatch):
     assert wanted == brute([(r[2], r[1]) for r in TEXTS], 5, 2, 2000, 100) == got(C.collocations(documents(spark, TEXTS), 5, 2))
 
 
+def test_rare_words_are_no_rows(spark, monkeypatch):
+    """Words seen once stay numbers: 5,000 of them make no row of a phrase."""
+    made, real = [], C._counted
+    monkeypatch.setattr(C, "_counted", lambda *a: made.append(real(*a)) or made[-1])
+    rows = [(i, "the end " + " ".join(f"w{i}x{j}" for j in range(100)), "en", "s") for i in range(50)]
+    phrases, totals = C.phrase_counts(documents(spark, rows), 5, 10)
+    assert sorted((r["phrase"], r["k"], r["f"]) for r in phrases.collect()) == [("end", 1, 50), ("the", 1, 50), ("the end", 2, 50)]
+    assert [tuple(r) for r in totals.collect()] == [("en", 5100)] and sum(df.count() for df in made) < 100
+
+
+def test_words_remembered_do_not_grow_with_the_languages(monkeypatch):
+    monkeypatch.setattr(C, "KNOWN", 20)
+    memo = C.Memo()
+    for i in range(200):
+        words = [b"a", b"b%d" % i, C.END]
+        assert memo.hashes(f"l{i}", words).tolist() == [*(C.word_hash(w, f"l{i}") for w in words[:2]), 0]
+        assert sum(map(len, memo.values())) <= 2 * 20
+
+
 def test_products_beyond_64_bits(spark):
     row = spark.range(1).selectExpr("cast(90000000000 as decimal(19,0)) as a", "cast(8000000000000000001 as decimal(19,0)) as n", "cast(91000000000 as decimal(19,0)) as l")
     assert row.selectExpr("(a * n * cast(1000 as decimal(4,0))) div (l * l) as s").first()["s"] == 1000 * 90000000000 * 8000000000000000001 // 91000000000**2

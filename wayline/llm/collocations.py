@@ -21,9 +21,9 @@ WORDS, LEAST, TOP, SHARE = 5, 100, 2000, 100
 #: Ends of pieces become a line feed, A-Z lower case; what is left between white space within a line is a word.
 _BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b"\n"
-#: Phrases and hashes a task counts, and words it remembers, before it starts afresh.
-HELD, HELD_HASHES, KNOWN = 400_000, 4_000_000, 1_000_000
-#: Pairs are counted by this much of their hash (5 bytes a row); pairs that share it pass together or not at all.
+#: Phrases and hashes a task counts, and words of all languages that it remembers, before it starts afresh.
+HELD, HELD_HASHES, KNOWN = 400_000, 4_000_000, 500_000
+#: Words and pairs are counted by this much of their hash (5 bytes a row); those that share it pass together or not at all.
 SHORT = np.uint64((1 << 40) - 1)
 #: Bits of the filter of frequent phrases: so many for each, at most 2^MOST in all (32 MB), in pieces of 2^PIECE.
 BITS_EACH, MOST, PIECE = 16, 28, 20
@@ -66,7 +66,7 @@ class Filter:
 
 
 class _Hashes(dict):
-    """Hashes of the words of a language, remembered; END has 0."""
+    """Hashes of the words of a language, remembered; END has 0. One text's words never hold more than KNOWN of them."""
 
     def __init__(self, lang: str):
         super().__init__({END: 0})
@@ -80,6 +80,25 @@ class _Hashes(dict):
         return h
 
 
+class Memo(dict):
+    """Each language's hashes; all are forgotten when they are more than KNOWN together, however many languages there are."""
+
+    size = 0
+
+    def hashes(self, lang: str, words: list[bytes]) -> np.ndarray:
+        if self.size > KNOWN:
+            self.clear()
+            self.size = 0
+        if lang not in self:
+            self[lang] = _Hashes(lang)
+            self.size += 1
+        seen = self[lang]
+        before = len(seen)
+        found = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+        self.size += max(0, len(seen) - before)
+        return found
+
+
 def _rows(count: Callable[[str, list[bytes], Counter], None]):
     """Rows lang, phrase, f of what `count` adds for each text, put out whenever a task holds HELD phrases."""
 
@@ -110,17 +129,6 @@ def _counted(texts: DataFrame, count: Callable[[str, list[bytes], Counter], None
     return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
 
 
-def word_hashes(words: DataFrame) -> DataFrame:
-    """The filter's hash of each phrase of one word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [word_hash(p, lang) for lang, p in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(chained(np.array(hashes, np.uint64), 1).view(np.int64))], ["hash"])
-
-    return words.select("lang", F.col("phrase").cast("binary").alias("phrase")).mapInArrow(run, "hash long")
-
-
 def frequent_filter(hashes: DataFrame) -> Filter:
     """The filter of the hashes of frequent phrases. Its size follows their number up to 2^MOST bits; beyond that more rare
     phrases pass, which costs rows and changes nothing else."""
@@ -140,18 +148,13 @@ def frequent_filter(hashes: DataFrame) -> Filter:
     return Filter(np.frombuffer(b"".join(bits), np.uint8))
 
 
-def _words(lang: str, words: list[bytes], counts: Counter) -> None:
-    counts.update(words)
-    counts.pop(END, None)
-
-
-def _pair_hashes(known):
-    """Rows hash, f of the pairs of words that both pass the filter: numbers, as nearly all of them are seen once."""
+def _hash_counts(k: int, known=None):
+    """Rows hash, f of all words (k: 1) or of the pairs of words that both pass the filter (k: 2): numbers, as nearly all of
+    them are seen once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        memo: dict[str, _Hashes] = {}
-        size = 0
+        memo, size = Memo(), 0
 
         def put_out() -> pa.RecordBatch:
             hashes, f = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]), return_counts=True)
@@ -159,10 +162,12 @@ def _pair_hashes(known):
 
         for batch in small(batches, 200):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("_text"), strict=True):
-                hashes = _hashed(lang, text_words(text.as_py()), memo)
-                if hashes.size > 1:
-                    good = (hashes != 0) & known.value.passes(chained(hashes, 1))
-                    held.append(chained(hashes, 2)[good[:-1] & good[1:]] & SHORT)
+                hashes = memo.hashes(lang, text_words(text.as_py()))
+                if hashes.size >= k:
+                    good = hashes != 0
+                    if known is not None:
+                        good &= known.value.passes(chained(hashes, 1))
+                    held.append(chained(hashes, k)[good[: len(good) - k + 1] & good[k - 1 :]] & SHORT)
                     size += held[-1].size
             if size > HELD_HASHES:
                 yield put_out()
@@ -172,23 +177,21 @@ def _pair_hashes(known):
     return run
 
 
-def _hashed(lang: str, words: list[bytes], memo: dict[str, _Hashes]) -> np.ndarray:
-    seen = memo.get(lang)
-    if seen is None:
-        seen = memo[lang] = _Hashes(lang)
-    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-
-
-def _phrases(known, most: int):
-    """Counts phrases of 2 to `most` words of which every pair passes the filter."""
-    memo: dict[str, _Hashes] = {}
+def _phrases(often, known, most: int):
+    """Counts words that pass the filter `often`, phrases of 2 to `most` words of which every pair also passes `known`, and as
+    the empty phrase all words."""
+    memo = Memo()
 
     def count(lang: str, words: list[bytes], counts: Counter) -> None:
-        hashes = _hashed(lang, words, memo)
-        if hashes.size < 2:
+        if not words:
+            return
+        hashes = memo.hashes(lang, words)
+        counts[b""] += int(np.count_nonzero(hashes))
+        run = (hashes != 0) & often.value.passes(chained(hashes, 1))
+        counts.update([words[i] for i in np.flatnonzero(run).tolist()])
+        if most < 2:
             return
-        good = (hashes[:-1] != 0) & (hashes[1:] != 0) & known.value.passes(chained(hashes, 2))
-        run = good
+        good = run = run[:-1] & run[1:] & known.value.passes(chained(hashes, 2))
         for k in range(2, most + 1):
             at = np.flatnonzero(run).tolist()
             if not at:
@@ -203,25 +206,25 @@ def phrase_counts(docs: DataFrame, most: int = WORDS, least: int = LEAST) -> tup
     """(phrases, totals): lang, phrase, k, f of every phrase of 1 to `most` words with f >= least; lang and its n.
 
     Each word starts a row of a phrase of every length, counted by hash aggregation after a count within the task. A
-    phrase can only be frequent if every part of it is, and most pairs of words are seen once or twice. So pairs are
-    counted by their hashes first, where both words pass the filter of frequent words; phrases become rows where all their
-    pairs pass the filter of frequent hashes. Rows that could not reach `least` are not made, and no count of the others
-    changes; what passes by chance is counted like any other and falls short.
+    phrase can only be frequent if every part of it is, and most words and pairs of words are seen once or twice. So words
+    are counted by their hashes first, then pairs by theirs, where both words pass the filter of frequent words; words and
+    phrases become rows where they and all their pairs pass the filters of frequent hashes. Rows that could not reach
+    `least` are not made, and no count of the others changes; what passes by chance is counted like any other and falls
+    short.
     """
     spark = docs.sparkSession
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     texts = docs.select(lang.alias("lang"), F.col("text").cast("binary").alias("_text"))
-    words = cut(_counted(texts, _words))
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = words.where(F.col("f") >= least)
-    phrases = often.withColumn("k", F.lit(1))
-    if most >= 2:
-        known = spark.sparkContext.broadcast(frequent_filter(word_hashes(often)))
-        pairs = texts.mapInArrow(_pair_hashes(known), "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f"))
-        known = spark.sparkContext.broadcast(frequent_filter(cut(pairs.where(F.col("f") >= least).select("hash"))))
-        longer = cut(_counted(texts, _phrases(known, most)).where(F.col("f") >= least))
-        phrases = phrases.unionByName(longer.withColumn("k", F.size(F.split("phrase", " "))))
-    return phrases, totals
+
+    def frequent(k: int, known=None):
+        counts = texts.mapInArrow(_hash_counts(k, known), "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f"))
+        return spark.sparkContext.broadcast(frequent_filter(cut(counts.where(F.col("f") >= least).select("hash"))))
+
+    often = frequent(1)
+    counted = _counted(texts, _phrases(often, frequent(2, often) if most >= 2 else None, most))
+    counted = cut(counted.where((F.col("f") >= least) | (F.col("phrase") == "")))
+    totals = counted.where("phrase = ''").select("lang", F.col("f").alias("n"))
+    return counted.where("phrase <> ''").withColumn("k", F.size(F.split("phrase", " "))), totals
 
 
 def _key(lang: str | Column, phrase: str | Column) -> Column:
