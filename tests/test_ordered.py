@@ -1,4 +1,7 @@
+import pickle
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +110,31 @@ def test_closed_loop_is_the_plain_replay(spark, data):
         assert abs(got["lat"] - lat) < 2e-7 and abs(got["lon"] - lon) < 2e-7 and abs(got["speed_ms"] - speed) < 2e-4
 
 
+def test_a_window_is_summed_once_and_samples_are_no_rows(spark, data):
+    """The turn's sum is one expression, not one for each mention of it; what goes from the windows to the filter has a row
+    for many samples, and several windows."""
+    spark.range(1).select(F.lit([1.0] * 300).alias("imu")).createOrReplaceTempView("imus")
+    plan = spark.table("imus").select(OR.turn_over(F.col("imu")).alias("q"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    frame = live.loop_rows(spark, data).drop("arrival").toPandas().sort_values(["device", "ts_ns", "kind"], ignore_index=True)
+    given = pd.concat(list(OR.windowed({}, frame, 10)), ignore_index=True)
+    plain = ~frame["kind"].isin(["accel", "gyro"])
+    samples = [pickle.loads(b) for b in given["block"].dropna()]
+    assert sum(len(t) for _, _, t, *_ in samples) > 5000 and len(given) <= plain.sum() + len(samples) + frame["device"].nunique() * 2
+    assert (given["kind"] == "window").sum() * 4 < sum(len(t) for t in given["times"].dropna())
+
+
+def test_the_last_rows_are_the_tracks_last(spark, data):
+    rows, end = live.loop_rows(spark, data), OR.end_of_stream(spark)
+    track = drained(rows, lambda s: OR.closed_loop(s.drop("arrival"), live.window_speed()), 3, "arrival", end)
+    newest = F.max_by(F.struct("kind", "mode", "lat", "lon", "heading_deg", "speed_ms"), F.struct("ts_ns", "kind"))
+    kind = F.col("kind")
+    wanted = track.groupBy("device").agg(F.max("ts_ns").alias("ts_ns"), newest.alias("x"), F.count_if("applied").alias("fixes"), F.count_if(kind == "speed").alias("speeds"), F.count_if(kind == "turn").alias("turns"))
+    found = drained(rows, lambda s: OR.closed_loop(s.drop("arrival"), live.window_speed(), last=True), 3, "arrival", end)
+    found = found.groupBy("device").agg(F.max("ts_ns").alias("ts_ns"), newest.alias("x"), *[F.sum(c).alias(c) for c in ("fixes", "speeds", "turns")])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
 @pytest.mark.parametrize("speed", [2.0, 9.0])
 def test_the_estimate_follows_the_windows(spark, speed):
     """A vehicle that stands by its readings moves as fast as its windows' answers say, once fixes stop."""

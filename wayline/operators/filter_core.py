@@ -7,6 +7,7 @@ object then is as many filters, which move in step.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -178,17 +179,47 @@ class Filter:
 def _turn(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """v x w along the first axis; v may have fewer axes in the middle."""
     a, b, c = v
-    return np.stack([b * w[2] - c * w[1], c * w[0] - a * w[2], a * w[1] - b * w[0]])
+    out = np.empty((3, *np.broadcast_shapes(v.shape[1:], w.shape[1:])))
+    out[0] = b * w[2] - c * w[1]
+    out[1] = c * w[0] - a * w[2]
+    out[2] = a * w[1] - b * w[0]
+    return out
 
 
 def _quat(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     a, b, c, d = p
     w, x, y, z = q
-    return np.stack([a * w - b * x - c * y - d * z, a * x + b * w + c * z - d * y, a * y - b * z + c * w + d * x, a * z + b * y - c * x + d * w])
+    out = np.empty((4, *np.broadcast_shapes(p.shape[1:], q.shape[1:])))
+    out[0] = a * w - b * x - c * y - d * z
+    out[1] = a * x + b * w + c * z - d * y
+    out[2] = a * y - b * z + c * w + d * x
+    out[3] = a * z + b * y - c * x + d * w
+    return out
 
 
 def _unit(q: np.ndarray) -> np.ndarray:
-    return unit(q.T).T
+    """As `unit`, along the first axis: sums over the last of four numbers are slow."""
+    n = np.sqrt((q * q).sum(0))
+    small = n < 1e-12
+    if small.any():
+        return unit(q.T).T
+    return q / np.where(q[0] >= 0, n, -n)
+
+
+def _exp(v: np.ndarray) -> np.ndarray:
+    half = np.sqrt((v * v).sum(0)) / 2
+    out = np.empty((4, *half.shape))
+    out[0] = np.cos(half)
+    np.multiply(0.5 * np.sinc(half / np.pi), v, out=out[1:])
+    return _unit(out)
+
+
+def _added(parts: Iterator[np.ndarray]) -> np.ndarray:
+    """The sum of new arrays, in the first of them."""
+    total = next(parts)
+    for x in parts:
+        total += x
+    return total
 
 
 class Fleet:
@@ -217,10 +248,13 @@ class Fleet:
 
     def rotation(self) -> np.ndarray:
         w, x, y, z = _unit(self.attitude)
-        return np.stack([
-            np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)]), np.stack([2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)]),
-            np.stack([2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]),
-        ])
+        x2, y2, z2 = x + x, y + y, z + z
+        xx, yy, zz, xy, xz, yz, wx, wy, wz = x2 * x, y2 * y, z2 * z, x2 * y, x2 * z, y2 * z, x2 * w, y2 * w, z2 * w
+        out = np.empty((3, 3, *w.shape))
+        out[0, 0], out[0, 1], out[0, 2] = 1 - (yy + zz), xy - wz, xz + wy
+        out[1, 0], out[1, 1], out[1, 2] = xy + wz, 1 - (xx + zz), yz - wx
+        out[2, 0], out[2, 1], out[2, 2] = xz - wy, yz + wx, 1 - (xx + yy)
+        return out
 
     def heading(self) -> np.ndarray:
         r = self.rotation()
@@ -233,7 +267,7 @@ class Fleet:
         gained[2] -= GRAVITY
         self.position = self.position + self.velocity * t + gained * (t * t / 2)
         self.velocity = self.velocity + gained * t
-        self.attitude = _unit(_quat(self.attitude, exp((rate * t).T).T))
+        self.attitude = _unit(_quat(self.attitude, _exp(rate * t)))
         c = self.covariance
         lever = _turn(turned, c[A]) * t  # on the rows of attitude
         rows_p, rows_v = c[P] + c[V] * t - lever * (t / 2), c[V] - lever
@@ -267,13 +301,17 @@ class Fleet:
             cofactor = lambda i, j: s[(i + 1) % 3, (j + 1) % 3] * s[(i + 2) % 3, (j + 2) % 3] - s[(i + 1) % 3, (j + 2) % 3] * s[(i + 2) % 3, (j + 1) % 3]
             adjugate = [[cofactor(j, i) for j in range(3)] for i in range(3)]
             d = s[0, 0] * adjugate[0][0] + s[0, 1] * adjugate[1][0] + s[0, 2] * adjugate[2][0]
-        inverse = np.stack([np.stack(row) for row in adjugate]) / np.where(d == 0, np.inf, d)
-        gain = [sum(across[:, k] * inverse[k, j] for k in range(m)) for j in range(m)]
-        error = sum(gain[j] * residual[j] for j in range(m))
-        new = self.covariance - sum(gain[j][:, None] * across[None, :, j] for j in range(m))
-        self.covariance = (new + new.swapaxes(0, 1)) / 2
+        d = np.where(d == 0, np.inf, d)
+        inverse = [[x / d for x in row] for row in adjugate]
+        weighted = lambda j: (across[:, k] * inverse[k][j] for k in range(m))
+        gain = [_added(weighted(j)) for j in range(m)]
+        error = _added(gain[j] * residual[j] for j in range(m))
+        new = _added(gain[j][:, None] * across[None, :, j] for j in range(m))
+        np.subtract(self.covariance, new, out=new)
+        self.covariance = new + new.swapaxes(0, 1)
+        self.covariance *= 0.5
         self.position, self.velocity = self.position + error[P], self.velocity + error[V]
-        self.attitude = _unit(_quat(exp(error[A].T).T, self.attitude))
+        self.attitude = _unit(_quat(_exp(error[A]), self.attitude))
 
     def _body_velocity(self, rows: tuple[int, ...], wanted: np.ndarray | float, variance: float) -> None:
         to_body = self.rotation().swapaxes(0, 1)

@@ -62,18 +62,19 @@ def loop_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def window_speed() -> Column:
     """A window's speed, standing in for a model: 5 m/s and the mean of its vertical excess."""
-    return 5 + F.aggregate("imu", F.lit(0.0), lambda s, x: s + x[2]) / P.CAPACITY - 9.80665
+    vertical = F.sequence(F.lit(2), F.lit(6 * P.CAPACITY - 1), F.lit(6))
+    return 5 + F.aggregate(vertical, F.lit(0.0), lambda s, i: s + F.col("imu")[i]) / P.CAPACITY - 9.80665
 
 
 def stream_closed_loop(spark: SparkSession, sf: str) -> DataFrame:
     """Unordered readings, fixes and commands to order, windows, measurements and the filter on one stream: the last place
     of each device, and how many measurements its windows gave."""
     rows = loop_rows(spark, sf)
-    buckets = FL.bucket_count(rows, 5)  # a reading becomes five samples
-    found = drained(rows, lambda s: OR.closed_loop(s.drop("arrival"), window_speed(), buckets=buckets), 3, "arrival", OR.end_of_stream(spark))
+    buckets = FL.bucket_count(rows)
+    found = drained(rows, lambda s: OR.closed_loop(s.drop("arrival"), window_speed(), buckets=buckets, last=True), 3, "arrival", OR.end_of_stream(spark))
     last = found.groupBy("device").agg(
         F.max_by(F.struct("mode", "lat", "lon", "heading_deg", "speed_ms"), F.struct("ts_ns", "kind")).alias("x"),
-        F.count_if("applied").alias("fixes"), F.count_if(F.col("kind") == "speed").alias("speeds"), F.count_if(F.col("kind") == "turn").alias("turns"),
+        *[F.sum(c).alias(c) for c in ("fixes", "speeds", "turns")],
     )
     return last.select("device", "fixes", "speeds", "turns", "x.mode", r("x.lat", 7).alias("lat"), r("x.lon", 7).alias("lon"), r("x.speed_ms", 4).alias("speed_ms"))
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.operators.storage import checkpoint_folder, cut
+from wayline.operators.storage import checkpoint_folder
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,9 +26,11 @@ def drained(rows: DataFrame, plan: Callable[[DataFrame], DataFrame], batches: in
     spark = rows.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = cut(rows.withColumn("_batch", F.ntile(batches).over(Window.partitionBy("device").orderBy(order))))
+    numbered = rows.withColumn("_batch", F.ntile(batches).over(Window.partitionBy("device").orderBy(order)))
+    numbered.write.partitionBy("_batch").parquet(f"{path}/rows")
+    written = spark.read.schema(numbered.schema).parquet(f"{path}/rows")
     for n in range(1, batches + 1):  # one after another: the source takes older files first
-        numbered.where(F.col("_batch") == n).drop("_batch").repartition(files, "device").write.mode("append").parquet(f"{path}/in")
+        written.where(F.col("_batch") == n).select(rows.columns).repartition(files, "device").write.mode("append").parquet(f"{path}/in")
         if n == 1:
             each = max(1, len(spark.read.parquet(f"{path}/in").inputFiles()))  # partitions without a device write none
     if end is not None:
