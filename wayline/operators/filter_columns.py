@@ -71,7 +71,7 @@ def _each(df: DataFrame, change: Callable[[Fleet, Callable[..., np.ndarray]], No
                 good &= whole[c].is_valid().to_numpy()
             rows = whole if good.all() else whole.filter(pa.array(good))
             if len(rows):
-                fleet = Fleet(_numbers(rows["position"], 3), _numbers(rows["velocity"], 3), _numbers(rows["attitude"]), _numbers(rows["covariance"], 9, 9))
+                fleet = Fleet(_numbers(rows["position"], 3), _numbers(rows["velocity"], 3), _numbers(rows["attitude"]), _numbers(rows["covariance"], 9, 9).copy())  # its own, as it changes in place
                 change(fleet, lambda name, *shape: _numbers(rows[names[name]], *shape))  # noqa: B023
                 struct = table["attitude"].type
                 new = {

@@ -207,11 +207,12 @@ def _unit(q: np.ndarray) -> np.ndarray:
 
 
 def _exp(v: np.ndarray) -> np.ndarray:
+    """As `exp`, of unit length but for the last digits and of either sign: what it turns is made a unit again."""
     half = np.sqrt((v * v).sum(0)) / 2
     out = np.empty((4, *half.shape))
     out[0] = np.cos(half)
     np.multiply(0.5 * np.sinc(half / np.pi), v, out=out[1:])
-    return _unit(out)
+    return out
 
 
 def _added(parts: Iterator[np.ndarray]) -> np.ndarray:
@@ -226,7 +227,7 @@ class Fleet:
     """The same filter for many vehicles that move in step, with the vehicle as the last axis of every array.
 
     Each operation runs along whole rows of numbers, and the blocks of the algebra that are zero or the identity are left out:
-    no matrices of one vehicle are multiplied. An update takes S as the spread of the measurement and K as the gain; with
+    no matrices of one vehicle are multiplied. Covariances change in place; `some` of a slice shares them. An update takes S as the spread of the measurement and K as the gain; with
     K S = C H', the Joseph form is C less K (C H')'.
     """
 
@@ -243,8 +244,10 @@ class Fleet:
         return Fleet(*(a[..., which] for a in (self.position, self.velocity, self.attitude, self.covariance)))
 
     def put(self, which, part: Fleet) -> None:
-        for mine, new in zip((self.position, self.velocity, self.attitude, self.covariance), (part.position, part.velocity, part.attitude, part.covariance), strict=True):
+        for mine, new in zip((self.position, self.velocity, self.attitude), (part.position, part.velocity, part.attitude), strict=True):
             mine[..., which] = new
+        if part.covariance.base is not self.covariance:  # else it was moved where it lies
+            self.covariance[..., which] = part.covariance
 
     def rotation(self) -> np.ndarray:
         w, x, y, z = _unit(self.attitude)
@@ -277,16 +280,14 @@ class Fleet:
         pv = rows_p[:, V] - lever
         pp = rows_p[:, P] + rows_p[:, V] * t - lever * (t / 2)
         vv = rows_v[:, V] - _turn(u, va.swapaxes(0, 1)).swapaxes(0, 1) * t
-        new = np.empty_like(c)
-        new[P, P], new[V, V], new[A, A] = (pp + pp.swapaxes(0, 1)) / 2, (vv + vv.swapaxes(0, 1)) / 2, c[A, A]
-        new[P, V], new[P, A], new[V, A] = pv, pa, va
+        c[P, P], c[V, V] = (pp + pp.swapaxes(0, 1)) / 2, (vv + vv.swapaxes(0, 1)) / 2
+        c[P, V], c[P, A], c[V, A] = pv, pa, va
         for i in range(3):
-            new[i, i] += a * t * t / 3
-            new[3 + i, 3 + i] += a
-            new[6 + i, 6 + i] += GYRO_SD**2 * t
-            new[i, 3 + i] += a * t / 2
-        new[V, P], new[A, P], new[A, V] = new[P, V].swapaxes(0, 1), pa.swapaxes(0, 1), va.swapaxes(0, 1)
-        self.covariance = new
+            c[i, i] += a * t * t / 3
+            c[3 + i, 3 + i] += a
+            c[6 + i, 6 + i] += GYRO_SD**2 * t
+            c[i, 3 + i] += a * t / 2
+        c[V, P], c[A, P], c[A, V] = c[P, V].swapaxes(0, 1), pa.swapaxes(0, 1), va.swapaxes(0, 1)
 
     def _measure(self, residual: np.ndarray, across: np.ndarray, spread: np.ndarray) -> None:
         """Residual (m, n), C H' (9, m, n), and S (m, m, n) of 1 to 3 values; a filter whose S has no inverse stays as it is."""
@@ -306,10 +307,11 @@ class Fleet:
         weighted = lambda j: (across[:, k] * inverse[k][j] for k in range(m))
         gain = [_added(weighted(j)) for j in range(m)]
         error = _added(gain[j] * residual[j] for j in range(m))
-        new = _added(gain[j][:, None] * across[None, :, j] for j in range(m))
-        np.subtract(self.covariance, new, out=new)
-        self.covariance = new + new.swapaxes(0, 1)
-        self.covariance *= 0.5
+        # Row by row from the diagonal on, the rest mirrored: an array of all entries at once no longer fits the cache.
+        c = self.covariance
+        for i in range(9):
+            c[i, i:] -= _added(gain[j][i] * across[i:, j] for j in range(m))
+            c[i + 1 :, i] = c[i, i + 1 :]
         self.position, self.velocity = self.position + error[P], self.velocity + error[V]
         self.attitude = _unit(_quat(_exp(error[A]), self.attitude))
 
@@ -318,7 +320,7 @@ class Fleet:
         c, across, spread, residual = self.covariance, [], [], []
         jacobian = [(to_body[i], _turn(to_body[i], self.velocity)) for i in rows]  # b' [v x] is (b x v)'
         for i, (v, a) in zip(rows, jacobian, strict=True):
-            across.append((c[:, V] * v).sum(1) + (c[:, A] * a).sum(1))
+            across.append(np.einsum("ijn,jn->in", c[:, V], v) + np.einsum("ijn,jn->in", c[:, A], a))
             residual.append(wanted - (to_body[i] * self.velocity).sum(0))
         for j, (v, a) in enumerate(jacobian):
             spread.append(np.stack([(v * x[V]).sum(0) + (a * x[A]).sum(0) + (variance if j == k else 0.0) for k, x in enumerate(across)]))
@@ -334,7 +336,7 @@ class Fleet:
         spread = self.covariance[part, part].copy()
         for i in range(3):
             spread[i, i] += variance
-        self._measure(residual, self.covariance[:, part], spread)
+        self._measure(residual, self.covariance[:, part].copy(), spread)
 
     def take_turn(self, relative: np.ndarray, start: np.ndarray, variance: float = ATTITUDE_VAR) -> None:
         inverse = lambda q: _unit(q) * _CONJUGATE[:, None]
